@@ -83,13 +83,13 @@ def document_statistics(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, SCHEMA)
 
 
-#: What conditions test: numerator and denominator (None: 1) among COUNTS.
+#: What conditions test: numerator and denominator, from COUNTS.
 RATIOS = {
     "symbols_per_word": ("n_symbols", "n_words"),
     "chars_per_word": ("word_chars", "n_words"),
     "duplicate_lines": ("n_dup_lines", "n_lines"),
     "repeated_words": ("n_repeat_words", "n_words"),
-    "distinct_words": ("n_distinct", "n_words"),
+    "distinct_words": ("n_distinct", "sqrt(n_words)"),  # a plain share falls with the length of any text
     "capitals": ("n_capitals", "word_chars"),
     "exclamations": ("n_exclaims", "n_words"),
     "digits": ("n_digits", "word_chars"),
@@ -99,7 +99,7 @@ RATIOS = {
 
 def ratio_column(name: str) -> Column:
     top, bottom = RATIOS[name]
-    return F.col(top).cast("double") / F.greatest(F.col(bottom), F.lit(1)) if bottom else F.col(top).cast("double")
+    return F.col(top).cast("double") / F.greatest(F.expr(bottom), F.lit(1))
 
 
 Condition = tuple[str, str, float]
