@@ -73,3 +73,18 @@ def ranked(df: DataFrame, key: list[str], order: list[str], name: str, buckets:
         .withColumn(name, F.row_number().over(within) - 1 + F.col("start_here"))
         .drop(b, "start_here")
     )
+
+
+def summed_blobs(df: DataFrame, dtype: str, fan_in: int = 64) -> dict[int, bytes]:
+    """Element-wise sums of equally long arrays: df has (part, chunk, blob) rows; two levels, then one blob a chunk."""
+    import numpy as np
+    import pandas as pd
+
+    def add(key, frame):
+        total = sum((np.frombuffer(b, dtype) for b in frame["blob"].iloc[1:]), np.frombuffer(frame["blob"].iloc[0], dtype).copy())
+        return pd.DataFrame({"part": [int(frame["part"].iloc[0])], "chunk": [int(frame["chunk"].iloc[0])], "blob": [total.tobytes()]})
+
+    schema = "part long, chunk int, blob binary"
+    dealt = df.withColumn("part", F.pmod("part", F.lit(fan_in)))
+    once = dealt.groupBy("part", "chunk").applyInPandas(add, schema)
+    return {r.chunk: bytes(r.blob) for r in once.groupBy("chunk").applyInPandas(add, schema).collect()}
