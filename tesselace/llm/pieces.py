@@ -199,6 +199,34 @@ class Lattices:
             edges[at[act] + j] = e
         return logp, name, n, edges
 
+    def other_path(self, unit: int, taken: list[list[int]], key: int):
+        """A random segmentation of one unit that is none of those taken; None if there is none."""
+        s, end, logp, name, edges, taken = int(self.first[unit]), int(self.last[unit]), 0.0, 0, [], list(taken)
+        mass = [np.exp(np.cumsum(self.logp[x][::-1])[::-1]).tolist() for x in taken]
+        us = uniform(np.uint64(key % 2**64) + np.arange(1, end - s + 1, dtype=np.uint64) * _C3).tolist()
+        while s != end:
+            j = len(edges)
+            e = int(self.begin[s])
+            weights, total = [], 0.0
+            while True:
+                w = float(np.exp(self.logp[e])) - sum(m[j] for x, m in zip(taken, mass, strict=True) if x[j] == e)
+                total += w if w > 1e-13 else 0.0
+                weights.append(total)
+                if self.cumulative[e] >= 1.0:
+                    break
+                e += 1
+            if total <= 0.0:
+                return None
+            u = us[j] * total
+            e = int(self.begin[s]) + next(i for i, w in enumerate(weights) if w >= u)
+            kept = [i for i, x in enumerate(taken) if x[j] == e]
+            taken, mass = [taken[i] for i in kept], [mass[i] for i in kept]
+            edges.append(e)
+            logp += float(self.logp[e])
+            name = (name * int(_C1) + int(self.step[e])) % 2**64
+            s = int(self.target[e])
+        return logp, np.uint64(name), len(edges), np.array(edges, np.int64)
+
     def every(self, unit: int) -> list[tuple[float, int, list[int]]]:
         """All segmentations of one unit: log-probability, hash, edges."""
         out, todo = [], [(int(self.first[unit]), 0.0, 0, [])]
@@ -262,7 +290,12 @@ def sample_texts(model: Model, texts: list[str], keys: np.ndarray, k: int):
     place = np.arange(len(unit)) - begin[doc]
     token_key = mix(keys[doc] + place.astype(np.uint64) * _C3)
     salt = lambda s, t=0: np.uint64((s * 1_000_003 + t) * 0x9E3779B97F4A7C15 % 2**64)
-    cut: dict[tuple[int, int], tuple[list[int], float]] = {}  # (leaf, token): hashes taken, their probability
+    cut: dict[tuple[int, int], tuple[list[list[int]], float]] = {}  # (leaf, token): paths taken, their probability
+
+    def lattice_path(x, token):
+        if "stop" not in x:
+            x["stop"] = np.cumsum(x["n"])
+        return x["edges"][x["stop"][token] - x["n"][token] : x["stop"][token]].tolist()
 
     def before(logp):
         c = np.cumsum(logp)
@@ -289,34 +322,11 @@ def sample_texts(model: Model, texts: list[str], keys: np.ndarray, k: int):
             at[doc[hit]] = hit
         parent = {c: np.choose(leaf[doc], [x[c] for x in leaves]) if len(leaves) > 1 else leaves[0][c].copy() for c in ("logp", "name", "n")}
         # the unit where the new segmentation departs: not one of those taken
-        t, todo, tries = at[docs], np.arange(len(docs)), 0
-        taken = [cut.get((int(leaf[d]), int(x)), ([int(leaves[leaf[d]]["name"][x])], float(np.exp(leaves[leaf[d]]["logp"][x])))) for d, x in zip(docs, t, strict=True)]
-        got: list = [None] * len(docs)
-        one_by_one = np.zeros(0, np.int64)
-        short = (lattices.last - lattices.first)[unit[t]] <= 12
-        while len(todo) and tries < 4000:
-            if tries == 12:  # much of the probability is taken: short units are gone through one by one below
-                one_by_one, todo = todo[short[todo]], todo[~short[todo]]
-                if not len(todo):
-                    break
-            a, b, c, e = lattices.paths(unit[t[todo]], mix(token_key[t[todo]] + salt(s, 10 + tries)))
-            stop = np.cumsum(c)
-            left = []
-            for i, x in enumerate(todo):
-                if int(b[i]) in taken[x][0]:
-                    left.append(x)
-                else:
-                    got[x] = (a[i], b[i], c[i], e[stop[i] - c[i] : stop[i]])
-            todo, tries = np.array(left, np.int64), tries + 1
-        for x in [*one_by_one, *todo]:
-            others = [o for o in lattices.every(int(unit[t[x]])) if o[1] not in taken[x][0]]
-            if not others:
-                continue
-            w = np.cumsum(np.exp([o[0] for o in others]))
-            o = others[min(int(np.searchsorted(w, w[-1] * uniform(token_key[t[x] : t[x] + 1])[0])), len(others) - 1)]
-            got[x] = (o[0], np.uint64(o[1]), len(o[2]), np.array(o[2], np.int64))
+        t = at[docs]
+        taken = [cut.get((int(leaf[d]), int(x))) or ([lattice_path(leaves[leaf[d]], x)], float(np.exp(leaves[leaf[d]]["logp"][x]))) for d, x in zip(docs, t, strict=True)]
+        got = [lattices.other_path(int(unit[x]), names, int(token_key[x]) + int(salt(s, 10))) for x, (names, _) in zip(t, taken, strict=True)]
         ok = np.array([g is not None for g in got])
-        docs, t, got = docs[ok], t[ok], [g for g in got if g is not None]
+        docs, t, taken, got = docs[ok], t[ok], [x for x, o in zip(taken, ok, strict=True) if o], [g for g in got if g is not None]
         turned = np.full(len(texts), 2**62)
         turned[docs] = t
         late = np.flatnonzero(np.arange(len(unit)) > turned[doc])
@@ -342,9 +352,8 @@ def sample_texts(model: Model, texts: list[str], keys: np.ndarray, k: int):
         rest = np.full(len(unit), -np.inf)
         rest[late] = truncated((prior + rest_mass(new["logp"]))[late], value[doc[late]], mix(token_key[late] + salt(s, 2)))
         new["rest"] = rest
-        for i, (d, x) in enumerate(zip(docs, t, strict=True)):
-            names, p = taken[i] if ok.all() else cut.get((int(leaf[d]), int(x)), ([int(leaves[leaf[d]]["name"][x])], float(np.exp(leaves[leaf[d]]["logp"][x]))))
-            cut[int(leaf[d]), int(x)] = ([*names, int(got[i][1])], p + float(np.exp(got[i][0])))
+        for (names, p), d, x, g in zip(taken, docs, t, got, strict=True):
+            cut[int(leaf[d]), int(x)] = ([*names, g[3].tolist()], p + float(np.exp(g[0])))
         mass = np.array([1 - cut[int(leaf[d]), int(x)][1] for d, x in zip(docs, t, strict=True)])
         phi = np.where(mass > 1e-12, prior[t] + np.log(np.maximum(mass, 1e-300)), -np.inf)
         again = truncated(phi, value[docs], mix(token_key[t] + salt(s, 3)))
