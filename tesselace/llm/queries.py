@@ -45,6 +45,12 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .gru import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 #: Where the public tokenizers lie.
 TOKENIZERS = "/opt/tokenizers"
 
