@@ -3,9 +3,10 @@
 1. One pass over the documents keeps, for each, where the benchmark's terms stand (terms in more than `common_items`
    of the items are function words and left out), and counts document frequencies.
 2. A randomised SVD of the TF-IDF matrix of all passages (windows of 2 * stride words, and the benchmark's items,
-   weighted so that both have equal energy): every task adds up its share of A^T A Omega; a Nystroem step gives the
+   weighted so that theirs is twice the documents' energy): every task adds up its share of A^T A Omega; a Nystroem step gives the
    right singular vectors. Only the (terms x rank) sketch leaves the tasks; terms are bounded by the benchmark.
-3. Windows and items are compared by cosine in the latent space; the items are a stated query set, held in blocks.
+3. Windows and items are compared by cosine in the latent space, where a window must also hold `energy_share` of the
+   item (its component along the item); the items are a stated query set, compared as one block.
 4. Candidates are checked on the words: the longest common subsequence with the item must cover `covered` of it, and
    of the answer (the text after the last question mark, else the last sentence) half of the words must be there.
 
@@ -75,22 +76,30 @@ class Vocabulary:
         return out
 
 
-def windows(position: list[np.ndarray], term: list[np.ndarray], rows: np.ndarray):
-    """Sums of `rows` (one a term) over blocks of STRIDE words and over two adjacent blocks, for a batch of documents.
+def flat_lists(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, position, term) of every hit of a batch."""
+    where, which = batch.column("position"), batch.column("term")
+    size = np.diff(where.offsets.to_numpy())
+    return np.repeat(np.arange(len(size)), size), where.flatten().to_numpy(zero_copy_only=False).astype(np.int64), which.flatten().to_numpy(zero_copy_only=False)
 
-    Returns (document, first block, number of blocks, vectors)."""
-    doc = np.repeat(np.arange(len(position)), [len(p) for p in position])
+
+def windows(doc: np.ndarray, position: np.ndarray, term: np.ndarray, rows: np.ndarray):
+    """Sums of `rows` (one a term) over two adjacent blocks of STRIDE words.
+
+    Returns (document, first block, vectors), a window for each block that holds a term."""
     if not len(doc):
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), np.zeros((0, rows.shape[1]), rows.dtype)
-    block = np.concatenate(position) // STRIDE
+        return np.zeros(0, int), np.zeros(0, int), np.zeros((0, rows.shape[1]), rows.dtype)
+    block = position // STRIDE
     start = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(block) != 0)])
-    sums = np.add.reduceat(rows[np.concatenate(term)], start, axis=0)
+    sums = np.add.reduceat(rows[term], start, axis=0)
     d, b = doc[start], block[start]
     pair = np.flatnonzero((d[1:] == d[:-1]) & (b[1:] == b[:-1] + 1))
-    return np.r_[d, d[pair]], np.r_[b, b[pair]], np.r_[np.ones(len(d), int), np.full(len(pair), 2)], np.concatenate([sums, sums[pair] + sums[pair + 1]])
+    both = sums.copy()
+    both[pair] += sums[pair + 1]
+    return d, b, both
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, covered: float = 0.6, rank: int = 256, common_items: float = 0.05, broadcast_rows: int = 1_000_000, seed: int = 1) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, energy_share: float = 0.35, covered: float = 0.6, rank: int = 128, common_items: float = 0.05, broadcast_rows: int = 1_000_000, seed: int = 1) -> DataFrame:
     """doc_id, item_id, cosine, lcs (share of the item) and answer (share of the answer) of every document that holds an item."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -114,21 +123,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, cover
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(hits, "doc_id long, position array<int>, term array<int>")
     found = materialise(found, "leak-hits")
     n_docs = found.count()
-    lists = lambda batch, c: [np.array(x, np.int64) for x in batch.column(c).to_pylist()]
 
     def frequencies(it):
         total = np.zeros(n_terms, np.int64)
         for batch in it:
-            for ids in lists(batch, "term"):
-                total[np.unique(ids)] += 1
+            doc, _, term = flat_lists(batch)
+            total += np.bincount(np.unique(doc * n_terms + term) % n_terms, minlength=n_terms)
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([0], pa.int32()), pa.array([total.tobytes()])], ["part", "chunk", "blob"])
 
     blobs = "part long, chunk int, blob binary"
     from_task = F.spark_partition_id().cast("long")
-    df = np.frombuffer(summed_blobs(found.select("term").mapInArrow(frequencies, blobs).withColumn("part", from_task), "<i8").get(0, np.zeros(n_terms, np.int64).tobytes()), "<i8")
+    df = np.frombuffer(summed_blobs(found.select("position", "term").mapInArrow(frequencies, blobs).withColumn("part", from_task), "<i8").get(0, np.zeros(n_terms, np.int64).tobytes()), "<i8")
     idf = np.maximum(np.log((n_docs + 1) / (df + 0.5)), 0.2)
     queries = vocabulary.counts() * idf
-    k = min(rank, len(queries) + 8, n_terms)
+    k = min(rank, n_terms)
     omega = np.random.default_rng(seed).standard_normal((n_terms, k))
     tested = (omega * idf[:, None]).astype(np.float32)
     n_chunks = -(-n_terms // CHUNK)
@@ -137,57 +145,50 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, cover
         """The tasks' shares of TF^T (TF D Omega), and the energy of their rows."""
         out, energy = np.zeros((n_chunks * CHUNK, k), np.float64), 0.0
         for batch in batches(it, 1000):
-            position, term = lists(batch, "position"), lists(batch, "term")
-            d, b, n, y = windows(position, term, tested)
-            flat = np.concatenate(term) if term else np.zeros(0, int)
+            doc, position, flat = flat_lists(batch)
             if not len(flat):
                 continue
-            whole = n == 2
-            alone = ~whole & ~np.isin(d * 2**32 + b, np.r_[(d * 2**32 + b)[whole], (d * 2**32 + b + 1)[whole]])
-            use = whole | alone  # passages: pairs of blocks, or a block without neighbours
-            key = d[use] * 2**32 + b[use]
-            at = np.repeat(np.arange(len(position)), [len(p) for p in position]) * 2**32 + np.concatenate(position) // STRIDE
-            order = np.argsort(key)
-            for shift in (0, 1):  # a word lies in the passage of its block and in that of the block before
-                i = np.searchsorted(key[order], at - shift)
-                ok = (i < len(key)) & (key[order][np.minimum(i, len(key) - 1)] == at - shift)
-                row = order[np.minimum(i, len(key) - 1)]
-                ok &= (shift == 0) | (n[use][row] == 2)
-                terms, rows = flat[ok], y[use][row[ok]]
-                by = np.argsort(terms, kind="stable")
-                if len(by):
-                    first = np.flatnonzero(np.r_[True, np.diff(terms[by]) != 0])
-                    out[terms[by][first]] += np.add.reduceat(rows[by], first, axis=0)
-                    energy += float((idf[terms] ** 2).sum())
+            passage = doc * 2**32 + position // (2 * STRIDE)
+            head = np.r_[True, np.diff(passage) != 0]
+            y = np.add.reduceat(tested[flat], np.flatnonzero(head), axis=0)
+            row = np.cumsum(head) - 1
+            by = np.argsort(flat, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(flat[by]) != 0])
+            out[flat[by][first]] += np.add.reduceat(y[row[by]], first, axis=0)
+            energy += float((idf[flat] ** 2).sum())
         parts = [out[c * CHUNK : (c + 1) * CHUNK].tobytes() for c in range(n_chunks)] + [np.array([energy]).tobytes()]
         yield pa.RecordBatch.from_arrays([pa.array([0] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array(parts)], ["part", "chunk", "blob"])
 
     got = summed_blobs(found.select("position", "term").mapInArrow(sketch, blobs).withColumn("part", from_task), "<f8")
     total = np.concatenate([np.frombuffer(got[c], "<f8") for c in range(n_chunks)]).reshape(-1, k)[:n_terms] if got else np.zeros((n_terms, k))
     energy = float(np.frombuffer(got[n_chunks], "<f8")[0]) if got else 0.0
-    weight = max(1.0, energy) / (queries**2).sum()
+    weight = 2 * max(1.0, energy) / (queries**2).sum()
     product = idf[:, None] * total + weight * queries.T @ (queries @ omega)
     basis = right_vectors(omega, product)
     latent = queries @ basis
-    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+    lengths = np.maximum(np.linalg.norm(latent, axis=1), 1e-12)
+    latent /= lengths[:, None]
     rows = (idf[:, None] * basis).astype(np.float32)
-    model = spark.sparkContext.broadcast((rows, latent.T.astype(np.float32)))
+    model = spark.sparkContext.broadcast((rows, latent.T.astype(np.float32), lengths.astype(np.float32)))
 
     def search(it):
-        rows, targets = model.value
+        rows, targets, lengths = model.value
         for batch in batches(it, 1000):
             ids = batch.column("doc_id").to_pylist()
-            d, b, n, v = windows(lists(batch, "position"), lists(batch, "term"), rows)
-            c = v @ targets
-            near, item = np.nonzero(c >= cosine * np.linalg.norm(v, axis=1, keepdims=True).clip(1e-12))
-            value = c[near, item] / np.linalg.norm(v[near], axis=1)
+            d, b, v = windows(*flat_lists(batch), rows)
+            norm = np.linalg.norm(v, axis=1)
+            use = np.flatnonzero(norm >= energy_share * lengths.min())  # what a window lacks of length it lacks of every item
+            dot = v[use] @ targets
+            near, item = np.nonzero((dot >= cosine * norm[use, None]) & (dot >= energy_share * lengths))
+            value = dot[near, item] / norm[use][near]
+            near = use[near]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[x] for x in d[near]], pa.int64()), pa.array(item, pa.int32()), pa.array(b[near], pa.int32()), pa.array(n[near], pa.int32()), pa.array(value, pa.float64())],
-                ["doc_id", "item", "block", "blocks", "cosine"],
+                [pa.array([ids[x] for x in d[near]], pa.int64()), pa.array(item, pa.int32()), pa.array(b[near], pa.int32()), pa.array(value, pa.float64())],
+                ["doc_id", "item", "block", "cosine"],
             )
 
-    candidates = found.mapInArrow(search, "doc_id long, item int, block int, blocks int, cosine double").where("doc_id is not null")
-    listed = materialise(candidates.groupBy("doc_id").agg(F.collect_list(F.struct("item", "block", "blocks", "cosine")).alias("candidates")), "leak-candidates")
+    candidates = found.mapInArrow(search, "doc_id long, item int, block int, cosine double").where("doc_id is not null")
+    listed = materialise(candidates.groupBy("doc_id").agg(F.collect_list(F.struct("item", "block", "cosine")).alias("candidates")), "leak-candidates")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if listed.count() <= broadcast_rows:
         texts = texts.join(F.broadcast(listed.select("doc_id")), "doc_id", "left_semi")
@@ -202,7 +203,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, cover
                 for x in found:
                     item, want, answer = items[x["item"]]
                     reach = len(want)
-                    there = words[max(0, x["block"] * STRIDE - reach) : (x["block"] + x["blocks"]) * STRIDE + reach]
+                    there = words[max(0, x["block"] * STRIDE - reach) : (x["block"] + 2) * STRIDE + reach]
                     share = lcs_length(want, there) / len(want)
                     have = Counter(there)
                     told = sum(min(n, have[w]) for w, n in Counter(answer).items()) / len(answer)
