@@ -21,7 +21,7 @@ def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("first")).unionByName(b.exceptAll(a).withColumn("side", F.lit("second")))
 
 
-def index_quantile(value: str, p: float) -> Column:
+def index_quantile(value: Column | str, p: float) -> Column:
     """d[min(n - 1, int(p * n))] of the sorted values: an element of the data, without interpolation."""
     d = F.array_sort(F.collect_list(value))
     return F.element_at(d, F.least(F.size(d), (F.floor(F.lit(p) * F.size(d)) + 1).cast("int")))
