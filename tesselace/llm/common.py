@@ -88,3 +88,33 @@ def summed_blobs(df: DataFrame, dtype: str, fan_in: int = 64) -> dict[int, bytes
     dealt = df.withColumn("part", F.pmod("part", F.lit(fan_in)))
     once = dealt.groupBy("part", "chunk").applyInPandas(add, schema)
     return {r.chunk: bytes(r.blob) for r in once.groupBy("chunk").applyInPandas(add, schema).collect()}
+
+
+def most_frequent(counts: DataFrame, count: str, limit: int) -> DataFrame:
+    """Rows whose count is above the least cutoff that leaves at most `limit` rows.
+
+    Only the histogram of counts reaches the driver: distinct counts are at most sqrt(2 * their sum)."""
+    left = limit
+    cutoff = None
+    for c, n in sorted(((r[0], r[1]) for r in counts.groupBy(count).agg(F.count(F.lit(1))).collect()), reverse=True):
+        if n > left:
+            cutoff = c
+            break
+        left -= n
+    return counts if cutoff is None else counts.where(F.col(count) > cutoff)
+
+
+def by_size(it: Iterator[pa.RecordBatch], chars: int) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many characters of text, or of one row."""
+    import pyarrow.compute as pc
+
+    for batch in it:
+        size = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist()
+        start = total = 0
+        for i, n in enumerate(size):
+            if i > start and total + n > chars:
+                yield batch.slice(start, i - start)
+                start, total = i, 0
+            total += n
+        if start < len(size):
+            yield batch.slice(start)

@@ -1,7 +1,7 @@
 """Language-model scoring: a gated recurrent model in numpy with a class-factored softmax.
 
-Counts: every training document's tokens are counted, exactly and distributed. The most frequent `head_words` tokens
-(of at most 256 bytes, so that their table is bounded) are broadcast with their counts; other tokens meet their
+Counts: every training document's tokens are counted, exactly and distributed. The most frequent tokens (`head_words`
+at most, of at most 256 bytes, so that their table is bounded) are broadcast with their counts; other tokens meet their
 counts in a join, and none of those is frequent.
 
 Model: the most frequent tokens of the head are the recurrent model's vocabulary, in equally large classes by rank;
@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, bucket_of, materialise, small_batches, summed_blobs, texts_of
+from .common import batches, bucket_of, by_size, materialise, most_frequent, small_batches, summed_blobs, texts_of
 
 END = b"\x00end"  # holds no word: it is marked by a byte that is put before words that begin with it
 SMOOTH = 0.1
@@ -75,12 +75,13 @@ class Gru:
     def output(self, h: np.ndarray, y: np.ndarray, grad: dict | None = None):
         """log P of y given the states h; with grad, adds gradients of -sum log P and returns those of h too."""
         c, m = y // self.members, y % self.members
-        logits = h @ self.out_class + self.bias_class
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        z = e.sum(1)
+        logits = h @ self.out_class
+        logits += self.bias_class
         rows = np.arange(len(y))
-        logp = logits[rows, c] - np.log(z)
+        logp = logits[rows, c]
+        e = np.exp(logits, out=logits)  # a bounded state has small logits
+        z = e @ np.ones(self.classes, np.float32)
+        logp -= np.log(z)
         dh = None
         if grad is not None:
             d = e / z[:, None]
@@ -93,18 +94,21 @@ class Gru:
         for k in np.flatnonzero(np.diff(cuts)):
             at = order[cuts[k] : cuts[k + 1]]
             hk = h[at]
-            l = hk @ self.out_word[k] + self.bias_word[k]
-            l -= l.max(1, keepdims=True)
-            e = np.exp(l)
-            z = e.sum(1)
+            l = hk @ self.out_word[k]
+            l += self.bias_word[k]
             i = np.arange(len(at))
-            logp[at] += l[i, m[at]] - np.log(z)
+            own = l[i, m[at]]
+            e = np.exp(l, out=l)
+            z = e @ np.ones(self.members, np.float32)
+            logp[at] += own - np.log(z)
             if grad is not None:
                 d = e / z[:, None]
                 d[i, m[at]] -= 1
                 grad["out_word"][k] += hk.T @ d
                 grad["bias_word"][k] += d.sum(0)
                 dh[at] += d @ self.out_word[k].T
+        if not np.isfinite(logp).all():
+            raise FloatingPointError("logits out of range")
         return logp, dh
 
     def step(self, a: np.ndarray, h: np.ndarray):
@@ -239,14 +243,14 @@ def count_words(docs: DataFrame) -> DataFrame:
 def score_documents(docs: DataFrame, head_words: int = 131_072, classes: int = 90, train_share: int = 4, start_rows: int = 400, seed: int = 5) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; logarithms to base 10."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 4000)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("fold", F.coalesce(bucket_of(F.col("doc_id"), 10), F.lit(1)))
     learn = rows.where("fold != 0")
     counts = materialise(count_words(learn), "gru-counts")
     total = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     n_all, v_all = int(total[0] or 0), int(total[1])
-    top = counts.where(F.length("word") <= 256).orderBy(F.desc("c"), "word").limit(head_words).collect()
-    ranked = [(bytes(r.word), r.c) for r in top]
+    top = most_frequent(counts.where(F.length("word") <= 256), "c", head_words).collect()
+    ranked = sorted(((bytes(r.word), r.c) for r in top), key=lambda x: (-x[1], x[0]))
     ends = sum(c for w, c in ranked if w == END)
     ranked = [x for x in ranked if x[0] != END]
     members = classes
@@ -315,7 +319,7 @@ def score_documents(docs: DataFrame, head_words: int = 131_072, classes: int = 9
         mine, number = final.value, 0
         get, logs = place.get, np.log10(head_count + SMOOTH)
         part = TaskContext.get().partitionId() << 33
-        for batch in batches(it, 1500):
+        for batch in by_size(it, 16_000_000):
             found, n, known, base, other, other_sum, rare, rare_n = [], [], [], [], [], [], [], []
             for t in texts_of(batch):
                 words = tokens(t)

@@ -23,11 +23,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts_of
+from .common import by_size, small_batches, texts_of
 
 UNIT = re.compile("▁|\n| +(?=[\n▁]|\\Z)| *[^ \n▁]+")
 SPACE, LITERAL = 0x2581, 0x110001
@@ -378,20 +377,6 @@ def loaded(path: str) -> Model:
     return Model(path)
 
 
-def by_size(it, chars: int):
-    """Batches of at most so many characters, or of one row: the lattices of a batch are in memory together."""
-    for batch in it:
-        size = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist()
-        start = total = 0
-        for i, n in enumerate(size):
-            if i > start and total + n > chars:
-                yield batch.slice(start, i - start)
-                start, total = i, 0
-            total += n
-        if start < len(size):
-            yield batch.slice(start)
-
-
 def inclusion(x: np.ndarray) -> np.ndarray:
     """log(1 - exp(-exp(x)))."""
     with np.errstate(over="ignore", divide="ignore"):
