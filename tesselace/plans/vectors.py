@@ -123,3 +123,12 @@ def suppression(spark, d):
 
     p = points(spark, d)
     return suppressed(p.select("id"), radius_pairs(p, ["x", "y", "z"], 60))
+
+
+@query(f"""WITH {POINTS}, d AS (SELECT a.id, b.id AS p, (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) AS d2 FROM p a JOIN p b ON a.id % 5 = 0 AND b.id % 5 <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, p) AS n FROM d) SELECT id, p AS nearest, d2 FROM r WHERE n = 1""")
+def grid_nearest(spark, d):
+    from tesselace.operators.nearest import nearest
+
+    p = points(spark, d)
+    return nearest(p.where("id % 5 = 0"), p.where("id % 5 <> 0"), ["x", "y", "z"], 50)
