@@ -2,9 +2,11 @@
 
 A text is the sequence of its five-word shingles, each labelled with its number of occurrence, so that labels are
 distinct. For each of `sketches` hash functions the `picks` least labels, in text order, make one sketch; texts that
-share a sketch meet in a bucket. Each bucket compares its members with one leader (the least), not with one another:
-those linked to it are done, the others meet again under a new leader, together with those linked members that could
-by the triangle inequality still be near them. What is left after `rounds`, and what is small, is compared directly.
+share a sketch meet in a bucket. Each bucket compares its members with one leader (the one that meets most texts), not with
+one another: those linked to it are done, the others meet again under a new leader, together with those linked members
+that could by the triangle inequality still be near them. What is left after `rounds`, and what is small, is compared
+directly. 128 bits of min-hash per text keep pairs from alignment that cannot be alike (at a similarity of 0.8 about 13
+bits differ, with a standard deviation of 3.4; 28 are allowed, and 42 for texts of less than 100 shingles).
 
 The similarity of two texts is L / (n + m - L), L the longest common subsequence of their labelled shingles, found
 in a band that is wide enough for any similarity of 0.6 or more; 1 minus it is a metric. Links (0.8 or more) make
@@ -78,6 +80,28 @@ def order_min_hash(labels: np.ndarray, seeds: np.ndarray, picks: int) -> np.ndar
     return out
 
 
+def profile(labels: np.ndarray) -> np.ndarray:
+    """128 bits as two int64: one-permutation min-hash of the labels, one bit a bin; empty bins borrow from the next."""
+    ranks = mix(labels ^ _POSITION[2])
+    order = np.argsort(ranks)[::-1]
+    least = np.zeros(128, np.uint64)
+    filled = np.zeros(128, bool)
+    bins = (labels >> np.uint64(57)).astype(np.int64)[order]
+    least[bins] = ranks[order]  # the last one written is the least
+    filled[bins] = True
+    full = np.flatnonzero(filled)
+    source = full[np.searchsorted(full, np.arange(128)) % len(full)]
+    away = (source - np.arange(128)) % 128
+    bits = mix(least[source] + away.astype(np.uint64) * _POSITION[3]) >> np.uint64(40) & np.uint64(1)
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def alike(a: str, b: str, most: int) -> Column:
+    """At most so many of 128 bits differ; for short texts (whose bins share few labels) half as many again."""
+    differ = sum((F.bit_count(F.get(f"profile_{a}", F.lit(k)).bitwiseXOR(F.get(f"profile_{b}", F.lit(k)))) for k in (0, 1)), F.lit(0))
+    return differ <= F.when(F.least(f"n_{a}", f"n_{b}") >= 100, most).otherwise(most * 3 // 2)
+
+
 def similarity(a: list[str], b: list[str]) -> float:
     """Of two word lists; exact where it is BAND or more, else no more than exact."""
 
@@ -117,7 +141,7 @@ def sketch_rows(docs: DataFrame, sketches: int, picks: int, seed: int) -> DataFr
         import xxhash
 
         for batch in batches(it, 500):
-            node, count, got, words_seen, known = [], [], [], {}, {}
+            node, count, got, bits, words_seen, known = [], [], [], [], {}, {}
             for t in texts_of(batch):
                 d = hashlib.sha256(t.encode()).digest()[:16]
                 node.append(d)
@@ -127,12 +151,15 @@ def sketch_rows(docs: DataFrame, sketches: int, picks: int, seed: int) -> DataFr
                         if w not in words_seen:
                             words_seen[w] = xxhash.xxh64_intdigest(w)
                     labels = labelled(np.array([words_seen[w] for w in words], np.uint64))
-                    known[d] = (len(labels), order_min_hash(labels, seeds, picks).view(np.int64) if len(labels) else np.zeros(0, np.int64))
+                    none = np.zeros(0, np.int64)
+                    known[d] = (len(labels), order_min_hash(labels, seeds, picks).view(np.int64) if len(labels) else none, profile(labels) if len(labels) else none)
                 count.append(known[d][0])
                 got.append(known[d][1])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node), pa.array(count, pa.int32()), pa.array(got, pa.list_(pa.int64()))], ["doc_id", "node", "n_shingles", "sketches"])
+                bits.append(known[d][2])
+            lists = (pa.array(x, pa.list_(pa.int64())) for x in (got, bits))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node), pa.array(count, pa.int32()), *lists], ["doc_id", "node", "n_shingles", "sketches", "profile"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, node binary, n_shingles int, sketches array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, node binary, n_shingles int, sketches array<long>, profile array<long>")
 
 
 def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -158,17 +185,20 @@ def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def near_links(rows: DataFrame, docs: DataFrame, rounds: int = 8, small: int = 24, broadcast_rows: int = 500_000) -> DataFrame:
     """Links (a, b, similarity) between different texts."""
     spark = docs.sparkSession
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketches").alias("sketches"))
-    member = nodes.select("node", "n", "doc_id", F.explode("sketches").alias("bucket"))
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n_shingles", "sketches", "profile")))
+    member = nodes.select("node", F.col("n_shingles").alias("n"), "doc_id", "profile", F.explode("sketches").alias("bucket"))
     sizes = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    active = materialise(member.join(sizes, "bucket").select("bucket", "node", "n", "doc_id", F.lit(True).alias("active")), "near-buckets")
+    met = materialise(member.join(sizes, "bucket"), "near-members")
+    # the more texts a text meets, the more central it is: the source of a group of copies comes before the copies
+    central = met.groupBy("node").agg((-F.sum("size")).alias("order"))
+    active = materialise(met.join(central, "node").select("bucket", "node", "n", "doc_id", "profile", "order", F.lit(True).alias("active")), "near-buckets")
     involved = active.select("doc_id", "node").distinct()
     ids = involved.select("doc_id").distinct()
     ids = F.broadcast(ids) if ids.count() <= broadcast_rows else ids
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id", "left_semi")
     texts = texts.withColumn("node", node_of(F.col("text"))).join(involved, ["doc_id", "node"], "left_semi").select("node", "text").dropDuplicates(["node"])
     texts = materialise(texts, "near-texts")
-    members = active.select("bucket", "node", "n", "active")
+    members = active.select("bucket", "node", "n", "profile", "order", "active")
     found: DataFrame | None = None
 
     def judge(pairs: DataFrame, tag: str) -> DataFrame:
@@ -183,16 +213,17 @@ def near_links(rows: DataFrame, docs: DataFrame, rounds: int = 8, small: int = 2
         return found
 
     for round_ in range(rounds + 1):
-        lead = members.where("active").groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("lead"), F.count(F.lit(1)).alias("n_active"))
+        lead = members.where("active").groupBy("bucket").agg(F.min(F.struct("order", "node", "n", "profile")).alias("lead"))
         size = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-        lead = lead.join(size, "bucket").where("size > 1").select("bucket", F.col("lead.node").alias("leader"), F.col("lead.n").alias("n_leader"), "size")
+        lead = lead.join(size, "bucket").where("size > 1").select("bucket", F.col("lead.node").alias("leader"), F.col("lead.n").alias("n_leader"), F.col("lead.profile").alias("profile_leader"), "size")
         state = materialise(members.join(lead, "bucket"), "near-round")
         direct = state.where((F.col("size") <= small) if round_ and round_ < rounds else F.lit(round_ >= rounds))
         star = state.where((F.col("node") != F.col("leader")) & (F.col("size") > small if round_ else F.lit(True))) if round_ < rounds else None
         if round_:
-            x = direct.where("active").select("bucket", F.col("node").alias("x"), F.col("n").alias("n_x"))
-            y = direct.select("bucket", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("active").alias("y_active"))
-            both = x.join(y, "bucket").where("x != y and (not y_active or x < y)")
+            x = direct.where("active").select("bucket", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("profile").alias("profile_x"))
+            y = direct.select("bucket", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("profile").alias("profile_y"), F.col("active").alias("y_active"))
+            fits = F.least("n_x", "n_y") >= F.greatest("n_x", "n_y") * NEAR
+            both = x.join(y, "bucket").where(F.expr("x != y and (not y_active or x < y)") & fits & alike("x", "y", 28))
             order = F.col("x") < F.col("y")
             pick = lambda p, q: F.when(order, F.col(p)).otherwise(F.col(q))
             judge(both.select(pick("x", "y").alias("a"), pick("y", "x").alias("b"), pick("n_x", "n_y").alias("n_a"), pick("n_y", "n_x").alias("n_b")), "near-direct")
@@ -201,11 +232,18 @@ def near_links(rows: DataFrame, docs: DataFrame, rounds: int = 8, small: int = 2
         first = F.col("leader") < F.col("node")
         pick = lambda p, q: F.when(first, F.col(p)).otherwise(F.col(q))
         sided = star.withColumn("a", pick("leader", "node")).withColumn("b", pick("node", "leader"))
-        known = judge(sided.select("a", "b", pick("n_leader", "n").alias("n_a"), pick("n", "n_leader").alias("n_b")), "near-star")
-        told = sided.join(known, ["a", "b"], "left").withColumn("far", 1 - F.coalesce("similarity", F.lit(0.0)))
-        told = materialise(told.select("bucket", "node", "n", "active", "far", (F.col("far") <= 1 - NEAR + 1e-12).alias("linked")), "near-told")
-        open_ = told.where("active and not linked").groupBy("bucket").agg(F.min("far").alias("nearest"))
-        members = told.join(open_, "bucket").where("not linked or far >= nearest - 0.2").select("bucket", "node", "n", (F.col("active") & ~F.col("linked")).alias("active"))
+        near_by = alike("leader", "node", 40)
+        hopeful = sided.withColumnsRenamed({"n": "n_node", "profile": "profile_node"}).where(near_by)
+        known = judge(hopeful.select("a", "b", pick("n_leader", "n_node").alias("n_a"), pick("n_node", "n_leader").alias("n_b")), "near-star")
+        linked = known.where(F.col("similarity") >= NEAR - 1e-12).select("a", "b", (1 - F.col("similarity")).alias("far"))
+        columns = ("bucket", "node", "n", "profile", "order")
+        open_ = sided.where("active").join(linked.select("a", "b"), ["a", "b"], "left_anti")
+        open_ = materialise(open_.join(known, ["a", "b"], "left").select(*columns, (1 - F.coalesce("similarity", F.lit(0.0))).alias("far")), "near-open")
+        nearest = open_.groupBy("bucket").agg(F.min("far").alias("nearest"))
+        beside = sided.join(nearest, "bucket")
+        reached = beside.join(linked, ["a", "b"]).where("far >= nearest - 0.2")
+        passive = beside.where("not active").join(linked.select("a", "b"), ["a", "b"], "left_anti")
+        members = open_.select(*columns, F.lit(True).alias("active")).unionByName(reached.select(*columns, F.lit(False).alias("active"))).unionByName(passive.select(*columns, F.lit(False).alias("active")))
         members = materialise(members, "near-left")
         if members.isEmpty():
             break
