@@ -83,6 +83,20 @@ def flat_lists(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return np.repeat(np.arange(len(size)), size), where.flatten().to_numpy(zero_copy_only=False).astype(np.int64), which.flatten().to_numpy(zero_copy_only=False)
 
 
+def segment_sums(rows: np.ndarray, term: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Sums of rows[term] over segments that begin at start; the j-th members of all segments are added at once."""
+    size = np.diff(np.r_[start, len(term)])
+    order = np.argsort(-size, kind="stable")
+    begin, longest = start[order], size[order]
+    total = rows[term[begin]]
+    for j in range(1, int(longest[0]) if len(longest) else 0):
+        n = np.searchsorted(-longest, -j, side="left")
+        total[:n] += rows[term[begin[:n] + j]]
+    out = np.empty_like(total)
+    out[order] = total
+    return out
+
+
 def windows(doc: np.ndarray, position: np.ndarray, term: np.ndarray, rows: np.ndarray):
     """Sums of `rows` (one a term) over two adjacent blocks of STRIDE words.
 
@@ -91,7 +105,7 @@ def windows(doc: np.ndarray, position: np.ndarray, term: np.ndarray, rows: np.nd
         return np.zeros(0, int), np.zeros(0, int), np.zeros((0, rows.shape[1]), rows.dtype)
     block = position // STRIDE
     start = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(block) != 0)])
-    sums = np.add.reduceat(rows[term], start, axis=0)
+    sums = segment_sums(rows, term, start)
     d, b = doc[start], block[start]
     pair = np.flatnonzero((d[1:] == d[:-1]) & (b[1:] == b[:-1] + 1))
     both = sums.copy()
@@ -143,19 +157,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, energ
 
     def sketch(it):
         """The tasks' shares of TF^T (TF D Omega), and the energy of their rows."""
-        out, energy = np.zeros((n_chunks * CHUNK, k), np.float64), 0.0
+        out, energy = np.zeros((k, n_chunks * CHUNK), np.float64), 0.0
         for batch in batches(it, 1000):
             doc, position, flat = flat_lists(batch)
             if not len(flat):
                 continue
             passage = doc * 2**32 + position // (2 * STRIDE)
             head = np.r_[True, np.diff(passage) != 0]
-            y = np.add.reduceat(tested[flat], np.flatnonzero(head), axis=0)
+            y = np.ascontiguousarray(segment_sums(tested, flat, np.flatnonzero(head)).T)
             row = np.cumsum(head) - 1
-            by = np.argsort(flat, kind="stable")
-            first = np.flatnonzero(np.r_[True, np.diff(flat[by]) != 0])
-            out[flat[by][first]] += np.add.reduceat(y[row[by]], first, axis=0)
+            for c in range(k):
+                out[c, :n_terms] += np.bincount(flat, y[c][row], n_terms)
             energy += float((idf[flat] ** 2).sum())
+        out = np.ascontiguousarray(out.T)
         parts = [out[c * CHUNK : (c + 1) * CHUNK].tobytes() for c in range(n_chunks)] + [np.array([energy]).tobytes()]
         yield pa.RecordBatch.from_arrays([pa.array([0] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array(parts)], ["part", "chunk", "blob"])
 
