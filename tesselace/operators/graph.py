@@ -89,7 +89,7 @@ def pruned(observations: DataFrame, least_landmark: int, least_view: int, most:
         marks = left.groupBy("landmark").count().where(F.col("count") >= least_landmark).select("landmark")
         some = left.join(marks, "landmark", "left_semi")
         views = some.groupBy("view").count().where(F.col("count") >= least_view).select("view")
-        left = saved(some.join(views, "view", "left_semi"))
+        left = saved(some.join(views, "view", "left_semi").select(observations.columns))
         if (now := left.count()) == n:
             return left
         n = now
