@@ -13,7 +13,8 @@ in a band that is wide enough for any similarity of 0.6 or more; 1 minus it is a
 classes by alternating large-star and small-star steps on distributed edges. Equal texts are one node throughout.
 
 Null text counts as empty; texts without a word are alike only if equal. Texts of one to four words have one shingle.
-A doc_id with several texts is several documents of that id. The class id is the least doc_id of the class.
+A doc_id with several texts is several documents of that id, and null is no id in common: what makes a class is its
+root text, not its id. The class id is the least doc_id of the class, null where none of its rows has one.
 """
 
 from __future__ import annotations
@@ -195,9 +196,11 @@ def near_links(rows: DataFrame, docs: DataFrame, rounds: int = 8, small: int = 2
     involved = active.select("doc_id", "node").distinct()
     ids = involved.select("doc_id").distinct()
     ids = F.broadcast(ids) if ids.count() <= broadcast_rows else ids
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id", "left_semi")
-    texts = texts.withColumn("node", node_of(F.col("text"))).join(involved, ["doc_id", "node"], "left_semi").select("node", "text").dropDuplicates(["node"])
-    texts = materialise(texts, "near-texts")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.join(ids, "doc_id", "left_semi").unionByName(texts.where("doc_id is null")).withColumn("node", node_of(F.col("text")))
+    named = involved.select(F.col("doc_id").alias("id"), F.col("node").alias("wanted"))
+    texts = texts.join(named, texts["doc_id"].eqNullSafe(named["id"]) & (texts["node"] == named["wanted"]), "left_semi")
+    texts = materialise(texts.select("node", "text").dropDuplicates(["node"]), "near-texts")
     members = active.select("bucket", "node", "n", "profile", "order", "active")
     found: DataFrame | None = None
 
@@ -271,23 +274,23 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, sketches: int = 16, picks: int = 3, seed: int = 7) -> DataFrame:
-    """doc_id, class_id, node (of the text) for every row; rows of one class are near-duplicates by some chain of links."""
+    """doc_id, class_id, node (of the text) and root (of the class) for every row; rows of one class are near-duplicates by some chain of links."""
     small_batches(docs.sparkSession)
     rows = materialise(sketch_rows(docs, sketches, picks, seed), "near-rows")
     named = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
     roots = components(near_links(rows, docs))
     joined = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = joined.groupBy("root").agg(F.min("least").alias("class_id"))
-    by_node = materialise(joined.join(classes, "root").select("node", "class_id"), "near-classes")
-    return rows.select("doc_id", "node").join(by_node, "node").select("doc_id", "class_id", "node")
+    by_node = materialise(joined.join(classes, "root").select("node", "class_id", "root"), "near-classes")
+    return rows.select("doc_id", "node").join(by_node, "node").select("doc_id", "class_id", "node", "root")
 
 
 def keep_one(docs: DataFrame, broadcast_rows: int = 300_000, **options) -> DataFrame:
-    """One row of docs of each class: that of the least doc_id (and least node), once if it is repeated."""
+    """One row of docs of each class: that of the least doc_id (and least node; null is the last), once if it is repeated."""
     classes = materialise(near_classes(docs, **options), "near-keep")
-    least = classes.groupBy("class_id").agg(F.min(F.struct("doc_id", "node")).alias("k")).select("k.doc_id", "k.node")
-    again = classes.groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    least = least.join(again, ["doc_id", "node"], "left").select(F.col("doc_id").alias("__id"), F.col("node").alias("__kept"), F.coalesce("n", F.lit(1)).alias("__n"))
+    rows = classes.groupBy("root", "doc_id", "node").agg(F.count(F.lit(1)).alias("n"))
+    least = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "n")).alias("k"))
+    least = least.select(F.col("k.doc_id").alias("__id"), F.col("k.node").alias("__kept"), F.col("k.n").alias("__n"))
     keyed = docs.withColumn("__node", node_of(F.col("text")))
     test = keyed["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (keyed["__node"] == F.col("__kept"))
     kept = keyed.join(least, test)

@@ -455,6 +455,21 @@ def test_near_classes(spark):
     assert keep_one(odd).where("text = 'one'").count() == 1 and keep_one(odd).columns == odd.columns
 
 
+def test_near_copies_without_or_with_equal_ids(spark):
+    from tesselace.llm.near import keep_one, near_classes
+
+    rng = random.Random(3)
+    text = lambda: " ".join(f"v{rng.randrange(10**6)}" for _ in range(80))
+    alone, same_id, twins = [text() for _ in range(4)], [text(), text()], [text()]
+    twins.append(twins[0] + " more")
+    rows = [(None, t) for t in alone + twins + twins[:1]] + [(7, t) for t in same_id]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert near_classes(docs).select("root").distinct().count() == 7
+    kept = [(r.doc_id, r.text) for r in keep_one(docs).collect()]
+    assert {(None, t) for t in alone} | {(7, t) for t in same_id} <= set(kept)
+    assert len(kept) == 7 and sum(t in twins for _, t in kept) == 1
+
+
 @pytest.mark.parametrize("n", [2, 9])
 def test_components(spark, n):
     from tesselace.llm.near import components
