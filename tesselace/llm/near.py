@@ -4,7 +4,8 @@ A text is the sequence of its five-word shingles, each labelled with its number
 distinct. For each of `sketches` hash functions the `picks` least labels, in text order, make one sketch; texts that
 share a sketch meet in a bucket. Each bucket compares its members with one leader (the one that meets most texts), not with
 one another: those linked to it are done, the others meet again under a new leader, together with those linked members
-that could by the triangle inequality still be near them. What is left after `rounds`, and what is small, is compared
+that could by the triangle inequality still be near them. Texts that a later leader links are compared with the members
+of earlier leaders that this inequality leaves to them. What is left after `rounds`, and what is small, is compared
 directly. 128 bits of min-hash per text keep pairs from alignment that cannot be alike (at a similarity of 0.8 about 13
 bits differ, with a standard deviation of 3.4; 28 are allowed, and 42 for texts of less than 100 shingles).
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from bisect import bisect_left
 
 import numpy as np
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, materialise, small_batches, texts_of
+from .common import batches, materialise, shared_folder, small_batches, texts_of
 
 WORD = re.compile(r"\w+")
 SHINGLE = 5
@@ -203,16 +205,22 @@ def near_links(rows: DataFrame, docs: DataFrame, rounds: int = 8, small: int = 2
     texts = materialise(texts.select("node", "text").dropDuplicates(["node"]), "near-texts")
     members = active.select("bucket", "node", "n", "profile", "order", "active")
     found: DataFrame | None = None
+    folders = {name: f"{shared_folder(spark)}/near-{name}-{uuid.uuid4().hex}" for name in ("found", "bridges")}
+    bridges = False
 
-    def judge(pairs: DataFrame, tag: str) -> DataFrame:
+    def added(df: DataFrame, name: str) -> DataFrame:
+        """All that was added under this name: one folder, so that plans do not grow with the rounds."""
+        df.write.mode("append").parquet(folders[name])
+        return spark.read.schema(df.schema).parquet(folders[name])
+
+    def judge(pairs: DataFrame) -> DataFrame:
         """pairs (a, b, n_a, n_b); known ones are not measured again."""
         nonlocal found
         fits = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * BAND
         wanted = pairs.where(fits).select("a", "b").distinct()
         if found is not None:
             wanted = wanted.join(found.select("a", "b"), ["a", "b"], "left_anti")
-        new = materialise(measured(wanted, texts), tag)
-        found = new if found is None else found.unionByName(new)
+        found = added(measured(wanted, texts), "found")
         return found
 
     for round_ in range(rounds + 1):
@@ -229,7 +237,7 @@ def near_links(rows: DataFrame, docs: DataFrame, rounds: int = 8, small: int = 2
             both = x.join(y, "bucket").where(F.expr("x != y and (not y_active or x < y)") & fits & alike("x", "y", 28))
             order = F.col("x") < F.col("y")
             pick = lambda p, q: F.when(order, F.col(p)).otherwise(F.col(q))
-            judge(both.select(pick("x", "y").alias("a"), pick("y", "x").alias("b"), pick("n_x", "n_y").alias("n_a"), pick("n_y", "n_x").alias("n_b")), "near-direct")
+            judge(both.select(pick("x", "y").alias("a"), pick("y", "x").alias("b"), pick("n_x", "n_y").alias("n_a"), pick("n_y", "n_x").alias("n_b")))
         if star is None or star.isEmpty():
             break
         first = F.col("leader") < F.col("node")
@@ -237,8 +245,20 @@ def near_links(rows: DataFrame, docs: DataFrame, rounds: int = 8, small: int = 2
         sided = star.withColumn("a", pick("leader", "node")).withColumn("b", pick("node", "leader"))
         near_by = alike("leader", "node", 40)
         hopeful = sided.withColumnsRenamed({"n": "n_node", "profile": "profile_node"}).where(near_by)
-        known = judge(hopeful.select("a", "b", pick("n_leader", "n_node").alias("n_a"), pick("n_node", "n_leader").alias("n_b")), "near-star")
+        known = judge(hopeful.select("a", "b", pick("n_leader", "n_node").alias("n_a"), pick("n_node", "n_leader").alias("n_b")))
         linked = known.where(F.col("similarity") >= NEAR - 1e-12).select("a", "b", (1 - F.col("similarity")).alias("far"))
+        if round_:
+            # x, linked to this leader, and y, linked to an earlier one only: |d(x, leader) - d(y, leader)| <= d(x, y)
+            side = lambda c, extra: [F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("profile").alias(f"profile_{c}"), extra.alias(f"far_{c}")]
+            x = sided.where("active").join(linked, ["a", "b"]).select("bucket", *side("x", F.col("far")))
+            apart = known.where((F.col("similarity") >= BAND - 1e-12) & (F.col("similarity") < NEAR - 1e-12))
+            y = sided.where("not active").join(apart, ["a", "b"]).select("bucket", *side("y", 1 - F.col("similarity")))
+            fits = F.least("n_x", "n_y") >= F.greatest("n_x", "n_y") * NEAR
+            both = x.join(y, "bucket").where((F.col("far_y") - F.col("far_x") <= 1 - NEAR + 1e-12) & fits & alike("x", "y", 28))
+            over = F.col("x") < F.col("y")
+            pick_xy = lambda p, q: F.when(over, F.col(p)).otherwise(F.col(q))
+            added(both.select(pick_xy("x", "y").alias("a"), pick_xy("y", "x").alias("b"), pick_xy("n_x", "n_y").alias("n_a"), pick_xy("n_y", "n_x").alias("n_b")).distinct(), "bridges")
+            bridges = True
         columns = ("bucket", "node", "n", "profile", "order")
         open_ = sided.where("active").join(linked.select("a", "b"), ["a", "b"], "left_anti")
         open_ = materialise(open_.join(known, ["a", "b"], "left").select(*columns, (1 - F.coalesce("similarity", F.lit(0.0))).alias("far")), "near-open")
@@ -250,6 +270,8 @@ def near_links(rows: DataFrame, docs: DataFrame, rounds: int = 8, small: int = 2
         members = materialise(members, "near-left")
         if members.isEmpty():
             break
+    if bridges:
+        judge(spark.read.parquet(folders["bridges"]))
     if found is None:
         return spark.createDataFrame([], "a binary, b binary, similarity double")
     return materialise(found.where(F.col("similarity") >= NEAR - 1e-12), "near-links")

@@ -470,6 +470,23 @@ def test_near_copies_without_or_with_equal_ids(spark):
     assert len(kept) == 7 and sum(t in twins for _, t in kept) == 1
 
 
+def test_one_bridge_joins_two_large_groups(spark):
+    from tesselace.llm.near import WORD, near_classes, similarity
+
+    base = [f"b{k}" for k in range(300)]
+    change = lambda words, at: words[:at] + [f"c{at}_{k}" for k in range(18)] + words[at + 18 :]
+    x = change(base, 40)
+    y = change(x, 120)
+    other = change(y, 200)
+    texts = [*(" ".join([*w, f"{name}{k}"]) for name, w in (("p", base), ("q", other)) for k in range(60)), " ".join(x), " ".join(y)]
+    words = [WORD.findall(t) for t in texts]
+    across = [(i, j) for i in [*range(60), 120] for j in [*range(60, 120), 121] if similarity(words[i], words[j]) >= 0.8]
+    assert across == [(120, 121)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = near_classes(docs, sketches=1, picks=1)
+    assert got.select("class_id").distinct().count() == 1
+
+
 @pytest.mark.parametrize("n", [2, 9])
 def test_components(spark, n):
     from tesselace.llm.near import components
