@@ -286,6 +286,19 @@ def test_quality_verdicts(spark):
     assert classify(odd, marks).count() == len(ODD) and classify(none(spark, odd), marks).count() == 0
 
 
+def test_thresholds_come_from_all_held_out_rows(spark):
+    from tesselace.llm.kneser_ney import classify
+
+    rng = random.Random(6)
+    rare = lambda: " ".join(f"x{rng.randrange(10**6)}" for _ in range(rng.randint(20, 40)))
+    rows = [(k, rare(), "xx") if k % 400 == 0 else (k, " ".join(rng.choices("ab cd ef gh".split(), k=8)), "en") for k in range(30_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    marks = docs.select("doc_id", F.lit(1).alias("quality"))
+    got = classify(docs, marks, train_rows=300).where("lang = 'xx'").toPandas()
+    half = spark.range(0, 30_000, 400).where("pmod(xxhash64(id), 2) = 1").count()
+    assert len(got) == 75 and half >= 30 and got.kept.mean() > 0.95
+
+
 # op7
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var a="</p>";</script></head><body><header>Site</header><nav><ul><li><a href="/a">menu {k}</a></li></ul></nav>
