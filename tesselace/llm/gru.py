@@ -6,9 +6,8 @@ counts in a join, and none of those is frequent.
 
 Model: the most frequent tokens of the head are the recurrent model's vocabulary, in equally large classes by rank;
 all others are one unknown token that is spelled by smoothed counts of those others, so that the probabilities of
-all tokens add up. A start on few rows at the driver is followed by truncated back-propagation in every task over a
-fixed share (`train_share`) of the training documents, whatever the size of the input, and the tasks' weights are
-averaged by tokens. Scoring reads whole documents: documents of a batch run side by side, window after window, with
+all tokens add up. A start on few rows at the driver is followed by truncated back-propagation in every task over
+all of its training documents, whatever the size of the input, and the tasks' weights are averaged by tokens. Scoring reads whole documents: documents of a batch run side by side, window after window, with
 the state carried over from one window to the next.
 
 Words are runs without space, tab, \\n, \\v, \\f or \\r, with A-Z in lower case; each document has one end token. Null
@@ -240,7 +239,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(rows, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def score_documents(docs: DataFrame, head_words: int = 131_072, classes: int = 90, train_share: int = 4, start_rows: int = 400, seed: int = 5) -> DataFrame:
+def score_documents(docs: DataFrame, head_words: int = 131_072, classes: int = 90, start_rows: int = 400, seed: int = 5) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; logarithms to base 10."""
     spark = docs.sparkSession
     small_batches(spark, 4000)
@@ -305,8 +304,7 @@ def score_documents(docs: DataFrame, head_words: int = 131_072, classes: int = 9
                 numbers = [*range(len(parts) - 1), -1]
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * len(parts), pa.int64()), pa.array(numbers, pa.int32()), pa.array(parts, pa.binary())], ["part", "chunk", "blob"])
 
-        share = learn.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(train_share)) == 0)
-        sums = summed_blobs(share.select("text").mapInArrow(trained, "part long, chunk int, blob binary"), "<f8")
+        sums = summed_blobs(learn.select("text").mapInArrow(trained, "part long, chunk int, blob binary"), "<f8")
         if sums:
             flat = np.concatenate([np.frombuffer(sums[k], "<f8") for k in sorted(k for k in sums if k >= 0)])
             model.load(flat / np.frombuffer(sums[-1], "<f8")[0])

@@ -353,6 +353,16 @@ def test_language_model(spark):
     assert score_documents(none(spark, docs)).count() == 0
 
 
+def test_every_training_document_reaches_the_weights(spark):
+    from tesselace.llm.gru import score_documents
+
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(k, " ".join(["a b"] * rng.randint(40, 60))) for k in range(4000)], "doc_id long, text string")
+    some = docs.where("pmod(xxhash64(doc_id, text), 4) != 0").coalesce(1)
+    got = score_documents(some, head_words=50, classes=4, start_rows=0).agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > 0.8 * got[1]
+
+
 def test_gradients_and_carried_state():
     from tesselace.llm.gru import Gru
 
