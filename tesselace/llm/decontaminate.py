@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. One pass over the documents keeps, for each, where the benchmark's terms stand (terms in more than `common_items`
-   of the items are function words and left out), and counts document frequencies.
+   of the different items are function words and left out, but for the `LEAST` rarest of an item), and counts document frequencies.
 2. A randomised SVD of the TF-IDF matrix of all passages (windows of 2 * stride words, and the benchmark's items,
    weighted so that theirs is twice the documents' energy): every task adds up its share of A^T A Omega; a Nystroem step gives the
    right singular vectors. Only the (terms x rank) sketch leaves the tasks; terms are bounded by the benchmark.
@@ -29,6 +29,7 @@ from .common import batches, materialise, small_batches, summed_blobs, texts_of
 WORD = re.compile(r"\w+")
 STRIDE = 24
 CHUNK = 64
+LEAST = 6
 RESULT = "doc_id long, item_id long, cosine double, lcs double, answer double"
 
 
@@ -63,9 +64,13 @@ class Vocabulary:
 
     def __init__(self, items: list[tuple[int, str]], common_items: float):
         self.items = [(i, words_of(t), answer_of(t)) for i, t in items if t and words_of(t)]
-        seen = Counter(w for _, words, _ in self.items for w in set(words))
-        most = max(3, common_items * len(self.items))
-        self.index = {w: k for k, w in enumerate(sorted(w for w, n in seen.items() if n <= most))}
+        texts = {tuple(words) for _, words, _ in self.items}
+        seen = Counter(w for words in texts for w in set(words))
+        most = max(3, common_items * len(texts))
+        chosen = {w for w, n in seen.items() if n <= most}
+        for words in texts:
+            chosen.update(sorted(set(words), key=lambda w: (seen[w], w))[:LEAST])
+        self.index = {w: k for k, w in enumerate(sorted(chosen))}
 
     def counts(self) -> np.ndarray:
         out = np.zeros((len(self.items), len(self.index)))

@@ -64,6 +64,23 @@ def test_leaks_of_odd_input(spark):
     assert drop_leaks(docs, bench).count() == len(ODD)
 
 
+def test_leaks_of_repeated_items(spark):
+    from tesselace.llm.decontaminate import find_leaks
+
+    rng = random.Random(12)
+    word = lambda: f"k{rng.randrange(10**6)}"
+    question = " ".join(word() for _ in range(25))
+    same = [(k, f"{question}? red blue") for k in range(4)]
+    variants = [(10 + k, f"{question}? {x} blue") for k, x in enumerate(("one", "two", "three", "four"))]
+    docs = [(k, " ".join(word() for _ in range(100))) for k in range(20)]
+    docs.append((99, f"{docs[0][1]} {question} {docs[1][1]} red two blue"))
+    docs = spark.createDataFrame([*docs, (100, f"{docs[2][1]} {question}? red blue {docs[3][1]}")], "doc_id long, text string")
+    for items in (same, variants + same):
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        got = {(r.doc_id, r.item_id) for r in find_leaks(docs, bench).collect()}
+        assert {(100, i) for i, _ in items if i < 4} <= got and {d for d, _ in got} <= {99, 100}
+
+
 def test_longest_common_subsequence():
     from tesselace.llm.decontaminate import lcs_length
 
