@@ -1,12 +1,13 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. One pass over the documents keeps, for each, where the benchmark's terms stand (terms in more than `common_items`
-   of the different items are function words and left out, but for the `LEAST` rarest of an item), and counts document frequencies.
+   of the different items are function words and left out, but for the `LEAST` rarest of an item or part), and counts document frequencies.
 2. A randomised SVD of the TF-IDF matrix of all passages (windows of 2 * stride words, and the benchmark's items,
    weighted so that theirs is twice the documents' energy): every task adds up its share of A^T A Omega; a Nystroem step gives the
    right singular vectors. Only the (terms x rank) sketch leaves the tasks; terms are bounded by the benchmark.
 3. Windows and items are compared by cosine in the latent space, where a window must also hold `energy_share` of the
-   item (its component along the item); the items are a stated query set, compared as one block.
+   item (its component along the item); the items are a stated query set, compared as one block. An item of more than
+   `LONGEST` words, which no window holds, is cut into parts of at most a window; each part is a query for the item.
 4. Candidates are checked on the words: the longest common subsequence with the item must cover `covered` of it, and
    of the answer (the text after the last question mark, else the last sentence) half of the words must be there.
 
@@ -30,6 +31,7 @@ WORD = re.compile(r"\w+")
 STRIDE = 24
 CHUNK = 64
 LEAST = 6
+LONGEST = 3 * STRIDE
 RESULT = "doc_id long, item_id long, cosine double, lcs double, answer double"
 
 
@@ -59,22 +61,31 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     return len(a) - v.bit_count()
 
 
+def parts_of(words: list[str]) -> list[list[str]]:
+    """The item itself, or equal parts of at most a window where it is longer than LONGEST."""
+    n = -(-len(words) // (2 * STRIDE)) if len(words) > LONGEST else 1
+    cuts = [len(words) * k // n for k in range(n + 1)]
+    return [words[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 class Vocabulary:
     """The benchmark's items and content terms; bounded by the benchmark."""
 
     def __init__(self, items: list[tuple[int, str]], common_items: float):
         self.items = [(i, words_of(t), answer_of(t)) for i, t in items if t and words_of(t)]
+        self.parts = [(k, part) for k, (_, words, _) in enumerate(self.items) for part in parts_of(words)]
         texts = {tuple(words) for _, words, _ in self.items}
         seen = Counter(w for words in texts for w in set(words))
         most = max(3, common_items * len(texts))
         chosen = {w for w, n in seen.items() if n <= most}
-        for words in texts:
-            chosen.update(sorted(set(words), key=lambda w: (seen[w], w))[:LEAST])
+        for part in {tuple(part) for _, part in self.parts}:
+            chosen.update(sorted(set(part), key=lambda w: (seen[w], w))[:LEAST])
         self.index = {w: k for k, w in enumerate(sorted(chosen))}
 
     def counts(self) -> np.ndarray:
-        out = np.zeros((len(self.items), len(self.index)))
-        for r, (_, words, _) in enumerate(self.items):
+        """One row a part."""
+        out = np.zeros((len(self.parts), len(self.index)))
+        for r, (_, words) in enumerate(self.parts):
             for w in words:
                 if w in self.index:
                     out[r, self.index[w]] += 1
@@ -211,7 +222,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, energ
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if listed.count() <= broadcast_rows:
         texts = texts.join(F.broadcast(listed.select("doc_id")), "doc_id", "left_semi")
-    items = vocabulary.items
+    items, part_of = vocabulary.items, [k for k, _ in vocabulary.parts]
 
     def verify(it):
         for batch in batches(it, 500):
@@ -220,7 +231,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, energ
                 words = words_of(text or "")
                 best: dict[int, tuple] = {}
                 for x in found:
-                    item, want, answer = items[x["item"]]
+                    item, want, answer = items[part_of[x["item"]]]
                     reach = len(want)
                     there = words[max(0, x["block"] * STRIDE - reach) : (x["block"] + 2) * STRIDE + reach]
                     share = lcs_length(want, there) / len(want)

@@ -81,6 +81,19 @@ def test_leaks_of_repeated_items(spark):
         assert {(100, i) for i, _ in items if i < 4} <= got and {d for d, _ in got} <= {99, 100}
 
 
+def test_leaks_of_a_long_item(spark):
+    from tesselace.llm.decontaminate import find_leaks
+
+    rng = random.Random(13)
+    text = lambda n: " ".join(f"k{rng.randrange(10**6)}" for _ in range(n))
+    items = [(1, text(300) + "? yes it is"), (2, text(73)), (3, text(20))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = [(k, text(200)) for k in range(20)] + [(100 + i, f"{text(61)} {t} {text(90)}") for i, t in items]
+    docs.append((200, " ".join(items[0][1].split()[:60]) + text(100)))  # a fifth of the item only
+    got = {(r.doc_id, r.item_id) for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {(101, 1), (102, 2), (103, 3)}
+
+
 def test_longest_common_subsequence():
     from tesselace.llm.decontaminate import lcs_length
 
