@@ -5,12 +5,14 @@ distinct streams of a host (there are few, whatever its number of pages) are ali
 one side has becomes an optional group, text against text a slot. Each slot of the wrapper is then judged once for
 the host: by the elements around it, by the share of its text inside links and by whether its text varies from page
 to page. Pages are matched against the wrapper of their host and give the text of the slots judged to be content.
+Slots of one path are judged together, and what varies is counted over different pages, so that copies of a page are no
+template.
 
 Streams are merged in two steps, (host, salt) and then host, so that no host's streams need one task's memory
 at first. Where the wrappers together are small (their size is checked) they are broadcast, else joined by host.
 
 Null html gives an empty text; a null url counts as a host of its own. A page that its wrapper does not match is
-judged slot by slot in the same way. Repeated rows each have a row. An empty table gives an empty result.
+judged slot by slot, by the elements around it and by its links. Repeated rows each have a row. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -246,10 +248,8 @@ def in_article(path: str) -> bool:
 def content_paths(stats: list[dict]) -> list[str]:
     """Paths of one host that hold content. stats: path, pages, kinds (distinct texts), chars, linked."""
     kept = [s for s in stats if not outside(s["path"])]
-    if any(in_article(s["path"]) for s in kept):
-        return sorted(s["path"] for s in kept if in_article(s["path"]))
     fixed = lambda s: s["pages"] >= 3 and s["kinds"] <= max(1, 0.2 * s["pages"])
-    return sorted(s["path"] for s in kept if not fixed(s) and 2 * s["linked"] <= s["chars"])
+    return sorted(s["path"] for s in kept if in_article(s["path"]) or not fixed(s) and 2 * s["linked"] <= s["chars"])
 
 
 def main_text(html: str, wrapper: list | None, paths: frozenset) -> tuple[str, bool]:
@@ -257,7 +257,8 @@ def main_text(html: str, wrapper: list | None, paths: frozenset) -> tuple[str, b
     stream, slots = parse(html)
     matched = wrapper is not None and match(wrapper, stream) == len(stream)
     article = any(in_article(p) and not outside(p) for p, _, _ in slots)
-    keep = [t for p, t, n in slots if (p in paths if matched and p in paths else not outside(p) and (in_article(p) if article else p in paths or 2 * n <= len(t))) and not (article and not in_article(p))]
+    local = lambda p, t, n: not outside(p) and (p in paths or 2 * n <= len(t))
+    keep = [t for p, t, n in slots if (in_article(p) or not article) and (p in paths if matched else in_article(p) and not outside(p) or local(p, t, n))]
     return "\n".join(keep), matched
 
 
@@ -284,21 +285,22 @@ def extract_pages(pages: DataFrame, broadcast_bytes: int = 8_000_000, salts: int
 
     def shapes(it):
         for batch in batches(it, 500):
-            shape, slots = [], []
+            shape, slots, whole = [], [], []
             for page in batch.column("html").to_pylist():
                 stream, found = parse(page)
                 shape.append(json.dumps(collapse(stream)))
+                whole.append(hash_text("\n".join(f"{p}\t{t}" for p, t, _ in found)))
                 by: dict[str, list] = {}
                 for p, t, n in found:
                     by.setdefault(p, []).append((t, n))
                 slots.append([{"path": p, "kind": hash_text("\n".join(t for t, _ in x)), "chars": sum(len(t) for t, _ in x), "linked": sum(n for _, n in x)} for p, x in by.items()])
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(shape), pa.array(slots, SLOTS)], ["host", "shape", "slots"])
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(shape), pa.array(whole, pa.int64()), pa.array(slots, SLOTS)], ["host", "shape", "page", "slots"])
 
-    seen = materialise(rows.select("host", "html").mapInArrow(shapes, "host string, shape string, slots array<struct<path:string,kind:long,chars:long,linked:long>>"), "html-shapes")
+    seen = materialise(rows.select("host", "html").mapInArrow(shapes, "host string, shape string, page long, slots array<struct<path:string,kind:long,chars:long,linked:long>>"), "html-shapes")
     distinct = seen.select("host", "shape").distinct().withColumn("salt", F.pmod(F.xxhash64("shape"), F.lit(salts)))
     partial = distinct.groupBy("host", "salt").applyInPandas(_folded, "host string, shape string")
     wrappers = partial.groupBy("host").applyInPandas(_folded, "host string, shape string").withColumnRenamed("shape", "wrapper")
-    slot = seen.select("host", F.explode("slots").alias("s")).select("host", "s.*")
+    slot = seen.select("host", "page", F.explode("slots").alias("s")).select("host", "page", "s.*").distinct()
     kinds = slot.groupBy("host", "path", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
     stats = kinds.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.count(F.lit(1)).alias("kinds"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
 

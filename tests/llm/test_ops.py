@@ -349,6 +349,17 @@ def test_pages(spark):
     assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_fixed_text_of_a_host_is_no_content(spark):
+    from tesselace.llm.wrappers import extract_pages
+
+    page = '<html><body><div class="xa"><p>We keep small files on your machine.</p></div><div class="xb"><p>Story {k}.</p></div><div class="xc"><p>Printed on paper.</p></div></body></html>'
+    rows = [(k, f"http://a.example.com/{k}", page.format(k=k)) for k in range(10)]
+    rows += [(20 + k, f"http://b.example.com/{k}", page.format(k="same")) for k in range(10)]  # copies of a page: no template to be seen
+    got = {r.page_id: r for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k].matched and got[k].text == f"Story {k}." for k in range(10))
+    assert all("Story same." in got[20 + k].text for k in range(10))
+
+
 def test_wrappers_match_what_they_were_made_of():
     import json
 
