@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one where that is unset (tests on one machine)."""
+    """The folder of spark.checkpoint.dir; a temporary one where that is unset and all runs on one machine (tests)."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_folder:
         _own_folder.append("file://" + tempfile.mkdtemp(prefix="tesselace-"))
     return _own_folder[0]
@@ -31,8 +33,17 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage is cut and any executor may be lost."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read._written = path
+    return read
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what materialise wrote for df; nothing that is still to be computed may read it."""
+    jvm, path = df.sparkSession._jvm, df._written
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
@@ -90,17 +101,21 @@ def summed_blobs(df: DataFrame, dtype: str, fan_in: int = 64) -> dict[int, bytes
     return {r.chunk: bytes(r.blob) for r in once.groupBy("chunk").applyInPandas(add, schema).collect()}
 
 
-def most_frequent(counts: DataFrame, count: str, limit: int) -> DataFrame:
-    """Rows whose count is above the least cutoff that leaves at most `limit` rows.
+def cutoff_of(counts: DataFrame, count: str, limit: int) -> int | None:
+    """The least cutoff that at most `limit` rows have counts above; None where all rows fit.
 
     Only the histogram of counts reaches the driver: distinct counts are at most sqrt(2 * their sum)."""
     left = limit
-    cutoff = None
     for c, n in sorted(((r[0], r[1]) for r in counts.groupBy(count).agg(F.count(F.lit(1))).collect()), reverse=True):
         if n > left:
-            cutoff = c
-            break
+            return c
         left -= n
+    return None
+
+
+def most_frequent(counts: DataFrame, count: str, limit: int) -> DataFrame:
+    """Rows whose count is above cutoff_of."""
+    cutoff = cutoff_of(counts, count, limit)
     return counts if cutoff is None else counts.where(F.col(count) > cutoff)
 
 
