@@ -2,16 +2,18 @@
 
 A text is the sequence of its five-word shingles, each labelled with its number of occurrence, so that labels are
 distinct. For each of `sketches` hash functions the `picks` least labels, in text order, make one sketch; texts that
-share a sketch meet in a bucket. Each bucket compares its members with one leader (the one that meets most texts), not with
-one another: those linked to it are done, the others meet again under a new leader, together with those linked members
-that could by the triangle inequality still be near them. Texts that a later leader links are compared with the members
-of earlier leaders that this inequality leaves to them. What is left after `rounds`, and what is small, is compared
-directly. 128 bits of min-hash per text keep pairs from alignment that cannot be alike (at a similarity of 0.8 about 13
-bits differ, with a standard deviation of 3.4; 28 are allowed, and 42 for texts of less than 100 shingles).
+share a sketch meet in a bucket. What is wanted are classes, so only texts of different classes are compared: in each
+of the first rounds every bucket compares its members with one leader (first the one that meets most texts, then any),
+and links join classes at once. At last all pairs of a bucket that are still in different classes are compared; at
+least one of a pair is outside the largest class of the bucket, so a group of copies that the leaders have joined is not
+compared with itself. No bucket and no pair is left out by size.
 
-The similarity of two texts is L / (n + m - L), L the longest common subsequence of their labelled shingles, found
-in a band that is wide enough for any similarity of 0.6 or more; 1 minus it is a metric. Links (0.8 or more) make
-classes by alternating large-star and small-star steps on distributed edges. Equal texts are one node throughout.
+128 bits of min-hash per text keep pairs from alignment that cannot be alike (at a similarity of 0.8 about 13 bits
+differ, with a standard deviation of 3.4; 28 are allowed, and 42 for texts of less than 100 shingles), as do lengths.
+
+The similarity of two texts is L / (n + m - L), L the longest common subsequence of their labelled shingles, found in
+the band that any similarity of 0.8 or more keeps to. Classes are components of the links (0.8 or more), by alternating
+large-star and small-star steps on distributed edges. Equal texts are one node throughout.
 
 Null text counts as empty; texts without a word are alike only if equal. Texts of one to four words have one shingle.
 A doc_id with several texts is several documents of that id, and null is no id in common: what makes a class is its
@@ -22,21 +24,22 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 from bisect import bisect_left
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, materialise, shared_folder, small_batches, texts_of
+from .common import batches, by_size, discard, materialise, small_batches, texts_of
 
 WORD = re.compile(r"\w+")
 SHINGLE = 5
-NEAR, BAND = 0.8, 0.6
+NEAR = 0.8
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _POSITION = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
+_MOST = np.uint64(2**64 - 1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,153 +52,189 @@ def node_of(text: Column) -> Column:
     return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32))
 
 
-def labelled(words: np.ndarray) -> np.ndarray:
-    """Hashes of the labelled shingles, in text order; words: hashes of the words."""
-    n = len(words)
-    if not n:
-        return words
-    k = min(SHINGLE, n)
-    h = mix(sum(words[i : n - k + 1 + i] * _POSITION[i] for i in range(k)))
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    same = np.r_[False, s[1:] == s[:-1]]
-    if same.any():
-        at = np.arange(len(s))
-        occurrence = np.empty(len(s), np.uint64)
-        occurrence[order] = (at - np.maximum.accumulate(np.where(same, 0, at))).astype(np.uint64)
-        h = np.where(occurrence > 0, mix(h + occurrence * _POSITION[1]), h)
-    return h
-
-
-def order_min_hash(labels: np.ndarray, seeds: np.ndarray, picks: int) -> np.ndarray:
-    """One sketch a seed: the least labels under it, in text order."""
-    out = np.empty(len(seeds), np.uint64)
-    for start in range(0, len(seeds), 8):  # few at a time: long texts stay small in memory
-        some = seeds[start : start + 8]
-        ranks = mix(labels[None, :] ^ some[:, None])
-        k = min(picks, len(labels))
-        at = np.argpartition(ranks, k - 1, axis=1)[:, :k] if k < len(labels) else np.tile(np.arange(k), (len(some), 1))
-        at.sort(axis=1)
-        got = some.copy()
-        for i in range(k):
-            got = mix(got * _C1 + labels[at[:, i]])
-        out[start : start + 8] = got
+class Words(dict):
+    """Hashes of words, kept while they are few."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+def labels_of(texts: list[list[str]], known: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Labelled shingles of many word lists, one after the other in text order, and their numbers."""
+    size = np.array([len(w) for w in texts], np.int64)
+    n = int(size.sum())
+    words = np.fromiter(map(known.__getitem__, chain.from_iterable(texts)), np.uint64, n)
+    end = np.cumsum(size)
+    doc = np.repeat(np.arange(len(texts)), size)
+    labels = np.zeros(n, np.uint64)
+    if n >= SHINGLE:
+        labels[: n - SHINGLE + 1] = mix(sum(words[i : n - SHINGLE + 1 + i] * _POSITION[i] for i in range(SHINGLE)))
+    keep = np.arange(n) + SHINGLE <= end[doc]
+    for d in np.flatnonzero((size > 0) & (size < SHINGLE)):
+        at = end[d] - size[d]
+        labels[at] = mix((words[at : end[d]] * _POSITION[: size[d]]).sum(keepdims=True))[0]
+        keep[at] = True
+    labels, doc = labels[keep], doc[keep]
+    told = labels + doc.astype(np.uint64) * _POSITION[2]  # apart in different texts
+    ordered = np.sort(told)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if len(twice):
+        some = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, told), len(twice) - 1)] == told)
+        order = some[np.argsort(told[some], kind="stable")]
+        same = np.r_[False, told[order][1:] == told[order][:-1]]
+        at = np.arange(len(order))
+        occurrence = (at - np.maximum.accumulate(np.where(same, 0, at))).astype(np.uint64)
+        labels[order] = np.where(occurrence > 0, mix(labels[order] + occurrence * _POSITION[1]), labels[order])
+    return labels, np.bincount(doc, minlength=len(texts))
+
+
+def order_min_hash(labels: np.ndarray, count: np.ndarray, seeds: np.ndarray, picks: int) -> np.ndarray:
+    """One sketch a text and seed: the least labels under it, in text order."""
+    doc = np.repeat(np.arange(len(count)), count)
+    first = np.cumsum(count) - count
+    wanted = np.minimum(picks, count)
+    share = 4.0 * picks / np.maximum(count, 1)
+    low = np.where(share >= 1, _MOST, (np.minimum(share, 0.5) * 2.0**64).astype(np.uint64))[doc]
+    out = np.zeros((len(count), len(seeds)), np.uint64)
+    for k, seed in enumerate(seeds):
+        ranks = mix(labels ^ seed)
+        at = np.flatnonzero(ranks <= low)
+        at = at[np.lexsort((ranks[at], doc[at]))]
+        n = np.bincount(doc[at], minlength=len(count))
+        begin = np.cumsum(n) - n
+        places = np.full((len(count), picks), len(labels), np.int64)
+        for i in range(picks):
+            has = np.flatnonzero((wanted > i) & (n > i))
+            places[has, i] = at[begin[has] + i]
+        for d in np.flatnonzero(n < wanted):  # fewer than wanted were below the limit
+            places[d, : wanted[d]] = first[d] + np.argsort(ranks[first[d] : first[d] + count[d]], kind="stable")[: wanted[d]]
+        places.sort(axis=1)
+        got = np.full(len(count), seed)
+        for i in range(picks):
+            has = np.flatnonzero(places[:, i] < len(labels))
+            got[has] = mix(got[has] * _C1 + labels[places[has, i]])
+        out[:, k] = got
     return out
 
 
-def profile(labels: np.ndarray) -> np.ndarray:
-    """128 bits as two int64: one-permutation min-hash of the labels, one bit a bin; empty bins borrow from the next."""
-    ranks = mix(labels ^ _POSITION[2])
-    order = np.argsort(ranks)[::-1]
-    least = np.zeros(128, np.uint64)
-    filled = np.zeros(128, bool)
-    bins = (labels >> np.uint64(57)).astype(np.int64)[order]
-    least[bins] = ranks[order]  # the last one written is the least
-    filled[bins] = True
-    full = np.flatnonzero(filled)
-    source = full[np.searchsorted(full, np.arange(128)) % len(full)]
-    away = (source - np.arange(128)) % 128
-    bits = mix(least[source] + away.astype(np.uint64) * _POSITION[3]) >> np.uint64(40) & np.uint64(1)
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+def profiles(labels: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """128 bits a text as two int64: one-permutation min-hash of the labels, one bit a bin; empty bins borrow from the next."""
+    doc = np.repeat(np.arange(len(count)), count)
+    place = doc * 128 + (labels >> np.uint64(57)).astype(np.int64)
+    least = np.full(len(count) * 128, _MOST)
+    np.minimum.at(least, place, mix(labels ^ _POSITION[2]))
+    filled = np.zeros(len(count) * 128, bool)
+    filled[place] = True
+    bins = np.arange(128)
+    at = np.where(filled.reshape(-1, 128), bins, 256)
+    at = np.minimum.accumulate(np.concatenate([at, at + 128], 1)[:, ::-1], 1)[:, ::-1][:, :128]
+    away = (at - bins).astype(np.uint64)
+    bits = mix(np.take_along_axis(least.reshape(-1, 128), at % 128, 1) + away * _POSITION[3]) >> np.uint64(40) & np.uint64(1)
+    return np.packbits(bits.astype(np.uint8), axis=1).view(np.int64).reshape(-1, 2)
 
 
-def alike(a: str, b: str, most: int) -> Column:
-    """At most so many of 128 bits differ; for short texts (whose bins share few labels) half as many again."""
-    differ = sum((F.bit_count(F.get(f"profile_{a}", F.lit(k)).bitwiseXOR(F.get(f"profile_{b}", F.lit(k)))) for k in (0, 1)), F.lit(0))
-    return differ <= F.when(F.least(f"n_{a}", f"n_{b}") >= 100, most).otherwise(most * 3 // 2)
+def alike(a: str, b: str, most: int = 28) -> Column:
+    """At most so many of 128 bits differ; for short texts (whose bins share few labels) half as many again; lengths fit."""
+    differ = sum((F.bit_count(F.col(f"{p}_{a}").bitwiseXOR(F.col(f"{p}_{b}"))) for p in ("p0", "p1")), F.lit(0))
+    low, high = F.least(f"n_{a}", f"n_{b}"), F.greatest(f"n_{a}", f"n_{b}")
+    return (low >= high * NEAR) & (differ <= F.when(low >= 100, most).otherwise(most * 3 // 2))
 
 
-def similarity(a: list[str], b: list[str]) -> float:
-    """Of two word lists; exact where it is BAND or more, else no more than exact."""
-
-    def keys(words):
-        k = min(SHINGLE, len(words))
-        seen: dict[tuple, int] = {}
-        out = []
-        for i in range(len(words) - k + 1):
-            s = tuple(words[i : i + k])
-            n = seen[s] = seen.get(s, 0) + 1
-            out.append((s, n))
-        return out
-
-    if not a or not b:
-        return float(not a and not b)
-    x, y = keys(a), keys(b)
-    place = {k: i for i, k in enumerate(y)}
+def aligned(x: np.ndarray, y: np.ndarray) -> float:
+    """Similarity of two texts from their labels; exact where it is NEAR or more, else less than that."""
     both = len(x) + len(y)
-    band = int((1 - 2 * BAND / (1 + BAND)) * both) + 1
-    tails: list[int] = []
-    for i, k in enumerate(x):
-        j = place.get(k)
-        if j is not None and -band <= i - j <= band:
-            t = bisect_left(tails, j)
+    if not len(x) or not len(y):
+        return float(not both)
+    order = np.argsort(y)
+    at = np.minimum(np.searchsorted(y, x, sorter=order), len(y) - 1)
+    j = order[at]
+    i = np.flatnonzero(y[j] == x)
+    j = j[i]
+    band = int((1 - 2 * NEAR / (1 + NEAR)) * both) + 1  # so many labels at most are on one side only
+    j = j[np.abs(i - j) <= band]
+    n = len(j)
+    if n < (NEAR - 1e-9) * (both - n) or not n:
+        return n / (both - n)
+    if (np.diff(j) <= 0).any():
+        tails: list[int] = []
+        for k in j.tolist():
+            t = bisect_left(tails, k)
             if t == len(tails):
-                tails.append(j)
+                tails.append(k)
             else:
-                tails[t] = j
-    return len(tails) / (both - len(tails))
+                tails[t] = k
+        n = len(tails)
+    return n / (both - n)
+
+
+def similarity(a: list[str], b: list[str]) -> float:
+    """Of two word lists."""
+    labels, count = labels_of([a, b], Words())
+    return aligned(labels[: count[0]], labels[count[0] :])
 
 
 def sketch_rows(docs: DataFrame, sketches: int, picks: int, seed: int) -> DataFrame:
-    """doc_id, node, n_shingles and the sketches of every row."""
+    """doc_id, node, n_shingles, the sketches and the profile of every row."""
     seeds = mix(np.arange(1, sketches + 1, dtype=np.uint64) * _POSITION[0] + np.uint64(seed))
 
     def rows(it):
-        import xxhash
-
-        for batch in batches(it, 500):
-            node, count, got, bits, words_seen, known = [], [], [], [], {}, {}
+        known = Words()
+        for batch in by_size(it, 2_000_000):
+            nodes, place, distinct = [], {}, []
             for t in texts_of(batch):
-                d = hashlib.sha256(t.encode()).digest()[:16]
-                node.append(d)
-                if d not in known:
-                    words = WORD.findall(t.lower())
-                    for w in words:
-                        if w not in words_seen:
-                            words_seen[w] = xxhash.xxh64_intdigest(w)
-                    labels = labelled(np.array([words_seen[w] for w in words], np.uint64))
-                    none = np.zeros(0, np.int64)
-                    known[d] = (len(labels), order_min_hash(labels, seeds, picks).view(np.int64) if len(labels) else none, profile(labels) if len(labels) else none)
-                count.append(known[d][0])
-                got.append(known[d][1])
-                bits.append(known[d][2])
-            lists = (pa.array(x, pa.list_(pa.int64())) for x in (got, bits))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node), pa.array(count, pa.int32()), *lists], ["doc_id", "node", "n_shingles", "sketches", "profile"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, node binary, n_shingles int, sketches array<long>, profile array<long>")
+                node = hashlib.sha256(t.encode()).digest()[:16]
+                nodes.append(node)
+                if node not in place:
+                    place[node] = len(distinct)
+                    distinct.append(WORD.findall(t.lower()))
+            labels, count = labels_of(distinct, known)
+            got = order_min_hash(labels, count, seeds, picks).view(np.int64)
+            bits = profiles(labels, count)
+            got, bits = ([x[d] if count[d] else x[d][:0] for d in range(len(count))] for x in (got, bits))
+            at = [place[n] for n in nodes]
+            cols = [pa.array(nodes), pa.array(count[at], pa.int32()), pa.array([got[d] for d in at], pa.list_(pa.int64())), *(pa.array([bits[d][k] if count[d] else 0 for d in at], pa.int64()) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "node", "n", "sketches", "p0", "p1"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, node binary, n int, sketches array<long>, p0 long, p1 long")
 
 
 def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (a, b) with their similarity."""
+    """Those of pairs (a, b, root_a, root_b) that are linked, with their similarity."""
 
     def rows(it):
+        known = Words()
+        last: dict[bytes, np.ndarray] = {}
         for batch in batches(it, 200):
-            out, known = [], {}
-
-            def words(node, text):
-                if node not in known:
-                    known[node] = WORD.findall(text.lower())
-                return known[node]
-
-            for a, b, s, t in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
-                out.append(similarity(words(a, s), words(b, t)))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], ["a", "b", "similarity"])
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            wanted = {}
+            for node, column in ((a, "text_a"), (b, "text_b")):
+                for k, x in enumerate(node):
+                    if x not in last:
+                        wanted.setdefault(x, (column, k))
+            labels, count = labels_of([WORD.findall(batch.column(c)[k].as_py().lower()) for c, k in wanted.values()], known)
+            have = last | dict(zip(wanted, np.split(labels, np.cumsum(count)[:-1]), strict=True)) if wanted else last
+            found = [aligned(have[x], have[y]) for x, y in zip(a, b, strict=True)]
+            last = {a[-1]: have[a[-1]]}  # pairs come in order of a
+            yield batch.select(["a", "b", "root_a", "root_b"]).append_column("similarity", pa.array(found, pa.float64())).filter(pa.array([x >= NEAR - 1e-12 for x in found], pa.bool_()))
 
     of = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
-    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(rows, "a binary, b binary, similarity double")
+    joined = pairs.join(of("b"), "b").join(of("a"), "a")
+    return joined.select("a", "b", "root_a", "root_b", "text_a", "text_b").mapInArrow(rows, "a binary, b binary, root_a binary, root_b binary, similarity double")
 
 
-def near_links(rows: DataFrame, docs: DataFrame, rounds: int = 8, small: int = 24, broadcast_rows: int = 500_000) -> DataFrame:
-    """Links (a, b, similarity) between different texts."""
-    spark = docs.sparkSession
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n_shingles", "sketches", "profile")))
-    member = nodes.select("node", F.col("n_shingles").alias("n"), "doc_id", "profile", F.explode("sketches").alias("bucket"))
+def near_links(rows: DataFrame, docs: DataFrame, rounds: int = 3, broadcast_rows: int = 500_000) -> tuple[list[DataFrame], DataFrame | None]:
+    """Links (a, b, similarity) found between different texts, and (node, root) of every text that has one."""
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "sketches", "p0", "p1")))
+    member = nodes.select("node", "n", "p0", "p1", "doc_id", F.explode(F.array_distinct("sketches")).alias("bucket"))
     sizes = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     met = materialise(member.join(sizes, "bucket"), "near-members")
     # the more texts a text meets, the more central it is: the source of a group of copies comes before the copies
-    central = met.groupBy("node").agg((-F.sum("size")).alias("order"))
-    active = materialise(met.join(central, "node").select("bucket", "node", "n", "doc_id", "profile", "order", F.lit(True).alias("active")), "near-buckets")
-    involved = active.select("doc_id", "node").distinct()
+    involved = materialise(met.groupBy("node").agg((-F.sum("size")).alias("order"), F.first("doc_id").alias("doc_id")), "near-involved")
     ids = involved.select("doc_id").distinct()
     ids = F.broadcast(ids) if ids.count() <= broadcast_rows else ids
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -203,78 +242,51 @@ def near_links(rows: DataFrame, docs: DataFrame, rounds: int = 8, small: int = 2
     named = involved.select(F.col("doc_id").alias("id"), F.col("node").alias("wanted"))
     texts = texts.join(named, texts["doc_id"].eqNullSafe(named["id"]) & (texts["node"] == named["wanted"]), "left_semi")
     texts = materialise(texts.select("node", "text").dropDuplicates(["node"]), "near-texts")
-    members = active.select("bucket", "node", "n", "profile", "order", "active")
-    found: DataFrame | None = None
-    folders = {name: f"{shared_folder(spark)}/near-{name}-{uuid.uuid4().hex}" for name in ("found", "bridges")}
-    bridges = False
-
-    def added(df: DataFrame, name: str) -> DataFrame:
-        """All that was added under this name: one folder, so that plans do not grow with the rounds."""
-        df.write.mode("append").parquet(folders[name])
-        return spark.read.schema(df.schema).parquet(folders[name])
-
-    def judge(pairs: DataFrame) -> DataFrame:
-        """pairs (a, b, n_a, n_b); known ones are not measured again."""
-        nonlocal found
-        fits = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * BAND
-        wanted = pairs.where(fits).select("a", "b").distinct()
-        if found is not None:
-            wanted = wanted.join(found.select("a", "b"), ["a", "b"], "left_anti")
-        found = added(measured(wanted, texts), "found")
-        return found
-
+    members = met.join(involved.select("node", "order"), "node").select("bucket", "node", "n", "p0", "p1", "order")
+    links: list[DataFrame] = []
+    classes: DataFrame | None = None
+    columns = ("node", "n", "p0", "p1", "root")
+    side = lambda c: [F.col(k).alias(k if k == "bucket" else f"{k}_{c}") for k in ("bucket", *columns)]
+    last = False
     for round_ in range(rounds + 1):
-        lead = members.where("active").groupBy("bucket").agg(F.min(F.struct("order", "node", "n", "profile")).alias("lead"))
-        size = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-        lead = lead.join(size, "bucket").where("size > 1").select("bucket", F.col("lead.node").alias("leader"), F.col("lead.n").alias("n_leader"), F.col("lead.profile").alias("profile_leader"), "size")
-        state = materialise(members.join(lead, "bucket"), "near-round")
-        direct = state.where((F.col("size") <= small) if round_ and round_ < rounds else F.lit(round_ >= rounds))
-        star = state.where((F.col("node") != F.col("leader")) & (F.col("size") > small if round_ else F.lit(True))) if round_ < rounds else None
-        if round_:
-            x = direct.where("active").select("bucket", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("profile").alias("profile_x"))
-            y = direct.select("bucket", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("profile").alias("profile_y"), F.col("active").alias("y_active"))
-            fits = F.least("n_x", "n_y") >= F.greatest("n_x", "n_y") * NEAR
-            both = x.join(y, "bucket").where(F.expr("x != y and (not y_active or x < y)") & fits & alike("x", "y", 28))
-            order = F.col("x") < F.col("y")
-            pick = lambda p, q: F.when(order, F.col(p)).otherwise(F.col(q))
-            judge(both.select(pick("x", "y").alias("a"), pick("y", "x").alias("b"), pick("n_x", "n_y").alias("n_a"), pick("n_y", "n_x").alias("n_b")))
-        if star is None or star.isEmpty():
-            break
-        first = F.col("leader") < F.col("node")
-        pick = lambda p, q: F.when(first, F.col(p)).otherwise(F.col(q))
-        sided = star.withColumn("a", pick("leader", "node")).withColumn("b", pick("node", "leader"))
-        near_by = alike("leader", "node", 40)
-        hopeful = sided.withColumnsRenamed({"n": "n_node", "profile": "profile_node"}).where(near_by)
-        known = judge(hopeful.select("a", "b", pick("n_leader", "n_node").alias("n_a"), pick("n_node", "n_leader").alias("n_b")))
-        linked = known.where(F.col("similarity") >= NEAR - 1e-12).select("a", "b", (1 - F.col("similarity")).alias("far"))
-        if round_:
-            # x, linked to this leader, and y, linked to an earlier one only: |d(x, leader) - d(y, leader)| <= d(x, y)
-            side = lambda c, extra: [F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("profile").alias(f"profile_{c}"), extra.alias(f"far_{c}")]
-            x = sided.where("active").join(linked, ["a", "b"]).select("bucket", *side("x", F.col("far")))
-            apart = known.where((F.col("similarity") >= BAND - 1e-12) & (F.col("similarity") < NEAR - 1e-12))
-            y = sided.where("not active").join(apart, ["a", "b"]).select("bucket", *side("y", 1 - F.col("similarity")))
-            fits = F.least("n_x", "n_y") >= F.greatest("n_x", "n_y") * NEAR
-            both = x.join(y, "bucket").where((F.col("far_y") - F.col("far_x") <= 1 - NEAR + 1e-12) & fits & alike("x", "y", 28))
-            over = F.col("x") < F.col("y")
-            pick_xy = lambda p, q: F.when(over, F.col(p)).otherwise(F.col(q))
-            added(both.select(pick_xy("x", "y").alias("a"), pick_xy("y", "x").alias("b"), pick_xy("n_x", "n_y").alias("n_a"), pick_xy("n_y", "n_x").alias("n_b")).distinct(), "bridges")
-            bridges = True
-        columns = ("bucket", "node", "n", "profile", "order")
-        open_ = sided.where("active").join(linked.select("a", "b"), ["a", "b"], "left_anti")
-        open_ = materialise(open_.join(known, ["a", "b"], "left").select(*columns, (1 - F.coalesce("similarity", F.lit(0.0))).alias("far")), "near-open")
-        nearest = open_.groupBy("bucket").agg(F.min("far").alias("nearest"))
-        beside = sided.join(nearest, "bucket")
-        reached = beside.join(linked, ["a", "b"]).where("far >= nearest - 0.2")
-        passive = beside.where("not active").join(linked.select("a", "b"), ["a", "b"], "left_anti")
-        members = open_.select(*columns, F.lit(True).alias("active")).unionByName(reached.select(*columns, F.lit(False).alias("active"))).unionByName(passive.select(*columns, F.lit(False).alias("active")))
-        members = materialise(members, "near-left")
-        if members.isEmpty():
+        last = last or round_ == rounds
+        if classes is None:
+            state = members.withColumn("root", F.col("node"))
+        else:
+            state = members.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            state = materialise(state, "near-state")
+        if last:
+            shares = state.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("share"))
+            most = shares.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.struct("share", "root"))["root"].alias("main")).where("kinds > 1").select("bucket", "main")
+            x = state.join(most, "bucket").where("root != main").select(*side("x"), "main")
+            both = x.join(state.select(*side("y")), "bucket").where(F.expr("root_x != root_y and (root_y = main or node_x < node_y)") & alike("x", "y"))
+        else:
+            first = F.col("order") if not round_ else F.xxhash64("bucket", "node", F.lit(round_))
+            lead = state.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(first.alias("first"), *columns)).alias("lead"))
+            lead = lead.where("low != high").select("bucket", *(F.col(f"lead.{k}").alias(f"{k}_y") for k in columns))
+            both = state.select(*side("x")).join(lead, "bucket").where(F.expr("root_x != root_y") & alike("x", "y"))
+        turned = F.col("node_x") < F.col("node_y")
+        pick = lambda k, p, q: F.when(turned, F.col(f"{k}_{p}")).otherwise(F.col(f"{k}_{q}"))
+        pairs = both.select(pick("node", "x", "y").alias("a"), pick("node", "y", "x").alias("b"), pick("root", "x", "y").alias("root_a"), pick("root", "y", "x").alias("root_b")).distinct()
+        new = materialise(measured(pairs, texts), "near-links")
+        if classes is not None:
+            discard(state)
+        if new.isEmpty():
+            if last:
+                break
+            last = True
+            continue
+        links.append(new.select("a", "b", "similarity"))
+        joined = components(new.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+        if classes is None:
+            classes = joined
+        else:
+            renamed = joined.select(F.col("node").alias("old"), F.col("root").alias("new"))
+            moved = classes.join(renamed, classes["root"] == renamed["old"], "left").select("node", F.coalesce("new", "root").alias("root"))
+            classes = materialise(moved.unionByName(joined.join(classes, "node", "left_anti")), "near-roots")
+        if last:
             break
-    if bridges:
-        judge(spark.read.parquet(folders["bridges"]))
-    if found is None:
-        return spark.createDataFrame([], "a binary, b binary, similarity double")
-    return materialise(found.where(F.col("similarity") >= NEAR - 1e-12), "near-links")
+    return links, classes
 
 
 def components(edges: DataFrame, most: int = 100) -> DataFrame:
@@ -287,7 +299,8 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialise(small, "component-edges")
+        done, edges = edges, materialise(small, "component-edges")
+        discard(done)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -300,8 +313,8 @@ def near_classes(docs: DataFrame, sketches: int = 16, picks: int = 3, seed: int
     small_batches(docs.sparkSession)
     rows = materialise(sketch_rows(docs, sketches, picks, seed), "near-rows")
     named = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
-    roots = components(near_links(rows, docs))
-    joined = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = near_links(rows, docs)[1]
+    joined = named.withColumn("root", F.col("node")) if roots is None else named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = joined.groupBy("root").agg(F.min("least").alias("class_id"))
     by_node = materialise(joined.join(classes, "root").select("node", "class_id", "root"), "near-classes")
     return rows.select("doc_id", "node").join(by_node, "node").select("doc_id", "class_id", "node", "root")
