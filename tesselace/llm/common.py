@@ -46,9 +46,12 @@ def discard(df: DataFrame) -> None:
     at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of few rows: with texts of many kilobytes the default of 10,000 rows is too much for a worker."""
+def small_batches(spark: SparkSession, rows: int = 2000, bytes_: str = "16m") -> None:
+    """Arrow batches of few rows and bytes: with texts of many kilobytes the default of 10,000 rows is too much for a worker.
+
+    The settings are read when the result is computed, after the operator has returned; they stay with the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", bytes_)
 
 
 def batches(it: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -86,19 +89,24 @@ def ranked(df: DataFrame, key: list[str], order: list[str], name: str, buckets:
     )
 
 
-def summed_blobs(df: DataFrame, dtype: str, fan_in: int = 64) -> dict[int, bytes]:
-    """Element-wise sums of equally long arrays: df has (part, chunk, blob) rows; two levels, then one blob a chunk."""
+def summed_blobs(df: DataFrame, dtype: str, parts: int, fan_in: int = 64) -> dict[int, bytes]:
+    """Element-wise sums of equally long arrays: df has (part, chunk, blob) rows, part below `parts`; one blob a chunk.
+
+    No task adds more than `fan_in` arrays of a chunk for each row that a part has of it. Arrays are added in the
+    order of their parts, so that sums of floats come out the same each time."""
     import numpy as np
     import pandas as pd
 
     def add(key, frame):
+        frame = frame.sort_values("part", kind="stable")
         total = sum((np.frombuffer(b, dtype) for b in frame["blob"].iloc[1:]), np.frombuffer(frame["blob"].iloc[0], dtype).copy())
-        return pd.DataFrame({"part": [int(frame["part"].iloc[0])], "chunk": [int(frame["chunk"].iloc[0])], "blob": [total.tobytes()]})
+        return pd.DataFrame({"part": [int(key[0])], "chunk": [int(key[1])], "blob": [total.tobytes()]})
 
-    schema = "part long, chunk int, blob binary"
-    dealt = df.withColumn("part", F.pmod("part", F.lit(fan_in)))
-    once = dealt.groupBy("part", "chunk").applyInPandas(add, schema)
-    return {r.chunk: bytes(r.blob) for r in once.groupBy("chunk").applyInPandas(add, schema).collect()}
+    while True:
+        parts = -(-parts // fan_in)
+        df = df.withColumn("slot", F.floor(F.col("part") / fan_in)).groupBy("slot", "chunk").applyInPandas(add, "part long, chunk int, blob binary")
+        if parts <= 1:
+            return {r.chunk: bytes(r.blob) for r in df.collect()}
 
 
 def cutoff_of(counts: DataFrame, count: str, limit: int) -> int | None:

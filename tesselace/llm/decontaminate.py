@@ -152,7 +152,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, energ
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(hits, "doc_id long, position array<int>, term array<int>")
     found = materialise(found, "leak-hits")
-    n_docs = found.count()
+    n_docs, n_parts = found.count(), found.rdd.getNumPartitions()
 
     def frequencies(it):
         total = np.zeros(n_terms, np.int64)
@@ -163,7 +163,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, energ
 
     blobs = "part long, chunk int, blob binary"
     from_task = F.spark_partition_id().cast("long")
-    df = np.frombuffer(summed_blobs(found.select("position", "term").mapInArrow(frequencies, blobs).withColumn("part", from_task), "<i8").get(0, np.zeros(n_terms, np.int64).tobytes()), "<i8")
+    df = np.frombuffer(summed_blobs(found.select("position", "term").mapInArrow(frequencies, blobs).withColumn("part", from_task), "<i8", n_parts).get(0, np.zeros(n_terms, np.int64).tobytes()), "<i8")
     idf = np.maximum(np.log((n_docs + 1) / (df + 0.5)), 0.2)
     queries = vocabulary.counts() * idf
     k = min(rank, n_terms)
@@ -189,7 +189,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, energ
         parts = [out[c * CHUNK : (c + 1) * CHUNK].tobytes() for c in range(n_chunks)] + [np.array([energy]).tobytes()]
         yield pa.RecordBatch.from_arrays([pa.array([0] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array(parts)], ["part", "chunk", "blob"])
 
-    got = summed_blobs(found.select("position", "term").mapInArrow(sketch, blobs).withColumn("part", from_task), "<f8")
+    got = summed_blobs(found.select("position", "term").mapInArrow(sketch, blobs).withColumn("part", from_task), "<f8", n_parts)
     total = np.concatenate([np.frombuffer(got[c], "<f8") for c in range(n_chunks)]).reshape(-1, k)[:n_terms] if got else np.zeros((n_terms, k))
     energy = float(np.frombuffer(got[n_chunks], "<f8")[0]) if got else 0.0
     weight = 2 * max(1.0, energy) / (queries**2).sum()

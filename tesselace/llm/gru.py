@@ -4,11 +4,13 @@ Counts: every training document's tokens are counted, exactly and distributed. T
 at most, of at most 256 bytes, so that their table is bounded) are broadcast with their counts; other tokens meet their
 counts in a join, and none of those is frequent.
 
-Model: the most frequent tokens of the head are the recurrent model's vocabulary, in equally large classes by rank;
+Model: the most frequent tokens of the head are the recurrent model's vocabulary, in classes by rank, frequent tokens in small ones;
 all others are one unknown token that is spelled by smoothed counts of those others, so that the probabilities of
-all tokens add up. A start on few rows at the driver is followed by truncated back-propagation in every task over
-all of its training documents, whatever the size of the input, and the tasks' weights are averaged by tokens. Scoring reads whole documents: documents of a batch run side by side, window after window, with
-the state carried over from one window to the next.
+all tokens add up. A start on few rows at the driver is followed by truncated back-propagation over all training
+documents, whatever the size of the input: hashes of id and text deal them into shards of about `shard_tokens` tokens,
+each is learned in the order of those hashes, and the shards' weights are averaged by tokens, summed in order. The
+weights thus depend on the rows alone, not on partitions or machines. Scoring reads whole documents: documents of a
+batch run side by side, with the state carried through each of them.
 
 Words are runs without space, tab, \\n, \\v, \\f or \\r, with A-Z in lower case; each document has one end token. Null
 and empty texts consist of that token. Repeated rows each have a row. Without training rows the counts are zero and
@@ -40,24 +42,30 @@ def tokens(text: str) -> list[bytes]:
 
 
 class Gru:
-    """Weights of the recurrent model; classes * members tokens, of which 0 is unknown and 1 the end."""
+    """Weights of the recurrent model; classes * members tokens, of which 0 is unknown and 1 the end.
+
+    sizes: the classes' numbers of tokens, which follow one another; `members` each by default."""
 
     NAMES = ("embed", "w", "u", "b", "out_class", "bias_class", "out_word", "bias_word")
 
-    def __init__(self, classes: int, members: int, hidden: int = 32, embed: int = 24, seed: int = 5):
+    def __init__(self, classes: int, members: int, hidden: int = 32, embed: int = 24, seed: int = 5, sizes: np.ndarray | None = None):
         rng = np.random.default_rng(seed)
         normal = lambda *s, scale=0.1: rng.normal(0, scale, s).astype(np.float32)
-        self.classes, self.members, self.hidden = classes, members, hidden
-        self.embed = normal(classes * members, embed)
+        sizes = np.full(classes, members) if sizes is None else np.asarray(sizes)
+        self.classes, self.hidden, size = classes, hidden, int(sizes.sum())
+        self.starts = np.r_[0, np.cumsum(sizes)]
+        self.class_of = np.repeat(np.arange(classes), sizes).astype(np.int16)
+        self.embed = normal(size, embed)
         self.w, self.u, self.b = normal(embed, 3 * hidden, scale=0.2), normal(hidden, 3 * hidden, scale=0.15), np.zeros(3 * hidden, np.float32)
         self.out_class, self.bias_class = normal(hidden, classes, scale=0.05), np.zeros(classes, np.float32)
-        self.out_word, self.bias_word = normal(classes, hidden, members, scale=0.05), np.zeros((classes, members), np.float32)
+        self.out_word, self.bias_word = normal(size, hidden, scale=0.05), np.zeros(size, np.float32)
 
     def start_from(self, counts: np.ndarray) -> Gru:
         """Biases that give the unigram distribution."""
-        p = (counts + 0.5).reshape(self.classes, self.members)
-        self.bias_class = np.log(p.sum(1) / p.sum()).astype(np.float32)
-        self.bias_word = np.log(p / p.sum(1, keepdims=True)).astype(np.float32)
+        p = counts + 0.5
+        mass = np.add.reduceat(p, self.starts[:-1])
+        self.bias_class = np.log(mass / p.sum()).astype(np.float32)
+        self.bias_word = np.log(p / mass[self.class_of]).astype(np.float32)
         return self
 
     def flat(self) -> np.ndarray:
@@ -73,42 +81,49 @@ class Gru:
 
     def output(self, h: np.ndarray, y: np.ndarray, grad: dict | None = None):
         """log P of y given the states h; with grad, adds gradients of -sum log P and returns those of h too."""
-        c, m = y // self.members, y % self.members
-        logits = h @ self.out_class
-        logits += self.bias_class
+        order = np.argsort(self.class_of[y], kind="stable")
+        h, y = h[order], y[order]
+        c = self.class_of[y].astype(np.int64)
         rows = np.arange(len(y))
-        logp = logits[rows, c]
-        e = np.exp(logits, out=logits)  # a bounded state has small logits
-        z = e @ np.ones(self.classes, np.float32)
+        e = h @ self.out_class
+        e += self.bias_class
+        logp = e[rows, c]
+        np.exp(e, out=e)  # a bounded state has small logits
+        z = e @ np.ones(self.classes, e.dtype)
         logp -= np.log(z)
         dh = None
         if grad is not None:
-            d = e / z[:, None]
-            d[rows, c] -= 1
-            grad["out_class"] += h.T @ d
-            grad["bias_class"] += d.sum(0)
-            dh = d @ self.out_class.T
-        order = np.argsort(c.astype(np.int16), kind="stable")
-        cuts = np.searchsorted(c[order], np.arange(self.classes + 1))
-        for k in np.flatnonzero(np.diff(cuts)):
-            at = order[cuts[k] : cuts[k + 1]]
-            hk = h[at]
-            l = hk @ self.out_word[k]
-            l += self.bias_word[k]
-            i = np.arange(len(at))
-            own = l[i, m[at]]
-            e = np.exp(l, out=l)
-            z = e @ np.ones(self.members, np.float32)
-            logp[at] += own - np.log(z)
+            e /= z[:, None]
+            e[rows, c] -= 1
+            grad["out_class"] += h.T @ e
+            grad["bias_class"] += np.ones(len(e), e.dtype) @ e
+            dh = e @ self.out_class.T
+        cuts = np.searchsorted(c, np.arange(self.classes + 1))
+        for k in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(self.starts) > 1)):
+            a, b, first, stop = cuts[k], cuts[k + 1], self.starts[k], self.starts[k + 1]
+            weights, hk, i = self.out_word[first:stop], h[a:b], rows[: b - a]
+            m = y[a:b] - first
+            e = hk @ weights.T
+            e += self.bias_word[first:stop]
+            own = e[i, m]
+            np.exp(e, out=e)
+            z = e @ np.ones(stop - first, e.dtype)
+            logp[a:b] += own - np.log(z)
             if grad is not None:
-                d = e / z[:, None]
-                d[i, m[at]] -= 1
-                grad["out_word"][k] += hk.T @ d
-                grad["bias_word"][k] += d.sum(0)
-                dh[at] += d @ self.out_word[k].T
+                e /= z[:, None]
+                e[i, m] -= 1
+                grad["out_word"][first:stop] += e.T @ hk
+                grad["bias_word"][first:stop] += np.ones(b - a, e.dtype) @ e
+                dh[a:b] += e @ weights
         if not np.isfinite(logp).all():
             raise FloatingPointError("logits out of range")
-        return logp, dh
+        out = np.empty_like(logp)
+        out[order] = logp
+        if grad is None:
+            return out, None
+        back = np.empty_like(dh)
+        back[order] = dh
+        return out, back
 
     def step(self, a: np.ndarray, h: np.ndarray):
         n = self.hidden
@@ -118,64 +133,83 @@ class Gru:
         np.exp(np.minimum(zr, 40, out=zr), out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        new = np.tanh(a[:, 2 * n :] + zr[:, n:] * g[:, 2 * n :])
-        return new + zr[:, :n] * (h - new), zr, new, g
+        new = zr[:, n:] * g[:, 2 * n :]
+        new += a[:, 2 * n :]
+        np.tanh(new, out=new)
+        out = h - new
+        out *= zr[:, :n]
+        out += new
+        return out, zr, new, g
 
     def window(self, y: np.ndarray, h: np.ndarray):
         """Loss gradients of one window (steps, lanes) that starts with states h; returns (log P, gradients, last states)."""
         n, (steps, lanes) = self.hidden, y.shape
         grad = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
-        states, kept = [h], []
+        flat = y.ravel()
+        x = self.embed[flat]
+        a = (x @ self.w + self.b).reshape(steps, lanes, 3 * n)
+        on = (y != 1).astype(a.dtype)[:, :, None]
+        states = np.empty((steps, lanes, n), a.dtype)
+        kept = []
         for t in range(steps):
-            x = self.embed[y[t]]
-            h, zr, new, g = self.step(x @ self.w + self.b, h)
-            kept.append((x, zr, new, g))
-            h = h * (y[t] != 1)[:, None]
-            states.append(h)
-        logp, dh_out = self.output(np.concatenate(states[:steps]), y.ravel(), grad)
+            states[t] = h
+            h, zr, new, g = self.step(a[t], h)
+            kept.append((zr, new, g))
+            h *= on[t]
+        logp, dh_out = self.output(states.reshape(-1, n), flat, grad)
         dh_out = dh_out.reshape(steps, lanes, n)
         dh = np.zeros_like(h)
-        dx = np.empty((steps, lanes, self.embed.shape[1]), np.float32)
+        da, dg = np.empty_like(a), np.empty_like(a)
         for t in reversed(range(steps)):
-            x, zr, new, g = kept[t]
-            before = states[t]
-            dh = dh * (y[t] != 1)[:, None]
+            zr, new, g = kept[t]
             z, r = zr[:, :n], zr[:, n:]
+            dh *= on[t]
+            both = zr * (1 - zr)
             dnew = dh * (1 - z) * (1 - new * new)
-            dz = dh * (before - new) * z * (1 - z)
-            dr = dnew * g[:, 2 * n :] * r * (1 - r)
-            da = np.concatenate([dz, dr, dnew], 1)
-            dg = np.concatenate([dz, dr, dnew * r], 1)
-            grad["w"] += x.T @ da
-            grad["b"] += da.sum(0)
-            grad["u"] += before.T @ dg
-            dx[t] = da @ self.w.T
-            dh = dh * z + dg @ self.u.T + dh_out[t]
-        flat, dx = y.ravel(), dx.reshape(steps * lanes, -1)
-        order = np.argsort(flat, kind="stable")
+            da[t, :, :n] = dh * (states[t] - new) * both[:, :n]
+            da[t, :, n : 2 * n] = dnew * g[:, 2 * n :] * both[:, n:]
+            da[t, :, 2 * n :] = dnew
+            dg[t, :, : 2 * n] = da[t, :, : 2 * n]
+            dg[t, :, 2 * n :] = dnew * r
+            dh = dh * z
+            dh += dg[t] @ self.u.T
+            dh += dh_out[t]
+        da, dg = da.reshape(-1, 3 * n), dg.reshape(-1, 3 * n)
+        grad["w"] += x.T @ da
+        grad["b"] += np.ones(len(da), da.dtype) @ da
+        grad["u"] += states.reshape(-1, n).T @ dg
+        dx = da @ self.w.T
+        order = np.argsort(flat.astype(np.int16), kind="stable") if len(self.class_of) < 2**15 else np.argsort(flat, kind="stable")
         first = np.flatnonzero(np.r_[True, np.diff(flat[order]) != 0])
         grad["embed"][flat[order][first]] = np.add.reduceat(dx[order], first, axis=0)
         return float(logp.sum()), grad, h
 
     def train(self, stream: np.ndarray, lanes: int = 256, steps: int = 16, rate: float = 0.01, state: dict | None = None) -> dict:
-        """Adam over a stream of documents (each ends with token 1), cut into lanes."""
+        """Adam over a stream of documents (each ends with token 1), cut into lanes; end tokens fill the last lane."""
         state = state or {"t": 0} | {k: (np.zeros_like(getattr(self, k)), np.zeros_like(getattr(self, k))) for k in self.NAMES}
         lanes = max(1, min(lanes, len(stream) // (4 * steps)))
-        long = len(stream) // lanes
-        y = stream[: long * lanes].reshape(lanes, long).T
+        long = -(-len(stream) // lanes)
+        y = np.ascontiguousarray(np.concatenate([stream, np.ones(long * lanes - len(stream), stream.dtype)]).reshape(lanes, long).T)
         h = np.zeros((lanes, self.hidden), np.float32)
-        for start in range(0, long - steps + 1, steps):
-            _, grad, h = self.window(y[start : start + steps], h)
+        for start in range(0, long, steps):
+            some = y[start : start + steps]
+            _, grad, h = self.window(some, h)
             state["t"] += 1
-            t, scale = state["t"], 1.0 / (lanes * steps)
-            norm = np.sqrt(sum(float((g * scale).ravel() @ (g * scale).ravel()) for g in grad.values()))
+            t, scale = state["t"], 1.0 / some.size
+            norm = scale * np.sqrt(sum(float(g.ravel() @ g.ravel()) for g in grad.values()))
             scale *= min(1.0, 1.0 / max(norm, 1e-9))
             for k, g in grad.items():
                 m, v = state[k]
                 g *= scale
                 m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                getattr(self, k)[...] -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-7)
+                g *= g
+                v += 0.01 * (g - v)
+                step = np.sqrt(v)
+                step *= 1 / np.sqrt(1 - 0.99**t)
+                step += 1e-7
+                np.divide(m, step, out=step)
+                step *= rate / (1 - 0.9**t)
+                np.subtract(getattr(self, k), step, out=getattr(self, k))
         return state
 
     def score(self, documents: list[np.ndarray], rows: int = 32_768) -> np.ndarray:
@@ -239,17 +273,25 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(rows, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def score_documents(docs: DataFrame, head_words: int = 131_072, classes: int = 90, start_rows: int = 400, seed: int = 5) -> DataFrame:
+def class_sizes(counts: np.ndarray, classes: int) -> np.ndarray:
+    """Sizes of classes that follow one another over tokens by rank, about as the inverse root of their frequency:
+    that makes the softmax inside a class shortest on average. counts: of the tokens."""
+    weight = np.cumsum(np.sqrt(np.maximum(counts, 0.5)))
+    cuts = np.searchsorted(weight, weight[-1] * np.arange(1, classes) / classes)
+    cuts = np.minimum(np.maximum.accumulate(np.maximum(cuts - np.arange(classes - 1), 1)) + np.arange(classes - 1), len(counts) - np.arange(classes - 1, 0, -1))
+    return np.diff(np.r_[0, cuts, len(counts)])
+
+
+def score_documents(docs: DataFrame, head_words: int = 131_072, classes: int = 90, start_rows: int = 400, shard_tokens: int = 2_000_000, seed: int = 5) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; logarithms to base 10."""
     spark = docs.sparkSession
     small_batches(spark, 4000)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("fold", F.coalesce(bucket_of(F.col("doc_id"), 10), F.lit(1)))
-    learn = rows.where("fold != 0")
-    counts = materialise(count_words(learn), "gru-counts")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("fold", F.coalesce(bucket_of(F.col("doc_id"), 10), F.lit(1)).cast("long"))
+    counts = materialise(count_words(rows.where("fold != 0")), "gru-counts")
     total = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     n_all, v_all = int(total[0] or 0), int(total[1])
-    top = most_frequent(counts.where(F.length("word") <= 256), "c", head_words).collect()
-    ranked = sorted(((bytes(r.word), r.c) for r in top), key=lambda x: (-x[1], x[0]))
+    top = most_frequent(counts.where(F.length("word") <= 256), "c", head_words).toArrow().to_pydict()
+    ranked = sorted(zip(top["word"], top["c"], strict=True), key=lambda x: (-x[1], x[0]))
     ends = sum(c for w, c in ranked if w == END)
     ranked = [x for x in ranked if x[0] != END]
     members = classes
@@ -264,92 +306,116 @@ def score_documents(docs: DataFrame, head_words: int = 131_072, classes: int = 9
     unigram = np.zeros(classes * members)
     unigram[0], unigram[1] = n_other, ends
     unigram[2 : len(chosen) + 2] = [c for _, c in chosen]
-    model = Gru(classes, members, seed=seed).start_from(unigram)
+    model = Gru(classes, members, seed=seed, sizes=class_sizes(unigram, classes)).start_from(unigram)
     shared = spark.sparkContext.broadcast((place, head_count, head_token))
 
-    def streams(texts: list[str], place, head_token) -> np.ndarray:
-        get = place.get
-        at = np.array([get(w, -1) for t in texts for w in tokens(t)], np.int64)
-        return np.where(at >= 0, head_token[at], 0)
+    def encoded(it):
+        place, head_count, head_token = shared.value
+        get, logs = place.get, np.log10(head_count + SMOOTH)
+        part, number = TaskContext.get().partitionId() << 33, 0
+        for batch in by_size(it, 4_000_000):
+            found, n, known, base, other, missing, other_sum, rare, rare_n = [], [], [], [], [], [], [], [], []
+            for t in texts_of(batch):
+                words = tokens(t)
+                at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+                there = at[at >= 0]
+                out = Counter(w for w, k in zip(words, at.tolist(), strict=True) if k < 0) if len(there) < len(at) else {}
+                token = np.where(at >= 0, head_token[at], 0)
+                found.append(token.astype("<u2" if len(unigram) < 2**16 else "<u4").tobytes())
+                n.append(len(words))
+                known.append(int((head_count[there] > 0).sum()))
+                base.append(float(logs[there].sum()))
+                other.append(int((token == 0).sum()))
+                missing.append(len(at) - len(there))
+                other_sum.append(float(logs[there[head_token[there] == 0]].sum()))
+                rare.append(list(out))
+                rare_n.append(list(out.values()))
+            keys = pa.array(range(part + number, part + number + len(n)), pa.int64())
+            number += len(n)
+            yield pa.RecordBatch.from_arrays(
+                [keys, *(batch.column(c) for c in ("doc_id", "fold", "place")), pa.array(found), *(pa.array(x, pa.int64()) for x in (n, known, other, missing)), *(pa.array(x, pa.float64()) for x in (base, other_sum)), pa.array(rare, pa.list_(pa.binary())), pa.array(rare_n, pa.list_(pa.int64()))],
+                ["key", "doc_id", "fold", "place", "tokens", "n_tokens", "known", "n_other", "n_rare", "base", "other_sum", "rare", "rare_n"],
+            )
+
+    schema = "key long, doc_id long, fold long, place long, tokens binary, n_tokens long, known long, n_other long, n_rare long, base double, other_sum double, rare array<binary>, rare_n array<long>"
+    made = materialise(rows.withColumn("place", F.xxhash64("text", "doc_id", F.lit(seed))).mapInArrow(encoded, schema), "gru-encoded")
+    read = lambda blob: np.frombuffer(blob, "<u2" if len(unigram) < 2**16 else "<u4").astype(np.int64)
+    learn = made.where("fold != 0")
 
     if n_all:
-        few = learn.where(F.length("text").between(1, 20_000)).orderBy(F.xxhash64("doc_id", F.lit(seed))).limit(start_rows).select("text").collect()
+        few = learn.where("n_tokens < 4000").orderBy("place", "doc_id").limit(start_rows).select("tokens").collect()
         if few:
-            model.train(streams([r.text for r in few], place, head_token), lanes=64)
+            model.train(np.concatenate([read(r.tokens) for r in few]), lanes=64)
         started = spark.sparkContext.broadcast(model)
+        shards = -(-n_all // shard_tokens)  # by the data alone, so that the weights do not depend on partitions
 
         def trained(it):
             from copy import deepcopy
 
-            mine, state, held, seen = deepcopy(started.value), None, [], 0
-            place, _, head_token = shared.value
+            mine, state, held, waiting, seen, shard = None, None, [], 0, 0, None
 
             def learn_held():
-                nonlocal state, seen
+                nonlocal state, seen, waiting
                 stream = np.concatenate(held)
-                state = mine.train(stream, state=state, rate=0.005)
+                state = mine.train(stream, lanes=1024, state=state, rate=0.01)
                 seen += len(stream)
+                waiting = 0
                 held.clear()
 
-            for batch in batches(it, 500):
-                held.append(streams(texts_of(batch), place, head_token))
-                if sum(map(len, held)) >= 400_000:
+            def told():
+                if held:
                     learn_held()
-            if held:
-                learn_held()
-            if seen:
                 flat = mine.flat().astype(np.float64) * seen
                 cut = 65_536
                 parts = [flat[i : i + cut].tobytes() for i in range(0, len(flat), cut)] + [np.array([float(seen)]).tobytes()]
                 numbers = [*range(len(parts) - 1), -1]
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * len(parts), pa.int64()), pa.array(numbers, pa.int32()), pa.array(parts, pa.binary())], ["part", "chunk", "blob"])
+                return pa.RecordBatch.from_arrays([pa.array([shard] * len(parts), pa.int64()), pa.array(numbers, pa.int32()), pa.array(parts, pa.binary())], ["part", "chunk", "blob"])
+
+            for batch in it:
+                for own, blob in zip(batch.column("shard").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+                    if own != shard:
+                        if shard is not None:
+                            yield told()
+                        mine, state, seen, shard = deepcopy(started.value), None, 0, own
+                    held.append(read(blob))
+                    waiting += len(held[-1])
+                    if waiting >= 1_000_000:
+                        learn_held()
+            if shard is not None:
+                yield told()
 
-        sums = summed_blobs(learn.select("text").mapInArrow(trained, "part long, chunk int, blob binary"), "<f8")
+        dealt = learn.select(F.pmod("place", F.lit(shards)).alias("shard"), "place", "doc_id", "tokens").repartition("shard").sortWithinPartitions("shard", "place", "doc_id")
+        sums = summed_blobs(dealt.select("shard", "tokens").mapInArrow(trained, "part long, chunk int, blob binary"), "<f8", shards)
         if sums:
             flat = np.concatenate([np.frombuffer(sums[k], "<f8") for k in sorted(k for k in sums if k >= 0)])
             model.load(flat / np.frombuffer(sums[-1], "<f8")[0])
     final = spark.sparkContext.broadcast(model)
     log_all = float(np.log10(n_all + SMOOTH * (v_all + 1)))
     log_other = float(np.log10(n_other + SMOOTH * (v_other + 1)))
-
-    def local(it):
-        place, head_count, head_token = shared.value
-        mine, number = final.value, 0
-        get, logs = place.get, np.log10(head_count + SMOOTH)
-        part = TaskContext.get().partitionId() << 33
-        for batch in by_size(it, 16_000_000):
-            found, n, known, base, other, other_sum, rare, rare_n = [], [], [], [], [], [], [], []
-            for t in texts_of(batch):
-                words = tokens(t)
-                at = np.array([get(w, -1) for w in words], np.int64)
-                there = at[at >= 0]
-                out = Counter(w for w, k in zip(words, at.tolist(), strict=True) if k < 0) if len(there) < len(at) else {}
-                token = np.where(at >= 0, head_token[at], 0)
-                found.append(token)
-                n.append(len(words))
-                known.append(int((head_count[there] > 0).sum()))
-                base.append(float(logs[there].sum()))
-                other.append(int((token == 0).sum()))
-                other_sum.append(float(logs[there[head_token[there] == 0]].sum()))
-                rare.append(list(out))
-                rare_n.append(list(out.values()))
-            gru = mine.score(found) / np.log(10.0)
-            keys = pa.array(range(part + number, part + number + len(n)), pa.int64())
-            number += len(n)
-            yield pa.RecordBatch.from_arrays(
-                [keys, batch.column("doc_id"), batch.column("fold"), *(pa.array(x, pa.int64()) for x in (n, known, other)), *(pa.array(x, pa.float64()) for x in (base, other_sum, gru)), pa.array(rare, pa.list_(pa.binary())), pa.array(rare_n, pa.list_(pa.int64()))],
-                ["key", "doc_id", "fold", "n_tokens", "known", "n_other", "base", "other_sum", "gru", "rare", "rare_n"],
-            )
-
-    schema = "key long, doc_id long, fold long, n_tokens long, known long, n_other long, base double, other_sum double, gru double, rare array<binary>, rare_n array<long>"
-    scored = materialise(rows.select("doc_id", "text", F.col("fold").cast("long").alias("fold")).mapInArrow(local, schema), "gru-scored")
-    rare = scored.select("key", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select("key", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("n"))
-    met = rare.join(counts, "word", "left").select("key", "n", F.coalesce("c", F.lit(0)).alias("c"))
-    sums = met.groupBy("key").agg(F.sum(F.col("n") * F.log10(F.col("c") + SMOOTH)).alias("rare_sum"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"))
-    rare_sum = F.coalesce("rare_sum", F.lit(0.0))
+    passed = ("key", "doc_id", "fold", "n_tokens", "known", "n_other", "n_rare", "base", "other_sum")
+
+    def scores(it):
+        mine = final.value
+        for batch in it:
+            blobs = batch.column("tokens").to_pylist()
+            start = total = 0
+            for stop, blob in enumerate([*blobs, b""], 1):
+                total += len(blob)
+                if stop > len(blobs) or total > 4_000_000:
+                    stop = min(stop, len(blobs))
+                    some = batch.slice(start, stop - start)
+                    gru = mine.score([read(x) for x in blobs[start:stop]]) / np.log(10.0)
+                    yield pa.RecordBatch.from_arrays([*(some.column(c) for c in passed), pa.array(gru, pa.float64())], [*passed, "gru"])
+                    start, total = stop, 0
+
+    scored = made.select(*passed, "tokens").mapInArrow(scores, "key long, doc_id long, fold long, n_tokens long, known long, n_other long, n_rare long, base double, other_sum double, gru double")
+    rare = made.select("key", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select("key", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("n"))
+    met = rare.join(counts, "word").select("key", "n", "c")
+    sums = met.groupBy("key").agg(F.sum(F.col("n") * (F.log10(F.col("c") + SMOOTH) - float(np.log10(SMOOTH)))).alias("rare_sum"), F.sum("n").alias("rare_known"))
+    rare_sum = F.col("n_rare") * float(np.log10(SMOOTH)) + F.coalesce("rare_sum", F.lit(0.0))
     base = F.col("base") + rare_sum - F.col("n_tokens") * log_all
     score = F.col("gru") + F.col("other_sum") + rare_sum - F.col("n_other") * log_other
-    return scored.drop("rare", "rare_n").join(sums, "key", "left").select(
+    return scored.join(sums, "key", "left").select(
         "doc_id",
         (F.col("fold") == 0).alias("held_out"),
         "n_tokens",
