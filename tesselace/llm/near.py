@@ -8,8 +8,8 @@ and links join classes at once. At last all pairs of a bucket that are still in
 least one of a pair is outside the largest class of the bucket, so a group of copies that the leaders have joined is not
 compared with itself. No bucket and no pair is left out by size.
 
-128 bits of min-hash per text keep pairs from alignment that cannot be alike (at a similarity of 0.8 about 13 bits
-differ, with a standard deviation of 3.4; 28 are allowed, and 42 for texts of less than 100 shingles), as do lengths.
+Lengths and bits of min-hash keep pairs from alignment that cannot be alike: 128 bits a text against a leader, 1024 bits
+at last. At a similarity of 0.8 a tenth of the bits differs on average; 3.5 standard deviations more are allowed.
 
 The similarity of two texts is L / (n + m - L), L the longest common subsequence of their labelled shingles, found in
 the band that any similarity of 0.8 or more keeps to. Classes are components of the links (0.8 or more), by alternating
@@ -37,6 +37,7 @@ from .common import batches, by_size, discard, materialise, small_batches, texts
 WORD = re.compile(r"\w+")
 SHINGLE = 5
 NEAR = 0.8
+BITS = 1024
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _POSITION = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _MOST = np.uint64(2**64 - 1)
@@ -123,26 +124,31 @@ def order_min_hash(labels: np.ndarray, count: np.ndarray, seeds: np.ndarray, pic
 
 
 def profiles(labels: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """128 bits a text as two int64: one-permutation min-hash of the labels, one bit a bin; empty bins borrow from the next."""
-    doc = np.repeat(np.arange(len(count)), count)
-    place = doc * 128 + (labels >> np.uint64(57)).astype(np.int64)
-    least = np.full(len(count) * 128, _MOST)
-    np.minimum.at(least, place, mix(labels ^ _POSITION[2]))
-    filled = np.zeros(len(count) * 128, bool)
-    filled[place] = True
-    bins = np.arange(128)
-    at = np.where(filled.reshape(-1, 128), bins, 256)
-    at = np.minimum.accumulate(np.concatenate([at, at + 128], 1)[:, ::-1], 1)[:, ::-1][:, :128]
-    away = (at - bins).astype(np.uint64)
-    bits = mix(np.take_along_axis(least.reshape(-1, 128), at % 128, 1) + away * _POSITION[3]) >> np.uint64(40) & np.uint64(1)
-    return np.packbits(bits.astype(np.uint8), axis=1).view(np.int64).reshape(-1, 2)
-
-
-def alike(a: str, b: str, most: int = 28) -> Column:
-    """At most so many of 128 bits differ; for short texts (whose bins share few labels) half as many again; lengths fit."""
-    differ = sum((F.bit_count(F.col(f"{p}_{a}").bitwiseXOR(F.col(f"{p}_{b}"))) for p in ("p0", "p1")), F.lit(0))
+    """1024 bits a text as 16 int64: eight one-permutation min-hashes of the labels, one bit a bin of 128; empty bins borrow from the next."""
+    first = np.repeat(np.arange(len(count)) * 128, count)
+    bins, out = np.arange(128), []
+    for k in range(BITS // 128):
+        turned = labels * (mix(_POSITION[:1] + np.uint64(k))[0] | np.uint64(1))
+        place = first + (turned >> np.uint64(57)).astype(np.int64)
+        least = np.full(len(count) * 128, _MOST)
+        np.minimum.at(least, place, turned << np.uint64(7) >> np.uint64(7))
+        least = least.reshape(-1, 128)
+        at = np.where(least != _MOST, bins, 256)
+        at = np.minimum.accumulate(np.concatenate([at, at + 128], 1)[:, ::-1], 1)[:, ::-1][:, :128]
+        bits = mix(np.take_along_axis(least, at % 128, 1) + (at - bins).astype(np.uint64) * _POSITION[3]) >> np.uint64(40) & np.uint64(1)
+        out.append(np.packbits(bits.astype(np.uint8), axis=1).view(np.int64).reshape(-1, 2))
+    return np.concatenate(out, 1)
+
+
+def alike(a: str, b: str, bits: int) -> Column:
+    """So few of the first bits of both profiles differ as for a similarity of NEAR or more (3.5 standard deviations over
+    the mean of that; a short text fills few bins, whose bits are fewer than they seem); lengths fit."""
+    words = range(bits // 64)
+    differ = sum((F.bit_count(F.get(f"profile_{a}", F.lit(k)).bitwiseXOR(F.get(f"profile_{b}", F.lit(k)))) for k in words), F.lit(0))
     low, high = F.least(f"n_{a}", f"n_{b}"), F.greatest(f"n_{a}", f"n_{b}")
-    return (low >= high * NEAR) & (differ <= F.when(low >= 100, most).otherwise(most * 3 // 2))
+    mean = (1 - NEAR) / 2
+    most = bits * mean + 3.5 * (bits * mean * (1 - mean)) ** 0.5 / F.sqrt(1 - F.exp(-low / 128))
+    return (low >= high * NEAR) & (differ <= most)
 
 
 def aligned(x: np.ndarray, y: np.ndarray) -> float:
@@ -197,10 +203,10 @@ def sketch_rows(docs: DataFrame, sketches: int, picks: int, seed: int) -> DataFr
             bits = profiles(labels, count)
             got, bits = ([x[d] if count[d] else x[d][:0] for d in range(len(count))] for x in (got, bits))
             at = [place[n] for n in nodes]
-            cols = [pa.array(nodes), pa.array(count[at], pa.int32()), pa.array([got[d] for d in at], pa.list_(pa.int64())), *(pa.array([bits[d][k] if count[d] else 0 for d in at], pa.int64()) for k in (0, 1))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "node", "n", "sketches", "p0", "p1"])
+            cols = [pa.array(nodes), pa.array(count[at], pa.int32()), *(pa.array([x[d] for d in at], pa.list_(pa.int64())) for x in (got, bits))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "node", "n", "sketches", "profile"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, node binary, n int, sketches array<long>, p0 long, p1 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, node binary, n int, sketches array<long>, profile array<long>")
 
 
 def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -229,8 +235,8 @@ def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def near_links(rows: DataFrame, docs: DataFrame, rounds: int = 3, broadcast_rows: int = 500_000) -> tuple[list[DataFrame], DataFrame | None]:
     """Links (a, b, similarity) found between different texts, and (node, root) of every text that has one."""
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "sketches", "p0", "p1")))
-    member = nodes.select("node", "n", "p0", "p1", "doc_id", F.explode(F.array_distinct("sketches")).alias("bucket"))
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketches").alias("sketches"), F.first(F.slice("profile", 1, 2)).alias("profile"))
+    member = nodes.select("node", "n", "profile", "doc_id", F.explode(F.array_distinct("sketches")).alias("bucket"))
     sizes = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     met = materialise(member.join(sizes, "bucket"), "near-members")
     # the more texts a text meets, the more central it is: the source of a group of copies comes before the copies
@@ -242,10 +248,10 @@ def near_links(rows: DataFrame, docs: DataFrame, rounds: int = 3, broadcast_rows
     named = involved.select(F.col("doc_id").alias("id"), F.col("node").alias("wanted"))
     texts = texts.join(named, texts["doc_id"].eqNullSafe(named["id"]) & (texts["node"] == named["wanted"]), "left_semi")
     texts = materialise(texts.select("node", "text").dropDuplicates(["node"]), "near-texts")
-    members = met.join(involved.select("node", "order"), "node").select("bucket", "node", "n", "p0", "p1", "order")
+    members = met.join(involved.select("node", "order"), "node").select("bucket", "node", "n", "profile", "order")
     links: list[DataFrame] = []
     classes: DataFrame | None = None
-    columns = ("node", "n", "p0", "p1", "root")
+    columns = ("node", "n", "profile", "root")
     side = lambda c: [F.col(k).alias(k if k == "bucket" else f"{k}_{c}") for k in ("bucket", *columns)]
     last = False
     for round_ in range(rounds + 1):
@@ -258,13 +264,16 @@ def near_links(rows: DataFrame, docs: DataFrame, rounds: int = 3, broadcast_rows
         if last:
             shares = state.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("share"))
             most = shares.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.struct("share", "root"))["root"].alias("main")).where("kinds > 1").select("bucket", "main")
-            x = state.join(most, "bucket").where("root != main").select(*side("x"), "main")
-            both = x.join(state.select(*side("y")), "bucket").where(F.expr("root_x != root_y and (root_y = main or node_x < node_y)") & alike("x", "y"))
+            open_ = state.drop("profile").join(most, "bucket")
+            whole = rows.join(open_.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("profile").alias("profile"))
+            open_ = materialise(open_.join(whole, "node"), "near-open")
+            x = open_.where("root != main").select(*side("x"), "main")
+            both = x.join(open_.select(*side("y")), "bucket").where(F.expr("root_x != root_y and (root_y = main or node_x < node_y)") & alike("x", "y", BITS))
         else:
             first = F.col("order") if not round_ else F.xxhash64("bucket", "node", F.lit(round_))
             lead = state.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(first.alias("first"), *columns)).alias("lead"))
             lead = lead.where("low != high").select("bucket", *(F.col(f"lead.{k}").alias(f"{k}_y") for k in columns))
-            both = state.select(*side("x")).join(lead, "bucket").where(F.expr("root_x != root_y") & alike("x", "y"))
+            both = state.select(*side("x")).join(lead, "bucket").where(F.expr("root_x != root_y") & alike("x", "y", 128))
         turned = F.col("node_x") < F.col("node_y")
         pick = lambda k, p, q: F.when(turned, F.col(f"{k}_{p}")).otherwise(F.col(f"{k}_{q}"))
         pairs = both.select(pick("node", "x", "y").alias("a"), pick("node", "y", "x").alias("b"), pick("root", "x", "y").alias("root_a"), pick("root", "y", "x").alias("root_b")).distinct()

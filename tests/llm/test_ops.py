@@ -551,6 +551,59 @@ def test_one_bridge_joins_two_large_groups(spark):
     assert got.select("class_id").distinct().count() == 1
 
 
+def test_similar_texts_share_buckets_and_pass_the_filter(spark):
+    """Of all pairs of similarity 0.8 or more by plain dynamic programming, hardly any has no bucket or fails the filter."""
+    from tesselace.llm.near import BITS, WORD, alike, similarity, sketch_rows
+
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(3000)]
+    texts = []
+    for _ in range(60):
+        base = rng.choices(words, k=rng.choice([8, 20, 40, 80, 150, 400]))
+        texts.append(" ".join(base))
+        for _ in range(6):
+            copy = list(base)
+            for _ in range(max(1, int(len(base) * rng.uniform(0.0, 0.025)))):
+                at = rng.randrange(len(copy))
+                copy[at : at + rng.randint(0, 1)] = [rng.choice(words)]
+            texts.append(" ".join(copy))
+
+    def twin(a, b):
+        def labelled(t):
+            w, seen = WORD.findall(t), collections.Counter()
+            k = min(5, len(w))
+            out = []
+            for i in range(len(w) - k + 1):
+                s = tuple(w[i : i + k])
+                seen[s] += 1
+                out.append((s, seen[s]))
+            return out
+
+        x, y = labelled(a), labelled(b)
+        row = [0] * (len(y) + 1)
+        for i in x:
+            old = 0
+            for k, j in enumerate(y, 1):
+                old, row[k] = row[k], old + 1 if i == j else max(row[k], row[k - 1])
+        return row[-1] / (len(x) + len(y) - row[-1])
+
+    pairs = [(i, j, twin(texts[i], texts[j])) for g in range(60) for i in range(7 * g, 7 * g + 7) for j in range(i + 1, 7 * g + 7)]
+    near = [(i, j) for i, j, s in pairs if s >= 0.8]
+    assert len(near) > 300
+    for i, j, s in pairs:
+        got = similarity(WORD.findall(texts[i]), WORD.findall(texts[j]))
+        assert got == pytest.approx(s) if s >= 0.8 else got < 0.8
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sketch_rows(docs, 16, 3, 7).persist()
+    side = lambda c: rows.select(*(F.col(k).alias(f"{k}_{c}") for k in ("doc_id", "n", "sketches", "profile")))
+    met = side("a").join(side("b"), F.expr("doc_id_a < doc_id_b and arrays_overlap(sketches_a, sketches_b)"))
+    met = met.select("doc_id_a", "doc_id_b", *(alike("a", "b", bits).alias(f"pass_{bits}") for bits in (128, BITS))).collect()
+    found = {(r.doc_id_a, r.doc_id_b): r for r in met}
+    assert sum(k in found for k in near) >= 0.995 * len(near)
+    for bits in (128, BITS):
+        assert sum(k in found and found[k][f"pass_{bits}"] for k in near) >= 0.99 * len(near)
+
+
 @pytest.mark.parametrize("n", [2, 9])
 def test_components(spark, n):
     from tesselace.llm.near import components
