@@ -1,18 +1,22 @@
 """HTML extraction by union-free regular expressions inferred from pages of one host.
 
 A page becomes a stream of block tags and text slots; adjacent equal runs collapse into a repeated group. The
-distinct streams of a host (there are few, whatever its number of pages) are aligned one after the other: what only
-one side has becomes an optional group, text against text a slot. Each slot of the wrapper is then judged once for
-the host: by the elements around it, by the share of its text inside links and by whether its text varies from page
-to page. Pages are matched against the wrapper of their host and give the text of the slots judged to be content.
-Slots of one path are judged together, and what varies is counted over different pages, so that copies of a page are no
-template.
+distinct streams of a host are aligned: what only one side has becomes an optional group, text against text a slot.
+Pages are matched against the wrapper of their host, which says in which of its slots each text stands. A slot whose
+text hardly varies over the host's pages, and a text that stands in the same slot on most of them, is part of the
+template; of the other slots those are content whose text is mostly outside links and that no element or class name
+of a menu, notice, advert, form or comment surrounds. Where a page has content inside article or main, that alone is kept.
 
-Streams are merged in two steps, (host, salt) and then host, so that no host's streams need one task's memory
-at first. Where the wrappers together are small (their size is checked) they are broadcast, else joined by host.
+Pages count as different by the slot with most text on their host (inside articles, if there are), so that copies of an
+article are no template; a template needs three.
+Headings inside an article are never template texts, so that section titles that an author repeats are kept.
+
+Streams are merged in a tree: no task aligns more than about `fan_in` wrappers, whatever the number of a host's pages.
+Where the wrappers together are small (their size is checked) they are broadcast, else joined by host.
 
 Null html gives an empty text; a null url counts as a host of its own. A page that its wrapper does not match is
-judged slot by slot, by the elements around it and by its links. Repeated rows each have a row. An empty table gives an empty result.
+judged slot by slot, by the elements around it and by its links. Repeated rows each have a row. Other columns are not
+read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ import difflib
 import html as entities
 import json
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,16 +33,21 @@ from pyspark.sql import functions as F
 
 from .common import batches, materialise, small_batches
 
-RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|canvas|select|title"
+RAW = "script|style|noscript|template|textarea|iframe|svg|canvas|select|title"
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>",
     re.S | re.I,
 )
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math mfrac mi mn mo mrow msqrt msub msubsup msup mtext nobr object q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never the article's.
 OUTSIDE = frozenset("nav footer aside form button dialog menu head input figure-ad".split())
-CLASSES = re.compile(r"(?:^|[-_\s])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banners?|sidebars?|side-bar|menus?|nav(?:bar|igation)?|breadcrumbs?|cookies?|consent|notices?|alerts?|popups?|modals?|newsletters?|subscribe|signup|login|comments?|disqus|respon(?:d|ses)|replies|reply|share|sharing|social|related|recommended|widgets?|footers?|headers?|masthead|toolbar|pagination|pager|skip|hidden|tags|toc)(?:$|[-_\s])", re.I)
+#: Words of class names, ids and roles that tell what is not the article's; on a block of text only as a whole name.
+BESIDE = frozenset("ad ads advert adverts advertisement advertisements advertising banner banners breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer footers masthead menu menus modal modals nav navbar navigation newsletter newsletters pager pagination popup popups promo promos promotion promotions sidebar sidebars sponsor sponsored toolbar widget widgets".split())
+#: Words that tell so as a whole name, or before a word of PARTS.
+UNSURE = frozenset("alert alerts header headers hidden login notice notices recommended related replies reply respond responses share sharing signup skip social subscribe tags toc".split())
+PARTS = frozenset("area articles bar block box button buttons container content form icons items links list media news posts section stories widget wrapper".split())
+TEXTUAL = frozenset("blockquote dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th".split())
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -107,7 +117,7 @@ def parse(html: str) -> tuple[list[str], list[tuple[str, str, int]]]:
             marks = " ".join(got.get(x, "") for x in ("class", "id", "role"))
             if "hidden" in got or got.get("aria-hidden") == "true":
                 marks += " hidden"
-            marks = re.sub(r"\d+|/", "", marks).strip()
+            marks = " ".join(re.sub(r"\d+|/", "", marks).split())
         label = f"{name}.{marks}" if marks else name
         if name in VOID:
             stream.append(label)
@@ -226,17 +236,76 @@ def match(nodes: list, stream: list[str], i: int = 0) -> int:
     return i
 
 
+def numbered(nodes: list, count: list[int] | None = None) -> list:
+    """The wrapper with its slots as numbers, in order."""
+    count = [0] if count is None else count
+    out: list = []
+    for x in nodes:
+        if x == "#":
+            out.append(count[0])
+            count[0] += 1
+        else:
+            out.append([x[0], numbered(x[1], count)] if isinstance(x, list) else x)
+    return out
+
+
+def trace(nodes: list, stream: list[str], got: list[int], i: int = 0) -> int:
+    """As match, for a numbered wrapper; got takes the number of the slot of each text."""
+    for x in nodes:
+        if isinstance(x, list):
+            n = len(got)
+            j = trace(x[1], stream, got, i)
+            if j < 0:
+                del got[n:]
+                if x[0] == "+":
+                    return -1
+                continue
+            while x[0] == "+" and j > i:
+                i, n = j, len(got)
+                j = trace(x[1], stream, got, i)
+            if j < 0:
+                del got[n:]
+            else:
+                i = j
+            continue
+        if i >= len(stream) or stream[i] != ("#" if isinstance(x, int) else x):
+            return -1
+        if isinstance(x, int):
+            got.append(x)
+        i += 1
+    return i
+
+
+def places(wrapper: list | None, stream: list[str]) -> list[int] | None:
+    """The slot of each text of the page; None if the (numbered) wrapper does not match."""
+    got: list[int] = []
+    return got if wrapper is not None and trace(wrapper, stream, got) == len(stream) else None
+
+
+@lru_cache(100_000)
+def beside(label: str) -> bool:
+    """Of an element's name, classes, id and role: it is none of the article's."""
+    name, _, marks = label.partition(".")
+    if name in OUTSIDE:
+        return True
+    if name in ("body", "html", "article", "main"):
+        return False
+    for mark in marks.lower().split():
+        words = re.split("[-_]+", mark)
+        if mark in BESIDE or mark in UNSURE:
+            return True
+        if name not in TEXTUAL and (not BESIDE.isdisjoint(words) or any(a in UNSURE and b in PARTS for a, b in zip(words, words[1:], strict=False))):
+            return True
+    return False
+
+
 def outside(path: str) -> bool:
-    """Inside an element that is never the article's; what counts is the element and its class, id and role."""
-    names = path.split("/")
+    """Inside an element that is never the article's."""
     within = False
-    for label in names:
-        name, _, marks = label.partition(".")
-        if name in ("article", "main"):
-            within = True
-        if name in OUTSIDE or name == "header" and not within:
-            return True
-        if marks and name not in ("body", "html", "article", "main") and CLASSES.search(marks):
+    for label in path.split("/"):
+        name = label.partition(".")[0]
+        within = within or name in ("article", "main")
+        if name == "header" and not within or beside(label):
             return True
     return False
 
@@ -245,21 +314,43 @@ def in_article(path: str) -> bool:
     return any(x.partition(".")[0] in ("article", "main") for x in path.split("/"))
 
 
-def content_paths(stats: list[dict]) -> list[str]:
-    """Paths of one host that hold content. stats: path, pages, kinds (distinct texts), chars, linked."""
-    kept = [s for s in stats if not outside(s["path"])]
-    fixed = lambda s: s["pages"] >= 3 and s["kinds"] <= max(1, 0.2 * s["pages"])
-    return sorted(s["path"] for s in kept if in_article(s["path"]) or not fixed(s) and 2 * s["linked"] <= s["chars"])
+def is_heading(path: str) -> bool:
+    return path.rpartition("/")[2].partition(".")[0] in HEADINGS
+
+
+def fixed(pages: int, kinds: int) -> bool:
+    return pages >= 3 and kinds <= max(1, 0.2 * pages)
+
 
+def slot_verdicts(stats: list[dict]) -> dict[int, bool]:
+    """Slots of a wrapper that are content. stats: slot, path, pages, kinds (distinct texts of it), chars, linked."""
+    keep = lambda s: not outside(s["path"]) and not fixed(s["pages"], s["kinds"]) and (in_article(s["path"]) or 2 * s["linked"] <= s["chars"])
+    return {s["slot"]: keep(s) for s in stats}
 
-def main_text(html: str, wrapper: list | None, paths: frozenset) -> tuple[str, bool]:
-    """The article and whether the wrapper matched."""
-    stream, slots = parse(html)
-    matched = wrapper is not None and match(wrapper, stream) == len(stream)
-    article = any(in_article(p) and not outside(p) for p, _, _ in slots)
-    local = lambda p, t, n: not outside(p) and (p in paths or 2 * n <= len(t))
-    keep = [t for p, t, n in slots if (in_article(p) or not article) and (p in paths if matched else in_article(p) and not outside(p) or local(p, t, n))]
-    return "\n".join(keep), matched
+
+def paths_of(stream: list[str]) -> list[str]:
+    """The open blocks around each text."""
+    stack: list[str] = []
+    out = []
+    for x in stream:
+        if x == "#":
+            out.append("/".join(stack))
+        elif x[0] == "/":
+            stack.pop()
+        elif x.partition(".")[0] not in VOID:
+            stack.append(x)
+    return out
+
+
+def main_text(stream: list[str], texts: list[str], linked: list[int], wrapper: list | None, content: dict[int, bool], template: frozenset) -> tuple[str, bool]:
+    """The article and whether the (numbered) wrapper matched. template: (slot, hash of the text) of fixed texts."""
+    paths, slots = paths_of(stream), places(wrapper, stream)
+    if slots is None:
+        found = [(p, t) for p, t, n in zip(paths, texts, linked, strict=True) if not outside(p) and (in_article(p) or 2 * n <= len(t))]
+    else:
+        found = [(p, t) for s, p, t in zip(slots, paths, texts, strict=True) if content.get(s, False) and (s, hash_text(t)) not in template]
+    article = any(in_article(p) for p, _ in found)
+    return "\n".join(t for p, t in found if in_article(p) or not article), slots is not None
 
 
 def _fold(shapes: list[str]) -> str:
@@ -273,65 +364,117 @@ def _fold(shapes: list[str]) -> str:
 def _folded(key, frame):
     import pandas as pd
 
-    return pd.DataFrame({"host": [frame.host.iloc[0]], "shape": [_fold(list(frame["shape"]))]})
+    return pd.DataFrame({"host": [key[0]], "at": [int(key[1])], "shape": [_fold(list(frame["shape"]))]})
 
 
-def extract_pages(pages: DataFrame, broadcast_bytes: int = 8_000_000, salts: int = 16) -> DataFrame:
+def host_wrappers(shapes: DataFrame, fan_in: int) -> DataFrame:
+    """host, wrapper: the distinct shapes of each host, merged level by level."""
+    dealt = shapes.distinct().withColumn("at", F.pmod(F.xxhash64("shape"), F.lit(2**30)))
+    most = dealt.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+    width = 1
+    while width * fan_in < most:
+        width *= fan_in
+    while True:
+        dealt = dealt.withColumn("at", F.pmod("at", F.lit(width))).groupBy("host", "at").applyInPandas(_folded, "host string, at long, shape string")
+        if width == 1:
+            return dealt.select("host", F.col("shape").alias("wrapper"))
+        width //= fan_in
+
+
+def extract_pages(pages: DataFrame, broadcast_bytes: int = 8_000_000, fan_in: int = 16) -> DataFrame:
     """page_id, url, text, n_chars and whether the host's wrapper matched, for every row of pages."""
     spark = pages.sparkSession
     small_batches(spark)
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
 
-    def shapes(it):
+    def parsed(it):
         for batch in batches(it, 500):
-            shape, slots, whole = [], [], []
+            shape, streams, texts, linked = [], [], [], []
             for page in batch.column("html").to_pylist():
                 stream, found = parse(page)
                 shape.append(json.dumps(collapse(stream)))
-                whole.append(hash_text("\n".join(f"{p}\t{t}" for p, t, _ in found)))
-                by: dict[str, list] = {}
-                for p, t, n in found:
-                    by.setdefault(p, []).append((t, n))
-                slots.append([{"path": p, "kind": hash_text("\n".join(t for t, _ in x)), "chars": sum(len(t) for t, _ in x), "linked": sum(n for _, n in x)} for p, x in by.items()])
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(shape), pa.array(whole, pa.int64()), pa.array(slots, SLOTS)], ["host", "shape", "page", "slots"])
-
-    seen = materialise(rows.select("host", "html").mapInArrow(shapes, "host string, shape string, page long, slots array<struct<path:string,kind:long,chars:long,linked:long>>"), "html-shapes")
-    distinct = seen.select("host", "shape").distinct().withColumn("salt", F.pmod(F.xxhash64("shape"), F.lit(salts)))
-    partial = distinct.groupBy("host", "salt").applyInPandas(_folded, "host string, shape string")
-    wrappers = partial.groupBy("host").applyInPandas(_folded, "host string, shape string").withColumnRenamed("shape", "wrapper")
-    slot = seen.select("host", "page", F.explode("slots").alias("s")).select("host", "page", "s.*").distinct()
-    kinds = slot.groupBy("host", "path", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
-    stats = kinds.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.count(F.lit(1)).alias("kinds"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+                streams.append("\n".join(stream))
+                texts.append([t for _, t, _ in found])
+                linked.append([n for _, _, n in found])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host")), pa.array(shape), pa.array(streams), pa.array(texts, pa.list_(pa.string())), pa.array(linked, pa.list_(pa.int32()))], ["page_id", "url", "host", "shape", "stream", "texts", "linked"])
+
+    seen = materialise(rows.mapInArrow(parsed, "page_id long, url string, host string, shape string, stream string, texts array<string>, linked array<int>"), "html-parsed")
+    wrappers = materialise(host_wrappers(seen.select("host", "shape"), fan_in), "html-wrappers")
+
+    def with_model(model: DataFrame, size: str) -> DataFrame:
+        total = model.agg(F.sum(F.expr(size))).first()[0] or 0
+        return seen.select("page_id", "url", "host", "stream", "texts", "linked").join(F.broadcast(model) if total <= broadcast_bytes else model, "host", "left")
+
+    def loaded(known: dict, *key):
+        if key not in known:
+            if len(known) > 2000:
+                known.clear()
+            w, s, t = (*key, None, None)[:3]
+            known[key] = (numbered(json.loads(w)) if w else None, {int(k): v for k, v in json.loads(s).items()} if s else {}, frozenset(map(tuple, json.loads(t))) if t else frozenset())
+        return known[key]
+
+    def slots(it):
+        known: dict = {}
+        for batch in batches(it, 500):
+            out = []
+            for h, w, stream, texts, linked in zip(*(batch.column(c).to_pylist() for c in ("host", "wrapper", "stream", "texts", "linked")), strict=True):
+                stream = stream.split("\n") if stream else []
+                at = places(loaded(known, w)[0], stream)
+                if not at:
+                    continue
+                whole: dict[int, list[str]] = {}
+                for s, t in zip(at, texts, strict=True):
+                    whole.setdefault(s, []).append(t)
+                kinds = {s: hash_text("\n".join(x)) for s, x in whole.items()}
+                page = hash_text(repr(sorted(kinds.items())))
+                out += [(h, page, s, p, kinds[s], hash_text(t), len(t), n) for s, p, t, n in zip(at, paths_of(stream), texts, linked, strict=True)]
+            cols = list(zip(*out, strict=True)) if out else [[]] * len(KINDS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, KINDS.values(), strict=True)], list(KINDS))
+
+    found = with_model(wrappers, "length(wrapper) + length(host)").mapInArrow(slots, "host string, page long, slot int, path string, kind long, text long, chars long, linked long")
+    sums = [F.min("path").alias("path"), F.min("kind").alias("kind"), F.max("chars").alias("chars"), F.max("linked").alias("linked")]
+    once = materialise(found.groupBy("host", "slot", "page", "text").agg(*sums), "html-slots")
+    # the slot with most text over its different contents, inside articles if there are, is the body; pages of equal bodies count as one
+    bodies = once.groupBy("host", "slot", "page", "kind").agg(F.sum("chars").alias("chars"), F.max(F.col("path").rlike("(^|/)(article|main)([./]|$)")).alias("inside"))
+    volume = bodies.groupBy("host", "slot", "kind").agg(F.max("chars").alias("chars"), F.max("inside").alias("inside")).groupBy("host", "slot").agg(F.sum("chars").alias("chars"), F.max("inside").alias("inside"))
+    body = volume.groupBy("host").agg(F.max_by("slot", F.struct("inside", "chars", -F.col("slot"))).alias("slot"))
+    same = bodies.join(F.broadcast(body) if body.count() <= 100_000 else body, ["host", "slot"]).select("host", "page", F.col("kind").alias("body"))
+    once = once.join(same, ["host", "page"], "left").withColumn("page", F.coalesce("body", "page")).groupBy("host", "slot", "page", "text").agg(*sums)
+    kinds = once.groupBy("host", "slot", "page").agg(F.min("path").alias("path"), F.min("kind").alias("kind"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    kinds = kinds.groupBy("host", "slot", "kind").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    stats = kinds.groupBy("host", "slot").agg(F.min("path").alias("path"), F.sum("n").alias("pages"), F.count(F.lit(1)).alias("kinds"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    stats = materialise(stats, "html-stats")
+    often = once.groupBy("host", "slot", "text").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").join(stats.select("host", "slot", "pages", F.col("path").alias("where")), ["host", "slot"]).where("n >= 0.8 * pages")
 
     def judged(key, frame):
         import pandas as pd
 
-        return pd.DataFrame({"host": [key[0]], "paths": [json.dumps(content_paths(frame.to_dict("records")))]})
+        slots = slot_verdicts(frame[frame["text"].isna()].to_dict("records"))
+        texts = frame[frame["text"].notna()]
+        template = sorted((int(s), int(t)) for s, t, p in zip(texts["slot"], texts["text"], texts["path"], strict=True) if not (in_article(p) and is_heading(p)))
+        return pd.DataFrame({"host": [key[0]], "content": [json.dumps({str(k): bool(v) for k, v in sorted(slots.items())})], "template": [json.dumps(template)]})
 
-    chosen = stats.groupBy("host").applyInPandas(judged, "host string, paths string")
-    model = materialise(wrappers.join(chosen, "host", "left"), "html-wrappers")
-    size = model.agg(F.sum(F.length("wrapper") + F.coalesce(F.length("paths"), F.lit(0)) + F.length("host"))).first()[0] or 0
-    joined = rows.join(F.broadcast(model) if size <= broadcast_bytes else model, "host", "left")
+    none = F.lit(None).cast("string")
+    told = stats.withColumn("text", none).unionByName(often.select("host", "slot", F.col("where").alias("path"), *(F.lit(0).cast("long").alias(c) for c in ("pages", "kinds", "chars", "linked")), F.col("text").cast("string").alias("text")))
+    chosen = told.groupBy("host").applyInPandas(judged, "host string, content string, template string")
+    model = materialise(wrappers.join(chosen, "host", "left"), "html-model")
+    joined = with_model(model, "length(wrapper) + length(host) + coalesce(length(content) + length(template), 0)")
 
     def texts(it):
         known: dict = {}
         for batch in batches(it, 500):
             out, ok = [], []
-            for page, w, p in zip(*(batch.column(c).to_pylist() for c in ("html", "wrapper", "paths")), strict=True):
-                if (w, p) not in known:
-                    if len(known) > 2000:
-                        known.clear()
-                    known[w, p] = (json.loads(w) if w else None, frozenset(json.loads(p)) if p else frozenset())
-                t, m = main_text(page, *known[w, p])
-                out.append(t)
-                ok.append(m)
+            for w, s, t, stream, blocks, linked in zip(*(batch.column(c).to_pylist() for c in ("wrapper", "content", "template", "stream", "texts", "linked")), strict=True):
+                text, matched = main_text(stream.split("\n") if stream else [], blocks, linked, *loaded(known, w, s, t))
+                out.append(text)
+                ok.append(matched)
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64()), pa.array(ok, pa.bool_())], ["page_id", "url", "text", "n_chars", "matched"])
 
-    return joined.select("page_id", "url", "html", "wrapper", "paths").mapInArrow(texts, "page_id long, url string, text string, n_chars long, matched boolean")
+    return joined.mapInArrow(texts, "page_id long, url string, text string, n_chars long, matched boolean")
 
 
-SLOTS = pa.list_(pa.struct([("path", pa.string()), ("kind", pa.int64()), ("chars", pa.int64()), ("linked", pa.int64())]))
+KINDS = {"host": pa.string(), "page": pa.int64(), "slot": pa.int32(), "path": pa.string(), "kind": pa.int64(), "text": pa.int64(), "chars": pa.int64(), "linked": pa.int64()}
 
 
 def hash_text(s: str) -> int:

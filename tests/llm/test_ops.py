@@ -360,6 +360,45 @@ def test_fixed_text_of_a_host_is_no_content(spark):
     assert all("Story same." in got[20 + k].text for k in range(10))
 
 
+def test_the_wrapper_decides(spark, monkeypatch):
+    """A line that all pages of a host have is dropped by slot or by text, and only with a wrapper; class words alone drop no article text."""
+    from tesselace.llm import wrappers
+
+    page = """<html><body><div class="q1"><div class="z">Printed by the same press.</div><div class="q2"><h2>Title {k}</h2><p>Body text number {k} with some words.</p><p>All pages have this line.</p>
+<p class="related-work">Earlier work {k}.</p><p class="share-price">It rose to {k}.</p><p>Let <math><mi>x{k}</mi></math> be and <object>fallback {k}</object>.</p></div></div></body></html>"""
+    rows = [(k, f"http://c.example.com/{k}", page.format(k=f"v{k}")) for k in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("other")).withColumn("wrapper", F.lit(1))
+    want = lambda k: f"Title v{k}\nBody text number v{k} with some words.\nEarlier work v{k}.\nIt rose to v{k}.\nLet xv{k} be and fallback v{k}."
+    got = {r.page_id: r for r in wrappers.extract_pages(pages).collect()}
+    assert all(got[k].text == want(k) and got[k].matched for k in range(12))
+    stream, slots = wrappers.parse(rows[0][2])
+    bare, matched = wrappers.main_text(stream, [t for _, t, _ in slots], [n for _, _, n in slots], None, {}, frozenset())
+    assert not matched and "Printed by the same press." in bare and "All pages have this line." in bare
+
+
+def test_copies_of_an_article_are_no_template(spark):
+    from tesselace.llm.wrappers import extract_pages
+
+    page = "<html><body><nav>n</nav><article><h1>One head</h1><p>The whole story as it was printed.</p></article><div class='x'>Side {k}</div></body></html>"
+    rows = [(k, f"http://d.example.com/{k}", page.format(k=k)) for k in range(8)] + [(None, "http://d.example.com/n", "<p>" * 2000 + "deep" + "</p>" * 2000 + "<div>" * 500 + "x" * 100_000)]
+    got = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 9 and all(r.text == "One head\nThe whole story as it was printed." for r in got if r.page_id is not None)
+    assert [r.n_chars for r in got if r.page_id is None] == [100_005]
+
+
+def test_shapes_of_a_host_are_folded_in_a_tree(spark):
+    import json
+
+    from tesselace.llm.wrappers import collapse, host_wrappers, match, parse
+
+    streams = [parse(f"<div>{''.join(f'<h{1 + k % 3}>a</h{1 + k % 3}>' if k >> b & 1 else f'<p class=c{chr(97 + b)}>t</p>' for b in range(6))}</div>")[0] for k in range(60)]
+    shapes = spark.createDataFrame([("h", json.dumps(collapse(s))) for s in streams], "host string, shape string")
+    rows = host_wrappers(shapes, 4).collect()
+    assert len(rows) == 1
+    wrapper = json.loads(rows[0].wrapper)
+    assert sum(match(wrapper, s) == len(s) for s in streams) >= 0.9 * len(streams)
+
+
 def test_wrappers_match_what_they_were_made_of():
     import json
 
