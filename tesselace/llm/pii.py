@@ -3,18 +3,23 @@
 Entities found by pattern are replaced by keyed surrogates of their kind and format. Digit strings go through a
 keyed Feistel permutation (distinct numbers stay distinct; card check digits, separators and country codes keep
 their form), other kinds through a keyed stream that respects character class, script and, for names after a title,
-gender. Surrogates depend on the canonical entity alone, so one entity has one surrogate in all documents however
+gender. A name that follows a title anywhere in a document is also replaced where it stands there without one, by the
+same surrogate. Surrogates depend on the canonical entity alone, so one entity has one surrogate in all documents however
 it is written. Over all distinct entities it is then checked that no two share a surrogate and that no surrogate is
 itself an entity of the input; those that fail take the next attempt until none is left. Only such exceptions are
 joined to documents; all others are computed where the text lies.
 
+Whoever has the key can undo the permutations. It is an argument, or the setting spark.tesselace.pii.key; without either
+each session draws its own, and surrogates then differ from session to session.
+
 Null text stays null; empty text stays empty. U+0001 and U+0002 in a text are kept. Repeated rows are treated alike.
-Other columns are kept as they are.
+Other columns are kept as they are; input columns named n_entities or kinds are replaced by those of the result.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import secrets
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +29,7 @@ from .common import materialise
 
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа|г-жа"
 MALE = "Mr|Herr|Monsieur|Señor|Sr|Господин|г-н"
-TITLE = rf"(?<![\p{{L}}\p{{N}}])(?:{FEMALE}|{MALE})\.? \p{{Lu}}"
+TITLE = rf"(?<![\p{{L}}\p{{N}}])(?:{FEMALE}|{MALE})\.? [\p{{Lu}}\p{{Lo}}]"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IP = rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)"
@@ -33,7 +38,8 @@ IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<![\d-])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{13,19})(?![\d-]*\d)"
 PHONE = r"(?<![\p{L}\d+])(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\+(?!1[ (.-])\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)"
-NAME = rf"{TITLE}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+)*"
+REST = r"[\p{L}\p{M}'’-]"
+NAME = rf"{TITLE}(?:(?<=\p{{Lu}}){REST}+(?: \p{{Lu}}{REST}+)*|(?<=\p{{Lo}}){REST}*(?: \p{{Lo}}{REST}*)?)"
 ENTITY = "|".join((EMAIL, SECRET, IBAN, IP, SSN, CARD, PHONE, NAME))
 #: What any entity has; texts without it are not searched further.
 HINT = rf"[0-9@]|{TITLE}"
@@ -83,20 +89,35 @@ def alphabet(first: str, last: str) -> Column:
     return F.lit("".join(map(chr, range(ord(first), ord(last) + 1))))
 
 
+#: First and last letter of a run of letters of each further script, and how its letters are told.
+SCRIPTS = (
+    (r"\p{IsGreek}", "α", "ρ"),
+    (r"\p{IsHebrew}", "א", "ת"),
+    (r"\p{IsArabic}", "ب", "غ"),
+    (r"\p{IsDevanagari}", "क", "न"),
+    (r"\p{IsThai}", "ก", "ฮ"),
+    (r"\p{IsHiragana}", "か", "ぢ"),
+    (r"\p{IsKatakana}", "カ", "ヂ"),
+    (r"\p{IsHangul}", "가", "깋"),
+    (r"\p{IsHan}", "丁", "亿"),
+)
+
+
 def like(s: Column, stream: Column) -> Column:
     """Each letter or digit replaced by one of its class and script, by a keyed stream; the rest stays."""
 
     def one(c, i):
         r = number(keyed(stream, (i / 8).cast("int")), 1 + i % 8 * 7, 7)
         pick = lambda letters: F.substr(letters, F.lit(1) + (r % F.length(letters)).cast("int"), F.lit(1))
-        return (
+        plain = (
             F.when(c.rlike("[0-9]"), pick(alphabet("0", "9")))
+            .when(c.rlike(r"[a-z]"), pick(alphabet("a", "z")))
             .when(c.rlike(r"[а-яё]"), pick(alphabet("а", "я")))
             .when(c.rlike(r"[А-ЯЁ]"), pick(alphabet("А", "Я")))
-            .when(c.rlike(r"\p{Lu}"), pick(alphabet("A", "Z")))
-            .when(c.rlike(r"\p{L}"), pick(alphabet("a", "z")))
-            .otherwise(c)
         )
+        for script, first, last in SCRIPTS:
+            plain = plain.when(c.rlike(f"(?=\\p{{L}}){script}"), pick(alphabet(first, last)))
+        return plain.when(c.rlike(r"\p{Lu}"), pick(alphabet("A", "Z"))).when(c.rlike(r"\p{L}"), pick(alphabet("a", "z"))).otherwise(c)
 
     return F.array_join(F.transform(F.split(s, ""), one), "")
 
@@ -106,8 +127,10 @@ def syllables(consonants: str, vowels: str) -> Column:
 
 
 def name_like(kind: Column, canon: Column, stream: Column, attempt: Column) -> Column:
-    """A pronounceable lower-case name of the script; the ending follows the gender."""
+    """A pronounceable lower-case name of the script; the ending follows the gender. In scripts other than Latin and
+    Cyrillic, letters of the script."""
     cyrillic = canon.rlike(r"\p{IsCyrillic}")
+    other = canon.rlike("|".join(script for script, _, _ in SCRIPTS))
 
     def build(parts: Column, female: str, male: str, family: str) -> Column:
         body = F.transform(
@@ -117,7 +140,7 @@ def name_like(kind: Column, canon: Column, stream: Column, attempt: Column) -> C
         end = F.when(kind == "given_f", F.lit(female)).when(kind == "given_m", F.lit(male)).otherwise(F.lit(family))
         return F.concat(F.array_join(body, ""), end)
 
-    return F.when(cyrillic, build(syllables("бвдклмнрст", "аеиоу"), "на", "н", "ров")).otherwise(build(syllables("bdfklmnprstv", "aeiou"), "na", "n", "ler"))
+    return F.when(other, like(canon, stream)).when(cyrillic, build(syllables("бвдклмнрст", "аеиоу"), "на", "н", "ров")).otherwise(build(syllables("bdfklmnprstv", "aeiou"), "na", "n", "ler"))
 
 
 def iban(canon: Column, stream: Column) -> Column:
@@ -239,13 +262,50 @@ def in_case(new: Column, old: Column) -> Column:
     return F.when((F.upper(old) == old) & (F.length(old) > 1), F.upper(new)).otherwise(F.initcap(new))
 
 
-def entities(part: Column) -> Column:
+def name_words(part: Column) -> Column:
+    """Array of (kind, canon, word) of the words of a name after its title."""
+    words = F.split(part, " ")
+    named = F.transform(words, lambda w, i: F.struct(name_kind(part, i, F.size(words)).alias("kind"), F.lower(w).alias("canon"), w.alias("word"), i.alias("i")))
+    return F.filter(named, lambda e: e["i"] > 0)
+
+
+def named_in(parts: Column) -> Column:
+    """All name words of a document's parts, those of longer names first."""
+    names = F.filter(odd_parts(parts), lambda p: kind_of(p) == "name")
+    length = lambda p: F.size(F.split(p, " "))
+    return let(names, lambda n: F.flatten(F.transform(F.concat(F.filter(n, lambda p: length(p) > 2), F.filter(n, lambda p: length(p) <= 2)), name_words)))
+
+
+def kinds_of_names(named: Column) -> Column:
+    """Map from canonical name to its kind: that of its first mention."""
+    canons = F.array_distinct(F.transform(named, lambda e: e["canon"]))
+    return let(canons, lambda c: F.map_from_arrays(c, F.transform(c, lambda x: F.get(F.filter(named, lambda e: e["canon"] == x), F.lit(0))["kind"])))
+
+
+def bare_names(parts: Column, named: Column) -> Column:
+    """The parts, cut also at mentions of the names without a title."""
+    words = F.array_distinct(F.transform(F.filter(named, lambda e: (F.length(e["word"]) > 1) | e["word"].rlike(r"\p{Lo}")), lambda e: e["word"]))
+    longest = F.array_sort(words, lambda a, b: F.length(b) - F.length(a))
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])("), F.array_join(longest, "|"), F.lit(r")(?![\p{L}\p{N}]|-\p{L})"))
+    marked = let(pattern, lambda q: F.transform(parts, lambda p, i: F.when(i % 2 == 1, p).otherwise(F.regexp_replace(p, q, F.lit("\u0001$1\u0001")))))
+    return F.when(F.size(words) > 0, F.split(F.array_join(marked, "\u0001"), "\u0001")).otherwise(parts)
+
+
+def odd_parts(parts: Column) -> Column:
+    return F.filter(parts, lambda p, i: i % 2 == 1)
+
+
+def kind_in(names: Column, part: Column, word: Column, i: Column, n: Column) -> Column:
+    """Kind of one word of a name: as elsewhere in the document."""
+    return F.coalesce(F.try_element_at(names, F.lower(word)), name_kind(part, i, n))
+
+
+def entities(part: Column, names: Column) -> Column:
     """Array of (kind, canon) of one found part; a name has one for each of its words."""
     words = F.split(part, " ")
-    named = F.filter(
-        F.transform(words, lambda w, i: F.struct(name_kind(part, i, F.size(words)).alias("kind"), F.lower(w).alias("canon"), i.alias("i"))),
-        lambda e: e["i"] > 0,
-    )
+    titled = F.size(words) > 1
+    named = F.transform(words, lambda w, i: F.struct(kind_in(names, part, w, i, F.size(words)).alias("kind"), F.lower(w).alias("canon"), i.alias("i")))
+    named = F.filter(named, lambda e: (e["i"] > 0) | ~titled)
     return let(
         kind_of(part),
         lambda k: F.when(k == "name", F.transform(named, lambda e: F.struct(e["kind"].alias("kind"), e["canon"].alias("canon")))).otherwise(
@@ -254,14 +314,15 @@ def entities(part: Column) -> Column:
     )
 
 
-def replaced(part: Column, attempt_of, key: str) -> Column:
+def replaced(part: Column, attempt_of, key: str, names: Column) -> Column:
     """The part with surrogates, in its own format. attempt_of: (kind, canon) -> attempt."""
     words = F.split(part, " ")
+    titled = F.size(words) > 1
     name = F.array_join(
         F.transform(
             words,
-            lambda w, i: F.when(i == 0, w).otherwise(
-                let(F.struct(name_kind(part, i, F.size(words)).alias("k"), F.lower(w).alias("c")), lambda e: in_case(surrogate(e["k"], e["c"], attempt_of(e["k"], e["c"]), key), w))
+            lambda w, i: F.when((i == 0) & titled, w).otherwise(
+                let(F.struct(kind_in(names, part, w, i, F.size(words)).alias("k"), F.lower(w).alias("c")), lambda e: in_case(surrogate(e["k"], e["c"], attempt_of(e["k"], e["c"]), key), w))
             ),
         ),
         " ",
@@ -311,15 +372,24 @@ def settle(found: DataFrame, key: str, rounds: int = 100) -> DataFrame | None:
     raise RuntimeError("surrogates still collide; the space of a kind is too small for its entities")
 
 
-def replace_entities(docs: DataFrame, key: str = "tesselace", broadcast_rows: int = 100_000) -> DataFrame:
+@lru_cache(1)
+def drawn_key() -> str:
+    return secrets.token_hex(32)
+
+
+def replace_entities(docs: DataFrame, key: str | None = None, broadcast_rows: int = 100_000) -> DataFrame:
     """docs with surrogates in text, n_entities (long) and kinds (the entities' kinds, in order)."""
+    key = key or docs.sparkSession.conf.get("spark.tesselace.pii.key", None) or drawn_key()
     hinted = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
-    plain = [F.col(c) for c in docs.columns]
-    cut = docs.where(hinted).withColumn("__parts", split_parts(F.col("text")))
+    plain = [F.col(c) for c in docs.columns if c.lower() not in ("n_entities", "kinds")]
+    docs = docs.select(*plain)
+    cut = docs.where(hinted).withColumn("__parts", split_parts(F.col("text"))).withColumn("__named", named_in(F.col("__parts")))
+    cut = cut.withColumn("__parts", F.when(F.size("__named") > 0, bare_names(F.col("__parts"), F.col("__named"))).otherwise(F.col("__parts")))
+    cut = cut.withColumn("__names", kinds_of_names(F.col("__named"))).drop("__named")
     searched = materialise(cut.withColumn("__text_key", F.sha2("text", 256)), "pii-searched")
     hit = searched.where(F.size("__parts") > 1)
-    odd = F.transform(F.sequence(F.lit(0), (F.size("__parts") / 2).cast("int") - 1), lambda i: F.get("__parts", 2 * i + 1))
-    found = hit.select("__text_key", F.explode(F.flatten(F.transform(odd, entities))).alias("e")).select("__text_key", "e.kind", "e.canon")
+    odd, names = odd_parts(F.col("__parts")), F.col("__names")
+    found = hit.select("__text_key", F.explode(F.flatten(F.transform(odd, lambda p: entities(p, names)))).alias("e")).select("__text_key", "e.kind", "e.canon")
     exceptions = settle(found.select("kind", "canon"), key)
     attempt_of = lambda k, c: F.lit(0)
     if exceptions is not None:
@@ -328,8 +398,8 @@ def replace_entities(docs: DataFrame, key: str = "tesselace", broadcast_rows: in
         )
         by_text = materialise(by_text, "pii-exceptions")
         hit = hit.join(F.broadcast(by_text) if by_text.count() <= broadcast_rows else by_text, "__text_key", "left")
-        attempt_of = lambda k, c: F.coalesce(F.element_at(F.col("__attempts"), F.concat_ws(":", k, c)), F.lit(0))
-    new = F.transform("__parts", lambda p, i: F.when(i % 2 == 1, replaced(p, attempt_of, key)).otherwise(p))
+        attempt_of = lambda k, c: F.coalesce(F.try_element_at(F.col("__attempts"), F.concat_ws(":", k, c)), F.lit(0))
+    new = F.transform("__parts", lambda p, i: F.when(i % 2 == 1, replaced(p, attempt_of, key, names)).otherwise(p))
     done = hit.withColumn("text", joined_parts(new)).select(*plain, F.size(odd).cast("long").alias("n_entities"), F.transform(odd, kind_of).alias("kinds"))
     none = (F.lit(0).cast("long").alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
     rest = [searched.where(F.size("__parts") <= 1), docs.where(~hinted)]
