@@ -1,7 +1,7 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
 Learning uses a bounded sample: at most `sample_rows` labelled rows of the training fold, the first by hash of
-doc_id, with near copies (equal least five-word shingle hash) counted once. It yields a lexicon (words whose
+doc_id, with near copies (equal least five-word shingle hash) counted once, as toxic if one of them is. It yields a lexicon (words whose
 document frequency differs between the classes by likelihood ratio), the trees and the calibration. Every whole
 text is then scored where it lies, without a shuffle.
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, bucket_of, small_batches, texts_of
+from .common import batches, bucket_of, materialise, small_batches, texts_of
 
 #: Words that count as insults before anything is learned.
 SEEDS = frozenset("idiot idiots moron morons stupid scum trash loser losers pathetic worthless disgusting clown dumb bastard imbecile imbécil idiota estúpido abruti connard crétin débile dummkopf arschloch trottel abschaum vollidiot".split())
@@ -177,9 +177,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, lexicon
         .limit(sample_rows)
     )
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
-    once = sample.select("text", "toxic").mapInArrow(_signed_words, "sig long, toxic int, words array<string>").dropDuplicates(["sig"])
+    signed = sample.select("text", "toxic").mapInArrow(_signed_words, "sig long, toxic int, words array<string>")
+    once = materialise(signed.groupBy("sig").agg(F.max("toxic").alias("toxic"), F.min("words").alias("words")), "toxic-words")
     counts = once.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n"))
-    sizes = sample.groupBy("toxic").count().collect()
+    sizes = once.groupBy("toxic").count().collect()
     bad, good = (sum(r["count"] for r in sizes if r.toxic == k) for k in (1, 0))
     if not bad or not good:
         return Scorer({}, None, None, bad / max(1, bad + good))
