@@ -6,12 +6,13 @@
    weighted so that theirs is twice the documents' energy): every task adds up its share of A^T A Omega; a Nystroem step gives the
    right singular vectors. Only the (terms x rank) sketch leaves the tasks; terms are bounded by the benchmark.
 3. Windows and items are compared by cosine in the latent space, where a window must also hold `energy_share` of the
-   item (its component along the item); the items are a stated query set, compared as one block. An item of more than
+   item (its component along the item); the items are a stated query set, compared in blocks. An item of more than
    `LONGEST` words, which no window holds, is cut into parts of at most a window; each part is a query for the item.
 4. Candidates are checked on the words: the longest common subsequence with the item must cover `covered` of it, and
    of the answer (the text after the last question mark, else the last sentence) half of the words must be there.
 
-Null text has no passage. A document with several rows is reported once for an item, with its best values. Items
+Null text has no passage. A document with several rows is reported once for an item, with its best values; rows without
+id are reported under null. Items
 with null or empty text match nothing; an empty benchmark or table gives an empty result.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,8 @@ STRIDE = 24
 CHUNK = 64
 LEAST = 6
 LONGEST = 3 * STRIDE
-RESULT = "doc_id long, item_id long, cosine double, lcs double, answer double"
+BLOCK = 512
+RESULT = "doc_id long, digest long, item_id long, cosine double, lcs double, answer double"
 
 
 def words_of(text: str) -> list[str]:
@@ -82,14 +85,10 @@ class Vocabulary:
             chosen.update(sorted(set(part), key=lambda w: (seen[w], w))[:LEAST])
         self.index = {w: k for k, w in enumerate(sorted(chosen))}
 
-    def counts(self) -> np.ndarray:
-        """One row a part."""
-        out = np.zeros((len(self.parts), len(self.index)))
-        for r, (_, words) in enumerate(self.parts):
-            for w in words:
-                if w in self.index:
-                    out[r, self.index[w]] += 1
-        return out
+    def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(part, term, number), in order of the parts; each part has a term."""
+        found = [(r, self.index[w], n) for r, (_, words) in enumerate(self.parts) for w, n in Counter(words).items() if w in self.index]
+        return tuple(np.array(x) for x in zip(*found, strict=True))
 
 
 def flat_lists(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,8 +128,14 @@ def windows(doc: np.ndarray, position: np.ndarray, term: np.ndarray, rows: np.nd
     return d, b, both
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, energy_share: float = 0.35, covered: float = 0.6, rank: int = 128, common_items: float = 0.05, broadcast_rows: int = 1_000_000, seed: int = 1) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """doc_id, item_id, cosine, lcs (share of the item) and answer (share of the answer) of every document that holds an item."""
+    found = leaks_of_texts(docs, benchmark, **options)
+    return found.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("cosine", "lcs", "answer")))
+
+
+def leaks_of_texts(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, energy_share: float = 0.35, covered: float = 0.6, rank: int = 128, common_items: float = 0.05, broadcast_rows: int = 500_000, seed: int = 1) -> DataFrame:
+    """As find_leaks, for each different text (digest) of an id."""
     spark = docs.sparkSession
     small_batches(spark)
     vocabulary = Vocabulary([(r.item_id, r.text) for r in benchmark.select("item_id", "text").collect()], common_items)
@@ -138,9 +143,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, energ
     if not index:
         return spark.createDataFrame([], RESULT)
     n_terms = len(index)
+    terms = spark.sparkContext.broadcast(index)
 
     def hits(it):
-        get = index.get
+        get = terms.value.get
         for batch in batches(it, 500):
             at, which = [], []
             for t in texts_of(batch):
@@ -148,9 +154,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, energ
                 p = np.flatnonzero(ids >= 0).astype(np.int32)
                 at.append(p)
                 which.append(ids[p])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(at, pa.list_(pa.int32())), pa.array(which, pa.list_(pa.int32()))], ["doc_id", "position", "term"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(at, pa.list_(pa.int32())), pa.array(which, pa.list_(pa.int32()))], ["doc_id", "digest", "position", "term"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(hits, "doc_id long, position array<int>, term array<int>")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
+    found = keyed.mapInArrow(hits, "doc_id long, digest long, position array<int>, term array<int>")
     found = materialise(found, "leak-hits")
     n_docs, n_parts = found.count(), found.rdd.getNumPartitions()
 
@@ -165,7 +172,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, energ
     from_task = F.spark_partition_id().cast("long")
     df = np.frombuffer(summed_blobs(found.select("position", "term").mapInArrow(frequencies, blobs).withColumn("part", from_task), "<i8", n_parts).get(0, np.zeros(n_terms, np.int64).tobytes()), "<i8")
     idf = np.maximum(np.log((n_docs + 1) / (df + 0.5)), 0.2)
-    queries = vocabulary.counts() * idf
+    part, term, number = vocabulary.counts()
+    share = number * idf[term]
+    begin = np.flatnonzero(np.r_[True, np.diff(part) != 0])
+    of_parts = lambda x: np.concatenate([np.add.reduceat(share[a:b, None] * x[term[a:b]], begin[i : i + BLOCK] - a) for i, a, b in zip(range(0, len(begin), BLOCK), begin[::BLOCK], [*begin[::BLOCK][1:], len(part)], strict=True)])
     k = min(rank, n_terms)
     omega = np.random.default_rng(seed).standard_normal((n_terms, k))
     tested = (omega * idf[:, None]).astype(np.float32)
@@ -192,10 +202,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, energ
     got = summed_blobs(found.select("position", "term").mapInArrow(sketch, blobs).withColumn("part", from_task), "<f8", n_parts)
     total = np.concatenate([np.frombuffer(got[c], "<f8") for c in range(n_chunks)]).reshape(-1, k)[:n_terms] if got else np.zeros((n_terms, k))
     energy = float(np.frombuffer(got[n_chunks], "<f8")[0]) if got else 0.0
-    weight = 2 * max(1.0, energy) / (queries**2).sum()
-    product = idf[:, None] * total + weight * queries.T @ (queries @ omega)
-    basis = right_vectors(omega, product)
-    latent = queries @ basis
+    weight = 2 * max(1.0, energy) / (share**2).sum()
+    asked_for = of_parts(omega)
+    back = np.stack([np.bincount(term, share * asked_for[part, c], n_terms) for c in range(k)], 1)
+    basis = right_vectors(omega, idf[:, None] * total + weight * back)
+    latent = of_parts(basis)
     lengths = np.maximum(np.linalg.norm(latent, axis=1), 1e-12)
     latent /= lengths[:, None]
     rows = (idf[:, None] * basis).astype(np.float32)
@@ -203,31 +214,36 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, energ
 
     def search(it):
         rows, targets, lengths = model.value
-        for batch in batches(it, 1000):
-            ids = batch.column("doc_id").to_pylist()
+        for batch in batches(it, 500):
             d, b, v = windows(*flat_lists(batch), rows)
             norm = np.linalg.norm(v, axis=1)
             use = np.flatnonzero(norm >= energy_share * lengths.min())  # what a window lacks of length it lacks of every item
-            dot = v[use] @ targets
-            near, item = np.nonzero((dot >= cosine * norm[use, None]) & (dot >= energy_share * lengths))
-            value = dot[near, item] / norm[use][near]
-            near = use[near]
+            found = [(use[:0], use[:0], norm[:0])]
+            for i, j in product(range(0, len(use), 8192), range(0, len(lengths), BLOCK)):
+                some = use[i : i + 8192]
+                dot = v[some] @ targets[:, j : j + BLOCK]
+                near, item = np.nonzero((dot >= cosine * norm[some, None]) & (dot >= energy_share * lengths[j : j + BLOCK]))
+                found.append((some[near], item + j, dot[near, item] / norm[some][near]))
+            near, item, value = (np.concatenate(x) for x in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[x] for x in d[near]], pa.int64()), pa.array(item, pa.int32()), pa.array(b[near], pa.int32()), pa.array(value, pa.float64())],
-                ["doc_id", "item", "block", "cosine"],
+                [*(batch.column(c).take(pa.array(d[near])) for c in ("doc_id", "digest")), pa.array(item, pa.int32()), pa.array(b[near], pa.int32()), pa.array(value, pa.float64())],
+                ["doc_id", "digest", "item", "block", "cosine"],
             )
 
-    candidates = found.mapInArrow(search, "doc_id long, item int, block int, cosine double").where("doc_id is not null")
-    listed = materialise(candidates.groupBy("doc_id").agg(F.collect_list(F.struct("item", "block", "cosine")).alias("candidates")), "leak-candidates")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    candidates = found.mapInArrow(search, "doc_id long, digest long, item int, block int, cosine double").distinct()
+    listed = materialise(candidates.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("item", "block", "cosine")).alias("candidates")), "leak-candidates")
+    wanted = listed.select(F.col("doc_id").alias("id"), F.col("digest").alias("same"), "candidates")
+    at = lambda df: df["doc_id"].eqNullSafe(wanted["id"]) & (df["digest"] == wanted["same"])
     if listed.count() <= broadcast_rows:
-        texts = texts.join(F.broadcast(listed.select("doc_id")), "doc_id", "left_semi")
-    items, part_of = vocabulary.items, [k for k, _ in vocabulary.parts]
+        keyed = keyed.join(F.broadcast(wanted.select("id", "same")), at(keyed), "left_semi")
+    checked = keyed.join(wanted, at(keyed))
+    asked = spark.sparkContext.broadcast((vocabulary.items, [k for k, _ in vocabulary.parts]))
 
     def verify(it):
+        items, part_of = asked.value
         for batch in batches(it, 500):
             out = []
-            for doc, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "candidates")), strict=True):
+            for doc, digest, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "digest", "text", "candidates")), strict=True):
                 words = words_of(text or "")
                 best: dict[int, tuple] = {}
                 for x in found:
@@ -239,12 +255,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, energ
                     told = sum(min(n, have[w]) for w, n in Counter(answer).items()) / len(answer)
                     if share >= covered and told >= 0.5:
                         best[item] = max(best.get(item, (0, 0, 0)), (share, told, x["cosine"]))
-                out += [(doc, i, c, s, a) for i, (s, a, c) in best.items()]
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), *[pa.float64()] * 3), strict=True)], ["doc_id", "item_id", "cosine", "lcs", "answer"])
+                out += [(doc, digest, i, c, s, a) for i, (s, a, c) in best.items()]
+            cols = list(zip(*out, strict=True)) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 3, *[pa.float64()] * 3), strict=True)], ["doc_id", "digest", "item_id", "cosine", "lcs", "answer"])
 
-    checked = texts.join(listed, "doc_id").mapInArrow(verify, RESULT)
-    return checked.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("cosine", "lcs", "answer")))
+    return checked.select("doc_id", "digest", "text", "candidates").mapInArrow(verify, RESULT)
 
 
 def right_vectors(omega: np.ndarray, product: np.ndarray) -> np.ndarray:
@@ -259,7 +274,9 @@ def right_vectors(omega: np.ndarray, product: np.ndarray) -> np.ndarray:
     return u[:, s > 1e-9 * s.max()]
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Rows of docs that hold no item."""
-    leaks = find_leaks(docs, benchmark, **options).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, docs["doc_id"] == leaks["__leak"], "left_anti")
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = 500_000, **options) -> DataFrame:
+    """Rows of docs whose text holds no item."""
+    leaks = leaks_of_texts(docs, benchmark, **options).select(F.col("doc_id").alias("__leak"), F.col("digest").alias("__same")).distinct()
+    leaks = materialise(leaks, "leaks")
+    leaks = F.broadcast(leaks) if leaks.count() <= broadcast_rows else leaks
+    return docs.join(leaks, docs["doc_id"].cast("long").eqNullSafe(leaks["__leak"]) & (F.xxhash64(docs["text"]) == leaks["__same"]), "left_anti")
