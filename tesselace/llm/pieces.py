@@ -383,9 +383,9 @@ def inclusion(x: np.ndarray) -> np.ndarray:
         return np.where(x < -30, x, np.log(-np.expm1(-np.exp(np.minimum(x, 50)))))
 
 
-def sample_segmentations(docs: DataFrame, model_path: str, samples: int = 3, seed: int = 11, with_pieces: bool = False) -> DataFrame:
+def sample_segmentations(docs: DataFrame, model_path: str, samples: int = 3, seed: int = 11, with_pieces: bool = True) -> DataFrame:
     """A row for each document and sample: n_pieces, log_prob, perturbed, log_inclusion, ids_crc32 (of the ids as
-    little-endian 32-bit numbers), decoded (the ids give the text again) and, if asked for, the pieces."""
+    little-endian 32-bit numbers), decoded (the ids give the text again) and, unless they are not wanted, the pieces."""
     small_batches(docs.sparkSession)
     schema = SCHEMA + (", pieces array<int>" if with_pieces else "")
     fields = ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "ids_crc32", "decoded", "pieces"][: 9 if with_pieces else 8]
@@ -412,6 +412,7 @@ def sample_segmentations(docs: DataFrame, model_path: str, samples: int = 3, see
                 stops = np.cumsum(made_size)
                 same = [a == size[i] and made[b - a : b].tobytes() == raw[i] for a, b, i in zip(made_size, stops, live, strict=True)]
                 packed = ids.astype("<i4")
+                view = memoryview(packed).cast("B") if len(packed) else b""
                 cols = [
                     [doc_ids[full[i]] for i in live],
                     [s] * len(live),
@@ -419,11 +420,13 @@ def sample_segmentations(docs: DataFrame, model_path: str, samples: int = 3, see
                     logp,
                     top,
                     inclusion(logp - kappa),
-                    [zlib.crc32(packed[b - a : b].tobytes()) for a, b in zip(count, ends, strict=True)],
+                    [zlib.crc32(view[4 * (b - a) : 4 * b]) for a, b in zip(count.tolist(), ends.tolist(), strict=True)],
                     same,
-                    [packed[b - a : b] for a, b in zip(count, ends, strict=True)] if with_pieces else None,
                 ]
-                yield pa.RecordBatch.from_arrays([pa.array(c, _TYPES[f]) for f, c in zip(fields, cols, strict=False)], fields)
+                made_columns = [pa.array(c, _TYPES[f]) for f, c in zip(fields, cols, strict=False)]
+                if with_pieces:
+                    made_columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(packed)))
+                yield pa.RecordBatch.from_arrays(made_columns, fields)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, schema)
 
