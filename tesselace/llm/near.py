@@ -265,10 +265,12 @@ def near_links(rows: DataFrame, docs: DataFrame, rounds: int = 3, broadcast_rows
             shares = state.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("share"))
             most = shares.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.struct("share", "root"))["root"].alias("main")).where("kinds > 1").select("bucket", "main")
             open_ = state.drop("profile").join(most, "bucket")
-            whole = rows.join(open_.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("profile").alias("profile"))
+            whole = rows.join(open_.select("node").distinct(), "node", "left_semi").groupBy("node").agg(*(F.first(c).alias(c) for c in ("profile", "sketches")))
             open_ = materialise(open_.join(whole, "node"), "near-open")
-            x = open_.where("root != main").select(*side("x"), "main")
-            both = x.join(open_.select(*side("y")), "bucket").where(F.expr("root_x != root_y and (root_y = main or node_x < node_y)") & alike("x", "y", BITS))
+            x = open_.where("root != main").select(*side("x"), "main", F.col("sketches").alias("sketches_x"))
+            y = open_.select(*side("y"), F.col("sketches").alias("sketches_y"))
+            once = F.get(F.array_intersect("sketches_x", "sketches_y"), F.lit(0)) == F.col("bucket")  # of the buckets that a pair shares, one counts
+            both = x.join(y, "bucket").where(F.expr("root_x != root_y and (root_y = main or node_x < node_y)") & alike("x", "y", BITS) & once)
         else:
             first = F.col("order") if not round_ else F.xxhash64("bucket", "node", F.lit(round_))
             lead = state.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(first.alias("first"), *columns)).alias("lead"))
