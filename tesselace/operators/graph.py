@@ -2,51 +2,87 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-_own: list[str] = []
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """df as Parquet in the folder of spark.checkpoint.dir (a temporary one where that is unset), read again."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not _own:
-            _own.append("file://" + tempfile.mkdtemp(prefix="tesselace-"))
-        folder = _own[0]
-    path = f"{folder}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from tesselace.operators.order import numbered
+from tesselace.storage import discard, saved
 
 
 def csr_rows(edges: DataFrame) -> DataFrame:
-    """(node, first, degree): where each source's edges begin when edges are laid out by source.
-
-    Prefix sums are taken within a block of sources and over the blocks' totals, so no task holds all nodes."""
-    degree = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree")).withColumn("block", F.floor(F.col("node") / 4096))
-    before = Window.partitionBy("block").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-    totals = degree.groupBy("block").agg(F.sum("degree").alias("n"))
-    over = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("block", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("start"))
-    return degree.join(starts, "block").select("node", (F.col("start") + F.coalesce(F.sum("degree").over(before), F.lit(0))).cast("long").alias("first"), "degree")
+    """(node, first, degree): where each source's edges begin when edges are laid out by source."""
+    degree = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+    return numbered(degree, ["node"], "first", F.col("degree"))
+
+
+def csr_edges(edges: DataFrame) -> DataFrame:
+    """(at, src, dst, cap, partner): edges (src, dst, cap; no two alike) laid out by source and target, and where each
+    one's reverse edge lies; null if there is none."""
+    laid = saved(numbered(edges.select("src", "dst", "cap"), ["src", "dst"], "at"), "edges")
+    back = laid.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("at").alias("partner"))
+    return laid.join(back, ["src", "dst"], "left")
+
+
+def edge_groups(triangles: DataFrame) -> DataFrame:
+    """(high, low, triangle, at, first, size): the edges of triangles (id, a, b, c), one entry a triangle, in
+    lexicographic order, with the range of entries of the same edge."""
+    sides = F.array(*(F.struct(F.greatest(p, q).alias("high"), F.least(p, q).alias("low")) for p, q in (("a", "b"), ("b", "c"), ("c", "a"))))
+    entries = triangles.select(F.col("id").alias("triangle"), F.explode(sides).alias("e")).select("e.high", "e.low", "triangle")
+    laid = saved(numbered(entries, ["high", "low", "triangle"], "at"), "sides")
+    return laid.join(laid.groupBy("high", "low").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("size")), ["high", "low"])
+
+
+def contracted(edges: DataFrame, source: int, sink: int, pinned: int = 1 << 30) -> DataFrame:
+    """Edges (src, dst, cap) after nodes that the source reaches, or that reach the sink, by an edge of at least
+    `pinned` became that end; parallel edges are added up, edges inside an end and into the source or out of the sink
+    are left out. A node tied to both ends stays the source's."""
+    near = edges.where((F.col("src") == source) & (F.col("cap") >= pinned)).select(F.col("dst").alias("node")).distinct().withColumn("end", F.lit(source))
+    far = edges.where((F.col("dst") == sink) & (F.col("cap") >= pinned)).select(F.col("src").alias("node")).distinct().withColumn("end", F.lit(sink))
+    ends = near.unionByName(far.join(near, "node", "left_anti"))
+    for c in ("src", "dst"):
+        edges = edges.join(ends.select(F.col("node").alias(c), F.col("end").cast("long").alias("__end")), c, "left").withColumn(c, F.coalesce("__end", c)).drop("__end")
+    left = edges.where((F.col("src") != F.col("dst")) & (F.col("dst") != source) & (F.col("src") != sink))
+    return left.groupBy("src", "dst").agg(F.sum("cap").cast("long").alias("cap"))
+
+
+def relabelled(edges: DataFrame, heights: DataFrame, excess: DataFrame) -> DataFrame:
+    """One step of push-relabel for all active nodes, reading only the state before it.
+
+    edges (src, dst, room), heights (node, height), excess (node, excess). For each node with excess: the residual edge
+    to its lowest neighbour (lowest target first), what is pushed along it, and its new height where it lies too low."""
+    active = excess.where("excess > 0").join(heights, "node")
+    open_ = edges.where("room > 0").join(active.withColumnRenamed("node", "src"), "src")
+    open_ = open_.join(heights.select(F.col("node").alias("dst"), F.col("height").alias("below")), "dst")
+    best = open_.groupBy("src", "excess", "height").agg(F.min(F.struct("below", "dst", "room")).alias("e"))
+    down = F.col("height") > F.col("e.below")
+    return best.select(
+        F.col("src").alias("node"),
+        F.col("e.dst").alias("dst"),
+        F.when(down, F.least("excess", "e.room")).otherwise(0).cast("long").alias("pushed"),
+        F.when(down, F.col("height")).otherwise(F.col("e.below") + 1).cast("long").alias("height"),
+    )
 
 
 def levels(edges: DataFrame, start: DataFrame, most: int = 1000) -> DataFrame:
-    """(node, level) by breadth from start (node); edges (src, dst) are followed from src to dst."""
-    reached = saved(start.select("node", F.lit(0).alias("level")).distinct())
-    front = reached
+    """(node, level) by breadth from start (node); edges (src, dst) are followed from src to dst.
+
+    What was reached before is compacted every eight levels, so that a round reads at most eight small tables more."""
+    parts = [saved(start.select("node", F.lit(0).alias("level")).distinct())]
+    front = parts[0]
     for level in range(1, most + 1):
         step = edges.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
+        reached = reduce(DataFrame.unionByName, parts)
         front = saved(step.join(reached.select("node"), "node", "left_anti").withColumn("level", F.lit(level)))
         if front.isEmpty():
             return reached
-        reached = reached.unionByName(front)
+        parts.append(front)
+        if len(parts) > 8:
+            whole = saved(reduce(DataFrame.unionByName, parts))
+            for old in parts:
+                discard(old)
+            parts, front = [whole], whole.where(F.col("level") == level)
     raise RuntimeError(f"not settled after {most} levels")
 
 
@@ -97,37 +133,82 @@ def pruned(observations: DataFrame, least_landmark: int, least_view: int, most:
 
 
 def min_cut(edges: DataFrame) -> DataFrame:
-    """(component, flow): minimum s-t cut of each component's graph (src, dst, cap, source, sink), by augmenting paths.
+    """(component, flow) of min_cut_labels."""
+    return min_cut_labels(edges).select("component", "flow").distinct()
 
-    A component is one group; components are independent problems of bounded size."""
-    from collections import defaultdict, deque
 
+def min_cut_labels(edges: DataFrame, most_edges: int = 5_000_000) -> DataFrame:
+    """(component, flow, node, sink_side): minimum s-t cut of each component's graph (src, dst, cap, source, sink).
+
+    Phases of blocking flows on level graphs (Dinic). A node is on the sink's side if the sink can be reached from it
+    in the residual graph. A component is one group: independent problems, each of at most `most_edges` edges, which is
+    checked; larger graphs are to be cut into components first."""
+    from collections import deque
+
+    import numpy as np
     import pandas as pd
 
+    largest = edges.groupBy("component").count().agg(F.max("count")).first()[0] or 0
+    if largest > most_edges:
+        raise ValueError(f"a component has {largest} edges; the bound is {most_edges}")
+
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        room: dict = defaultdict(lambda: defaultdict(int))
-        for a, b, c in zip(frame.src, frame.dst, frame.cap, strict=True):
-            room[a][b] += int(c)
-            room[b][a] += 0
-        s, t, flow = frame["source"].iloc[0], frame["sink"].iloc[0], 0
+        s, t = frame["source"].iloc[0], frame["sink"].iloc[0]
+        names, at = np.unique(np.concatenate([frame["src"], frame["dst"], [s, t]]), return_inverse=True)
+        m, n = len(frame), len(names)
+        a, b, s, t = at[:m], at[m : 2 * m], int(at[-2]), int(at[-1])
+        tail = np.concatenate([a, b])
+        order = np.argsort(tail, kind="stable")
+        place = np.empty(2 * m, np.int64)
+        place[order] = np.arange(2 * m)
+        head = np.concatenate([b, a])[order].tolist()
+        room = np.concatenate([frame["cap"].to_numpy(np.int64), np.zeros(m, np.int64)])[order].tolist()
+        back = place[(order + m) % (2 * m)].tolist()
+        first = np.searchsorted(tail[order], np.arange(n + 1)).tolist()
+        flow = 0
         while True:
-            came, todo = {s: None}, deque([s])
-            while todo and t not in came:
-                a = todo.popleft()
-                for b in sorted(room[a]):
-                    if room[a][b] > 0 and b not in came:
-                        came[b] = a
-                        todo.append(b)
-            if t not in came:
-                return pd.DataFrame({"component": [frame.component.iloc[0]], "flow": [flow]})
-            path, b = [], t
-            while came[b] is not None:
-                path.append((came[b], b))
-                b = came[b]
-            push = min(room[a][b] for a, b in path)
-            for a, b in path:
-                room[a][b] -= push
-                room[b][a] += push
-            flow += push
-
-    return edges.groupBy("component").applyInPandas(solve, "component long, flow long")
+            level = [-1] * n
+            level[s] = 0
+            todo = deque([s])
+            while todo:
+                x = todo.popleft()
+                for e in range(first[x], first[x + 1]):
+                    if room[e] > 0 and level[head[e]] < 0:
+                        level[head[e]] = level[x] + 1
+                        todo.append(head[e])
+            if level[t] < 0:
+                break
+            turn, path, x = first[:-1].copy(), [], s
+            while True:
+                if x == t:
+                    push = min(room[e] for e in path)
+                    flow += push
+                    for e in path:
+                        room[e] -= push
+                        room[back[e]] += push
+                    k = next(i for i, e in enumerate(path) if room[e] == 0)
+                    x = head[back[path[k]]]
+                    del path[k:]
+                    continue
+                while turn[x] < first[x + 1] and not (room[turn[x]] > 0 and level[head[turn[x]]] == level[x] + 1):
+                    turn[x] += 1
+                if turn[x] < first[x + 1]:
+                    path.append(turn[x])
+                    x = head[turn[x]]
+                elif path:
+                    x = head[back[path.pop()]]
+                    turn[x] += 1
+                else:
+                    break
+        side = [False] * n
+        side[t] = True
+        todo = deque([t])
+        while todo:
+            x = todo.popleft()
+            for e in range(first[x], first[x + 1]):
+                if room[back[e]] > 0 and not side[head[e]]:
+                    side[head[e]] = True
+                    todo.append(head[e])
+        return pd.DataFrame({"component": frame["component"].iloc[0], "flow": flow, "node": names, "sink_side": side})
+
+    return edges.groupBy("component").applyInPandas(solve, "component long, flow long, node long, sink_side boolean")

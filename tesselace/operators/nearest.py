@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselace.operators.graph import saved
 from tesselace.operators.radius import cells
+from tesselace.storage import saved
 
 
 def nearest(queries: DataFrame, points: DataFrame, coordinates: list[str], cell: int, most: int = 40) -> DataFrame:

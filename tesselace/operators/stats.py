@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesselace.operators.order import ranked
+
 
 def compared(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Full outer join on keys: value_a, value_b and which side has the row."""
@@ -21,16 +23,35 @@ def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("first")).unionByName(b.exceptAll(a).withColumn("side", F.lit("second")))
 
 
-def index_quantile(value: Column | str, p: float) -> Column:
-    """d[min(n - 1, int(p * n))] of the sorted values: an element of the data, without interpolation."""
-    d = F.array_sort(F.collect_list(value))
-    return F.element_at(d, F.least(F.size(d), (F.floor(F.lit(p) * F.size(d)) + 1).cast("int")))
+def rank_quantiles(df: DataFrame, key: list[str], value: str, ties: list[str], percents: dict[str, int], interpolated: bool = False) -> DataFrame:
+    """Quantiles of whole values by key, one column a name in `percents`, and n; no task holds a group.
+
+    The value at rank min(n - 1, floor(n * p / 100)); interpolated: 100 times the value at (n - 1) * p / 100 between
+    its neighbours, in whole numbers. `ties` tells rows of one value apart. Null values are left out."""
+    rows = ranked(df.where(F.col(value).isNotNull()), key, [value, *ties], "__rank", "n")
+    n, out = F.col("n"), []
+    for name, p in percents.items():
+        if interpolated:
+            at, part = F.floor((n - 1) * p / 100).cast("long"), F.pmod((n - 1) * p, F.lit(100))
+            high = F.least(at + 1, n - 1)
+            made = F.when(F.col("__rank") == at, F.col(value) * (100 - part)).otherwise(0) + F.when(F.col("__rank") == high, F.col(value) * part).otherwise(0)
+            out.append(F.sum(made).cast("long").alias(name))
+        else:
+            out.append(F.max(F.when(F.col("__rank") == F.least(n - 1, F.floor(n * p / 100)), F.col(value))).alias(name))
+    return rows.groupBy(*key).agg(F.first("n").alias("n"), *out)
 
 
 def welch(a_mean: Column, a_var: Column, a_n: Column, b_mean: Column, b_var: Column, b_n: Column) -> tuple[Column, Column]:
-    """Welch's t and its degrees of freedom."""
-    u, v = a_var / a_n, b_var / b_n
-    return (a_mean - b_mean) / F.sqrt(u + v), (u + v) * (u + v) / (u * u / (a_n - 1) + v * v / (b_n - 1))
+    """Welch's t and its degrees of freedom.
+
+    Of two arms without variance, t is 0 where their means are equal and infinite else, with the pooled degrees of
+    freedom; an arm of one value counts as without variance, and fewer degrees than one do not occur."""
+    u, v = (F.coalesce(F.when(n > 1, x / n), F.lit(0.0)) for x, n in ((a_var, a_n), (b_var, b_n)))
+    gap, spread = a_mean - b_mean, F.sqrt(u + v)
+    t = F.coalesce(F.try_divide(gap, spread), F.when(gap == 0, 0.0).when(gap > 0, float("inf")).otherwise(float("-inf")))
+    rest = F.greatest(a_n + b_n - 2, F.lit(1)).cast("double")
+    part = lambda x, n: F.when(n > 1, x * x / F.greatest(n - 1, F.lit(1))).otherwise(0.0)
+    return t, F.coalesce(F.try_divide((u + v) * (u + v), part(u, a_n) + part(v, b_n)), rest)
 
 
 def beta_fraction(a: float, b: float, x: float) -> float:
@@ -53,7 +74,7 @@ def beta_fraction(a: float, b: float, x: float) -> float:
 
 
 def _two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([beta_fraction(n / 2, 0.5, n / (n + x * x)) if n == n and x == x else float("nan") for x, n in zip(t, df, strict=True)])
+    return pd.Series([beta_fraction(n / 2, 0.5, n / (n + x * x) if math.isfinite(x) else 0.0) if n == n and x == x else float("nan") for x, n in zip(t, df, strict=True)])
 
 
 def two_sided(t: str, df: str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tesselace.operators import stats
+from tesselace.operators.order import ranked
 from tesselace.plans.base import query, read
 
 CENTS = "CAST(round({} * 100) AS BIGINT)"
@@ -34,8 +35,9 @@ def map_compare(spark, d):
 @query(f"""WITH {MAPS}, v AS (SELECT view, quantile_cont(CAST(abs(va - vb) AS DOUBLE), 0.5) AS median, list_sort(list(abs(va - vb)))[least(count(*), CAST(floor(0.95 * count(*)) AS BIGINT) + 1)] AS p95 FROM j WHERE va IS NOT NULL AND vb IS NOT NULL GROUP BY view)
 SELECT quantile_cont(median, 0.5) AS median_of_medians, min(median) AS least, max(p95) AS worst, bool_and(p95 < 2000) AS accepted FROM v""")
 def map_summary(spark, d):
-    gap = F.abs(F.col("value_a") - F.col("value_b"))
-    by = maps(spark, d).where("found = 'both'").groupBy("view").agg(F.percentile(gap, F.lit(0.5)).alias("median"), stats.index_quantile(gap, 0.95).alias("p95"))
+    gap = maps(spark, d).where("found = 'both'").withColumn("gap", F.abs(F.col("value_a") - F.col("value_b")))
+    middle = stats.rank_quantiles(gap, ["view"], "gap", ["y", "x"], {"median": 50}, interpolated=True)
+    by = middle.select("view", (F.col("median") / 100).alias("median")).join(stats.rank_quantiles(gap, ["view"], "gap", ["y", "x"], {"p95": 95}), "view")
     return by.agg(F.percentile("median", F.lit(0.5)).alias("median_of_medians"), F.min("median").alias("least"), F.max("p95").alias("worst"), F.bool_and(F.col("p95") < 2000).alias("accepted"))
 
 
@@ -51,8 +53,8 @@ def multiset_diff(spark, d):
 @query("""WITH v AS (SELECT o_orderpriority AS p, list(CAST(round(o_totalprice * 100) AS BIGINT) ORDER BY o_totalprice) AS l FROM orders GROUP BY ALL)
 SELECT p, l[least(len(l), CAST(floor(0.5 * len(l)) AS BIGINT) + 1)] AS median, l[least(len(l), CAST(floor(0.99 * len(l)) AS BIGINT) + 1)] AS p99 FROM v""")
 def index_quantiles(spark, d):
-    o = read(spark, d, "orders").select(F.col("o_orderpriority").alias("p"), cents("o_totalprice").alias("c"))
-    return o.groupBy("p").agg(stats.index_quantile("c", 0.5).alias("median"), stats.index_quantile("c", 0.99).alias("p99"))
+    o = read(spark, d, "orders").select(F.col("o_orderpriority").alias("p"), cents("o_totalprice").alias("c"), "o_orderkey")
+    return stats.rank_quantiles(o, ["p"], "c", ["o_orderkey"], {"median": 50, "p99": 99}).drop("n")
 
 
 ARMS = ("BUILDING", "AUTOMOBILE", "MACHINERY", "HOUSEHOLD", "FURNITURE")
@@ -68,11 +70,10 @@ def pivot_times(spark, d):
 @query("""WITH r AS (SELECT o_orderpriority AS p, o_orderkey AS k, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) AS n, count(*) OVER (PARTITION BY o_orderpriority) AS c FROM orders)
 SELECT p, k, CASE WHEN n = 1 THEN 'best' WHEN n = c THEN 'worst' ELSE 'median' END AS pick FROM r WHERE n IN (1, c // 2 + 1, c)""")
 def picks(spark, d):
-    w = Window.partitionBy("p")
     o = read(spark, d, "orders").select(F.col("o_orderpriority").alias("p"), F.col("o_orderkey").alias("k"), "o_totalprice")
-    r = o.withColumn("n", F.row_number().over(w.orderBy("o_totalprice", "k"))).withColumn("c", F.count(F.lit(1)).over(w))
-    pick = F.when(F.col("n") == 1, "best").when(F.col("n") == F.col("c"), "worst").otherwise("median")
-    return r.where((F.col("n") == 1) | (F.col("n") == F.col("c")) | (F.col("n") == F.floor(F.col("c") / 2) + 1)).select("p", "k", pick.alias("pick"))
+    r = ranked(o, ["p"], ["o_totalprice", "k"], "n", "c")
+    pick = F.when(F.col("n") == 0, "best").when(F.col("n") == F.col("c") - 1, "worst").otherwise("median")
+    return r.where((F.col("n") == 0) | (F.col("n") == F.col("c") - 1) | (F.col("n") == F.floor(F.col("c") / 2))).select("p", "k", pick.alias("pick"))
 
 
 @query("""WITH e AS (SELECT user_id, event_type AS t, ts, lead(event_type) OVER w AS nt, lead(ts) OVER w AS nts FROM events WHERE event_type IN ('view', 'click') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))

@@ -63,7 +63,7 @@ def radius_join(spark, d):
 
 METHOD = f"""WITH {POINTS}, {PAIRS}, l AS (SELECT * FROM p WHERE id % 7 <> 0),
 near AS (SELECT a, b FROM r WHERE d2 <= 1600 AND a % 7 <> 0 AND b % 7 <> 0),
-method AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.view = b.view AND a.id < b.id AND b.id - a.id <= 40)
+method AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.view = b.view AND a.id < b.id)
 """
 
 
@@ -71,7 +71,7 @@ def _pair_sets(spark, d):
     p = points(spark, d)
     located = p.where(F.col("id") % 7 != 0)
     a, b = p.select(F.col("id").alias("a"), "view"), p.select(F.col("id").alias("b"), "view")
-    method = a.join(b, "view").where((F.col("a") < F.col("b")) & (F.col("b") - F.col("a") <= 40)).select("a", "b")
+    method = a.join(b, "view").where(F.col("a") < F.col("b")).select("a", "b")
     return method, radius_pairs(located, ["x", "y", "z"], 40), located
 
 
