@@ -416,6 +416,13 @@ def extract_pages(pages: DataFrame, broadcast_bytes: int = 8_000_000, fan_in: in
 
     def slots(it):
         known: dict = {}
+        told: set = set()  # a slot's path is told once a task
+
+        def first(*key):
+            if len(told) > 200_000:
+                told.clear()
+            return None if key in told else told.add(key) or key[2]
+
         for batch in batches(it, 500):
             out = []
             for h, w, stream, texts, linked in zip(*(batch.column(c).to_pylist() for c in ("host", "wrapper", "stream", "texts", "linked")), strict=True):
@@ -423,28 +430,29 @@ def extract_pages(pages: DataFrame, broadcast_bytes: int = 8_000_000, fan_in: in
                 at = places(loaded(known, w)[0], stream)
                 if not at:
                     continue
-                whole: dict[int, list[str]] = {}
-                for s, t in zip(at, texts, strict=True):
-                    whole.setdefault(s, []).append(t)
-                kinds = {s: hash_text("\n".join(x)) for s, x in whole.items()}
-                page = hash_text(repr(sorted(kinds.items())))
-                out += [(h, page, s, p, kinds[s], hash_text(t), len(t), n) for s, p, t, n in zip(at, paths_of(stream), texts, linked, strict=True)]
+                rows = [(s, hash_text(t), len(t), n) for s, t, n in zip(at, texts, linked, strict=True)]
+                page = hash_text(repr(sorted(rows)))
+                out += [(h, page, *r, first(h, r[0], p)) for r, p in zip(rows, paths_of(stream), strict=True)]
             cols = list(zip(*out, strict=True)) if out else [[]] * len(KINDS)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, KINDS.values(), strict=True)], list(KINDS))
 
-    found = with_model(wrappers, "length(wrapper) + length(host)").mapInArrow(slots, "host string, page long, slot int, path string, kind long, text long, chars long, linked long")
-    sums = [F.min("path").alias("path"), F.min("kind").alias("kind"), F.max("chars").alias("chars"), F.max("linked").alias("linked")]
+    found = with_model(wrappers, "length(wrapper) + length(host)").mapInArrow(slots, "host string, page long, slot int, text long, chars int, linked int, path string")
+    sums = [F.max("chars").alias("chars"), F.max("linked").alias("linked"), F.min("path").alias("path")]
     once = materialise(found.groupBy("host", "slot", "page", "text").agg(*sums), "html-slots")
+    where = materialise(once.groupBy("host", "slot").agg(F.min("path").alias("path")), "html-paths")
+    inside = where.where(F.col("path").rlike("(^|/)(article|main)([./]|$)")).select("host", "slot", F.lit(True).alias("inside"))
+    kind = F.bit_xor("text").alias("kind")
     # the slot with most text over its different contents, inside articles if there are, is the body; pages of equal bodies count as one
-    bodies = once.groupBy("host", "slot", "page", "kind").agg(F.sum("chars").alias("chars"), F.max(F.col("path").rlike("(^|/)(article|main)([./]|$)")).alias("inside"))
-    volume = bodies.groupBy("host", "slot", "kind").agg(F.max("chars").alias("chars"), F.max("inside").alias("inside")).groupBy("host", "slot").agg(F.sum("chars").alias("chars"), F.max("inside").alias("inside"))
+    bodies = materialise(once.groupBy("host", "slot", "page").agg(kind, F.sum("chars").alias("chars")), "html-bodies")
+    volume = bodies.groupBy("host", "slot", "kind").agg(F.max("chars").alias("chars")).groupBy("host", "slot").agg(F.sum("chars").alias("chars"))
+    volume = volume.join(inside, ["host", "slot"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
     body = volume.groupBy("host").agg(F.max_by("slot", F.struct("inside", "chars", -F.col("slot"))).alias("slot"))
     same = bodies.join(F.broadcast(body) if body.count() <= 100_000 else body, ["host", "slot"]).select("host", "page", F.col("kind").alias("body"))
     once = once.join(same, ["host", "page"], "left").withColumn("page", F.coalesce("body", "page")).groupBy("host", "slot", "page", "text").agg(*sums)
-    kinds = once.groupBy("host", "slot", "page").agg(F.min("path").alias("path"), F.min("kind").alias("kind"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
-    kinds = kinds.groupBy("host", "slot", "kind").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
-    stats = kinds.groupBy("host", "slot").agg(F.min("path").alias("path"), F.sum("n").alias("pages"), F.count(F.lit(1)).alias("kinds"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
-    stats = materialise(stats, "html-stats")
+    both = [F.sum("chars").alias("chars"), F.sum("linked").alias("linked")]
+    kinds = once.groupBy("host", "slot", "page").agg(kind, *both).groupBy("host", "slot", "kind").agg(F.count(F.lit(1)).alias("n"), *both)
+    stats = kinds.groupBy("host", "slot").agg(F.sum("n").alias("pages"), F.count(F.lit(1)).alias("kinds"), *both).join(where, ["host", "slot"])
+    stats = materialise(stats.select("host", "slot", "path", "pages", "kinds", "chars", "linked"), "html-stats")
     often = once.groupBy("host", "slot", "text").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").join(stats.select("host", "slot", "pages", F.col("path").alias("where")), ["host", "slot"]).where("n >= 0.8 * pages")
 
     def judged(key, frame):
@@ -474,7 +482,7 @@ def extract_pages(pages: DataFrame, broadcast_bytes: int = 8_000_000, fan_in: in
     return joined.mapInArrow(texts, "page_id long, url string, text string, n_chars long, matched boolean")
 
 
-KINDS = {"host": pa.string(), "page": pa.int64(), "slot": pa.int32(), "path": pa.string(), "kind": pa.int64(), "text": pa.int64(), "chars": pa.int64(), "linked": pa.int64()}
+KINDS = {"host": pa.string(), "page": pa.int64(), "slot": pa.int32(), "text": pa.int64(), "chars": pa.int32(), "linked": pa.int32(), "path": pa.string()}
 
 
 def hash_text(s: str) -> int:
