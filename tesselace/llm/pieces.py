@@ -84,8 +84,13 @@ class Model:
                     prefixes[h] = i
                 else:
                     prefixes.setdefault(h, -1)
-        self.keys = np.array(sorted(prefixes), np.uint64)
-        self.ids = np.array([prefixes[int(k)] for k in self.keys], np.int32)
+        self.bits = (8 * len(prefixes)).bit_length()  # an open table: few of its places are taken
+        self.keys, self.ids = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -2, np.int32)
+        for k in sorted(prefixes):
+            at = k * 0x9E3779B97F4A7C15 % 2**64 >> 64 - self.bits
+            while self.ids[at] != -2:
+                at = (at + 1) % len(self.ids)
+            self.keys[at], self.ids[at] = k, prefixes[k]
         self.starts = np.zeros(LITERAL + 1, bool)  # characters that a longer piece begins with
         for i in usable:
             if len(piece := sp.id_to_piece(i)) > 1:
@@ -94,6 +99,17 @@ class Model:
         self.length = np.array([len(b) for b in self.bytes])
         self.at = np.cumsum(self.length) - self.length
 
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Piece of each hash of a run of characters; -1 where only longer pieces begin so, -2 where none does."""
+        at = (h * _C3 >> np.uint64(64 - self.bits)).astype(np.int64)
+        out = self.ids[at]
+        rest = np.flatnonzero((out != -2) & (self.keys[at] != h))
+        while len(rest):
+            at[rest] = (at[rest] + 1) % len(self.ids)
+            out[rest] = self.ids[at[rest]]
+            rest = rest[(out[rest] != -2) & (self.keys[at[rest]] != h[rest])]
+        return out
+
     def decode_bytes(self, ids: np.ndarray) -> np.ndarray:
         return self.table[ragged(self.at[ids], self.length[ids])]
 
@@ -102,11 +118,48 @@ class Model:
         return self.decode_bytes(np.asarray(ids, np.int64)).tobytes().decode()[1:]
 
 
+class Numbers(dict):
+    """Numbers of units; new ones are noted."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        n = self[unit] = len(self)
+        self.new.append(unit)
+        return n
+
+
 class Lattices:
     """Lattices of distinct units: states are (unit, place), edges are pieces, with conditional probabilities."""
 
+    EDGES = ("piece", "logp", "cumulative", "step")
+
     def __init__(self, model: Model, units: list[str]):
-        self.model = model
+        self.model, self.index = model, Numbers()
+        self.first = self.last = self.begin = np.zeros(0, np.int64)
+        self.code = self.width = np.zeros(0, np.int32)
+        self.piece, self.logp, self.cumulative, self.step = np.zeros(0, np.int32), np.zeros(0), np.zeros(0), np.zeros(0, np.uint8)
+        self.numbers(units)
+
+    def numbers(self, units: list[str]) -> list[int]:
+        """The units' numbers; those that are new are laid out."""
+        out = list(map(self.index.__getitem__, units))
+        if self.index.new:
+            self.add(self.index.new)
+            self.index.new = []
+        return out
+
+    def add(self, units: list[str]) -> None:
+        had, states, edges, places = self.__dict__.copy(), len(self.begin), len(self.piece), len(self.code)
+        self.build(units)
+        self.piece = np.where(self.piece < 0, self.piece - places, self.piece).astype(np.int32)
+        for name, offset in (("first", states), ("last", states), ("begin", edges), ("code", 0), ("width", 0), *((n, 0) for n in self.EDGES)):
+            new = getattr(self, name)
+            setattr(self, name, np.concatenate([had[name], new + offset if offset else new]))
+
+    def build(self, units: list[str]) -> None:
+        model = self.model
         code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         code = np.where(code == SPACE, LITERAL, np.where(code == 32, SPACE, code))
         size = np.array([len(u) for u in units], np.int64)
@@ -125,11 +178,9 @@ class Lattices:
         while len(live):
             length += 1
             h = h * _C3 + model.code[code[live + length - 1]]
-            k = np.searchsorted(model.keys, h)
-            ok = k < len(model.keys)
-            ok[ok] = model.keys[k[ok]] == h[ok]
-            live, h, k = live[ok], h[ok], k[ok]
-            piece = model.ids[k]
+            piece = model.find(h)
+            ok = piece != -2
+            live, h, piece = live[ok], h[ok], piece[ok]
             hit = piece >= 0
             found.append((live[hit], piece[hit], length))
             longer = live + length + 1 <= stop[unit[live]]
@@ -139,7 +190,7 @@ class Lattices:
             count[state[place]] += 1
         self.begin = np.cumsum(count) - count
         n = int(count.sum())
-        self.piece, self.target, weight = np.empty(n, np.int32), np.empty(n, np.int64), np.empty(n)
+        self.piece, self.step, weight = np.empty(n, np.int32), np.empty(n, np.uint8), np.empty(n)
         cursor = self.begin.copy()
         width = np.where(code < 0x80, 1, np.where(code < 0x800, 2, np.where((code < 0x10000) | (code == LITERAL), 3, 4)))
         for place, piece, length in found:
@@ -147,10 +198,10 @@ class Lattices:
             e = cursor[s]
             cursor[s] += 1
             self.piece[e] = np.where(piece >= 0, piece, -1 - place)  # -1 - place: bytes of the character there
-            self.target[e] = s + length
+            self.step[e] = length
             weight[e] = np.where(piece >= 0, model.weight[piece], width[place] * model.byte_weight)
-        self.code = np.where(code == LITERAL, SPACE, code)
-        self.width = width
+        self.code = np.where(code == LITERAL, SPACE, code).astype(np.int32)
+        self.width = width.astype(np.int32)
         beta = np.zeros(n_states)
         away = np.zeros(n_states, np.int64)
         away[state] = stop[unit] - everywhere
@@ -160,27 +211,27 @@ class Lattices:
             s = order[cuts[i] : cuts[i + 1]]
             if len(s):
                 e = ragged(self.begin[s], count[s])
-                x = weight[e] + beta[self.target[e]]
+                x = weight[e] + beta[np.repeat(s, count[s]) + self.step[e]]
                 at = np.cumsum(count[s]) - count[s]
                 top = np.maximum.reduceat(x, at)
                 beta[s] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, count[s])), at))
         start = np.repeat(np.arange(n_states), count)
-        self.logp = np.minimum(weight + beta[self.target] - beta[start], 0.0)
+        self.logp = np.minimum(weight + beta[start + self.step] - beta[start], 0.0)
         total = np.cumsum(np.exp(self.logp))
         before = np.r_[0.0, total][self.begin]
         self.cumulative = total - before[start]
         ends = self.begin[count > 0] + count[count > 0] - 1
         self.cumulative[ends] = 1.0
-        self.step = (self.target - start).astype(np.uint64)
 
     def paths(self, unit: np.ndarray, key: np.ndarray):
         """One random segmentation of each unit: log-probability, hash, number of edges, edges in order."""
         now, end = self.first[unit].copy(), self.last[unit]
         logp, name, n = np.zeros(len(unit)), np.zeros(len(unit), np.uint64), np.zeros(len(unit), np.int64)
         act, steps, j = np.arange(len(unit)), [], 0
+        key = mix(key)
         while len(act):
             e = self.begin[now[act]]
-            u = uniform(key[act] + np.uint64(j * 0x9E3779B97F4A7C15 % 2**64))
+            u = ((key[act] * np.uint64(pow(0xD1342543DE82EF95, j + 1, 2**64)) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
             more = np.flatnonzero(u > self.cumulative[e])
             while len(more):
                 e[more] += 1
@@ -189,7 +240,7 @@ class Lattices:
             name[act] = name[act] * _C1 + self.step[e]
             n[act] += 1
             steps.append((act, e))
-            now[act] = self.target[e]
+            now[act] += self.step[e]
             act = act[now[act] < end[act]]
             j += 1
         at = np.cumsum(n) - n
@@ -223,7 +274,7 @@ class Lattices:
             edges.append(e)
             logp += float(self.logp[e])
             name = (name * int(_C1) + int(self.step[e])) % 2**64
-            s = int(self.target[e])
+            s += int(self.step[e])
         return logp, np.uint64(name), len(edges), np.array(edges, np.int64)
 
     def every(self, unit: int) -> list[tuple[float, int, list[int]]]:
@@ -236,7 +287,7 @@ class Lattices:
                 continue
             e = int(self.begin[s])
             while True:
-                todo.append((int(self.target[e]), lp + float(self.logp[e]), (name * int(_C1) + int(self.step[e])) % 2**64, [*edges, e]))
+                todo.append((s + int(self.step[e]), lp + float(self.logp[e]), (name * int(_C1) + int(self.step[e])) % 2**64, [*edges, e]))
                 if self.cumulative[e] >= 1.0:
                     break
                 e += 1
@@ -274,16 +325,13 @@ def truncated(phi: np.ndarray, top: np.ndarray, key: np.ndarray) -> np.ndarray:
     return np.where(np.isneginf(phi), -np.inf, g)
 
 
-def sample_texts(model: Model, texts: list[str], keys: np.ndarray, k: int):
-    """Yields (sample, documents, log_prob, perturbed, kappa, ids, ids per document) for each sample of a batch; no text is empty."""
-    index: dict[str, int] = {}
-    per, flat = [], []
-    for t in texts:
-        found = UNIT.findall(" " + t)
-        per.append(len(found))
-        flat += [index.setdefault(u, len(index)) for u in found]
-    lattices = Lattices(model, list(index))
-    unit, per = np.array(flat, np.int64), np.array(per, np.int64)
+def sample_texts(model: Model, texts: list[str], keys: np.ndarray, k: int, lattices: Lattices | None = None):
+    """lattices: kept from one call to the next, so that a unit is laid out once. Yields (sample, documents, log_prob, perturbed, kappa, ids, ids per document) for each sample of a batch; no text is empty."""
+    lattices = lattices or Lattices(model, [])
+    split = [UNIT.findall(" " + t) for t in texts]
+    per = np.array([len(x) for x in split], np.int64)
+    unit = np.array(lattices.numbers([u for x in split for u in x]), np.int64)
+    del split
     begin = np.cumsum(per) - per
     doc = np.repeat(np.arange(len(texts)), per)
     place = np.arange(len(unit)) - begin[doc]
@@ -392,7 +440,10 @@ def sample_segmentations(docs: DataFrame, model_path: str, samples: int = 3, see
 
     def rows(it):
         model = loaded(model_path)
-        for batch in by_size(it, 5_000_000):
+        lattices = Lattices(model, [])
+        for batch in by_size(it, 3_000_000):
+            if len(lattices.piece) > 5_000_000:
+                lattices = Lattices(model, [])
             doc_ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch)
             empty = [i for i, t in enumerate(texts) if not t]
             full = [i for i, t in enumerate(texts) if t]
@@ -405,7 +456,7 @@ def sample_segmentations(docs: DataFrame, model_path: str, samples: int = 3, see
             keys = mix(np.array([(doc_ids[i] or 0) % 2**64 for i in full], np.uint64) + np.uint64(seed))
             raw = [(" " + texts[i]).encode("utf-8", "surrogatepass") for i in full]
             size = np.array([len(r) for r in raw])
-            for s, live, logp, top, kappa, ids, count in sample_texts(model, [texts[i] for i in full], keys, samples):
+            for s, live, logp, top, kappa, ids, count in sample_texts(model, [texts[i] for i in full], keys, samples, lattices):
                 made = model.decode_bytes(ids)
                 ends = np.cumsum(count)
                 made_size = np.add.reduceat(model.length[ids], ends - count) if len(ids) else np.zeros(0, int)
