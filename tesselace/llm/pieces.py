@@ -137,7 +137,7 @@ class Lattices:
 
     def __init__(self, model: Model, units: list[str]):
         self.model, self.index = model, Numbers()
-        self.first = self.last = self.begin = np.zeros(0, np.int64)
+        self.first = self.last = self.begin = np.zeros(0, np.int32)
         self.code = self.width = np.zeros(0, np.int32)
         self.piece, self.logp, self.cumulative, self.step = np.zeros(0, np.int32), np.zeros(0), np.zeros(0), np.zeros(0, np.uint8)
         self.numbers(units)
@@ -156,7 +156,7 @@ class Lattices:
         self.piece = np.where(self.piece < 0, self.piece - places, self.piece).astype(np.int32)
         for name, offset in (("first", states), ("last", states), ("begin", edges), ("code", 0), ("width", 0), *((n, 0) for n in self.EDGES)):
             new = getattr(self, name)
-            setattr(self, name, np.concatenate([had[name], new + offset if offset else new]))
+            setattr(self, name, np.concatenate([had[name], (new + offset if offset else new).astype(had[name].dtype)]))
 
     def build(self, units: list[str]) -> None:
         model = self.model
@@ -224,34 +224,34 @@ class Lattices:
         self.cumulative[ends] = 1.0
 
     def paths(self, unit: np.ndarray, key: np.ndarray):
-        """One random segmentation of each unit: log-probability, hash, number of edges, edges in order."""
-        now, end = self.first[unit].copy(), self.last[unit]
-        logp, name, n = np.zeros(len(unit)), np.zeros(len(unit), np.uint64), np.zeros(len(unit), np.int64)
-        act, steps, j = np.arange(len(unit)), [], 0
+        """One random segmentation of each unit: log-probability, number of edges, edges in order."""
+        now, end = self.first[unit], self.last[unit]
+        logp, n = np.zeros(len(unit)), np.zeros(len(unit), np.int32)
+        act, steps, j = np.arange(len(unit), dtype=np.int32), [], 0
         key = mix(key)
         while len(act):
-            e = self.begin[now[act]]
-            u = ((key[act] * np.uint64(pow(0xD1342543DE82EF95, j + 1, 2**64)) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+            e = self.begin[now]
+            u = ((key * np.uint64(pow(0xD1342543DE82EF95, j + 1, 2**64)) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
             more = np.flatnonzero(u > self.cumulative[e])
             while len(more):
                 e[more] += 1
                 more = more[u[more] > self.cumulative[e[more]]]
             logp[act] += self.logp[e]
-            name[act] = name[act] * _C1 + self.step[e]
-            n[act] += 1
-            steps.append((act, e))
-            now[act] += self.step[e]
-            act = act[now[act] < end[act]]
             j += 1
-        at = np.cumsum(n) - n
-        edges = np.empty(int(n.sum()), np.int64)
+            steps.append((act, e))
+            now = now + self.step[e]
+            on = now < end
+            n[act[~on]] = j
+            act, now, end, key = act[on], now[on], end[on], key[on]
+        at = np.cumsum(n, dtype=np.int32) - n
+        edges = np.empty(int(n.sum()), np.int32)
         for j, (act, e) in enumerate(steps):
             edges[at[act] + j] = e
-        return logp, name, n, edges
+        return logp, n, edges
 
     def other_path(self, unit: int, taken: list[list[int]], key: int):
         """A random segmentation of one unit that is none of those taken; None if there is none."""
-        s, end, logp, name, edges, taken = int(self.first[unit]), int(self.last[unit]), 0.0, 0, [], list(taken)
+        s, end, logp, edges, taken = int(self.first[unit]), int(self.last[unit]), 0.0, [], list(taken)
         mass = [np.exp(np.cumsum(self.logp[x][::-1])[::-1]).tolist() for x in taken]
         us = uniform(np.uint64(key % 2**64) + np.arange(1, end - s + 1, dtype=np.uint64) * _C3).tolist()
         while s != end:
@@ -273,9 +273,8 @@ class Lattices:
             taken, mass = [taken[i] for i in kept], [mass[i] for i in kept]
             edges.append(e)
             logp += float(self.logp[e])
-            name = (name * int(_C1) + int(self.step[e])) % 2**64
             s += int(self.step[e])
-        return logp, np.uint64(name), len(edges), np.array(edges, np.int64)
+        return logp, len(edges), np.array(edges, np.int32)
 
     def every(self, unit: int) -> list[tuple[float, int, list[int]]]:
         """All segmentations of one unit: log-probability, hash, edges."""
@@ -330,7 +329,7 @@ def sample_texts(model: Model, texts: list[str], keys: np.ndarray, k: int, latti
     lattices = lattices or Lattices(model, [])
     split = [UNIT.findall(" " + t) for t in texts]
     per = np.array([len(x) for x in split], np.int64)
-    unit = np.array(lattices.numbers([u for x in split for u in x]), np.int64)
+    unit = np.array(lattices.numbers([u for x in split for u in x]), np.int32)
     del split
     begin = np.cumsum(per) - per
     doc = np.repeat(np.arange(len(texts)), per)
@@ -348,9 +347,9 @@ def sample_texts(model: Model, texts: list[str], keys: np.ndarray, k: int, latti
         c = np.cumsum(logp)
         return c - logp - (c - logp)[begin][doc]
 
-    logp, name, n, edges = lattices.paths(unit, mix(token_key + salt(1)))
+    logp, n, edges = lattices.paths(unit, mix(token_key + salt(1)))
     top = -np.log(-np.log(uniform(mix(keys + salt(1, 1)))))
-    leaves = [{"logp": logp, "name": name, "n": n, "edges": edges, "top": top, "docs": np.arange(len(texts))}]
+    leaves = [{"logp": logp, "n": n, "edges": edges, "top": top, "docs": np.arange(len(texts))}]
     leaves[0]["rest"] = truncated(before(logp) + rest_mass(logp), top[doc], mix(token_key + salt(1, 2)))
     kappa = np.full(len(texts), -np.inf)
     for s in range(2, k + 2):
@@ -367,7 +366,7 @@ def sample_texts(model: Model, texts: list[str], keys: np.ndarray, k: int, latti
         for q, x in enumerate(leaves):
             hit = np.flatnonzero((leaf == q)[doc] & (x["rest"] == value[doc]) & ~np.isneginf(x["rest"]))[::-1]
             at[doc[hit]] = hit
-        parent = {c: np.choose(leaf[doc], [x[c] for x in leaves]) if len(leaves) > 1 else leaves[0][c].copy() for c in ("logp", "name", "n")}
+        parent = {c: np.choose(leaf[doc], [x[c] for x in leaves]) if len(leaves) > 1 else leaves[0][c].copy() for c in ("logp", "n")}
         # the unit where the new segmentation departs: not one of those taken
         t = at[docs]
         taken = [cut.get((int(leaf[d]), int(x))) or ([lattice_path(leaves[leaf[d]], x)], float(np.exp(leaves[leaf[d]]["logp"][x]))) for d, x in zip(docs, t, strict=True)]
@@ -377,18 +376,18 @@ def sample_texts(model: Model, texts: list[str], keys: np.ndarray, k: int, latti
         turned = np.full(len(texts), 2**62)
         turned[docs] = t
         late = np.flatnonzero(np.arange(len(unit)) > turned[doc])
-        a, b, c, e = lattices.paths(unit[late], mix(token_key[late] + salt(s)))
-        new = {"logp": parent["logp"], "name": parent["name"], "n": parent["n"], "docs": docs, "top": value}
+        a, c, e = lattices.paths(unit[late], mix(token_key[late] + salt(s)))
+        new = {"logp": parent["logp"], "n": parent["n"], "docs": docs, "top": value}
         store, offset = [x["edges"] for x in leaves], np.cumsum([0, *(len(x["edges"]) for x in leaves)])
         starts = np.empty(len(unit), np.int64)
         for q, x in enumerate(leaves):
             mine = np.flatnonzero(leaf[doc] == q)
             starts[mine] = (np.cumsum(x["n"]) - x["n"])[mine] + offset[q]
         starts[late] = np.cumsum(c) - c + offset[-1]
-        turn_edges = [g[3] for g in got]
-        turn_n = np.array([g[2] for g in got], np.int64)
+        turn_edges = [g[2] for g in got]
+        turn_n = np.array([g[1] for g in got], np.int64)
         starts[t] = np.cumsum(turn_n) - turn_n + offset[-1] + len(e)
-        for key_, late_value, turn_value in (("logp", a, [g[0] for g in got]), ("name", b, [g[1] for g in got]), ("n", c, turn_n)):
+        for key_, late_value, turn_value in (("logp", a, [g[0] for g in got]), ("n", c, turn_n)):
             new[key_][late] = late_value
             new[key_][t] = np.array(turn_value, new[key_].dtype)
         inside = np.zeros(len(texts), bool)
@@ -400,7 +399,7 @@ def sample_texts(model: Model, texts: list[str], keys: np.ndarray, k: int, latti
         rest[late] = truncated((prior + rest_mass(new["logp"]))[late], value[doc[late]], mix(token_key[late] + salt(s, 2)))
         new["rest"] = rest
         for (names, p), d, x, g in zip(taken, docs, t, got, strict=True):
-            cut[int(leaf[d]), int(x)] = ([*names, g[3].tolist()], p + float(np.exp(g[0])))
+            cut[int(leaf[d]), int(x)] = ([*names, g[2].tolist()], p + float(np.exp(g[0])))
         mass = np.array([1 - cut[int(leaf[d]), int(x)][1] for d, x in zip(docs, t, strict=True)])
         phi = np.where(mass > 1e-12, prior[t] + np.log(np.maximum(mass, 1e-300)), -np.inf)
         again = truncated(phi, value[docs], mix(token_key[t] + salt(s, 3)))
