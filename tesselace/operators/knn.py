@@ -1,4 +1,4 @@
-"""Exact two nearest neighbours of integer vectors; ties go to the lower id."""
+"""Exact two nearest neighbours; ties go to the lower id."""
 
 from __future__ import annotations
 
@@ -15,61 +15,89 @@ def quantised(v: Column) -> Column:
     return F.transform(v, lambda x: F.floor((x.cast("double") + 1) * 127.5).cast("int"))
 
 
+def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact for integers; for floats the squared differences are added up component by component."""
+    if a.dtype.kind == "i":
+        return (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
+    out = np.zeros((len(a), len(b)))
+    for k in range(a.shape[1]):
+        gap = a[:, k, None] - b[None, :, k]
+        out += gap * gap
+    return out
+
+
 def top_two(q_id, q_view, q_vec, ids, views, vecs) -> pd.DataFrame:
-    """Two nearest rows of another view by (distance, id); exact in int64. -1 and null where there are none."""
+    """Two nearest rows of another view by (distance, id). Null where there are none."""
+    whole = q_vec.dtype.kind == "i"
+    far, kind = (np.int64(2**62), "Int64") if whole else (np.inf, "Float64")
     out = []
     order = np.argsort(ids, kind="stable")
     ids, views, vecs = ids[order], views[order], vecs[order]
-    norms = (vecs * vecs).sum(1)
     for s in range(0, len(q_id), 256):
         a = q_vec[s : s + 256]
-        d = (a * a).sum(1)[:, None] + norms[None, :] - 2 * (a @ vecs.T)
-        d = np.where(views[None, :] == q_view[s : s + 256, None], np.int64(2**62), d)
+        d = squared_distances(a, vecs)
+        d = np.where(views[None, :] == q_view[s : s + 256, None], far, d)
         for r, row in enumerate(d):
             i0 = int(row.argmin()) if len(row) else -1  # the first of equal distances: the lower id
-            if i0 < 0 or row[i0] >= 2**62:
+            if i0 < 0 or row[i0] >= far:
                 out.append((q_id[s + r], None, None, None, None))
                 continue
-            d0, row[i0] = int(row[i0]), 2**62
+            d0, row[i0] = row[i0].item(), far
             i1 = int(row.argmin())
-            one = (None, None) if row[i1] >= 2**62 else (int(ids[i1]), int(row[i1]))
+            one = (None, None) if row[i1] >= far else (int(ids[i1]), row[i1].item())
             out.append((q_id[s + r], int(ids[i0]), d0, *one))
-    return pd.DataFrame(out, columns=["q", "i0", "d0", "i1", "d1"]).astype("Int64")
+    return pd.DataFrame(out, columns=["q", "i0", "d0", "i1", "d1"]).astype({c: kind if c in ("d0", "d1") else "Int64" for c in ("q", "i0", "d0", "i1", "d1")})
+
+
+def blocked(frame: pd.DataFrame, dtype, size: int):
+    vecs = np.array(frame["v"].tolist(), dtype).reshape(len(frame), size)
+    return frame["id"].to_numpy(np.int64), frame["view"].fillna(-1).to_numpy(np.int64), vecs
+
 
+def knn2(queries: DataFrame, base: DataFrame, broadcast_rows: int = 100_000, slices: int | None = None, broadcast_bytes: int = 256_000_000) -> DataFrame:
+    """queries and base: (id, view, v), v of whole numbers, or of floats for distances as doubles.
 
-def knn2(queries: DataFrame, base: DataFrame, broadcast_rows: int = 100_000, slices: int | None = None) -> DataFrame:
-    """queries and base: (id, view, v). A base of at most broadcast_rows rows is broadcast as one numpy block; a larger
-    one is cut into slices, each of which meets all queries once, and the partial pairs are merged by query."""
+    A base within both bounds is broadcast as one numpy block; a larger one is cut into slices and the queries into
+    blocks, each slice meets each block once, and the partial pairs are merged by query. A query whose vector or id is
+    null, or has no row of another view, has nulls; base rows with null vector or id take no part. A null view is a
+    view of its own. All vectors have one length."""
+    whole = "int" in dict(queries.dtypes)["v"]
+    dtype, result = (np.int64, RESULT) if whole else (np.float64, RESULT.replace("d0 long", "d0 double").replace("d1 long", "d1 double"))
+    base = base.select("id", "view", "v").where("id is not null and v is not null")
+    asked = queries.select("id", "view", "v").where("id is not null and v is not null")
+    odd = queries.where("id is null or v is null").select(F.col("id").alias("q"), *(F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in result.split(", ")[1:])))
+    n, size = base.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    size = size or 0
     if slices is None:
-        n = base.count()
-        slices = 0 if n <= broadcast_rows else -(-n // broadcast_rows)
+        slices = 0 if n <= broadcast_rows and 8 * n * size <= broadcast_bytes else max(-(-n // broadcast_rows), -(-8 * n * size // broadcast_bytes))
+    if not n:
+        return asked.select(F.col("id").alias("q"), *(F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in result.split(", ")[1:]))).unionByName(odd)
     if not slices:
-        rows = base.select("id", "view", "v").toPandas()
-        block = (rows["id"].to_numpy(np.int64), rows["view"].to_numpy(np.int64), np.array(rows["v"].tolist(), np.int64).reshape(len(rows), -1))
-        shared = queries.sparkSession.sparkContext.broadcast(block)
+        shared = queries.sparkSession.sparkContext.broadcast(blocked(base.toArrow().to_pandas(), dtype, size))
 
         def search(it):
             for q in it:
                 if len(q):
-                    yield top_two(q["id"].to_numpy(np.int64), q["view"].to_numpy(np.int64), np.array(q["v"].tolist(), np.int64), *shared.value)
+                    yield top_two(*blocked(q, dtype, size), *shared.value)
 
-        return queries.select("id", "view", "v").mapInPandas(search, RESULT)
-    cut = F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
+        return asked.mapInPandas(search, result).unionByName(odd)
+    per = max(1, n // slices)
+    blocks = max(1, -(-asked.count() // per))
+    cut = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
 
     def partial(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(q):
-            return pd.DataFrame(columns=["q", "i0", "d0", "i1", "d1"]).astype("Int64")
-        vecs = np.array(b["v"].tolist(), np.int64).reshape(len(b), len(q["v"].iloc[0]))
-        return top_two(q["id"].to_numpy(np.int64), q["view"].to_numpy(np.int64), np.array(q["v"].tolist(), np.int64), b["id"].to_numpy(np.int64), b["view"].to_numpy(np.int64), vecs)
+        return top_two(*blocked(q, dtype, size), *blocked(b, dtype, size))
 
-    parts = queries.select("id", "view", "v", every.alias("slice")).groupBy("slice").cogroup(base.select("id", "view", "v", cut.alias("slice")).groupBy("slice")).applyInPandas(partial, RESULT)
+    left = asked.select("id", "view", "v", cut(blocks).alias("block"), every(slices).alias("slice")).groupBy("slice", "block")
+    right = base.select("id", "view", "v", cut(slices).alias("slice"), every(blocks).alias("block")).groupBy("slice", "block")
+    parts = left.cogroup(right).applyInPandas(partial, result)
     both = F.array(F.struct(F.col("d0").alias("d"), F.col("i0").alias("i")), F.struct(F.col("d1").alias("d"), F.col("i1").alias("i")))
     found = parts.select("q", F.explode(both).alias("x"))
-    best = F.slice(F.array_sort(F.filter(F.collect_list("x"), lambda x: x["d"].isNotNull())), 1, 2)
+    best = F.slice(F.array_sort(F.filter(F.collect_list("x"), lambda x: x["d"].isNotNull())), 1, 2)  # two of each slice
     merged = found.groupBy("q").agg(best.alias("b"))
     at = lambda k, c: F.get("b", F.lit(k))[c]
-    return merged.select("q", at(0, "i").alias("i0"), at(0, "d").alias("d0"), at(1, "i").alias("i1"), at(1, "d").alias("d1"))
+    return merged.select("q", at(0, "i").alias("i0"), at(0, "d").alias("d0"), at(1, "i").alias("i1"), at(1, "d").alias("d1")).unionByName(odd)
 
 
 def ratio_test(pairs: DataFrame, numerator: int = 4, denominator: int = 5) -> DataFrame:

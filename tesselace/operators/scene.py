@@ -248,7 +248,7 @@ def homographies(matches: DataFrame, group: str, tries: int = 256, batch: int =
     models that cannot beat the best one so far are skipped. A group (matches of one pair of views) is one task's."""
     alpha = float(np.log(np.pi / area)) if log_alpha is None else log_alpha
 
-    def solve(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         import xxhash
 
         frame = frame.sort_values(["x", "y", "u", "v"], kind="stable")

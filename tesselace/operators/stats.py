@@ -110,13 +110,41 @@ def best_cutoff(residuals: DataFrame, group: str, residual: str, sample: int, lo
     return residuals.where(F.col(residual) >= 0).groupBy(group).applyInPandas(one, f"{group} {kind}, n long, inliers long, log_nfa double")
 
 
+def moments(pairs: DataFrame, group: str) -> DataFrame:
+    """Sums by group of the coordinates (x, y, z) and (u, v, w), of their products and of both squares."""
+    a, b = ("x", "y", "z"), ("u", "v", "w")
+    sums = [F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(f"s_{c}") for c in a + b), *(F.sum(F.col(i) * F.col(j)).alias(f"s_{i}{j}") for i in a for j in b)]
+    sums += [F.sum(sum((F.col(c) * F.col(c) for c in s), F.lit(0))).alias(f"q_{s[0]}") for s in (a, b)]
+    return pairs.groupBy(group).agg(*sums)
+
+
+def median_rotation(rotations: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """The rotation with least sum of angles to the given ones (n, 3, 3), by Weiszfeld steps on their logarithms."""
+
+    def log(r: np.ndarray) -> np.ndarray:
+        angle = np.arccos(np.clip((np.trace(r, axis1=-2, axis2=-1) - 1) / 2, -1, 1))
+        axis = np.stack([r[..., 2, 1] - r[..., 1, 2], r[..., 0, 2] - r[..., 2, 0], r[..., 1, 0] - r[..., 0, 1]], -1)
+        return axis * np.where(angle < 1e-8, 0.5, angle / np.maximum(2 * np.sin(angle), 1e-12))[..., None]
+
+    u, _, vt = np.linalg.svd(rotations.sum(0))
+    middle = u @ np.diag([1, 1, np.sign(np.linalg.det(u @ vt)) or 1]) @ vt
+    for _ in range(rounds):
+        way = log(rotations @ middle.T)
+        far = np.maximum(np.linalg.norm(way, axis=1), 1e-12)
+        step = (way / far[:, None]).sum(0) / (1 / far).sum()
+        angle = float(np.linalg.norm(step))
+        if angle < 1e-12:
+            break
+        k = np.array([[0, -step[2], step[1]], [step[2], 0, -step[0]], [-step[1], step[0], 0]]) / angle
+        middle = (np.eye(3) + np.sin(angle) * k + (1 - np.cos(angle)) * k @ k) @ middle
+    return middle
+
+
 def similarity(pairs: DataFrame, group: str) -> DataFrame:
     """Least-squares similarity per group from (x, y, z) to (u, v, w): scale, rotation (row-major), translation, rms.
 
     Only sums reach the last step: moments are aggregated by Spark, and a 3 x 3 SVD follows for each group."""
     a, b = ("x", "y", "z"), ("u", "v", "w")
-    sums = [F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(f"s_{c}") for c in a + b), *(F.sum(F.col(i) * F.col(j)).alias(f"s_{i}{j}") for i in a for j in b)]
-    sums += [F.sum(sum((F.col(c) * F.col(c) for c in s), F.lit(0.0))).alias(f"q_{s[0]}") for s in (a, b)]
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -135,5 +163,4 @@ def similarity(pairs: DataFrame, group: str) -> DataFrame:
         return pd.DataFrame(out, columns=[group, "n", "scale", "rotation", "shift", "rms"])
 
     kind = dict(pairs.dtypes)[group]
-    moments = pairs.groupBy(group).agg(*sums)
-    return moments.mapInPandas(lambda it: map(solve, it), f"{group} {kind}, n long, scale double, rotation array<double>, shift array<double>, rms double")
+    return moments(pairs, group).mapInPandas(lambda it: map(solve, it), f"{group} {kind}, n long, scale double, rotation array<double>, shift array<double>, rms double")

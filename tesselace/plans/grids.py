@@ -99,7 +99,11 @@ def central_slopes(spark, d):
     return raster.central_difference(grid(spark, d), "y", "x", "v")
 
 
-@query()
+@query(f"""WITH RECURSIVE {GRID}, c AS (SELECT y, x, label, abs((v % 800 + 800) % 800 - 100 * label) AS cost FROM g, range(0, 8) t(label)),
+l AS (SELECT y, x, row_number() OVER (PARTITION BY y ORDER BY x) AS k, list(cost ORDER BY label) AS c FROM c GROUP BY y, x),
+r AS (SELECT y, x, k, c AS p FROM l WHERE k = 1 UNION ALL SELECT l.y, l.x, l.k, list_transform(range(1, 9), lambda i: l.c[i] + least(r.p[i], CASE WHEN i > 1 THEN r.p[i - 1] ELSE 1000000000 END + 10,
+  CASE WHEN i < 8 THEN r.p[i + 1] ELSE 1000000000 END + 10, list_min(r.p) + 120) - list_min(r.p)) FROM r JOIN l ON l.y = r.y AND l.k = r.k + 1)
+SELECT y, x, CAST(i - 1 AS INTEGER) AS label, CAST(p[i] AS BIGINT) AS path_cost FROM r, range(1, 9) t(i)""")
 def path_aggregation(spark, d):
     labels = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("label")
     return raster.path_costs(grid(spark, d).select("y", "x", "v", labels).withColumn("cost", F.abs(F.pmod(F.col("v"), F.lit(800)) - 100 * F.col("label"))), "y", "x", "label", "cost", 10, 120)
@@ -144,14 +148,20 @@ def edge_index(spark, d):
     return e.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.min("cap").alias("low"), F.count(F.lit(1)).alias("copies"))
 
 
-@query()
-def min_cut_components(spark, d):
-    e = edges(spark, d).where("src % 2 = 0")
+def cut_edges(spark, d) -> DataFrame:
+    """Suppliers feed their parts; one problem for each last digit of a supplier's number, with a source before all its
+    suppliers and a sink behind all its parts."""
+    e = edges(spark, d).where("src % 2 = 0")  # the direction from suppliers to parts
     part = F.pmod(F.col("src").cast("long"), F.lit(20)).alias("component")
     inner = e.select(part, "src", "dst", "cap")
-    ends = lambda side, s, t: e.select(part, s, t, F.lit(40).cast("long").alias("cap")).distinct()
-    both = inner.unionByName(ends(0, F.lit(-1).cast("long").alias("src"), F.col("src").alias("dst"))).unionByName(ends(1, F.col("dst").alias("src"), F.lit(-2).cast("long").alias("dst")))
-    return graph.min_cut(both.select("component", "src", "dst", "cap", F.lit(-1).cast("long").alias("source"), F.lit(-2).cast("long").alias("sink")))
+    ends = lambda s, t: e.select(part, s, t, F.lit(40).cast("long").alias("cap")).distinct()
+    both = inner.unionByName(ends(F.lit(-1).cast("long").alias("src"), F.col("src").alias("dst"))).unionByName(ends(F.col("dst").alias("src"), F.lit(-2).cast("long").alias("dst")))
+    return both.select("component", "src", "dst", "cap", F.lit(-1).cast("long").alias("source"), F.lit(-2).cast("long").alias("sink"))
+
+
+@query()
+def min_cut_components(spark, d):
+    return graph.min_cut(cut_edges(spark, d))
 
 
 @query()

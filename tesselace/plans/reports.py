@@ -156,6 +156,24 @@ def robust_cutoffs(spark, d):
     return stats.best_cutoff(r, "view", "residual", 7, 0.5)
 
 
+@query("""WITH r AS (SELECT l_suppkey AS view, l_discount + l_tax AS r FROM lineitem WHERE l_discount + l_tax >= 0), o AS (SELECT view, greatest(r, 1e-12) AS r, CAST(row_number() OVER w AS BIGINT) AS k, count(*) OVER (PARTITION BY view) AS n FROM r WINDOW w AS (PARTITION BY view ORDER BY r)),
+s AS (SELECT view, n, k, (lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)) + (lgamma(k + 1) - lgamma(8) - lgamma(k - 6)) + (k - 7) * (0.5 + ln(r)) AS score FROM o WHERE k > 7)
+SELECT view, CAST(max(n) AS BIGINT) AS n, arg_min(k, score) AS inliers FROM s GROUP BY view""")
+def robust_inliers(spark, d):
+    return robust_cutoffs(spark, d).where("inliers > 0").select("view", "n", "inliers")
+
+
+MOMENTS = "p AS (SELECT label, " + ", ".join(f"CAST(floor(CAST(embedding[{k}] AS DOUBLE) * 1000) AS BIGINT) AS {c}" for k, c in enumerate("xyzuvw", 1)) + " FROM embeddings)"
+
+
+@query(f"WITH {MOMENTS} SELECT label, CAST(count(*) AS BIGINT) AS n, " + ", ".join(f"CAST(sum({i} * {j}) AS BIGINT) AS s_{i}{j}" for i in "xyz" for j in "uvw") + ", " + ", ".join(f"CAST(sum({i}) AS BIGINT) AS s_{i}" for i in "xyzuvw") + " FROM p GROUP BY label")
+def alignment_moments(spark, d):
+    """The sums that a similarity is solved from."""
+    e = F.col("embedding")
+    p = read(spark, d, "embeddings").select("label", *(F.floor(e[k].cast("double") * 1000).cast("long").alias(c) for k, c in enumerate("xyzuvw")))
+    return stats.moments(p, "label").select("label", "n", *(f"s_{i}{j}" for i in "xyz" for j in "uvw"), *(f"s_{i}" for i in "xyzuvw"))
+
+
 @query()
 def aligned_runs(spark, d):
     e = F.col("embedding")

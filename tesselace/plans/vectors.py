@@ -42,6 +42,15 @@ def knn2_ratio(spark, d):
     return ratio_test(knn2(x, x), 19, 20).select("q", "i0", "d0", "d1", "passes")
 
 
+@query("""WITH q AS (SELECT vec_id AS id, label AS view, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+d AS (SELECT a.id AS q, b.id AS i, list_sum(list_transform(range(1, 65), lambda k: (a.v[k] - b.v[k]) * (a.v[k] - b.v[k]))) AS d FROM q a JOIN q b ON a.view <> b.view),
+r AS (SELECT q, i, d, row_number() OVER (PARTITION BY q ORDER BY d, i) AS n FROM d)
+SELECT q, max(CASE WHEN n = 1 THEN i END) AS i0, max(CASE WHEN n = 1 THEN d END) AS d0, max(CASE WHEN n = 2 THEN i END) AS i1, max(CASE WHEN n = 2 THEN d END) AS d1 FROM r WHERE n <= 2 GROUP BY q""")
+def knn2_float(spark, d):
+    x = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("view"), F.transform("embedding", lambda v: v.cast("double")).alias("v"))
+    return knn2(x, x)
+
+
 @query(f"WITH {QUANTISED} SELECT id, CAST(list_sum(list_transform(v, lambda x: x * x)) AS BIGINT) AS norm2 FROM q")
 def row_norms(spark, d):
     return descriptors(spark, d).select("id", F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x.cast("long") * x).alias("norm2"))
@@ -101,10 +110,10 @@ def smaller_in_radius(spark, d):
 @query(f"""WITH {POINTS} SELECT a.id, min(b.id) FILTER (WHERE true) AS least, CAST(count(*) AS BIGINT) AS n FROM p a JOIN p b ON a.view = b.view
 WHERE b.id >= a.id GROUP BY a.id""")
 def group_tail(spark, d):
-    from pyspark.sql.window import Window
+    from tesselace.operators.order import ranked
 
-    w = Window.partitionBy("view").orderBy("id").rowsBetween(0, Window.unboundedFollowing)
-    return points(spark, d).select("id", F.min("id").over(w).alias("least"), F.count(F.lit(1)).over(w).alias("n"))
+    r = ranked(points(spark, d).select("id", "view"), ["view"], ["id"], "rank", "size")
+    return r.select("id", F.col("id").alias("least"), (F.col("size") - F.col("rank")).alias("n"))
 
 
 @query("SELECT s_suppkey AS id, CAST(s_suppkey % 90 AS BIGINT) * 3600 + CAST(s_suppkey % 60 AS BIGINT) * 60 + s_nationkey AS seconds, s_suppkey % 2 = 0 AS south FROM supplier")
