@@ -31,6 +31,7 @@ from .common import batches, bucket_of, by_size, materialise, most_frequent, sma
 
 END = b"\x00end"  # holds no word: it is marked by a byte that is put before words that begin with it
 SMOOTH = 0.1
+BLOCK = 1024
 
 
 def tokens(text: str) -> list[bytes]:
@@ -84,20 +85,23 @@ class Gru:
         order = np.argsort(self.class_of[y], kind="stable")
         h, y = h[order], y[order]
         c = self.class_of[y].astype(np.int64)
-        rows = np.arange(len(y))
-        e = h @ self.out_class
-        e += self.bias_class
-        logp = e[rows, c]
-        np.exp(e, out=e)  # a bounded state has small logits
-        z = e @ np.ones(self.classes, e.dtype)
-        logp -= np.log(z)
-        dh = None
-        if grad is not None:
-            e /= z[:, None]
-            e[rows, c] -= 1
-            grad["out_class"] += h.T @ e
-            grad["bias_class"] += np.ones(len(e), e.dtype) @ e
-            dh = e @ self.out_class.T
+        rows, logp = np.arange(len(y)), np.empty(len(y), h.dtype)
+        dh = None if grad is None else np.empty_like(h)
+        for at in range(0, len(y), BLOCK):  # blocks that stay in the processor's cache
+            hb, cb = h[at : at + BLOCK], c[at : at + BLOCK]
+            i = rows[: len(hb)]
+            e = hb @ self.out_class
+            e += self.bias_class
+            own = e[i, cb]
+            np.exp(e, out=e)  # a bounded state has small logits
+            z = e @ np.ones(self.classes, e.dtype)
+            logp[at : at + BLOCK] = own - np.log(z)
+            if grad is not None:
+                e /= z[:, None]
+                e[i, cb] -= 1
+                grad["out_class"] += hb.T @ e
+                grad["bias_class"] += np.ones(len(e), e.dtype) @ e
+                dh[at : at + BLOCK] = e @ self.out_class.T
         cuts = np.searchsorted(c, np.arange(self.classes + 1))
         for k in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(self.starts) > 1)):
             a, b, first, stop = cuts[k], cuts[k + 1], self.starts[k], self.starts[k + 1]
@@ -184,7 +188,7 @@ class Gru:
         grad["embed"][flat[order][first]] = np.add.reduceat(dx[order], first, axis=0)
         return float(logp.sum()), grad, h
 
-    def train(self, stream: np.ndarray, lanes: int = 256, steps: int = 16, rate: float = 0.01, state: dict | None = None) -> dict:
+    def train(self, stream: np.ndarray, lanes: int = 256, steps: int = 32, rate: float = 0.01, state: dict | None = None) -> dict:
         """Adam over a stream of documents (each ends with token 1), cut into lanes; end tokens fill the last lane."""
         state = state or {"t": 0} | {k: (np.zeros_like(getattr(self, k)), np.zeros_like(getattr(self, k))) for k in self.NAMES}
         lanes = max(1, min(lanes, len(stream) // (4 * steps)))
@@ -345,7 +349,7 @@ def score_documents(docs: DataFrame, head_words: int = 131_072, classes: int = 9
     if n_all:
         few = learn.where("n_tokens < 4000").orderBy("place", "doc_id").limit(start_rows).select("tokens").collect()
         if few:
-            model.train(np.concatenate([read(r.tokens) for r in few]), lanes=64)
+            model.train(np.concatenate([read(r.tokens) for r in few]), lanes=64, steps=16)
         started = spark.sparkContext.broadcast(model)
         shards = -(-n_all // shard_tokens)  # by the data alone, so that the weights do not depend on partitions
 
@@ -357,7 +361,7 @@ def score_documents(docs: DataFrame, head_words: int = 131_072, classes: int = 9
             def learn_held():
                 nonlocal state, seen, waiting
                 stream = np.concatenate(held)
-                state = mine.train(stream, lanes=1024, state=state, rate=0.01)
+                state = mine.train(stream, state=state)
                 seen += len(stream)
                 waiting = 0
                 held.clear()

@@ -677,3 +677,17 @@ def test_pipeline(spark):
     empty = none(spark, docs)
     for _, stage in p.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    """Weights are learned by shards of the rows' hashes: other partitions, the same scores but for rounding. Long, empty, null and clashing input."""
+    from tesselace.llm.gru import class_sizes, score_documents
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(None, "no id"), (-3, "w " * 60_000), (-4, ""), (-4, None)], "doc_id long, text string")).withColumn("score", F.lit("x"))
+    one = lambda df: {(r.doc_id, r.n_tokens, round(r.base_score, 6)): r.score for r in score_documents(df, classes=30, shard_tokens=100_000).collect()}
+    a, b = one(docs.repartition(3)), one(docs.repartition(11))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-4 * max(1, abs(a[k])) for k in a)
+    for counts in (np.ones(30), np.array([1e9, 5.0, 3.0, *[1.0] * 27]), np.arange(30, 0, -1.0)):
+        sizes = class_sizes(counts, 9)
+        assert sizes.sum() == 30 and len(sizes) == 9 and sizes.min() >= 1
