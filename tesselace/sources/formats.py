@@ -50,7 +50,7 @@ def matched_views(matches: DataFrame) -> DataFrame:
 def listed_pairs(spark: SparkSession, path: str) -> DataFrame:
     """Lines 'view partner partner ...': (a, b) for each partner."""
     words = F.split(F.trim("value"), r"\s+")
-    return spark.read.text(path).where(F.length(F.trim("value")) > 0).select(words[0].cast("long").alias("a"), F.explode(F.slice(words, 2, 1_000_000)).alias("b")).withColumn("b", F.col("b").cast("long"))
+    return spark.read.text(path).where(F.length(F.trim("value")) > 0).select(words[0].cast("long").alias("a"), F.explode(F.slice(words, F.lit(2), F.size(words))).alias("b")).withColumn("b", F.col("b").cast("long"))
 
 
 def case_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -200,7 +200,7 @@ def exr_rows(data: bytes) -> list[tuple[str, int, np.ndarray]]:
     return out
 
 
-def exr_images(spark: SparkSession, path: str) -> DataFrame:
+def exr_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, channel, y, row, error): a row of pixels a record; a file that cannot be read has one record with the error."""
 
     def rows(it):
@@ -216,6 +216,97 @@ def exr_images(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, HALF_FLOAT_SCHEMA)
 
 
+HEAD_BYTES = 65_536
+
+
+def exr_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(file, length, width, height, compression, lines, chunks, channels, strings, error): what the first 64 KB of each
+    file say; the pixels are not decoded, and no more than the head leaves the JVM."""
+
+    def rows(it):
+        for frame in it:
+            out = []
+            for file, length, data in zip(frame["path"], frame["length"], frame["head"], strict=True):
+                try:
+                    h = exr_header(bytes(data))
+                    out.append((file, length, h["width"], h["height"], h["compression"], h["lines"], -(-h["height"] // h["lines"]), [c for c, _ in h["channels"]], h.get("strings", {}), None))
+                except (ValueError, KeyError, IndexError, struct.error) as e:
+                    out.append((file, length, *[None] * 7, str(e) or type(e).__name__))
+            yield pd.DataFrame(out, columns=["file", "length", "width", "height", "compression", "lines", "chunks", "channels", "strings", "error"]).astype({c: "Int32" for c in ("width", "height", "compression", "lines", "chunks")})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "length", F.substring("content", 1, HEAD_BYTES).alias("head"))
+    return files.mapInPandas(rows, "file string, length long, width int, height int, compression int, lines int, chunks int, channels array<string>, strings map<string,string>, error string")
+
+
+def exr_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """(file, chunk, y, lines, offset, packed, unpacked): the plan of each file's chunks of scan lines, by its table of
+    offsets. Files that cannot be planned have none."""
+
+    def rows(it):
+        for frame in it:
+            out = []
+            for file, content in zip(frame["path"], frame["content"], strict=True):
+                data = bytes(content)
+                try:
+                    h = exr_header(data)
+                    count, per_line = -(-h["height"] // h["lines"]), h["width"] * sum(2 if k == 1 else 4 for _, k in h["channels"])
+                    found = []
+                    for k, at in enumerate(struct.unpack_from(f"<{count}Q", data, h["table"])):
+                        y, packed = struct.unpack_from("<ii", data, at)
+                        y -= h["window"][1]
+                        lines = min(h["lines"], h["height"] - y)
+                        found.append((file, k, y, lines, at + 8, packed, lines * per_line))
+                    out += found
+                except (ValueError, KeyError, IndexError, struct.error):
+                    continue
+            yield pd.DataFrame(out, columns=["file", "chunk", "y", "lines", "offset", "packed", "unpacked"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, "file string, chunk int, y int, lines int, offset long, packed int, unpacked int")
+
+
+def exr_worthwhile(spark: SparkSession, path: str, least_chunks: int) -> tuple[DataFrame, list[str]]:
+    """(images, rest): the files with at least so many chunks, judged by their heads before they are read whole, and the
+    names of all others, which are handed back."""
+    heads = exr_headers(spark, path).select("file", (F.col("error").isNull() & (F.col("chunks") >= least_chunks)).alias("good")).collect()
+    good, rest = [r.file for r in heads if r.good], [r.file for r in heads if not r.good]
+    images = exr_images(spark, good) if good else spark.createDataFrame([], HALF_FLOAT_SCHEMA)
+    return images, sorted(rest)
+
+
+def paired_files(spark: SparkSession, first: str, second: str, pattern: str) -> DataFrame:
+    """(name, first, second, found): files of two folders by name, where a pattern's first group is the name; found says
+    both, first, second, or differ for both with different content."""
+
+    def side(folder: str, c: str) -> DataFrame:
+        files = spark.read.format("binaryFile").load(folder).select(F.col("path").alias(c), F.md5("content").alias(f"__{c}"))
+        name = F.regexp_extract(F.element_at(F.split(c, "/"), -1), pattern, 1)
+        return files.withColumn("name", name).where("name <> ''")
+
+    both = side(first, "first").join(side(second, "second"), "name", "full_outer")
+    found = F.when(F.col("second").isNull(), "first").when(F.col("first").isNull(), "second").when(F.col("__first") == F.col("__second"), "both").otherwise("differ")
+    return both.select("name", "first", "second", found.alias("found"))
+
+
+def view_range(rows: DataFrame, view: str, start: int, size: int) -> DataFrame:
+    """Rows of the views whose place among the different views, in order, is in start .. start + size - 1."""
+    from tesselace.operators.order import numbered
+
+    some = numbered(rows.select(view).distinct(), [view], "__at").where(F.col("__at").between(start, start + size - 1)).select(view)
+    return rows.join(some, view, "left_semi")
+
+
+def gps_position(latitude: Column, north: Column, longitude: Column, east: Column, altitude: Column, below: Column) -> list[Column]:
+    """Latitude, longitude and altitude of metadata 'd, m, s' with hemispheres and 'a' with its reference (1: below the
+    sea; missing: above); a text that is none gives null."""
+
+    def degrees(text: Column, half: Column, negative: str) -> Column:
+        part = lambda k: F.get(F.split(text, ","), F.lit(k)).try_cast("double")
+        return F.when(F.upper(F.trim(half)) == negative, -1.0).otherwise(1.0) * (part(0) + part(1) / 60 + part(2) / 3600)
+
+    down = F.when(F.coalesce(below.try_cast("int"), F.lit(0)) == 1, -1.0).otherwise(1.0)
+    return [degrees(latitude, north, "S"), degrees(longitude, east, "W"), down * altitude.try_cast("double")]
+
+
 def looked_up(values: Column, table: Column) -> Column:
     """Eight-bit values through a table of 256 entries."""
     return F.transform(values, lambda x: F.get(table, x))
