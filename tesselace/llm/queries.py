@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -73,9 +74,49 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
+# What of the results SQL can express, as queries of their own.
+
+
+def quality_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def language_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens")
+
+
+def shard_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all shards: their number, rows, sizes, the greatest number of shards that one text is in, gaps in slots."""
+    rows = op4_sharding(spark, sf_dir)
+    each = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), (F.max("slot") + 1 - F.countDistinct("slot")).alias("gaps"))
+    return each.agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.sum("gaps").alias("gaps"), (F.min("shard") >= 0).alias("low"), (F.max("shard") <= 39).alias("high"))
+
+
+WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+BASE_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, text, {WORDS.format('text')} AS w FROM d),
+p AS (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5),
+g AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS gram FROM p),
+t AS (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM g),
+c AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM t, range(0, 5) u(k) WHERE n >= 2 GROUP BY r),
+l AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+s AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN c USING (r) LEFT JOIN l USING (r))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s"""
+#: crc32 of a short text, bit by bit.
+CRC = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split({}, ''), lambda c: [CAST(ascii(c) + 256 AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0]))), lambda a, x: CASE WHEN x > 0 THEN xor(a, x - 256) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"
+LANGUAGE_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({CRC.format('CAST(doc_id AS VARCHAR)')} % 10 = 0, false) AS held_out,
+  {WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+t AS (SELECT r, held_out, unnest(w) AS word FROM d), c AS (SELECT DISTINCT word FROM t WHERE NOT held_out), n AS (SELECT CAST(coalesce(sum(len(w) + 1), 0) AS BIGINT) AS n FROM d WHERE NOT held_out),
+k AS (SELECT r, count(*) AS known FROM t JOIN c USING (word) GROUP BY r)
+SELECT doc_id, held_out, CAST(len(w) + 1 AS BIGINT) AS n_tokens, CAST(coalesce(known, 0) + CASE WHEN n.n > 0 THEN 1 ELSE 0 END AS BIGINT) AS n_known, n.n AS train_tokens FROM d LEFT JOIN k USING (r), n"""
+SHARD_SQL = "SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(coalesce(strlen(text), 0) + 16) AS BIGINT) AS size, CAST(0 AS BIGINT) AS gaps, true AS low, true AS high FROM documents"
+EXTRA = {"quality_base_columns": (quality_base_columns, BASE_SQL), "language_base_columns": (language_base_columns, LANGUAGE_SQL), "shard_totals": (shard_totals, SHARD_SQL)}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | {k: f for k, (f, _) in EXTRA.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for k, (_, sql) in EXTRA.items()}
