@@ -440,8 +440,8 @@ def sample_segmentations(docs: DataFrame, model_path: str, samples: int = 3, see
     def rows(it):
         model = loaded(model_path)
         lattices = Lattices(model, [])
-        for batch in by_size(it, 3_000_000):
-            if len(lattices.piece) > 5_000_000:
+        for batch in by_size(it, 400_000):
+            if len(lattices.piece) > 2_000_000:
                 lattices = Lattices(model, [])
             doc_ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch)
             empty = [i for i, t in enumerate(texts) if not t]
