@@ -20,6 +20,7 @@ the score is the base score. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -97,7 +98,7 @@ class Gru:
             z = e @ np.ones(self.classes, e.dtype)
             logp[at : at + BLOCK] = own - np.log(z)
             if grad is not None:
-                e /= z[:, None]
+                e *= (1 / z)[:, None]
                 e[i, cb] -= 1
                 grad["out_class"] += hb.T @ e
                 grad["bias_class"] += np.ones(len(e), e.dtype) @ e
@@ -114,7 +115,7 @@ class Gru:
             z = e @ np.ones(stop - first, e.dtype)
             logp[a:b] += own - np.log(z)
             if grad is not None:
-                e /= z[:, None]
+                e *= (1 / z)[:, None]
                 e[i, m] -= 1
                 grad["out_word"][first:stop] += e.T @ hk
                 grad["bias_word"][first:stop] += np.ones(b - a, e.dtype) @ e
@@ -133,10 +134,10 @@ class Gru:
         n = self.hidden
         g = h @ self.u
         zr = a[:, : 2 * n] + g[:, : 2 * n]
-        np.negative(zr, out=zr)
-        np.exp(np.minimum(zr, 40, out=zr), out=zr)
-        zr += 1
-        np.reciprocal(zr, out=zr)
+        zr *= 0.5
+        np.tanh(zr, out=zr)
+        zr *= 0.5
+        zr += 0.5
         new = zr[:, n:] * g[:, 2 * n :]
         new += a[:, 2 * n :]
         np.tanh(new, out=new)
@@ -151,32 +152,43 @@ class Gru:
         grad = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
         flat = y.ravel()
         x = self.embed[flat]
-        a = (x @ self.w + self.b).reshape(steps, lanes, 3 * n)
-        on = (y != 1).astype(a.dtype)[:, :, None]
+        a = x @ self.w
+        a += self.b
+        a = a.reshape(steps, lanes, 3 * n)
+        on, ends = (y != 1).astype(a.dtype)[:, :, None], (y == 1).any(1).tolist()
         states = np.empty((steps, lanes, n), a.dtype)
         kept = []
         for t in range(steps):
             states[t] = h
             h, zr, new, g = self.step(a[t], h)
             kept.append((zr, new, g))
-            h *= on[t]
+            if ends[t]:
+                h *= on[t]
         logp, dh_out = self.output(states.reshape(-1, n), flat, grad)
         dh_out = dh_out.reshape(steps, lanes, n)
-        dh = np.zeros_like(h)
+        dh, back = np.zeros_like(h), np.ascontiguousarray(self.u.T)
         da, dg = np.empty_like(a), np.empty_like(a)
         for t in reversed(range(steps)):
             zr, new, g = kept[t]
-            z, r = zr[:, :n], zr[:, n:]
-            dh *= on[t]
-            both = zr * (1 - zr)
-            dnew = dh * (1 - z) * (1 - new * new)
-            da[t, :, :n] = dh * (states[t] - new) * both[:, :n]
-            da[t, :, n : 2 * n] = dnew * g[:, 2 * n :] * both[:, n:]
-            da[t, :, 2 * n :] = dnew
-            dg[t, :, : 2 * n] = da[t, :, : 2 * n]
-            dg[t, :, 2 * n :] = dnew * r
-            dh = dh * z
-            dh += dg[t] @ self.u.T
+            z, r, d, e = zr[:, :n], zr[:, n:], da[t], dg[t]
+            if ends[t]:
+                dh *= on[t]
+            through = dh * z
+            dnew = dh - through
+            np.multiply(new, new, out=d[:, 2 * n :])
+            np.subtract(1, d[:, 2 * n :], out=d[:, 2 * n :])
+            dnew *= d[:, 2 * n :]
+            d[:, 2 * n :] = dnew
+            np.subtract(states[t], new, out=d[:, :n])
+            d[:, :n] *= dh
+            np.multiply(dnew, g[:, 2 * n :], out=d[:, n : 2 * n])
+            d[:, : 2 * n] *= zr
+            np.subtract(1, zr, out=e[:, : 2 * n])
+            d[:, : 2 * n] *= e[:, : 2 * n]
+            e[:, : 2 * n] = d[:, : 2 * n]
+            np.multiply(dnew, r, out=e[:, 2 * n :])
+            dh = e @ back
+            dh += through
             dh += dh_out[t]
         da, dg = da.reshape(-1, 3 * n), dg.reshape(-1, 3 * n)
         grad["w"] += x.T @ da
@@ -312,38 +324,41 @@ def score_documents(docs: DataFrame, head_words: int = 131_072, classes: int = 9
     unigram[2 : len(chosen) + 2] = [c for _, c in chosen]
     model = Gru(classes, members, seed=seed, sizes=class_sizes(unigram, classes)).start_from(unigram)
     shared = spark.sparkContext.broadcast((place, head_count, head_token))
+    wide = np.dtype("<u2" if len(unigram) < 2**16 else "<u4")
 
     def encoded(it):
         place, head_count, head_token = shared.value
         get, logs = place.get, np.log10(head_count + SMOOTH)
         part, number = TaskContext.get().partitionId() << 33, 0
         for batch in by_size(it, 4_000_000):
-            found, n, known, base, other, missing, other_sum, rare, rare_n = [], [], [], [], [], [], [], [], []
-            for t in texts_of(batch):
-                words = tokens(t)
-                at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-                there = at[at >= 0]
-                out = Counter(w for w, k in zip(words, at.tolist(), strict=True) if k < 0) if len(there) < len(at) else {}
-                token = np.where(at >= 0, head_token[at], 0)
-                found.append(token.astype("<u2" if len(unigram) < 2**16 else "<u4").tobytes())
-                n.append(len(words))
-                known.append(int((head_count[there] > 0).sum()))
-                base.append(float(logs[there].sum()))
-                other.append(int((token == 0).sum()))
-                missing.append(len(at) - len(there))
-                other_sum.append(float(logs[there[head_token[there] == 0]].sum()))
+            split = [tokens(t) for t in texts_of(batch)]
+            n = np.array([len(w) for w in split], np.int64)
+            stop = np.cumsum(n)
+            at = np.fromiter(map(get, chain.from_iterable(split), repeat(-1)), np.int64, int(n.sum()))
+            doc, there = np.repeat(np.arange(len(n)), n), at >= 0
+            token = np.where(there, head_token[at], 0)
+            packed = memoryview(token.astype(wide)).cast("B") if len(token) else b""
+            size = wide.itemsize
+            found = [bytes(packed[size * (b - k) : size * b]) for k, b in zip(n.tolist(), stop.tolist(), strict=True)]
+            sums = lambda mask, weight=None: np.bincount(doc[mask], None if weight is None else weight[mask], len(n))
+            log = logs[at]
+            known, base, other = sums(there & (head_count[at] > 0)), sums(there, log), sums(token == 0)
+            other_sum, missing = sums(there & (token == 0), log), sums(~there)
+            rare, rare_n = [], []
+            for d, words in enumerate(split):
+                out = Counter(w for w, k in zip(words, at[stop[d] - n[d] : stop[d]].tolist(), strict=True) if k < 0) if missing[d] else {}
                 rare.append(list(out))
                 rare_n.append(list(out.values()))
             keys = pa.array(range(part + number, part + number + len(n)), pa.int64())
             number += len(n)
             yield pa.RecordBatch.from_arrays(
-                [keys, *(batch.column(c) for c in ("doc_id", "fold", "place")), pa.array(found), *(pa.array(x, pa.int64()) for x in (n, known, other, missing)), *(pa.array(x, pa.float64()) for x in (base, other_sum)), pa.array(rare, pa.list_(pa.binary())), pa.array(rare_n, pa.list_(pa.int64()))],
+                [keys, *(batch.column(c) for c in ("doc_id", "fold", "place")), pa.array(found, pa.binary()), *(pa.array(x, pa.int64()) for x in (n, known, other, missing)), *(pa.array(x, pa.float64()) for x in (base, other_sum)), pa.array(rare, pa.list_(pa.binary())), pa.array(rare_n, pa.list_(pa.int64()))],
                 ["key", "doc_id", "fold", "place", "tokens", "n_tokens", "known", "n_other", "n_rare", "base", "other_sum", "rare", "rare_n"],
             )
 
     schema = "key long, doc_id long, fold long, place long, tokens binary, n_tokens long, known long, n_other long, n_rare long, base double, other_sum double, rare array<binary>, rare_n array<long>"
     made = materialise(rows.withColumn("place", F.xxhash64("text", "doc_id", F.lit(seed))).mapInArrow(encoded, schema), "gru-encoded")
-    read = lambda blob: np.frombuffer(blob, "<u2" if len(unigram) < 2**16 else "<u4").astype(np.int64)
+    read = lambda blob: np.frombuffer(blob, wide).astype(np.int64)
     learn = made.where("fold != 0")
 
     if n_all:
