@@ -35,3 +35,10 @@ def ranked(df: DataFrame, key: list[str], order: list[str], name: str = "rank",
     first = rows.groupBy(*key).agg(F.min("__number").alias("__first"), F.count(F.lit(1)).alias(size or "__size"))
     out = rows.join(first, key).withColumn(name, F.col("__number") - F.col("__first")).drop("__number", "__first")
     return out if size else out.drop("__size")
+
+
+def running_sums(df: DataFrame, key: list[str], order: list[str], amount: str, name: str) -> DataFrame:
+    """Add the sum of a whole amount over the rows of a key up to each row, in order. Keys are not null."""
+    rows = numbered(df, [*key, *order], "__before", F.col(amount))
+    first = rows.groupBy(*key).agg(F.min_by("__before", F.struct(*order)).alias("__first"))
+    return rows.join(first, key).withColumn(name, F.col("__before") + F.col(amount) - F.col("__first")).drop("__before", "__first")

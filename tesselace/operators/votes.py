@@ -15,7 +15,9 @@ def modal_counts(votes: DataFrame, cell: str, order: str, agree: Column) -> Data
 
 
 def running_mean(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """x = (x * n + v) / (n + 1), folded in order: the result does not depend on partitions."""
+    """x = (x * n + v) / (n + 1), folded in order: the result does not depend on partitions.
+
+    A fold in order is sequential by definition: a key's values are one list in one task (a vertex's observations)."""
     listed = F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("v"))))
     zero = F.struct(F.lit(0.0).alias("x"), F.lit(0).alias("n"))
     fold = F.aggregate(listed, zero, lambda s, e: F.struct(((s["x"] * s["n"] + e["v"]) / (s["n"] + 1)).alias("x"), (s["n"] + 1).alias("n")))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tesselace.operators import graph, raster, votes
+from tesselace.operators.order import ranked, running_sums
 from tesselace.plans.base import query, read
 
 CENTS = "CAST(round({} * 100) AS BIGINT)"
@@ -172,14 +172,13 @@ def unstable_erase(spark, d):
 
 @query("SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) % 4 AS slot FROM events")
 def batch_slots(spark, d):
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    return read(spark, d, "events").select("user_id", "event_id", ((F.row_number().over(w) - 1) % 4).cast("long").alias("slot"))
+    r = ranked(read(spark, d, "events").select("user_id", "event_id"), ["user_id"], ["event_id"])
+    return r.select("user_id", "event_id", (F.col("rank") % 4).alias("slot"))
 
 
 @query("""WITH h AS (SELECT user_id, event_id, CAST(round(value * 100) AS BIGINT) AS v, CAST(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS segment FROM events)
 SELECT user_id, event_id, segment, CAST(sum(v) OVER (PARTITION BY user_id, segment ORDER BY event_id) AS BIGINT) AS total FROM h""")
 def segmented_scan(spark, d):
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    e = read(spark, d, "events").withColumn("segment", F.sum((F.col("event_type") == "signup").cast("long")).over(w))
-    inner = Window.partitionBy("user_id", "segment").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return e.select("user_id", "event_id", "segment", F.sum(cents("value")).over(inner).alias("total"))
+    e = read(spark, d, "events").select("user_id", "event_id", cents("value").alias("v"), (F.col("event_type") == "signup").cast("long").alias("head"))
+    parts = running_sums(e, ["user_id"], ["event_id"], "head", "segment")
+    return running_sums(parts, ["user_id", "segment"], ["event_id"], "v", "total").select("user_id", "event_id", "segment", "total")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesselace.plans import base, grids, images, reports, scenes, surfaces, vectors  # noqa: F401  registers the queries
+from tesselace.plans import base, extras, grids, images, reports, scenes, surfaces, vectors  # noqa: F401  registers the queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
