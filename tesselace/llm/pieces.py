@@ -2,9 +2,10 @@
 
 A text's lattice is a row of small lattices, one for each unit (a run of spaces with the word after it; a line
 break). A piece's weight is a Zipf-Mandelbrot probability of its rank in the vocabulary. Gumbel top-k: the space of
-segmentations is searched by A* over regions, each a set {first units fixed, next unit none of those taken, rest
-free} whose best perturbed log-probability is a Gumbel variable truncated by that of the region it was cut from.
-Popping the best region gives the next segmentation, and what is left of the region is cut at every later unit.
+segmentations is searched by A* over regions, each a set {keep to a segmentation found for some units, leave it at one
+of a range of units, rest free} whose best perturbed log-probability is a Gumbel variable truncated by that of the
+region it was cut from. Popping the best region gives the next segmentation; what is left of the region is cut into
+leaving it earlier, later, or there by yet another path, and what leaves the new segmentation is a region too.
 Segmentations of one row are thus distinct and drawn without replacement; the inclusion score of each is
 log(1 - exp(-exp(log_prob - kappa))), kappa the value of the best region that is left. All random numbers are hashes
 of (seed, doc_id, sample, unit, step), so they do not depend on partitions or batches.
@@ -12,14 +13,17 @@ of (seed, doc_id, sample, unit, step), so they do not depend on partitions or ba
 Decoding turns ids into bytes and those into text; every sample is decoded and compared with its text.
 
 Null and empty texts have one segmentation, of no pieces. Characters outside the vocabulary, and a literal U+2581,
-are byte pieces. A text with fewer segmentations than samples has fewer rows. Rows of a null doc_id share a seed.
+are byte pieces. A text with fewer segmentations than samples has fewer rows; regions of less than 1e-12 of the
+probability of the units before them count as empty, for that is the rounding error of their sums. Rows of a null doc_id share a seed.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,8 @@ from .common import by_size, small_batches, texts_of
 
 UNIT = re.compile("▁|\n| +(?=[\n▁]|\\Z)| *[^ \n▁]+")
 SPACE, LITERAL = 0x2581, 0x110001
+LEAST = 1e-12
+_ALL = 2**64 - 1
 _C1, _C2, _C3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids_crc32 long, decoded boolean"
 
@@ -139,17 +145,47 @@ class Lattices:
         self.model, self.index = model, Numbers()
         self.first = self.last = self.begin = np.zeros(0, np.int32)
         self.code = self.width = np.zeros(0, np.int32)
+        self.seen = np.zeros(0, np.int64)
         self.piece, self.logp, self.cumulative, self.step = np.zeros(0, np.int32), np.zeros(0), np.zeros(0), np.zeros(0, np.uint8)
         self.numbers(units)
 
-    def numbers(self, units: list[str]) -> list[int]:
+    def numbers(self, units: list[str]) -> np.ndarray:
         """The units' numbers; those that are new are laid out."""
-        out = list(map(self.index.__getitem__, units))
+        out = np.fromiter(map(self.index.__getitem__, units), np.int32, len(units))
         if self.index.new:
             self.add(self.index.new)
             self.index.new = []
+        seen = np.bincount(out, minlength=len(self.index))
+        seen[: len(self.seen)] += self.seen
+        self.seen = seen
         return out
 
+    def forget(self, most: int) -> None:
+        """Drop the units that were met once, or all if that leaves more than so many edges."""
+        kept = np.flatnonzero(self.seen > 1)
+        edges = np.append(self.begin, len(self.piece))
+        low, high = edges[self.first[kept]].astype(np.int64), edges[self.last[kept] + 1].astype(np.int64)
+        if (high - low).sum() > most:
+            self.__init__(self.model, [])
+            return
+        units = list(self.index)
+        states, sizes = self.first[kept].astype(np.int64), (self.last - self.first + 1)[kept].astype(np.int64)
+        places = states - kept
+        index = Numbers()
+        index.update(zip([units[k] for k in kept.tolist()], range(len(kept)), strict=True))
+        at, counts = ragged(low, high - low), high - low
+        new_edges, new_states = np.cumsum(counts) - counts, np.cumsum(sizes) - sizes
+        piece = self.piece[at]
+        odd = np.flatnonzero(piece < 0)
+        piece[odd] += np.repeat(places - (new_states - np.arange(len(kept))), counts)[odd].astype(np.int32)
+        every = ragged(states, sizes)
+        begin = (self.begin[every] + np.repeat(new_edges - low, sizes)).astype(np.int32)
+        code = ragged(places, sizes - 1)
+        self.index, self.seen, self.piece, self.begin = index, self.seen[kept], piece, begin
+        self.first, self.last = new_states.astype(np.int32), (new_states + sizes - 1).astype(np.int32)
+        self.code, self.width = self.code[code], self.width[code]
+        self.logp, self.cumulative, self.step = self.logp[at], self.cumulative[at], self.step[at]
+
     def add(self, units: list[str]) -> None:
         had, states, edges, places = self.__dict__.copy(), len(self.begin), len(self.piece), len(self.code)
         self.build(units)
@@ -310,113 +346,123 @@ class Lattices:
         return out, ends[stop] - ends[stop - per]
 
 
-def rest_mass(logp: np.ndarray) -> np.ndarray:
-    """log(1 - exp(logp)); nothing is left below 1e-12."""
-    with np.errstate(divide="ignore"):
-        m = -np.expm1(logp)
-        return np.where(m > 1e-12, np.log(np.maximum(m, 1e-300)), -np.inf)
+def mixed(x: int) -> int:
+    """mix of one number."""
+    x &= _ALL
+    x = (x ^ x >> 30) * int(_C1) & _ALL
+    x = (x ^ x >> 27) * int(_C2) & _ALL
+    return x ^ x >> 31
+
+
+def uniform_of(x: int) -> float:
+    return ((mixed(x) >> 11) + 0.5) * 2.0**-53
+
+
+def truncated(phi: float, top: float, key: int) -> float:
+    """A Gumbel variable of location phi, given that it is below top."""
+    if phi == -math.inf:
+        return phi
+    a, b = -top, math.log(-math.log(uniform_of(key))) - phi
+    low, high = min(a, b), max(a, b)
+    return -(high + math.log1p(math.exp(low - high)))
+
 
+class Leaf:
+    """One segmentation of a text: for each unit its log-probability, number of edges and edges."""
 
-def truncated(phi: np.ndarray, top: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Gumbel variables of location phi, given that they are below top."""
-    with np.errstate(invalid="ignore"):
-        g = -np.logaddexp(-top, np.log(-np.log(uniform(key))) - phi)
-    return np.where(np.isneginf(phi), -np.inf, g)
+    def __init__(self, logp: np.ndarray, n: np.ndarray, edges: np.ndarray, top: float):
+        self.n, self.edges, self.top = n, edges, top
+        self.fall = np.zeros(len(logp) + 1)  # minus the log-probability of the units before each
+        np.cumsum(-logp, out=self.fall[1:])
+        self.stop = np.zeros(len(n) + 1, np.int64)
+        np.cumsum(n, out=self.stop[1:])
+
+    def mass(self, lo: int, hi: int) -> float:
+        """log of the probability of keeping to this segmentation up to unit lo and leaving it before unit hi; what is
+        below 1e-12 of the former is taken for rounding: nothing."""
+        left = -math.expm1(self.fall[lo] - self.fall[hi])
+        return -self.fall[lo] + math.log(left) if left > LEAST else -math.inf
+
+    def departure(self, lo: int, hi: int, u: float) -> int:
+        """The unit at which it is left, drawn by probability."""
+        y = math.log1p(u * math.expm1(self.fall[lo] - self.fall[hi]))
+        return min(lo + int(np.searchsorted(self.fall[lo + 1 : hi + 1], self.fall[lo] - y)), hi - 1)
+
+    def path(self, t: int) -> list[int]:
+        return self.edges[self.stop[t] : self.stop[t + 1]].tolist()
 
 
 def sample_texts(model: Model, texts: list[str], keys: np.ndarray, k: int, lattices: Lattices | None = None):
-    """lattices: kept from one call to the next, so that a unit is laid out once. Yields (sample, documents, log_prob, perturbed, kappa, ids, ids per document) for each sample of a batch; no text is empty."""
+    """lattices: kept from one call to the next, so that a unit is laid out once. Yields (sample, documents, log_prob,
+    perturbed, kappa, ids, ids per document) for each sample of a batch; no text is empty.
+
+    A region is (value, leaf, lo, hi, taken): all segmentations that keep to a leaf up to a unit in lo .. hi - 1 and leave
+    it there; with `taken`, those that leave it at lo by none of the paths taken. The value is that of its best."""
     lattices = lattices or Lattices(model, [])
     split = [UNIT.findall(" " + t) for t in texts]
     per = np.array([len(x) for x in split], np.int64)
-    unit = np.array(lattices.numbers([u for x in split for u in x]), np.int32)
+    unit = lattices.numbers(list(chain.from_iterable(split)))
     del split
-    begin = np.cumsum(per) - per
-    doc = np.repeat(np.arange(len(texts)), per)
-    place = np.arange(len(unit)) - begin[doc]
-    token_key = mix(keys[doc] + place.astype(np.uint64) * _C3)
-    salt = lambda s, t=0: np.uint64((s * 1_000_003 + t) * 0x9E3779B97F4A7C15 % 2**64)
-    cut: dict[tuple[int, int], tuple[list[list[int]], float]] = {}  # (leaf, token): paths taken, their probability
-
-    def lattice_path(x, token):
-        if "stop" not in x:
-            x["stop"] = np.cumsum(x["n"])
-        return x["edges"][x["stop"][token] - x["n"][token] : x["stop"][token]].tolist()
-
-    def before(logp):
-        c = np.cumsum(logp)
-        return c - logp - (c - logp)[begin][doc]
-
-    logp, n, edges = lattices.paths(unit, mix(token_key + salt(1)))
-    top = -np.log(-np.log(uniform(mix(keys + salt(1, 1)))))
-    leaves = [{"logp": logp, "n": n, "edges": edges, "top": top, "docs": np.arange(len(texts))}]
-    leaves[0]["rest"] = truncated(before(logp) + rest_mass(logp), top[doc], mix(token_key + salt(1, 2)))
-    kappa = np.full(len(texts), -np.inf)
-    for s in range(2, k + 2):
-        best = np.stack([np.maximum.reduceat(x["rest"], begin) for x in leaves])
-        leaf = best.argmax(0)
-        value = best.max(0)
-        if s == k + 1:
-            kappa = value
-            break
-        docs = np.flatnonzero(~np.isneginf(value))
-        if not len(docs):
+    ends = np.cumsum(per)
+    begin = ends - per
+    place = np.arange(len(unit)) - np.repeat(begin, per)
+    token_key = mix(np.repeat(keys, per) + place.astype(np.uint64) * _C3)
+    salt = lambda s, t=0: (s * 1_000_003 + t) * 0x9E3779B97F4A7C15 & _ALL
+    key_of = [int(x) for x in keys]
+
+    def cut_up(logp, n, edges, sizes, tops) -> list[Leaf]:
+        """Leaves of consecutive runs of units."""
+        units = np.r_[0, np.cumsum(sizes)]
+        stops = np.r_[0, np.cumsum(n, dtype=np.int64)][units].tolist()
+        units = units.tolist()
+        return [(logp[a:b], n[a:b], edges[c:d], top) for a, b, c, d, top in zip(units, units[1:], stops, stops[1:], tops, strict=False)]
+
+    tops = [-math.log(-math.log(uniform_of(x + salt(1, 1)))) for x in key_of]
+    first = [Leaf(*x) for x in cut_up(*lattices.paths(unit, mix(token_key + np.uint64(salt(1)))), per, tops)]
+    found: list[list[Leaf | None]] = [first]
+    regions = [[(truncated(x.mass(0, int(m)), x.top, key + salt(1, 2)), x, 0, int(m), None)] for x, m, key in zip(first, per, key_of, strict=True)]
+    for s in range(2, k + 1):
+        turns: list[tuple] = []
+        for d, mine in enumerate(regions):
+            tries = 0
+            while mine:
+                value, leaf, lo, hi, taken = mine.pop(max(range(len(mine)), key=lambda i: mine[i][0]))
+                if value == -math.inf:
+                    mine.clear()
+                    break
+                tries += 1
+                own = key_of[d] + salt(s, 100 * tries)
+                t = lo if taken else leaf.departure(lo, hi, uniform_of(own + 1))
+                if not taken:
+                    mine += [(truncated(leaf.mass(a, b), value, own + 2 + (a > lo)), leaf, a, b, None) for a, b in ((lo, t), (t + 1, hi)) if a < b]
+                taken = taken or ([leaf.path(t)], math.exp(leaf.fall[t] - leaf.fall[t + 1]))
+                at = int(begin[d]) + t
+                got = lattices.other_path(int(unit[at]), taken[0], int(token_key[at]) + salt(s, 10 + tries))
+                if got is None:  # nothing but the taken ones is there
+                    continue
+                used = taken[1] + math.exp(got[0])
+                if 1 - used > LEAST:
+                    mine.append((truncated(math.log(1 - used) - leaf.fall[t], value, own + 4), leaf, t, t + 1, ([*taken[0], got[2].tolist()], used)))
+                turns.append((d, value, leaf, t, got))
+                break
+        late = ragged(np.array([begin[d] + t + 1 for d, _, _, t, _ in turns], np.int64), np.array([per[d] - t - 1 for d, _, _, t, _ in turns], np.int64)) if turns else np.zeros(0, np.int64)
+        parts = cut_up(*lattices.paths(unit[late], mix(token_key[late] + np.uint64(salt(s)))), [int(per[d]) - t - 1 for d, _, _, t, _ in turns], [x[1] for x in turns])
+        made: list[Leaf | None] = [None] * len(texts)
+        for (d, value, leaf, t, (logp, n, edges)), (late_logp, late_n, late_edges, _) in zip(turns, parts, strict=True):
+            before = -np.diff(leaf.fall[: t + 1])
+            new = Leaf(np.concatenate([before, [logp], late_logp]), np.concatenate([leaf.n[:t], [n], late_n]), np.concatenate([leaf.edges[: leaf.stop[t]], edges, late_edges]), value)
+            made[d] = new
+            if t + 1 < per[d]:
+                regions[d].append((truncated(new.mass(t + 1, int(per[d])), value, key_of[d] + salt(s, 3)), new, t + 1, int(per[d]), None))
+        found.append(made)
+    kappa = np.array([max((r[0] for r in mine), default=-math.inf) for mine in regions])
+    for s, leaves in enumerate(found, 1):
+        live = [d for d, x in enumerate(leaves) if x is not None]
+        mine = [leaves[d] for d in live]
+        if not mine:
             break
-        at = np.empty(len(texts), np.int64)
-        for q, x in enumerate(leaves):
-            hit = np.flatnonzero((leaf == q)[doc] & (x["rest"] == value[doc]) & ~np.isneginf(x["rest"]))[::-1]
-            at[doc[hit]] = hit
-        parent = {c: np.choose(leaf[doc], [x[c] for x in leaves]) if len(leaves) > 1 else leaves[0][c].copy() for c in ("logp", "n")}
-        # the unit where the new segmentation departs: not one of those taken
-        t = at[docs]
-        taken = [cut.get((int(leaf[d]), int(x))) or ([lattice_path(leaves[leaf[d]], x)], float(np.exp(leaves[leaf[d]]["logp"][x]))) for d, x in zip(docs, t, strict=True)]
-        got = [lattices.other_path(int(unit[x]), names, int(token_key[x]) + int(salt(s, 10))) for x, (names, _) in zip(t, taken, strict=True)]
-        ok = np.array([g is not None for g in got])
-        docs, t, taken, got = docs[ok], t[ok], [x for x, o in zip(taken, ok, strict=True) if o], [g for g in got if g is not None]
-        turned = np.full(len(texts), 2**62)
-        turned[docs] = t
-        late = np.flatnonzero(np.arange(len(unit)) > turned[doc])
-        a, c, e = lattices.paths(unit[late], mix(token_key[late] + salt(s)))
-        new = {"logp": parent["logp"], "n": parent["n"], "docs": docs, "top": value}
-        store, offset = [x["edges"] for x in leaves], np.cumsum([0, *(len(x["edges"]) for x in leaves)])
-        starts = np.empty(len(unit), np.int64)
-        for q, x in enumerate(leaves):
-            mine = np.flatnonzero(leaf[doc] == q)
-            starts[mine] = (np.cumsum(x["n"]) - x["n"])[mine] + offset[q]
-        starts[late] = np.cumsum(c) - c + offset[-1]
-        turn_edges = [g[2] for g in got]
-        turn_n = np.array([g[1] for g in got], np.int64)
-        starts[t] = np.cumsum(turn_n) - turn_n + offset[-1] + len(e)
-        for key_, late_value, turn_value in (("logp", a, [g[0] for g in got]), ("n", c, turn_n)):
-            new[key_][late] = late_value
-            new[key_][t] = np.array(turn_value, new[key_].dtype)
-        inside = np.zeros(len(texts), bool)
-        inside[docs] = True
-        new["n"][~inside[doc]] = 0
-        new["edges"] = np.concatenate([*store, e, *turn_edges])[ragged(starts, new["n"])]
-        prior = before(new["logp"])
-        rest = np.full(len(unit), -np.inf)
-        rest[late] = truncated((prior + rest_mass(new["logp"]))[late], value[doc[late]], mix(token_key[late] + salt(s, 2)))
-        new["rest"] = rest
-        for (names, p), d, x, g in zip(taken, docs, t, got, strict=True):
-            cut[int(leaf[d]), int(x)] = ([*names, g[2].tolist()], p + float(np.exp(g[0])))
-        mass = np.array([1 - cut[int(leaf[d]), int(x)][1] for d, x in zip(docs, t, strict=True)])
-        phi = np.where(mass > 1e-12, prior[t] + np.log(np.maximum(mass, 1e-300)), -np.inf)
-        again = truncated(phi, value[docs], mix(token_key[t] + salt(s, 3)))
-        for q, x in enumerate(leaves):
-            mine = leaf[docs] == q
-            x["rest"][t[mine]] = again[mine]
-        gone = np.flatnonzero(~np.isneginf(value) & ~inside)  # nothing but the taken ones is left there
-        for d in gone:
-            leaves[leaf[d]]["rest"][at[d]] = -np.inf
-        leaves.append(new)
-    for s, x in enumerate(leaves, 1):
-        live = np.zeros(len(texts), bool)
-        live[x["docs"]] = True
-        edges_of = np.add.reduceat(x["n"], begin)
-        ids, count = lattices.ids(x["edges"], edges_of)
-        total = np.add.reduceat(x["logp"], begin)
-        yield s, np.flatnonzero(live), total[live], x["top"][live], kappa[live], ids, count[live]
+        ids, count = lattices.ids(np.concatenate([x.edges for x in mine]), np.array([len(x.edges) for x in mine]))
+        yield s, np.array(live), -np.array([x.fall[-1] for x in mine]), np.array([x.top for x in mine]), kappa[live], ids, count
 
 
 @lru_cache(2)
@@ -440,9 +486,9 @@ def sample_segmentations(docs: DataFrame, model_path: str, samples: int = 3, see
     def rows(it):
         model = loaded(model_path)
         lattices = Lattices(model, [])
-        for batch in by_size(it, 400_000):
-            if len(lattices.piece) > 2_000_000:
-                lattices = Lattices(model, [])
+        for batch in by_size(it, 800_000):
+            if len(lattices.piece) > 2_500_000:
+                lattices.forget(2_000_000)
             doc_ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch)
             empty = [i for i, t in enumerate(texts) if not t]
             full = [i for i, t in enumerate(texts) if t]

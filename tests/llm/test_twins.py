@@ -207,3 +207,22 @@ def test_queries_with_sql_agree(spark):
         assert sorted(got.columns) == sorted(want.columns)
         rows = lambda f: sorted(tuple(map(float, r)) for r in f[sorted(f.columns)].itertuples(index=False))
         assert rows(got) == rows(want), name
+
+
+def test_lattices_that_forget_are_the_same():
+    """Segmentations do not depend on what was laid out before or dropped since."""
+    from tesselace.llm.pieces import Lattices, loaded, mix, sample_texts
+    from tesselace.llm.queries import TOKENIZERS
+
+    rng = random.Random(6)
+    model = loaded(f"{TOKENIZERS}/piece_bpe_32k.model")
+    letters = "abcdefghij éß王\U0001f600"
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(40)) for _ in range(30)]
+    keys = mix(np.arange(30, dtype=np.uint64))
+    out = lambda lattices, a, b: [(s, live.tolist(), ids.tolist(), logp.tolist()) for s, live, logp, _, _, ids, _ in sample_texts(model, texts[a:b], keys[a:b], 3, lattices)]
+    kept = Lattices(model, [])
+    for a in range(0, 30, 5):
+        assert out(kept, a, a + 5) == out(None, a, a + 5)
+        kept.forget(10**9 if a != 15 else 0)
+        assert (len(kept.index) > 0) == (a != 15) and kept.seen.size == len(kept.index)
+    assert out(kept, 0, 30) == out(None, 0, 30)
