@@ -92,6 +92,13 @@ def huber(s: Column, b: int) -> Column:
     return F.when(s <= b * b, s).otherwise(2 * b * F.sqrt(s) - b * b)
 
 
+def huber_slopes(s: Column, b: int) -> tuple[Column, Column]:
+    """First and second derivative of huber by s: what residuals and Jacobians are scaled by."""
+    root = F.sqrt(s)
+    far = s > b * b
+    return F.when(far, b / root).otherwise(1.0), F.when(far, -b / (2 * s * root)).otherwise(0.0)
+
+
 def best_cutoff(residuals: DataFrame, group: str, residual: str, sample: int, log_alpha: float) -> DataFrame:
     """A-contrario choice by group: the k residuals, in order, for which log C(n, k) + log C(k, sample) + (k - sample)
     (log_alpha + log r_k) is least; groups are bounded (matches of one pair of views). Zero residuals count as 1e-12."""

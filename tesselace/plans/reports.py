@@ -41,6 +41,21 @@ def map_summary(spark, d):
     return by.agg(F.percentile("median", F.lit(0.5)).alias("median_of_medians"), F.min("median").alias("least"), F.max("p95").alias("worst"), F.bool_and(F.col("p95") < 2000).alias("accepted"))
 
 
+def hundredth(p: int) -> str:
+    return f"l[(n - 1) * {p} // 100 + 1] * (100 - (n - 1) * {p} % 100) + l[least((n - 1) * {p} // 100 + 2, n)] * ((n - 1) * {p} % 100) AS p{p}"
+
+
+@query(f"""WITH {MAPS}, e AS (SELECT view, abs(va - vb) AS g, va FROM j WHERE va IS NOT NULL AND vb IS NOT NULL),
+o AS (SELECT view, CAST(count(*) AS BIGINT) AS n, list_sort(list(g)) AS l, CAST(sum(g) AS BIGINT) / count(*) AS mean, max(g) AS max, CAST(sum(CASE WHEN 200 * g <= va THEN 1 ELSE 0 END) AS BIGINT) / count(*) AS within FROM e GROUP BY view)
+SELECT view, n, mean, max, within, {hundredth(50)}, {hundredth(95)} FROM o""")
+def view_errors(spark, d):
+    """Mean, median and p95 (hundredths), greatest error and the share within half a percent, by view."""
+    gap = maps(spark, d).where("found = 'both'").withColumn("g", F.abs(F.col("value_a") - F.col("value_b")))
+    n = F.count(F.lit(1))
+    by = gap.groupBy("view").agg((F.sum("g") / n).alias("mean"), F.max("g").alias("max"), (F.count_if(200 * F.col("g") <= F.col("value_a")) / n).alias("within"))
+    return by.join(stats.rank_quantiles(gap, ["view"], "g", ["y", "x"], {"p50": 50, "p95": 95}, interpolated=True), "view")
+
+
 FACES = "f AS (SELECT lang, md5(text) AS face FROM documents WHERE source < 'src15'), s AS (SELECT lang, md5(text) AS face FROM documents WHERE source >= 'src15')"
 
 
@@ -135,6 +150,14 @@ def huber_losses(spark, d):
     return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("landmark"), F.col("l_suppkey").alias("view"), s.alias("s")).withColumn("loss", stats.huber(F.col("s"), 4))
 
 
+@query(f"""WITH {RESIDUAL}, d AS (SELECT landmark, view, CAST(s AS DOUBLE) AS s FROM r) SELECT landmark, view, CASE WHEN s > 16 THEN 4 / sqrt(s) ELSE 1.0 END::DOUBLE AS first, CASE WHEN s > 16 THEN -4 / (2 * s * sqrt(s)) ELSE 0.0 END::DOUBLE AS second FROM d""")
+def huber_correctors(spark, d):
+    s = (cents("l_discount") * cents("l_discount")).cast("double")
+    x = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("landmark"), F.col("l_suppkey").alias("view"), s.alias("s"))
+    first, second = stats.huber_slopes(F.col("s"), 4)
+    return x.select("landmark", "view", first.alias("first"), second.alias("second"))
+
+
 @query(f"WITH {RESIDUAL}, k AS (SELECT * FROM r WHERE s <= 36) SELECT landmark, CAST(count(*) AS BIGINT) AS n, CAST(max(s) AS BIGINT) AS worst FROM k GROUP BY landmark HAVING count(*) >= 2")
 def residual_filter(spark, d):
     s = cents("l_discount") * cents("l_discount")

@@ -35,3 +35,14 @@ def test_taps():
         taps = g.lanczos_taps(source, target)
         assert len(taps) == target and all(abs(sum(w for _, w in t) - 1) < 1e-12 and all(0 <= k < source for k, _ in t) for t in taps)
     assert g.lanczos_taps(5, 5)[2] == [(2, 1.0)] or abs(g.lanczos_taps(5, 5)[2][2][1] - 1) < 1e-12
+
+
+def test_tables_and_seeds(spark):
+    from tesselace.sources.formats import looked_up
+
+    table = F.array(*(F.lit(k / 255) for k in range(256)))
+    assert one(spark, looked_up(F.array(F.lit(0), F.lit(51), F.lit(255)), table))[0] == [0.0, 0.2, 1.0]
+    seeds = spark.range(100).repartition(7).select("id", g.task_seed(1, "a", F.col("id")).alias("s"), g.task_seed(1, "b", F.col("id")).alias("t"), g.task_seed(1, "a", F.col("id"), 1).alias("u"))
+    rows = seeds.collect()
+    assert len({x for r in rows for x in r[1:]}) == 300
+    assert {r.id: r.s for r in rows} == {r.id: r.s for r in seeds.coalesce(1).collect()}
