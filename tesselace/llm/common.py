@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,39 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_own_folder: list[str] = []
+from tesselace.storage import discard, saved  # noqa: F401  discard is for the modules beside this one
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one where that is unset and all runs on one machine (tests)."""
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        return folder
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _own_folder:
-        _own_folder.append("file://" + tempfile.mkdtemp(prefix="tesselace-"))
-    return _own_folder[0]
-
-
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage is cut and any executor may be lost."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    read = spark.read.schema(df.schema).parquet(path)
-    read._written = path
-    return read
-
-
-def discard(df: DataFrame) -> None:
-    """Delete what materialise wrote for df; nothing that is still to be computed may read it."""
-    jvm, path = df.sparkSession._jvm, df._written
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    return saved(df, tag)
 
 
 def small_batches(spark: SparkSession, rows: int = 2000, bytes_: str = "16m") -> None:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, materialise, small_batches, summed_blobs, texts_of
+from .common import batches, discard, materialise, small_batches, summed_blobs, texts_of
 
 WORD = re.compile(r"\w+")
 STRIDE = 24
@@ -232,6 +232,7 @@ def leaks_of_texts(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, e
 
     candidates = found.mapInArrow(search, "doc_id long, digest long, item int, block int, cosine double").distinct()
     listed = materialise(candidates.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("item", "block", "cosine")).alias("candidates")), "leak-candidates")
+    discard(found)
     wanted = listed.select(F.col("doc_id").alias("id"), F.col("digest").alias("same"), "candidates")
     at = lambda df: df["doc_id"].eqNullSafe(wanted["id"]) & (df["digest"] == wanted["same"])
     if listed.count() <= broadcast_rows:

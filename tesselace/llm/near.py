@@ -234,7 +234,7 @@ def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def near_links(rows: DataFrame, docs: DataFrame, rounds: int = 3, broadcast_rows: int = 500_000) -> tuple[list[DataFrame], DataFrame | None]:
-    """Links (a, b, similarity) found between different texts, and (node, root) of every text that has one."""
+    """Tables of links (a, b, similarity) found between different texts, and (node, root) of every text that has one."""
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketches").alias("sketches"), F.first(F.slice("profile", 1, 2)).alias("profile"))
     member = nodes.select("node", "n", "profile", "doc_id", F.explode(F.array_distinct("sketches")).alias("bucket"))
     sizes = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -282,21 +282,27 @@ def near_links(rows: DataFrame, docs: DataFrame, rounds: int = 3, broadcast_rows
         new = materialise(measured(pairs, texts), "near-links")
         if classes is not None:
             discard(state)
+        if last:
+            discard(open_)
         if new.isEmpty():
+            discard(new)
             if last:
                 break
             last = True
             continue
-        links.append(new.select("a", "b", "similarity"))
+        links.append(new)
         joined = components(new.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
         if classes is None:
             classes = joined
         else:
             renamed = joined.select(F.col("node").alias("old"), F.col("root").alias("new"))
             moved = classes.join(renamed, classes["root"] == renamed["old"], "left").select("node", F.coalesce("new", "root").alias("root"))
-            classes = materialise(moved.unionByName(joined.join(classes, "node", "left_anti")), "near-roots")
+            grown = materialise(moved.unionByName(joined.join(classes, "node", "left_anti")), "near-roots")
+            classes = grown
         if last:
             break
+    for done in (met, involved, texts):
+        discard(done)
     return links, classes
 
 
@@ -324,7 +330,9 @@ def near_classes(docs: DataFrame, sketches: int = 16, picks: int = 3, seed: int
     small_batches(docs.sparkSession)
     rows = materialise(sketch_rows(docs, sketches, picks, seed), "near-rows")
     named = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
-    roots = near_links(rows, docs)[1]
+    links, roots = near_links(rows, docs)
+    for done in links:
+        discard(done)
     joined = named.withColumn("root", F.col("node")) if roots is None else named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = joined.groupBy("root").agg(F.min("least").alias("class_id"))
     by_node = materialise(joined.join(classes, "root").select("node", "class_id", "root"), "near-classes")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import discard, materialise
 
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа|г-жа"
 MALE = "Mr|Herr|Monsieur|Señor|Sr|Господин|г-н"
@@ -367,8 +367,12 @@ def settle(found: DataFrame, key: str, rounds: int = 100) -> DataFrame | None:
         failed = (F.col("nth") > 1) | F.col("real").isNotNull()
         judged = materialise(judged.select("kind", "canon", F.when(failed, F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt"), failed.alias("failed")), "pii-attempts")
         if judged.where("failed").isEmpty():
-            return table.where("attempt > 0") if moved else None
-        moved, table = True, judged.drop("failed")
+            discard(judged)
+            if not moved:
+                discard(table)
+            return table.select("kind", "canon", "attempt").where("attempt > 0") if moved else None
+        discard(table)
+        moved, table = True, judged
     raise RuntimeError("surrogates still collide; the space of a kind is too small for its entities")
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, materialise, small_batches
+from .common import batches, discard, materialise, small_batches
 
 RAW = "script|style|noscript|template|textarea|iframe|svg|canvas|select|title"
 TOKEN = re.compile(
@@ -438,7 +438,7 @@ def extract_pages(pages: DataFrame, broadcast_bytes: int = 8_000_000, fan_in: in
 
     found = with_model(wrappers, "length(wrapper) + length(host)").mapInArrow(slots, "host string, page long, slot int, text long, chars int, linked int, path string")
     sums = [F.max("chars").alias("chars"), F.max("linked").alias("linked"), F.min("path").alias("path")]
-    once = materialise(found.groupBy("host", "slot", "page", "text").agg(*sums), "html-slots")
+    slots_seen = once = materialise(found.groupBy("host", "slot", "page", "text").agg(*sums), "html-slots")
     where = materialise(once.groupBy("host", "slot").agg(F.min("path").alias("path")), "html-paths")
     inside = where.where(F.col("path").rlike("(^|/)(article|main)([./]|$)")).select("host", "slot", F.lit(True).alias("inside"))
     kind = F.bit_xor("text").alias("kind")
@@ -467,6 +467,8 @@ def extract_pages(pages: DataFrame, broadcast_bytes: int = 8_000_000, fan_in: in
     told = stats.withColumn("text", none).unionByName(often.select("host", "slot", F.col("where").alias("path"), *(F.lit(0).cast("long").alias(c) for c in ("pages", "kinds", "chars", "linked")), F.col("text").cast("string").alias("text")))
     chosen = told.groupBy("host").applyInPandas(judged, "host string, content string, template string")
     model = materialise(wrappers.join(chosen, "host", "left"), "html-model")
+    for done in (wrappers, slots_seen, where, bodies, stats):
+        discard(done)
     joined = with_model(model, "length(wrapper) + length(host) + coalesce(length(content) + length(template), 0)")
 
     def texts(it):
