@@ -226,3 +226,15 @@ def test_lattices_that_forget_are_the_same():
         kept.forget(10**9 if a != 15 else 0)
         assert (len(kept.index) > 0) == (a != 15) and kept.seen.size == len(kept.index)
     assert out(kept, 0, 30) == out(None, 0, 30)
+
+
+def test_ngrams_fetched_in_slices(spark):
+    from tesselace.llm.kneser_ney import Lookup
+
+    rng = random.Random(7)
+    rows = {rng.randrange(2**52): rng.random() for _ in range(500)}
+    got = Lookup(spark.createDataFrame(list(rows.items()), "key long, value double"), slice_rows=60)
+    wanted = np.array([*rows, 5, 2**52 + 1])
+    value, there = got(wanted)
+    assert (np.diff(got.keys) > 0).all() and there.tolist() == [True] * len(rows) + [False, False]
+    assert np.allclose(value, [*rows.values(), 0, 0])
