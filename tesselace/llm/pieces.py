@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from bisect import bisect_left
 from functools import lru_cache
 from itertools import chain
 
@@ -229,7 +230,7 @@ class Lattices:
         self.piece, self.step, weight = np.empty(n, np.int32), np.empty(n, np.uint8), np.empty(n)
         cursor = self.begin.copy()
         width = np.where(code < 0x80, 1, np.where(code < 0x800, 2, np.where((code < 0x10000) | (code == LITERAL), 3, 4)))
-        for place, piece, length in found:
+        for place, piece, length in reversed(found):  # the longest, which are likely, come first
             s = state[place]
             e = cursor[s]
             cursor[s] += 1
@@ -241,7 +242,7 @@ class Lattices:
         beta = np.zeros(n_states)
         away = np.zeros(n_states, np.int64)
         away[state] = stop[unit] - everywhere
-        order = np.argsort(away, kind="stable")
+        order = np.argsort(away.astype(np.int16) if size.max(initial=0) < 2**15 else away, kind="stable")
         cuts = np.searchsorted(away[order], np.arange(1, int(size.max(initial=0)) + 2))
         for i in range(len(cuts) - 1):
             s = order[cuts[i] : cuts[i + 1]]
@@ -274,10 +275,10 @@ class Lattices:
                 more = more[u[more] > self.cumulative[e[more]]]
             logp[act] += self.logp[e]
             j += 1
+            n[act] = j
             steps.append((act, e))
             now = now + self.step[e]
-            on = now < end
-            n[act[~on]] = j
+            on = np.flatnonzero(now < end)
             act, now, end, key = act[on], now[on], end[on], key[on]
         at = np.cumsum(n, dtype=np.int32) - n
         edges = np.empty(int(n.sum()), np.int32)
@@ -286,30 +287,34 @@ class Lattices:
         return logp, n, edges
 
     def other_path(self, unit: int, taken: list[list[int]], key: int):
-        """A random segmentation of one unit that is none of those taken; None if there is none."""
-        s, end, logp, edges, taken = int(self.first[unit]), int(self.last[unit]), 0.0, [], list(taken)
-        mass = [np.exp(np.cumsum(self.logp[x][::-1])[::-1]).tolist() for x in taken]
-        us = uniform(np.uint64(key % 2**64) + np.arange(1, end - s + 1, dtype=np.uint64) * _C3).tolist()
+        """A random segmentation of one unit that is none of those taken; None if there is none (what is left of an edge
+        below 1e-13 is taken for rounding)."""
+        s, end, logp, edges, left = int(self.first[unit]), int(self.last[unit]), 0.0, [], []
+        for path in taken:
+            total, rest = 0.0, []
+            for x in reversed(self.logp[path].tolist()):
+                total += x
+                rest.append(math.exp(total))
+            left.append((path, rest[::-1]))
         while s != end:
-            j = len(edges)
-            e = int(self.begin[s])
+            j, low = len(edges), int(self.begin[s])
+            logs = self.logp[low : int(self.begin[s + 1])].tolist()
             weights, total = [], 0.0
-            while True:
-                w = float(np.exp(self.logp[e])) - sum(m[j] for x, m in zip(taken, mass, strict=True) if x[j] == e)
-                total += w if w > 1e-13 else 0.0
+            for e, x in enumerate(logs, low):
+                w = math.exp(x)
+                for path, rest in left:
+                    if path[j] == e:
+                        w -= rest[j]
+                if w > 1e-13:
+                    total += w
                 weights.append(total)
-                if self.cumulative[e] >= 1.0:
-                    break
-                e += 1
             if total <= 0.0:
                 return None
-            u = us[j] * total
-            e = int(self.begin[s]) + next(i for i, w in enumerate(weights) if w >= u)
-            kept = [i for i, x in enumerate(taken) if x[j] == e]
-            taken, mass = [taken[i] for i in kept], [mass[i] for i in kept]
-            edges.append(e)
-            logp += float(self.logp[e])
-            s += int(self.step[e])
+            k = min(bisect_left(weights, uniform_of(key + (j + 1) * int(_C3)) * total), len(logs) - 1)
+            left = [x for x in left if x[0][j] == low + k]
+            edges.append(low + k)
+            logp += logs[k]
+            s += int(self.step[low + k])
         return logp, len(edges), np.array(edges, np.int32)
 
     def every(self, unit: int) -> list[tuple[float, int, list[int]]]:
