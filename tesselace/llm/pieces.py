@@ -36,6 +36,7 @@ from .common import by_size, small_batches, texts_of
 UNIT = re.compile("▁|\n| +(?=[\n▁]|\\Z)| *[^ \n▁]+")
 SPACE, LITERAL = 0x2581, 0x110001
 LEAST = 1e-12
+PLAIN = 16  # characters of a unit whose weights do not leave the range of doubles
 _ALL = 2**64 - 1
 _C1, _C2, _C3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids_crc32 long, decoded boolean"
@@ -239,22 +240,48 @@ class Lattices:
             weight[e] = np.where(piece >= 0, model.weight[piece], width[place] * model.byte_weight)
         self.code = np.where(code == LITERAL, SPACE, code).astype(np.int32)
         self.width = width.astype(np.int32)
-        beta = np.zeros(n_states)
+        # what leads from each state to its unit's end: in short units as plain numbers, a factor of e^9 for each character
+        # keeping them in range; in long ones as logarithms
         away = np.zeros(n_states, np.int64)
         away[state] = stop[unit] - everywhere
-        order = np.argsort(away.astype(np.int16) if size.max(initial=0) < 2**15 else away, kind="stable")
-        cuts = np.searchsorted(away[order], np.arange(1, int(size.max(initial=0)) + 2))
-        for i in range(len(cuts) - 1):
-            s = order[cuts[i] : cuts[i + 1]]
-            if len(s):
-                e = ragged(self.begin[s], count[s])
-                x = weight[e] + beta[np.repeat(s, count[s]) + self.step[e]]
-                at = np.cumsum(count[s]) - count[s]
-                top = np.maximum.reduceat(x, at)
-                beta[s] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, count[s])), at))
+        in_long = np.repeat(size > PLAIN, size)
         start = np.repeat(np.arange(n_states), count)
-        self.logp = np.minimum(weight + beta[start + self.step] - beta[start], 0.0)
-        total = np.cumsum(np.exp(self.logp))
+        target = start + self.step
+
+        def levels(states: np.ndarray):
+            """The states by their distance from the end, with their edges and where each one's begin."""
+            far = away[states]
+            order = states[np.argsort(far.astype(np.int16) if size.max(initial=0) < 2**15 else far, kind="stable")]
+            cuts = np.searchsorted(away[order], np.arange(1, int(far.max(initial=0)) + 2))
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a < b:
+                    some = order[a:b]
+                    yield some, ragged(self.begin[some], count[some]), np.cumsum(count[some]) - count[some]
+
+        weigh = np.exp(np.minimum(weight + 9.0 * self.step, 600.0))
+        ahead = np.ones(n_states)
+        for some, e, at in levels(state[~in_long]):
+            ahead[some] = np.add.reduceat(weigh[e] * ahead[target[e]], at)
+        share = weigh
+        share *= ahead[target]
+        share /= ahead[start]
+        if in_long.any():
+            beta = np.zeros(n_states)
+            for some, e, at in levels(state[in_long]):
+                x = weight[e] + beta[target[e]]
+                top = np.maximum.reduceat(x, at)
+                beta[some] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, count[some])), at))
+            odd = np.zeros(n_states, bool)
+            odd[state[in_long]] = True
+            odd = np.flatnonzero(odd[start])
+            logs = np.minimum(weight[odd] + beta[target[odd]] - beta[start[odd]], 0.0)
+            share[odd] = np.exp(logs)
+        np.minimum(share, 1.0, out=share)
+        with np.errstate(divide="ignore"):
+            self.logp = np.log(share)
+        if in_long.any():
+            self.logp[odd] = logs
+        total = np.cumsum(share)
         before = np.r_[0.0, total][self.begin]
         self.cumulative = total - before[start]
         ends = self.begin[count > 0] + count[count > 0] - 1
