@@ -92,7 +92,7 @@ class Model:
                     prefixes[h] = i
                 else:
                     prefixes.setdefault(h, -1)
-        self.bits = (8 * len(prefixes)).bit_length()  # an open table: few of its places are taken
+        self.bits = (2 * len(prefixes)).bit_length()  # an open table, about a third of it taken
         self.keys, self.ids = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -2, np.int32)
         for k in sorted(prefixes):
             at = k * 0x9E3779B97F4A7C15 % 2**64 >> 64 - self.bits
@@ -518,9 +518,9 @@ def sample_segmentations(docs: DataFrame, model_path: str, samples: int = 3, see
     def rows(it):
         model = loaded(model_path)
         lattices = Lattices(model, [])
-        for batch in by_size(it, 800_000):
-            if len(lattices.piece) > 2_500_000:
-                lattices.forget(2_000_000)
+        for batch in by_size(it, 500_000):
+            if len(lattices.piece) > 1_500_000:
+                lattices.forget(1_200_000)
             doc_ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch)
             empty = [i for i, t in enumerate(texts) if not t]
             full = [i for i, t in enumerate(texts) if t]
