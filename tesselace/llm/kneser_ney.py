@@ -1,15 +1,17 @@
 """Quality classifier: interpolated modified Kneser-Ney trigrams, trained on trusted text.
 
-Trusted documents are those labelled 1. By hash of doc_id one half of them is for training, of which a bounded sample
-(`train_rows`, the first by another hash) trains the model; all of the other half set the thresholds. Trigrams are
-counted in shards of their context and then of the pair that ends them; context sums, continuation counts and
-discounts are windows in those shards. The model is stored as additive parts: log P of a token is the sum of one part
-for its word, one for its bigram and one for its trigram, 0 where that was not seen, so a document's score is a join
-of its n-grams with the parts and a sum.
+Trusted documents are those labelled 1. By hash of doc_id one half of them is for training and the other half sets the
+thresholds; all rows of both are used, whatever the size of the input, unless a caller asks for fewer (`train_rows`).
+Trigrams are counted in shards of their context and then of the pair that ends them; context sums, continuation counts
+and discounts are windows in those shards. Both shards of a trigram share its middle word, so large inputs are worked
+off in `slices` of those words, one after the other, to hold less on disk at once. The model is stored as additive
+parts: log P of a token is the sum of one part for its word, one for its bigram and one for its trigram, 0 where that
+was not seen, so a document's score is a join of its n-grams with the parts and a sum.
 
 Words outside the vocabulary (`words` entries at most) share the unknown token, whose probability in any context is
 split among the unknown words seen. The `head` most frequent n-grams are broadcast (12 bytes each). What the head has
-no room for is joined; a Bloom filter of fixed size keeps n-grams from that shuffle that cannot be in the model.
+no room for is joined, in slices of the keys; a Bloom filter of fixed size keeps n-grams from that shuffle that cannot
+be in the model (the fewer, the larger the model is).
 
 A document's log-perplexity is drawn to its language's median by `prior` tokens, so that a few words decide nothing.
 The threshold of a language is the quantile `share` of that figure over all its held-out trusted documents (over all
@@ -21,16 +23,19 @@ rows each have a row. Without trusted rows every document is kept. An empty tabl
 
 from __future__ import annotations
 
+import gc
 from collections import Counter
+from functools import reduce
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import by_size, cutoff_of, discard, materialise, most_frequent, small_batches, texts_of
+from .common import batches, by_size, cutoff_of, discard, materialise, most_frequent, small_batches, texts_of
 
 MARKS = frozenset(".,;:!?")
 UNKNOWN, BEGIN, END = 0, 1, 2
@@ -43,7 +48,19 @@ TRIGRAM = 1 << 3 * BITS  # marks trigram keys; bigram keys are below it
 
 def tokens(text: str) -> list[str]:
     """What stands between white space, without one closing mark."""
-    return [w[:-1] if len(w) > 1 and w[-1] in MARKS else w for w in text.split()]
+    return [w[:-1] if w[-1] in MARKS and len(w) > 1 else w for w in text.split()]
+
+
+def streams_of(texts: list[str], words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' ids in one array, each text as BEGIN BEGIN its words END, and the length of each."""
+    split = [tokens(t) for t in texts]
+    size = np.fromiter(map(len, split), np.int64, len(split)) + 3
+    end = np.cumsum(size)
+    full, inner = np.full(int(size.sum()), BEGIN, np.int64), np.ones(int(size.sum()), bool)
+    inner[end - size] = inner[end - size + 1] = inner[end - 1] = False
+    full[end - 1] = END
+    full[inner] = np.fromiter(map(words.get, chain.from_iterable(split), repeat(UNKNOWN)), np.int64, len(full) - 3 * len(split))
+    return full, size
 
 
 def bloom_bits(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,16 +101,13 @@ class Model:
     """What every task needs: the words' parts, the most frequent n-grams' parts and a filter for all others; bounded in size."""
 
     def __init__(self, words: dict[str, int], part: np.ndarray, head: Lookup, bloom: np.ndarray | None, bits: int):
-        self.words, self.part, self.head, self.bloom, self.bits = words, part, head, bloom, bits
+        self.words, self.part, self.head, self.bloom, self.bits = words, part, head, bloom, bits if bloom is None else (8 * len(bloom)).bit_length() - 1
 
     def local(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """Tokens of each text, the local part of its score and its n-grams that have to be joined."""
-        get = self.words.get
-        ids = [[BEGIN, BEGIN, *(get(w, UNKNOWN) for w in tokens(t)), END] for t in texts]
-        size = np.array([len(x) for x in ids], np.int64)
-        full = np.fromiter((k for x in ids for k in x), np.int64, int(size.sum()))
+        full, size = streams_of(texts, self.words)
         end = np.cumsum(size)
-        doc = np.repeat(np.arange(len(ids)), size)
+        doc = np.repeat(np.arange(len(size)), size)
         inner = np.ones(len(full), bool)
         inner[end - size] = False  # a pair ends at every place but the first, a triple also not at the second
         pair = (full[:-1] << BITS | full[1:])[inner[1:]]
@@ -106,12 +120,14 @@ class Model:
         context = inner.copy()
         context[end - 1] = False
         value += self.part[1][full] * context
-        score = np.bincount(doc, value, len(ids))
-        rest = [np.zeros(0, np.int64)] * len(ids)
+        score = np.bincount(doc, value, len(size))
+        rest = [np.zeros(0, np.int64)] * len(size)
         left = []
         for keys, owner in ((pair, whose), (triple, doc[at])):
+            order = np.argsort(keys)  # lookups in order stay in the processor's cache
+            keys, owner = keys[order], owner[order]
             got, there = self.head(keys)
-            score += np.bincount(owner, got, len(ids))
+            score += np.bincount(owner, got, len(size))
             if self.bloom is not None:
                 k, o = keys[~there], owner[~there]
                 hit = np.ones(len(k), bool)
@@ -121,7 +137,7 @@ class Model:
         if left:
             k, o = (np.concatenate(x) for x in zip(*left, strict=True))
             order = np.argsort(o, kind="stable")
-            rest = np.split(k[order], np.cumsum(np.bincount(o, minlength=len(ids)))[:-1])
+            rest = np.split(k[order], np.cumsum(np.bincount(o, minlength=len(size)))[:-1])
         return size - 2, score, rest
 
 
@@ -140,61 +156,98 @@ def taken(c: np.ndarray, d) -> np.ndarray:
     return np.select([c == 1, c == 2], [d[0], d[1]], d[2])
 
 
-def sampled(labels: DataFrame, train_rows: int) -> DataFrame:
-    """(doc_id, held) of the trusted rows that are used: train_rows at most for training, and all that are held out."""
+def trusted_rows(labels: DataFrame, train_rows: int | None = None) -> DataFrame:
+    """(doc_id, held) of all trusted rows: one half is for training, the other is held out. With train_rows, so many at most are for training."""
     trusted = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
     held = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
+    if train_rows is None:
+        return trusted.select("doc_id", held.alias("held"))
     learn = trusted.where(~held).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(train_rows)
     return learn.select("doc_id", F.lit(False).alias("held")).unionByName(trusted.where(held).select("doc_id", F.lit(True).alias("held")))
 
 
-def train(texts: DataFrame, words: int, head: int, bits: int) -> tuple[Model, DataFrame | None] | None:
-    """The broadcast part of the model, and the n-gram parts (key, value) that it has no room for; texts: a bounded sample."""
+def release(spark: SparkSession) -> None:
+    """Shuffle files are deleted when the driver's JVM finds that no plan uses them any more; ask it to look now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def train(texts: DataFrame, words: int, head: int, bits: int, slices: int = 4, slice_tokens: int = 2_000_000) -> tuple[Model, DataFrame | None] | None:
+    """The broadcast part of the model, and the n-gram parts (key, value) that it has no room for; texts of slice_tokens tokens or fewer are one slice."""
     spark = texts.sparkSession
 
     def vocabulary(it):
         seen: Counter = Counter()
+
+        def told():
+            batch = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
+            seen.clear()
+            return batch
+
         for batch in by_size(it, 4_000_000):
             for t in texts_of(batch):
                 seen.update(tokens(t))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
+            if len(seen) > 500_000:
+                yield told()
+        yield told()
 
     counted = materialise(texts.select("text").mapInArrow(vocabulary, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), "kn-words")
-    n_types = counted.count()
+    n_types, n_tokens = counted.agg(F.count(F.lit(1)), F.sum("c")).first()
     if not n_types:
         return None
+    slices = slices if n_tokens > slice_tokens else 1
     top = most_frequent(counted.where("c > 1 and length(word) <= 64"), "c", min(words, MASK - 2)).toArrow().to_pylist()
     discard(counted)
     index = {r["word"]: i for i, r in enumerate(sorted(top, key=lambda r: (-r["c"], r["word"])), 3)}
     shared = spark.sparkContext.broadcast(index)
 
-    def triples(it):
-        get = shared.value.get
-        held: list[np.ndarray] = []
-
-        def told():
-            k, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n, pa.int64()), pa.array(k >> BITS & MASK2)], ["key", "c", "context"])
-
+    def encoded(it):
         for batch in by_size(it, 4_000_000):
-            for t in texts_of(batch):
-                full = np.fromiter((BEGIN, BEGIN, *(get(w, UNKNOWN) for w in tokens(t)), END), np.int64)
-                held.append(full[:-2] << 2 * BITS | full[1:-1] << BITS | full[2:] | TRIGRAM)
-            if sum(map(len, held)) > 4_000_000:
+            full, size = streams_of(texts_of(batch), shared.value)
+            packed, end = memoryview(full.astype("<u4")).cast("B"), 4 * np.cumsum(size)
+            yield pa.RecordBatch.from_arrays([pa.array([bytes(packed[a:b]) for a, b in zip((end - 4 * size).tolist(), end.tolist(), strict=True)], pa.binary())], ["ids"])
+
+    def triples(mine: int):
+        def rows(it):
+            held: list[np.ndarray] = []
+
+            def told():
+                k, n = np.unique(np.concatenate(held), return_counts=True)
+                held.clear()
+                return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n, pa.int64()), pa.array(k >> BITS & MASK2)], ["key", "c", "context"])
+
+            for batch in batches(it, 100):
+                full = np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u4").astype(np.int64)
+                ours = full[2:] != BEGIN  # nothing reaches from one document into the next
+                if slices > 1:
+                    ours &= full[1:-1] % slices == mine
+                held.append((full[:-2] << 2 * BITS | full[1:-1] << BITS | full[2:] | TRIGRAM)[ours])
+                if sum(map(len, held)) > 4_000_000:
+                    yield told()
+            if held:
                 yield told()
-        if held:
-            yield told()
 
+        return rows
+
+    streams = materialise(texts.select("text").mapInArrow(encoded, "ids binary"), "kn-streams")
     # one shuffle by context and one by the pair that ends a trigram; everything else is a window inside them
     context, pair = Window.partitionBy("context"), Window.partitionBy("pair")
     number = lambda test: F.sum(F.when(test, 1).otherwise(0)).over(context).cast("int")
-    tri = texts.select("text").mapInArrow(triples, "key long, c long, context long").repartition("context").groupBy("context", "key").agg(F.sum("c").alias("c"))
-    tri = tri.select(
-        "key", "c", F.expr(f"key & {MASK2}").alias("pair"), F.sum("c").over(context).alias("total"), number(F.col("c") == 1).alias("n1"), number(F.col("c") == 2).alias("n2"), number(F.col("c") > 2).alias("n3"), (F.col("key") == F.min("key").over(context)).alias("opens")
-    )
-    tri = tri.repartition("pair").withColumns({"left": F.count(F.lit(1)).over(pair), "raw": F.sum("c").over(pair), "leads": F.col("key") == F.min("key").over(pair)})
-    tri = materialise(tri.drop("pair"), "kn-trigrams")
+
+    def slice_of(mine: int) -> DataFrame:
+        tri = streams.mapInArrow(triples(mine), "key long, c long, context long").repartition("context").groupBy("context", "key").agg(F.sum("c").alias("c"))
+        tri = tri.select(
+            "key", "c", F.expr(f"key & {MASK2}").alias("pair"), F.sum("c").over(context).alias("total"), number(F.col("c") == 1).alias("n1"), number(F.col("c") == 2).alias("n2"), number(F.col("c") > 2).alias("n3"), (F.col("key") == F.min("key").over(context)).alias("opens")
+        )
+        tri = tri.repartition("pair").withColumns({"left": F.count(F.lit(1)).over(pair), "raw": F.sum("c").over(pair), "leads": F.col("key") == F.min("key").over(pair)})
+        return materialise(tri.drop("pair"), "kn-trigrams")
+
+    sliced = []
+    for mine in range(slices):
+        sliced.append(slice_of(mine))
+        release(spark)
+    tri = reduce(DataFrame.unionByName, sliced)
+    discard(streams)
     few = lambda df, c: {r[0]: r[1] for r in df.where(f"{c} <= 4").groupBy(c).agg(F.count(F.lit(1))).collect()}
     bi = tri.where("leads").select(F.expr(f"cast(key & {MASK} as int)").alias("w"), F.expr(f"cast(shiftright(key, {BITS}) & {MASK} as int)").alias("v"), "left")
     ends = bi.groupBy("w").agg(F.count(F.lit(1)).alias("c")).toArrow()
@@ -213,23 +266,30 @@ def train(texts: DataFrame, words: int, head: int, bits: int) -> tuple[Model, Da
     gamma2[v] = np.log((d2[0] * n1 + d2[1] * n2 + d2[2] * (starts["n"].to_numpy() - n1 - n2)) / total2[v])
     orders = spark.sparkContext.broadcast((spoken, total2, gamma2))
 
-    def parts_of(it):
-        spoken, total2, gamma2 = orders.value
-        for batch in it:
-            key, c, total, n1, n2, n3, left, raw = (batch.column(k).to_numpy() for k in ("key", "c", "total", "n1", "n2", "n3", "left", "raw"))
-            opens, leads = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("opens", "leads"))
-            v, w = key >> BITS & MASK, key & MASK
-            p2 = (left - taken(left, d2)) / total2[v] + np.exp(gamma2[v] + spoken[w])
-            gamma3 = (d3[0] * n1 + d3[1] * n2 + d3[2] * n3) / total
-            p3 = (c - taken(c, d3)) / total + gamma3 * p2
-            value = np.log(p3) - np.log(p2) - np.log(gamma3), (np.log(p2) - spoken[w] - gamma2[v])[leads], np.log(gamma3)[opens]
-            keys = key, (key & MASK2)[leads], (key >> BITS & MASK2)[opens]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in ((keys, pa.int64()), ((c, raw[leads], total[opens]), pa.int64()), (value, pa.float64()))], ["key", "c", "value"])
-
-    made = tri.mapInArrow(parts_of, "key long, c long, value double")
-    pairs = made.where(F.col("key") < TRIGRAM).groupBy("key").agg(F.max("c").alias("c"), F.sum("value").alias("value"))
-    parts = materialise(made.where(F.col("key") >= TRIGRAM).unionByName(pairs), "kn-parts")
-    discard(tri)
+    def parts_of(of_pairs: bool):
+        def rows(it):
+            spoken, total2, gamma2 = orders.value
+            for batch in batches(it, 100_000):
+                key, c, total, n1, n2, n3, left, raw = (batch.column(k).to_numpy() for k in ("key", "c", "total", "n1", "n2", "n3", "left", "raw"))
+                opens, leads = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("opens", "leads"))
+                v, w = key >> BITS & MASK, key & MASK
+                p2 = (left - taken(left, d2)) / total2[v] + np.exp(gamma2[v] + spoken[w])
+                gamma3 = (d3[0] * n1 + d3[1] * n2 + d3[2] * n3) / total
+                if of_pairs:
+                    keys, n = ((key & MASK2)[leads], (key >> BITS & MASK2)[opens]), (raw[leads], total[opens])
+                    value = (np.log(p2) - spoken[w] - gamma2[v])[leads], np.log(gamma3)[opens]
+                else:
+                    keys, n, value = (key,), (c,), (np.log((c - taken(c, d3)) / total + gamma3 * p2) - np.log(p2) - np.log(gamma3),)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in ((keys, pa.int64()), (n, pa.int64()), (value, pa.float32()))], ["key", "c", "value"])
+
+        return rows
+
+    made = "key long, c long, value float"
+    pairs = tri.where("leads or opens").mapInArrow(parts_of(True), made).groupBy("key").agg(F.max("c").alias("c"), F.sum("value").cast("float").alias("value"))
+    parts = materialise(tri.mapInArrow(parts_of(False), made).unionByName(pairs), "kn-parts")
+    for done in sliced:
+        discard(done)
+    release(spark)
     cutoff = cutoff_of(parts, "c", head)
     frequent, tail = (parts, None) if cutoff is None else (parts.where(F.col("c") > cutoff), parts.where(F.col("c") <= cutoff).select("key", "value"))
     model = Model(index, np.stack([log1, gamma2]), Lookup(frequent), None if tail is None else bloom_of(tail.select("key"), bits), bits)
@@ -237,32 +297,44 @@ def train(texts: DataFrame, words: int, head: int, bits: int) -> tuple[Model, Da
         done.destroy()  # what was computed with them is written
     if tail is None:
         discard(parts)
+    release(spark)
     return model, tail
 
 
-def bloom_of(keys: DataFrame, bits: int, blocks: int = 64) -> np.ndarray:
-    """A filter of 2^bits bits, made in blocks."""
-    step = 1 << bits - 6
+def bloom_of(keys: DataFrame, bits: int) -> np.ndarray:
+    """A filter of 2^bits bits; of 12 to 24 bits a key where that is less. Each task fills its own, and they are united block by block."""
+    bits = min(bits, max(16, (12 * keys.count()).bit_length()))
+    step = min(1 << 17, 1 << bits - 3)
 
-    def dealt(it):
-        for batch in it:
+    def filled(it):
+        own = np.zeros(1 << bits - 3, np.uint8)
+        for batch in batches(it, 100_000):
             at = np.concatenate(bloom_bits(batch.column("key").to_numpy(), bits))
-            yield pa.RecordBatch.from_arrays([pa.array(at // step, pa.int64()), pa.array(at % step, pa.int64())], ["block", "at"])
-
-    def filled(key, frame):
-        import pandas as pd
-
-        block = np.zeros(step, np.uint8)
-        block[frame["at"].to_numpy()] = 1
-        return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(block, bitorder="little").tobytes()]})
+            byte, bit = at >> 3, at & 7
+            for k in range(8):
+                own[byte[bit == k]] |= np.uint8(1 << k)
+        for at in range(0, len(own), step):
+            if own[at : at + step].any():
+                yield pa.RecordBatch.from_arrays([pa.array([at // step], pa.int64()), pa.array([own[at : at + step].tobytes()], pa.binary())], ["block", "bits"])
+
+    def united(it):
+        made: dict[int, np.ndarray] = {}
+        for batch in it:
+            for block, blob in zip(batch.column("block").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+                if block in made:
+                    made[block] |= np.frombuffer(blob, np.uint8)
+                else:
+                    made[block] = np.frombuffer(blob, np.uint8).copy()
+        for block, own in made.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([own.tobytes()], pa.binary())], ["block", "bits"])
 
     bloom = np.zeros(1 << bits - 3, np.uint8)
-    for r in keys.mapInArrow(dealt, "block long, at long").distinct().groupBy("block").applyInPandas(filled, "block long, bits binary").collect():
-        bloom[r.block * step // 8 : (r.block + 1) * step // 8] = np.frombuffer(r.bits, np.uint8)
+    for r in keys.mapInArrow(filled, "block long, bits binary").repartition("block").mapInArrow(united, "block long, bits binary").collect():
+        bloom[r.block * step : (r.block + 1) * step] = np.frombuffer(r.bits, np.uint8)
     return bloom
 
 
-def score_documents(docs: DataFrame, model: Model, tail: DataFrame | None) -> DataFrame:
+def score_documents(docs: DataFrame, model: Model, tail: DataFrame | None, slices: int = 4) -> DataFrame:
     """doc_id, lang, digest (of the text), n_tokens and log_prob of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -287,8 +359,16 @@ def score_documents(docs: DataFrame, model: Model, tail: DataFrame | None) -> Da
     scored = materialise(scored, "kn-local")
     shared.destroy()
     asked = scored.select("row", F.explode(F.arrays_zip("key", "n")).alias("x")).select("row", "x.key", "x.n")
-    met = asked.join(tail, "key").groupBy("row").agg(F.sum(F.col("n") * F.col("value")).alias("more"))
-    return materialise(scored.join(met, "row", "left").select(*columns, (F.col("log_prob") + F.coalesce("more", F.lit(0.0))).alias("log_prob")), "kn-scored")
+    met = []
+    for mine in range(slices):  # one after the other, to hold less on disk at once
+        ours = F.pmod(F.xxhash64("key", F.lit(7)), F.lit(slices)) == mine
+        met.append(materialise(asked.where(ours).join(tail.where(ours), "key").groupBy("row").agg(F.sum(F.col("n") * F.col("value")).alias("more")), "kn-met"))
+        release(docs.sparkSession)
+    more = reduce(DataFrame.unionByName, met).groupBy("row").agg(F.sum("more").alias("more"))
+    done = materialise(scored.join(more, "row", "left").select(*columns, (F.col("log_prob") + F.coalesce("more", F.lit(0.0))).alias("log_prob")), "kn-scored")
+    for x in (scored, *met):
+        discard(x)
+    return done
 
 
 def quantiles(df: DataFrame, key: str, value: Column, share: float, least: int, most: int) -> DataFrame:
@@ -302,12 +382,14 @@ def quantiles(df: DataFrame, key: str, value: Column, share: float, least: int,
     return most_frequent(found.where(F.col("n") >= least), "n", most)
 
 
-def classify(docs: DataFrame, labels: DataFrame, train_rows: int = 10_000, words: int = 65_536, head: int = 1 << 23, bloom_bits_: int = 26, prior: float = 30.0, share: float = 0.995, languages: int = 10_000, broadcast_rows: int = 500_000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, train_rows: int | None = None, words: int = 65_536, head: int = 1 << 23, bloom_bits_: int = 28, prior: float = 30.0, share: float = 0.995, languages: int = 10_000, broadcast_rows: int = 500_000, broadcast_ids: int = 4_000_000) -> DataFrame:
     """doc_id, lang, digest (of the text), n_tokens, perplexity, threshold and kept for every row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
-    chosen = materialise(sampled(labels, train_rows), "kn-chosen")
-    trained = train(docs.join(F.broadcast(chosen.where("not held")), "doc_id", "left_semi"), words, head, bloom_bits_)
+    chosen = materialise(trusted_rows(labels, train_rows), "kn-chosen")
+    learn = chosen.where("not held").select("doc_id")
+    learn = F.broadcast(learn) if learn.count() <= broadcast_ids else learn  # ids alone: the other way shuffles texts
+    trained = train(docs.join(learn, "doc_id", "left_semi"), words, head, bloom_bits_)
     if trained is None:
         none = F.lit(None).cast("double")
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64("text").alias("digest"), F.lit(0).cast("long").alias("n_tokens"), none.alias("perplexity"), none.alias("threshold"), F.lit(True).alias("kept"))

@@ -329,6 +329,28 @@ def test_thresholds_come_from_all_held_out_rows(spark):
     assert len(got) == 75 and half >= 30 and got.kept.mean() > 0.95
 
 
+def test_all_training_rows_reach_the_model(spark):
+    """A word that one document repeats is known to the model if that document is for training, however many there are."""
+    from tesselace.llm.kneser_ney import classify
+
+    docs = spark.range(24_000).selectExpr("id AS doc_id", "concat_ws(' ', 'w' || id, 'w' || id, 'w' || id) AS text", "'en' AS lang").repartition(4)
+    got = classify(docs, docs.select("doc_id", F.lit(1).alias("quality"))).withColumn("held", F.expr("pmod(xxhash64(doc_id), 2) = 1"))
+    by = {r.held: r for r in got.groupBy("held").agg(F.count(F.lit(1)).alias("n"), F.min("perplexity").alias("low"), F.max("perplexity").alias("high")).collect()}
+    assert by[False].n > 11_000 and by[False].high < by[True].low
+
+
+def test_slices_of_a_model_add_up(spark):
+    """Training and joined scores in slices are those of one pass."""
+    from tesselace.llm import kneser_ney as kn
+
+    texts, marks = documents(spark).select("doc_id", "text", "lang").limit(60), {}
+    for n in (1, 3):
+        model, tail = kn.train(texts, 300, 100, 20, slices=n, slice_tokens=0)
+        parts = {(r.key, round(r.value, 5)) for r in tail.collect()} | set(zip(model.head.keys.tolist(), model.head.values.round(5).tolist(), strict=True))
+        marks[n] = len(parts), sorted(round(r.log_prob, 3) for r in kn.score_documents(texts, model, tail, slices=n).collect())
+    assert marks[1][0] == marks[3][0] and np.allclose(marks[1][1], marks[3][1], atol=1e-2) and len(marks[1][1]) == 60
+
+
 # op7
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var a="</p>";</script></head><body><header>Site</header><nav><ul><li><a href="/a">menu {k}</a></li></ul></nav>
