@@ -232,14 +232,18 @@ def train(texts: DataFrame, words: int, head: int, bits: int, slices: int = 4, s
     streams = materialise(texts.select("text").mapInArrow(encoded, "ids binary"), "kn-streams")
     # one shuffle by context and one by the pair that ends a trigram; everything else is a window inside them
     context, pair = Window.partitionBy("context"), Window.partitionBy("pair")
-    number = lambda test: F.sum(F.when(test, 1).otherwise(0)).over(context).cast("int")
+    number = lambda test, place: F.sum(F.when(test, 1 << place * BITS).otherwise(0).cast("long")).over(context)
 
     def slice_of(mine: int) -> DataFrame:
         tri = streams.mapInArrow(triples(mine), "key long, c long, context long").repartition("context").groupBy("context", "key").agg(F.sum("c").alias("c"))
         tri = tri.select(
-            "key", "c", F.expr(f"key & {MASK2}").alias("pair"), F.sum("c").over(context).alias("total"), number(F.col("c") == 1).alias("n1"), number(F.col("c") == 2).alias("n2"), number(F.col("c") > 2).alias("n3"), (F.col("key") == F.min("key").over(context)).alias("opens")
+            "key",
+            "c",
+            F.sum("c").over(context).alias("total"),
+            # how many trigrams of the context occur once, twice and more often, and whether this is its first: one number, since rows of few columns are small when shuffled
+            (number(F.col("c") == 1, 0) + number(F.col("c") == 2, 1) + number(F.col("c") > 2, 2) + F.when(F.col("key") == F.min("key").over(context), TRIGRAM).otherwise(0)).alias("numbers"),
         )
-        tri = tri.repartition("pair").withColumns({"left": F.count(F.lit(1)).over(pair), "raw": F.sum("c").over(pair), "leads": F.col("key") == F.min("key").over(pair)})
+        tri = tri.repartition(F.expr(f"key & {MASK2}")).withColumn("pair", F.expr(f"key & {MASK2}")).withColumns({"left": F.count(F.lit(1)).over(pair), "raw": F.sum("c").over(pair), "leads": F.col("key") == F.min("key").over(pair)})
         return materialise(tri.drop("pair"), "kn-trigrams")
 
     sliced = []
@@ -270,8 +274,9 @@ def train(texts: DataFrame, words: int, head: int, bits: int, slices: int = 4, s
         def rows(it):
             spoken, total2, gamma2 = orders.value
             for batch in batches(it, 100_000):
-                key, c, total, n1, n2, n3, left, raw = (batch.column(k).to_numpy() for k in ("key", "c", "total", "n1", "n2", "n3", "left", "raw"))
-                opens, leads = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("opens", "leads"))
+                key, c, total, numbers, left, raw = (batch.column(k).to_numpy() for k in ("key", "c", "total", "numbers", "left", "raw"))
+                n1, n2, n3, opens = numbers & MASK, numbers >> BITS & MASK, numbers >> 2 * BITS & MASK, numbers >= TRIGRAM
+                leads = batch.column("leads").to_numpy(zero_copy_only=False)
                 v, w = key >> BITS & MASK, key & MASK
                 p2 = (left - taken(left, d2)) / total2[v] + np.exp(gamma2[v] + spoken[w])
                 gamma3 = (d3[0] * n1 + d3[1] * n2 + d3[2] * n3) / total
@@ -285,7 +290,7 @@ def train(texts: DataFrame, words: int, head: int, bits: int, slices: int = 4, s
         return rows
 
     made = "key long, c long, value float"
-    pairs = tri.where("leads or opens").mapInArrow(parts_of(True), made).groupBy("key").agg(F.max("c").alias("c"), F.sum("value").cast("float").alias("value"))
+    pairs = tri.where(f"leads or numbers >= {TRIGRAM}").mapInArrow(parts_of(True), made).groupBy("key").agg(F.max("c").alias("c"), F.sum("value").cast("float").alias("value"))
     parts = materialise(tri.mapInArrow(parts_of(False), made).unionByName(pairs), "kn-parts")
     for done in sliced:
         discard(done)
@@ -297,6 +302,8 @@ def train(texts: DataFrame, words: int, head: int, bits: int, slices: int = 4, s
         done.destroy()  # what was computed with them is written
     if tail is None:
         discard(parts)
+    else:
+        tail._written = parts._written  # whoever has scored with it can delete it
     release(spark)
     return model, tail
 
@@ -394,6 +401,10 @@ def classify(docs: DataFrame, labels: DataFrame, train_rows: int | None = None,
         none = F.lit(None).cast("double")
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64("text").alias("digest"), F.lit(0).cast("long").alias("n_tokens"), none.alias("perplexity"), none.alias("threshold"), F.lit(True).alias("kept"))
     scored = score_documents(docs, *trained).withColumn("lang_", F.coalesce("lang", F.lit("")))
+    if trained[1] is not None:
+        discard(trained[1])
+    del trained  # the model is no longer needed, at the driver either
+    release(spark)
     held = chosen.where("held")
     held = F.broadcast(held) if held.count() <= broadcast_rows else held
     held = scored.join(held, "doc_id", "left_semi").where("n_tokens > 1")

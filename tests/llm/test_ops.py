@@ -339,6 +339,18 @@ def test_all_training_rows_reach_the_model(spark):
     assert by[False].n > 11_000 and by[False].high < by[True].low
 
 
+def test_the_pipeline_trains_on_all_rows(spark, monkeypatch):
+    import corpus_pipeline
+    from tesselace.llm import kneser_ney as kn
+
+    docs = spark.range(24_000).selectExpr("id AS doc_id", "'a b c' AS text", "'en' AS lang", "'s' AS source", "5L AS n_chars")
+    used = []
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: docs.select("doc_id", F.lit(1).alias("quality")))
+    monkeypatch.setattr(kn, "train", lambda texts, *_: used.append(texts.count()))
+    assert corpus_pipeline.quality(spark, docs, "").count() == 24_000
+    assert used == [docs.where("pmod(xxhash64(doc_id), 2) = 0").count()] and used[0] > 11_000
+
+
 def test_slices_of_a_model_add_up(spark):
     """Training and joined scores in slices are those of one pass."""
     from tesselace.llm import kneser_ney as kn
