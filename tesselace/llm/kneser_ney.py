@@ -10,7 +10,7 @@ was not seen, so a document's score is a join of its n-grams with the parts and
 
 Words outside the vocabulary (`words` entries at most) share the unknown token, whose probability in any context is
 split among the unknown words seen. The `head` most frequent n-grams are broadcast (12 bytes each). What the head has
-no room for is joined, in slices of the keys; a Bloom filter of fixed size keeps n-grams from that shuffle that cannot
+no room for is joined, in slices of the keys; a Bloom filter of bounded size keeps n-grams from that shuffle that cannot
 be in the model (the fewer, the larger the model is).
 
 A document's log-perplexity is drawn to its language's median by `prior` tokens, so that a few words decide nothing.
