@@ -6,12 +6,14 @@ Trigrams are counted in shards of their context and then of the pair that ends t
 and discounts are windows in those shards. Both shards of a trigram share its middle word, so large inputs are worked
 off in `slices` of those words, one after the other, to hold less on disk at once. The model is stored as additive
 parts: log P of a token is the sum of one part for its word, one for its bigram and one for its trigram, 0 where that
-was not seen, so a document's score is a join of its n-grams with the parts and a sum.
+was not seen, so a document's score is a sum over its n-grams' parts.
 
 Words outside the vocabulary (`words` entries at most) share the unknown token, whose probability in any context is
 split among the unknown words seen. The `head` most frequent n-grams are broadcast (12 bytes each). What the head has
-no room for is joined, in slices of the keys; a Bloom filter of bounded size keeps n-grams from that shuffle that cannot
-be in the model (the fewer, the larger the model is).
+no room for is dealt to shards by hash, in slices of the shards. Both the model and the n-grams asked for travel packed,
+thousands in a row: sorted keys as compressed differences. A shard answers with one sum for each document of a batch.
+A Bloom filter of bounded size keeps n-grams from that shuffle that cannot be in the model (the fewer, the larger the
+model is).
 
 A document's log-perplexity is drawn to its language's median by `prior` tokens, so that a few words decide nothing.
 The threshold of a language is the quantile `share` of that figure over all its held-out trusted documents (over all
@@ -71,6 +73,32 @@ def bloom_bits(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (a >> shift).astype(np.int64), (b >> shift).astype(np.int64)
 
 
+def packed(keys: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Sorted keys and what goes with them: differences and columns, byte by byte of the numbers, compressed."""
+    planes = [x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in (np.diff(keys, prepend=0), *columns)]
+    return len(keys).to_bytes(4, "little") + pa.compress(b"".join(planes), "zstd", asbytes=True)
+
+
+def unpacked(blob: bytes, *types: str) -> list[np.ndarray]:
+    """What packed was given; types: of the columns."""
+    n, kinds, at = int.from_bytes(blob[:4], "little"), [np.dtype("<i8"), *map(np.dtype, types)], 0
+    raw = np.frombuffer(pa.decompress(blob[4:], n * sum(k.itemsize for k in kinds), "zstd"), np.uint8)
+    out = []
+    for kind in kinds:
+        out.append(np.ascontiguousarray(raw[at : at + n * kind.itemsize].reshape(kind.itemsize, n).T).view(kind).ravel())
+        at += n * kind.itemsize
+    return [np.cumsum(out[0]), *out[1:]]
+
+
+def dealt(keys: np.ndarray, shards: int, slices: int = 1, mine: int = 0) -> list[tuple[int, np.ndarray]]:
+    """(shard, places of its keys, in the order of keys) for each shard of a slice that has any."""
+    shard = ((keys.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+    at = np.flatnonzero(shard % slices == mine)
+    order = at[np.lexsort((keys[at], shard[at]))]
+    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+    return [(k, order[cuts[k] : cuts[k + 1]]) for k in np.flatnonzero(np.diff(cuts)).tolist()]
+
+
 class Lookup:
     """Keys (long) with values; what is not there counts 0."""
 
@@ -341,39 +369,86 @@ def bloom_of(keys: DataFrame, bits: int) -> np.ndarray:
     return bloom
 
 
-def score_documents(docs: DataFrame, model: Model, tail: DataFrame | None, slices: int = 4) -> DataFrame:
-    """doc_id, lang, digest (of the text), n_tokens and log_prob of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score_documents(docs: DataFrame, model: Model, tail: DataFrame | None, slices: int = 4, shard_rows: int = 1_000_000) -> DataFrame:
+    """doc_id, lang, digest (of the text), n_tokens and log_prob of every row; shards of about shard_rows n-grams of the tail."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+    shards = 1 if tail is None else max(slices, -(-tail.count() // shard_rows))
+    documents = "row long, doc_id long, lang string, digest long, n_tokens long, log_prob double"
+    fields = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("digest", pa.int64()), ("n_tokens", pa.int64()), ("log_prob", pa.float64()), ("shard", pa.int64()), ("asked", pa.binary())])
 
     def rows(it):
+        """The documents, and for each shard one row with what a batch of them asks for; its `row` is that of the batch's first."""
         mine, number = shared.value, TaskContext.get().partitionId() << 33
         for batch in by_size(it, 1_500_000):
             n, score, rest = mine.local(texts_of(batch))
-            key, count = zip(*(np.unique(k, return_counts=True) for k in rest), strict=True)
+            known = {"row": range(number, number + len(n)), "n_tokens": n, "log_prob": score} | {c: batch.column(c) for c in ("doc_id", "lang", "digest")}
+            yield pa.RecordBatch.from_arrays([pa.array(known[f.name], f.type) if f.name in known else pa.nulls(len(n), f.type) for f in fields], schema=fields)
+            key, whose = np.concatenate(rest), np.repeat(np.arange(len(n), dtype=np.int32), [len(x) for x in rest])
+            asked = [(k, packed(key[at], whose[at])) for k, at in dealt(key, shards)]
+            if asked:
+                known = {"row": [number] * len(asked), "shard": [k for k, _ in asked], "asked": [x for _, x in asked]}
+                yield pa.RecordBatch.from_arrays([pa.array(known[f.name], f.type) if f.name in known else pa.nulls(len(asked), f.type) for f in fields], schema=fields)
             number += len(n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(number - len(n), number), pa.int64()), *(batch.column(c) for c in ("doc_id", "lang", "digest")), pa.array(n, pa.int64()), pa.array(score, pa.float64()), pa.array(key, pa.list_(pa.int64())), pa.array(count, pa.list_(pa.int64()))],
-                ["row", "doc_id", "lang", "digest", "n_tokens", "log_prob", "key", "n"],
-            )
 
-    schema = "row long, doc_id long, lang string, digest long, n_tokens long, log_prob double, key array<long>, n array<long>"
     columns = ("doc_id", "lang", "digest", "n_tokens")
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", F.xxhash64("text").alias("digest")).mapInArrow(rows, schema)
+    local = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", F.xxhash64("text").alias("digest")).mapInArrow(rows, documents + ", shard long, asked binary")
     if tail is None:
-        scored = materialise(scored.select(*columns, "log_prob"), "kn-scored")
+        scored = materialise(local.select(*columns, "log_prob"), "kn-scored")
         shared.destroy()
         return scored
-    scored = materialise(scored, "kn-local")
+    local = materialise(local, "kn-local")
     shared.destroy()
-    asked = scored.select("row", F.explode(F.arrays_zip("key", "n")).alias("x")).select("row", "x.key", "x.n")
+
+    def sent(mine: int):
+        def of(it):
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def told():
+                key, value = (np.concatenate(x) for x in zip(*held, strict=True))
+                held.clear()
+                out = [(k, packed(key[at], value[at])) for k, at in dealt(key, shards, slices, mine)]
+                return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["shard", "parts"])
+
+            for batch in batches(it, 100_000):
+                held.append((batch.column("key").to_numpy(), batch.column("value").to_numpy()))
+                if sum(len(k) for k, _ in held) > 2_000_000:
+                    yield told()
+            if held:
+                yield told()
+
+        return of
+
+    def answered(parts: pa.Table, asked: pa.Table) -> pa.Table:
+        out = []
+        if parts.num_rows and asked.num_rows:
+            keys, values = (np.concatenate(x) for x in zip(*(unpacked(b, "<f4") for b in parts.column("parts").to_pylist()), strict=True))
+            order = np.argsort(keys)
+            keys, values = keys[order], values[order]
+            for first, blob in zip(asked.column("row").to_pylist(), asked.column("asked"), strict=True):
+                key, whose = unpacked(blob.as_py(), "<i4")
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                there = keys[at] == key
+                docs_, place = np.unique(whose[there], return_inverse=True)
+                if len(docs_):
+                    out.append((first, packed(docs_.astype(np.int64), np.bincount(place, values[at[there]]))))
+        return pa.table({"row": pa.array([k for k, _ in out], pa.int64()), "shard": pa.array([parts.column("shard")[0].as_py() if out else 0] * len(out), pa.int64()), "sums": pa.array([x for _, x in out], pa.binary())})
+
+    def united(table: pa.Table) -> pa.Table:
+        """The sums of one batch's documents, added up in the order of the shards."""
+        got = [unpacked(b, "<f8") for b in table.sort_by("shard").column("sums").to_pylist()]
+        docs_, place = np.unique(np.concatenate([d for d, _ in got]), return_inverse=True)
+        return pa.table({"row": pa.array(docs_ + table.column("row")[0].as_py(), pa.int64()), "more": pa.array(np.bincount(place, np.concatenate([x for _, x in got])), pa.float64())})
+
     met = []
     for mine in range(slices):  # one after the other, to hold less on disk at once
-        ours = F.pmod(F.xxhash64("key", F.lit(7)), F.lit(slices)) == mine
-        met.append(materialise(asked.where(ours).join(tail.where(ours), "key").groupBy("row").agg(F.sum(F.col("n") * F.col("value")).alias("more")), "kn-met"))
-        release(docs.sparkSession)
-    more = reduce(DataFrame.unionByName, met).groupBy("row").agg(F.sum("more").alias("more"))
-    done = materialise(scored.join(more, "row", "left").select(*columns, (F.col("log_prob") + F.coalesce("more", F.lit(0.0))).alias("log_prob")), "kn-scored")
-    for x in (scored, *met):
+        parts = tail.mapInArrow(sent(mine), "shard long, parts binary")
+        asked = local.where(f"shard is not null and shard % {slices} = {mine}").select("shard", "row", "asked")
+        met.append(materialise(parts.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(answered, "row long, shard long, sums binary"), "kn-met"))
+        release(spark)
+    more = reduce(DataFrame.unionByName, met).groupBy("row").applyInArrow(united, "row long, more double")
+    done = materialise(local.where("shard is null").join(more, "row", "left").select(*columns, (F.col("log_prob") + F.coalesce("more", F.lit(0.0))).alias("log_prob")), "kn-scored")
+    for x in (local, *met):
         discard(x)
     return done
 

@@ -363,6 +363,33 @@ def test_slices_of_a_model_add_up(spark):
     assert marks[1][0] == marks[3][0] and np.allclose(marks[1][1], marks[3][1], atol=1e-2) and len(marks[1][1]) == 60
 
 
+def test_joined_ngrams_travel_packed(spark):
+    """What the head has no room for is shuffled by the thousand, not in a row for each n-gram, and the sums are the same."""
+    from tesselace.llm import kneser_ney as kn
+
+    keys = np.sort(np.array([5, 5, 2**52 + 1, 2**52 + 7]))
+    back = kn.unpacked(kn.packed(keys, np.arange(4, dtype="<i4")), "<i4")
+    assert [x.tolist() for x in back] == [keys.tolist(), [0, 1, 2, 3]]
+    texts = documents(spark).select("doc_id", "text", "lang").limit(60)
+    model, tail = kn.train(texts, 300, 100, 20)
+    sc, made = spark.sparkContext, spark._jvm.java.util.ArrayList
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        all_ = sc._jsc.sc().statusStore().stageList(made(), False, False, sc._gateway.new_array(sc._jvm.double, 0), made())
+        return {all_.apply(k).stageId(): all_.apply(k).shuffleWriteRecords() for k in range(all_.size())}
+
+    before = stages()
+    got = kn.score_documents(texts, model, tail, slices=2, shard_rows=2000).collect()
+    sent = sum(n for k, n in stages().items() if k not in before)
+    assert len(got) == 60 and tail.count() > 5000 and 0 < sent < tail.count() / 4
+    rows = [r.text or "" for r in texts.collect()]
+    parts = {r.key: r.value for r in tail.collect()}
+    _, score, rest = model.local(rows)
+    want = [a + sum(parts.get(k, 0.0) for k in b.tolist()) for a, b in zip(score, rest, strict=True)]
+    assert np.allclose(sorted(r.log_prob for r in got), sorted(want), atol=1e-3)
+
+
 # op7
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var a="</p>";</script></head><body><header>Site</header><nav><ul><li><a href="/a">menu {k}</a></li></ul></nav>
