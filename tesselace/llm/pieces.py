@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import by_size, small_batches, texts_of
 
-UNIT = re.compile("▁|\n| +(?=[\n▁]|\\Z)| *[^ \n▁]+")
+UNIT = re.compile(" *+[^ \n▁]++|▁|\n| +(?=[\n▁]|\\Z)")  # what is most frequent is tried first
 SPACE, LITERAL = 0x2581, 0x110001
 LEAST = 1e-12
 PLAIN = 16  # characters of a unit whose weights do not leave the range of doubles
@@ -145,6 +145,7 @@ class Lattices:
 
     def __init__(self, model: Model, units: list[str]):
         self.model, self.index = model, Numbers()
+        self.room: dict[str, np.ndarray] = {}
         self.first = self.last = self.begin = np.zeros(0, np.int32)
         self.code = self.width = np.zeros(0, np.int32)
         self.seen = np.zeros(0, np.int64)
@@ -183,6 +184,7 @@ class Lattices:
         every = ragged(states, sizes)
         begin = (self.begin[every] + np.repeat(new_edges - low, sizes)).astype(np.int32)
         code = ragged(places, sizes - 1)
+        self.room = {}
         self.index, self.seen, self.piece, self.begin = index, self.seen[kept], piece, begin
         self.first, self.last = new_states.astype(np.int32), (new_states + sizes - 1).astype(np.int32)
         self.code, self.width = self.code[code], self.width[code]
@@ -194,7 +196,17 @@ class Lattices:
         self.piece = np.where(self.piece < 0, self.piece - places, self.piece).astype(np.int32)
         for name, offset in (("first", states), ("last", states), ("begin", edges), ("code", 0), ("width", 0), *((n, 0) for n in self.EDGES)):
             new = getattr(self, name)
-            setattr(self, name, np.concatenate([had[name], (new + offset if offset else new).astype(had[name].dtype)]))
+            setattr(self, name, self.joined(name, had[name], new + offset if offset else new))
+
+    def joined(self, name: str, old: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """old followed by new, in an array with room for more, so that old is seldom copied."""
+        n, stop = len(old), len(old) + len(new)
+        room = self.room.get(name)
+        if room is None or old.base is not room or len(room) < stop:
+            room = self.room[name] = np.empty(stop + stop // 2, old.dtype)
+            room[:n] = old
+        room[n:stop] = new
+        return room[:stop]
 
     def build(self, units: list[str]) -> None:
         model = self.model

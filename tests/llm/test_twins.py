@@ -238,3 +238,20 @@ def test_ngrams_fetched_in_slices(spark):
     value, there = got(wanted)
     assert (np.diff(got.keys) > 0).all() and there.tolist() == [True] * len(rows) + [False, False]
     assert np.allclose(value, [*rows.values(), 0, 0])
+
+
+def test_lattices_grow_in_place():
+    """New units are put behind those that are there; the arrays are copied now and then, not for every batch."""
+    from tesselace.llm.pieces import Lattices, loaded
+
+    model, rng = loaded("/opt/tokenizers/piece_bpe_32k.model"), random.Random(9)
+    units = list(dict.fromkeys(" " + "".join(rng.choices("abcdeé\U0001f600", k=rng.randint(1, 20))) for _ in range(400)))
+    kept, at_once, copies = Lattices(model, []), Lattices(model, units), set()
+    held = []
+    for k in range(0, len(units), 4):
+        kept.numbers(units[k : k + 4])
+        held.append(kept.piece.base)
+        copies.add(id(held[-1]))
+    assert len(copies) < 25 < len(held)
+    for name in ("first", "last", "begin", "code", "width", *Lattices.EDGES):
+        assert np.allclose(getattr(kept, name), getattr(at_once, name), rtol=0, atol=1e-9), name
