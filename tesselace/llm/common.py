@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tesselace.storage import discard, saved  # noqa: F401  discard is for the modules beside this one
+from tesselace.storage import discard, release, saved  # noqa: F401  discard and release are for the modules beside this one
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

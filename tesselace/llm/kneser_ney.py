@@ -25,19 +25,18 @@ rows each have a row. Without trusted rows every document is kept. An empty tabl
 
 from __future__ import annotations
 
-import gc
 from collections import Counter
 from functools import reduce
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batches, by_size, cutoff_of, discard, materialise, most_frequent, small_batches, texts_of
+from .common import batches, by_size, cutoff_of, discard, materialise, most_frequent, release, small_batches, texts_of
 
 MARKS = frozenset(".,;:!?")
 UNKNOWN, BEGIN, END = 0, 1, 2
@@ -194,12 +193,6 @@ def trusted_rows(labels: DataFrame, train_rows: int | None = None) -> DataFrame:
     return learn.select("doc_id", F.lit(False).alias("held")).unionByName(trusted.where(held).select("doc_id", F.lit(True).alias("held")))
 
 
-def release(spark: SparkSession) -> None:
-    """Shuffle files are deleted when the driver's JVM finds that no plan uses them any more; ask it to look now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def train(texts: DataFrame, words: int, head: int, bits: int, slices: int = 4, slice_tokens: int = 2_000_000) -> tuple[Model, DataFrame | None] | None:
     """The broadcast part of the model, and the n-gram parts (key, value) that it has no room for; texts of slice_tokens tokens or fewer are one slice."""
     spark = texts.sparkSession
@@ -369,10 +362,10 @@ def bloom_of(keys: DataFrame, bits: int) -> np.ndarray:
     return bloom
 
 
-def score_documents(docs: DataFrame, model: Model, tail: DataFrame | None, slices: int = 4, shard_rows: int = 1_000_000) -> DataFrame:
-    """doc_id, lang, digest (of the text), n_tokens and log_prob of every row; shards of about shard_rows n-grams of the tail."""
+def score_documents(docs: DataFrame, model: Model | Broadcast, tail: DataFrame | None, slices: int = 4, shard_rows: int = 1_000_000) -> DataFrame:
+    """doc_id, lang, digest (of the text), n_tokens and log_prob of every row; shards of about shard_rows n-grams of the tail. A broadcast model is destroyed after use."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = model if isinstance(model, Broadcast) else spark.sparkContext.broadcast(model)
     shards = 1 if tail is None else max(slices, -(-tail.count() // shard_rows))
     documents = "row long, doc_id long, lang string, digest long, n_tokens long, log_prob double"
     fields = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("digest", pa.int64()), ("n_tokens", pa.int64()), ("log_prob", pa.float64()), ("shard", pa.int64()), ("asked", pa.binary())])
@@ -399,6 +392,7 @@ def score_documents(docs: DataFrame, model: Model, tail: DataFrame | None, slice
         return scored
     local = materialise(local, "kn-local")
     shared.destroy()
+    release(spark)
 
     def sent(mine: int):
         def of(it):
@@ -475,10 +469,13 @@ def classify(docs: DataFrame, labels: DataFrame, train_rows: int | None = None,
     if trained is None:
         none = F.lit(None).cast("double")
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64("text").alias("digest"), F.lit(0).cast("long").alias("n_tokens"), none.alias("perplexity"), none.alias("threshold"), F.lit(True).alias("kept"))
-    scored = score_documents(docs, *trained).withColumn("lang_", F.coalesce("lang", F.lit("")))
-    if trained[1] is not None:
-        discard(trained[1])
-    del trained  # the model is no longer needed, at the driver either
+    model, tail = spark.sparkContext.broadcast(trained[0]), trained[1]
+    del trained  # the driver needs no copy of its own beside the broadcast
+    release(spark)
+    scored = score_documents(docs, model, tail).withColumn("lang_", F.coalesce("lang", F.lit("")))
+    if tail is not None:
+        discard(tail)
+    del model, tail
     release(spark)
     held = chosen.where("held")
     held = F.broadcast(held) if held.count() <= broadcast_rows else held

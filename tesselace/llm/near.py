@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, by_size, discard, materialise, small_batches, texts_of
+from .common import batches, by_size, discard, materialise, release, small_batches, texts_of
 
 WORD = re.compile(r"\w+")
 SHINGLE = 5
@@ -284,6 +284,8 @@ def near_links(rows: DataFrame, docs: DataFrame, rounds: int = 3, broadcast_rows
             discard(state)
         if last:
             discard(open_)
+        del both, pairs
+        release(docs.sparkSession)
         if new.isEmpty():
             discard(new)
             if last:
@@ -336,6 +338,7 @@ def near_classes(docs: DataFrame, sketches: int = 16, picks: int = 3, seed: int
     joined = named.withColumn("root", F.col("node")) if roots is None else named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = joined.groupBy("root").agg(F.min("least").alias("class_id"))
     by_node = materialise(joined.join(classes, "root").select("node", "class_id", "root"), "near-classes")
+    release(docs.sparkSession)
     return rows.select("doc_id", "node").join(by_node, "node").select("doc_id", "class_id", "node", "root")
 
 

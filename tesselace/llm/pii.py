@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, materialise
+from .common import discard, materialise, release
 
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа|г-жа"
 MALE = "Mr|Herr|Monsieur|Señor|Sr|Господин|г-н"
@@ -366,6 +366,8 @@ def settle(found: DataFrame, key: str, rounds: int = 100) -> DataFrame | None:
         judged = made.withColumn("nth", F.row_number().over(first)).join(real, ["kind", "made"], "left")
         failed = (F.col("nth") > 1) | F.col("real").isNotNull()
         judged = materialise(judged.select("kind", "canon", F.when(failed, F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt"), failed.alias("failed")), "pii-attempts")
+        del made, first, real, failed
+        release(found.sparkSession)
         if judged.where("failed").isEmpty():
             discard(judged)
             if not moved:
@@ -391,6 +393,7 @@ def replace_entities(docs: DataFrame, key: str | None = None, broadcast_rows: in
     cut = cut.withColumn("__parts", F.when(F.size("__named") > 0, bare_names(F.col("__parts"), F.col("__named"))).otherwise(F.col("__parts")))
     cut = cut.withColumn("__names", kinds_of_names(F.col("__named"))).drop("__named")
     searched = materialise(cut.withColumn("__text_key", F.sha2("text", 256)), "pii-searched")
+    release(docs.sparkSession)
     hit = searched.where(F.size("__parts") > 1)
     odd, names = odd_parts(F.col("__parts")), F.col("__names")
     found = hit.select("__text_key", F.explode(F.flatten(F.transform(odd, lambda p: entities(p, names)))).alias("e")).select("__text_key", "e.kind", "e.canon")
@@ -401,6 +404,7 @@ def replace_entities(docs: DataFrame, key: str | None = None, broadcast_rows: in
             F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "kind", "canon"), "attempt"))).alias("__attempts")
         )
         by_text = materialise(by_text, "pii-exceptions")
+        release(docs.sparkSession)
         hit = hit.join(F.broadcast(by_text) if by_text.count() <= broadcast_rows else by_text, "__text_key", "left")
         attempt_of = lambda k, c: F.coalesce(F.try_element_at(F.col("__attempts"), F.concat_ws(":", k, c)), F.lit(0))
     new = F.transform("__parts", lambda p, i: F.when(i % 2 == 1, replaced(p, attempt_of, key, names)).otherwise(p))

@@ -752,3 +752,39 @@ def test_scores_do_not_depend_on_partitions(spark):
     for counts in (np.ones(30), np.array([1e9, 5.0, 3.0, *[1.0] * 27]), np.arange(30, 0, -1.0)):
         sizes = class_sizes(counts, 9)
         assert sizes.sum() == 30 and len(sizes) == 9 and sizes.min() >= 1
+
+
+def test_the_driver_keeps_one_copy_of_the_model(spark, monkeypatch):
+    """While documents are scored, the model is in the broadcast alone."""
+    import gc
+
+    from tesselace.llm import kneser_ney as kn
+
+    alive, write = {}, kn.materialise
+
+    def written(df, tag):
+        alive[tag] = sum(isinstance(x, kn.Model) for x in gc.get_objects())
+        return write(df, tag)
+
+    monkeypatch.setattr(kn, "materialise", written)
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat_ws(' ', 'a', 'b', 'w' || id % 50, 'w' || id % 7) AS text", "'en' AS lang")
+    assert kn.classify(docs, docs.select("doc_id", F.lit(1).alias("quality")), head=50).count() == 3000
+    assert alive["kn-local"] == alive["kn-scored"] == 0
+
+
+def test_the_drivers_heap_is_cleared_between_rounds(spark, monkeypatch):
+    """Planning surrogates and links leaves garbage in the driver's JVM; it goes before the next plan."""
+    from tesselace.llm import near, pii
+
+    done = []
+    for module in (pii, near):
+        write = module.materialise
+        monkeypatch.setattr(module, "materialise", lambda df, tag, write=write: (done.append(tag), write(df, tag))[1])
+        monkeypatch.setattr(module, "release", lambda _: done.append("release"))
+    docs = documents(spark).limit(80)
+    assert pii.replace_entities(docs, key="k").count() == 80
+    for tag in ("pii-searched", "pii-attempts"):
+        assert all(done[k + 1] == "release" for k, x in enumerate(done) if x == tag) and tag in done
+    done.clear()
+    assert 0 < near.keep_one(docs).count() <= 80
+    assert all("release" in done[k + 1 : k + 2] for k, x in enumerate(done) if x in ("near-links", "near-classes"))
