@@ -9,7 +9,7 @@ parts: log P of a token is the sum of one part for its word, one for its bigram
 was not seen, so a document's score is a sum over its n-grams' parts.
 
 Words outside the vocabulary (`words` entries at most) share the unknown token, whose probability in any context is
-split among the unknown words seen. The `head` most frequent n-grams are broadcast (12 bytes each). What the head has
+split among the unknown words seen. The `head` most frequent n-grams are broadcast (12 bytes each, pairs 8). What the head has
 no room for is dealt to shards by hash, in slices of the shards. Both the model and the n-grams asked for travel packed,
 thousands in a row: sorted keys as compressed differences. A shard answers with one sum for each document of a batch.
 A Bloom filter of bounded size keeps n-grams from that shuffle that cannot be in the model (the fewer, the larger the
@@ -99,28 +99,43 @@ def dealt(keys: np.ndarray, shards: int, slices: int = 1, mine: int = 0) -> list
 
 
 class Lookup:
-    """Keys (long) with values; what is not there counts 0."""
+    """Keys (long) with values; what is not there counts 0. Keys below 2^34, which those of pairs are, take four bytes."""
 
     def __init__(self, parts: DataFrame, slice_rows: int = 500_000):
         """parts are fetched in slices of their keys, so that the driver holds little besides the sorted arrays."""
-        n = parts.count()
+        n, short = parts.agg(F.count(F.lit(1)), F.count(F.when(F.col("key") <= MASK2, 1))).first()
         slices = max(1, -(-n // slice_rows))
         cuts = [int(x) for x in parts.approxQuantile("key", [k / slices for k in range(1, slices)], 0.01)] if slices > 1 else []
-        self.keys, self.values = np.full(n + 1, 2**62, np.int64), np.zeros(n + 1, np.float32)
-        at = 0
+        self.short, self.long, self.values = np.zeros(short, np.uint32), np.full(n - short + 1, 2**62, np.int64), np.zeros(n + 1, np.float32)
+        self.starts, at = np.zeros(5, np.int64), 0  # of the short keys with the same upper bits
         for low, high in zip([-1, *cuts], [*cuts, 2**62], strict=True):
             table = parts.where((F.col("key") > low) & (F.col("key") <= high)).select("key", F.col("value").cast("float").alias("value")).toArrow()
             keys, stop = table.column("key").to_numpy(), at + table.num_rows
             order = np.argsort(keys)
-            np.take(keys, order, out=self.keys[at:stop])
+            keys, middle = keys[order], min(max(at, short), stop)
+            self.short[at:middle] = keys[: middle - at] & 0xFFFFFFFF
+            self.long[middle - short : stop - short] = keys[middle - at :]
+            self.starts += np.searchsorted(keys[: middle - at], np.arange(5) << 32)
             np.take(table.column("value").to_numpy(), order, out=self.values[at:stop])
             at = stop
             del table, keys, order
         pa.default_memory_pool().release_unused()
 
+    @property
+    def keys(self) -> np.ndarray:
+        upper = np.repeat(np.arange(4, dtype=np.int64) << 32, np.diff(self.starts))
+        return np.concatenate((upper | self.short, self.long))
+
     def __call__(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(self.keys, wanted)
-        there = self.keys[at] == wanted
+        at, there = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+        upper = np.clip(wanted >> 32, 0, 4)
+        for k in np.flatnonzero(np.bincount(upper, minlength=5)).tolist():
+            mine = np.flatnonzero(upper == k)
+            low, high = (self.starts[k], self.starts[k + 1]) if k < 4 else (len(self.short), len(self.values))
+            if low < high:
+                keys, asked = (self.short[low:high], wanted[mine].astype(np.uint32)) if k < 4 else (self.long, wanted[mine])
+                place = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                at[mine], there[mine] = low + place, keys[place] == asked
         return np.where(there, self.values[at], 0), there
 
 
@@ -273,6 +288,7 @@ def train(texts: DataFrame, words: int, head: int, bits: int, slices: int = 4, s
         release(spark)
     tri = reduce(DataFrame.unionByName, sliced)
     discard(streams)
+    release(spark)
     few = lambda df, c: {r[0]: r[1] for r in df.where(f"{c} <= 4").groupBy(c).agg(F.count(F.lit(1))).collect()}
     bi = tri.where("leads").select(F.expr(f"cast(key & {MASK} as int)").alias("w"), F.expr(f"cast(shiftright(key, {BITS}) & {MASK} as int)").alias("v"), "left")
     ends = bi.groupBy("w").agg(F.count(F.lit(1)).alias("c")).toArrow()
@@ -315,9 +331,14 @@ def train(texts: DataFrame, words: int, head: int, bits: int, slices: int = 4, s
     parts = materialise(tri.mapInArrow(parts_of(False), made).unionByName(pairs), "kn-parts")
     for done in sliced:
         discard(done)
+    del tri, bi, pairs, sliced, done  # else their shuffle files stay
     release(spark)
     cutoff = cutoff_of(parts, "c", head)
-    frequent, tail = (parts, None) if cutoff is None else (parts.where(F.col("c") > cutoff), parts.where(F.col("c") <= cutoff).select("key", "value"))
+    if cutoff is None:
+        frequent, tail = parts, None
+    else:
+        inside = in_head(parts, cutoff, head)
+        frequent, tail = parts.where(inside), parts.where(~inside).select("key", "value")
     model = Model(index, np.stack([log1, gamma2]), Lookup(frequent), None if tail is None else bloom_of(tail.select("key"), bits), bits)
     for done in (shared, orders):
         done.destroy()  # what was computed with them is written
@@ -329,12 +350,26 @@ def train(texts: DataFrame, words: int, head: int, bits: int, slices: int = 4, s
     return model, tail
 
 
+def in_head(parts: DataFrame, cutoff: int, head: int) -> Column:
+    """Whether an n-gram is among `head` frequent ones: all beyond the cutoff and, in the room that is left, some at it, pairs first, since documents ask for more of them."""
+    pair = F.col("key") <= MASK2
+    above, pairs, triples = (x or 0 for x in parts.agg(*(F.sum(t.cast("long")) for t in (F.col("c") > cutoff, (F.col("c") == cutoff) & pair, (F.col("c") == cutoff) & ~pair))).first())
+    test, left = F.col("c") > cutoff, head - above
+    for kind, n in ((pair, pairs), (~pair, triples)):
+        # a hash chooses; its numbers vary by a square root
+        share = 1.0 if n <= left else max(0.0, left - 5 * left**0.5) / n
+        test |= (F.col("c") == cutoff) & kind & (F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30)))
+        left = max(0, left - n)
+    return test
+
+
 def bloom_of(keys: DataFrame, bits: int) -> np.ndarray:
     """A filter of 2^bits bits; of 12 to 24 bits a key where that is less. Each task fills its own, and they are united block by block."""
     bits = min(bits, max(16, (12 * keys.count()).bit_length()))
     step = min(1 << 17, 1 << bits - 3)
 
     def filled(it):
+        """The bits that a task's keys set in each block of the filter, packed: few of them are set by one task."""
         own = np.zeros(1 << bits - 3, np.uint8)
         for batch in batches(it, 100_000):
             at = np.concatenate(bloom_bits(batch.column("key").to_numpy(), bits))
@@ -343,16 +378,16 @@ def bloom_of(keys: DataFrame, bits: int) -> np.ndarray:
                 own[byte[bit == k]] |= np.uint8(1 << k)
         for at in range(0, len(own), step):
             if own[at : at + step].any():
-                yield pa.RecordBatch.from_arrays([pa.array([at // step], pa.int64()), pa.array([own[at : at + step].tobytes()], pa.binary())], ["block", "bits"])
+                places = np.flatnonzero(np.unpackbits(own[at : at + step], bitorder="little"))
+                yield pa.RecordBatch.from_arrays([pa.array([at // step], pa.int64()), pa.array([packed(places)], pa.binary())], ["block", "bits"])
 
     def united(it):
         made: dict[int, np.ndarray] = {}
         for batch in it:
             for block, blob in zip(batch.column("block").to_pylist(), batch.column("bits").to_pylist(), strict=True):
-                if block in made:
-                    made[block] |= np.frombuffer(blob, np.uint8)
-                else:
-                    made[block] = np.frombuffer(blob, np.uint8).copy()
+                own = np.zeros(8 * step, bool)
+                own[unpacked(blob)[0]] = True
+                made[block] = np.packbits(own, bitorder="little") | made.get(block, np.uint8(0))
         for block, own in made.items():
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([own.tobytes()], pa.binary())], ["block", "bits"])
 
@@ -439,6 +474,7 @@ def score_documents(docs: DataFrame, model: Model | Broadcast, tail: DataFrame |
         parts = tail.mapInArrow(sent(mine), "shard long, parts binary")
         asked = local.where(f"shard is not null and shard % {slices} = {mine}").select("shard", "row", "asked")
         met.append(materialise(parts.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(answered, "row long, shard long, sums binary"), "kn-met"))
+        del parts, asked
         release(spark)
     more = reduce(DataFrame.unionByName, met).groupBy("row").applyInArrow(united, "row long, more double")
     done = materialise(local.where("shard is null").join(more, "row", "left").select(*columns, (F.col("log_prob") + F.coalesce("more", F.lit(0.0))).alias("log_prob")), "kn-scored")

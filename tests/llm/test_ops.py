@@ -788,3 +788,19 @@ def test_the_drivers_heap_is_cleared_between_rounds(spark, monkeypatch):
     done.clear()
     assert 0 < near.keep_one(docs).count() <= 80
     assert all("release" in done[k + 1 : k + 2] for k, x in enumerate(done) if x in ("near-links", "near-classes"))
+
+
+def test_the_head_has_no_empty_room(spark):
+    """N-grams at the cutoff fill the room that more frequent ones leave, pairs first; the filter knows all others."""
+    from tesselace.llm import kneser_ney as kn
+
+    texts = documents(spark).select("doc_id", "text", "lang").limit(40)
+    whole, none_left = kn.train(texts, 300, 1 << 20, 20)
+    n = len(whole.head.values) - 1
+    model, tail = kn.train(texts, 300, 3 * n // 4, 20)
+    head, rest = model.head.keys[:-1], np.array([r.key for r in tail.collect()])
+    assert none_left is None and 0.7 * n < len(head) <= 3 * n // 4
+    assert np.array_equal(np.sort(np.concatenate((head, rest))), whole.head.keys[:-1]) and (rest > kn.MASK2).all()
+    assert all((model.bloom[b >> 3] >> (b & 7) & 1).all() for b in kn.bloom_bits(rest, model.bits))
+    value, there = model.head(np.concatenate((rest[:50], head[::-1])))
+    assert there.tolist() == [False] * len(rest[:50]) + [True] * len(head) and np.array_equal(value[len(rest[:50]) :], model.head.values[:-1][::-1])
