@@ -337,3 +337,26 @@ def test_median_of_rotations():
     true = turn(np.array([0.3, -0.4, 0.5]))
     many = np.array([turn(rng.normal(0, 0.01, 3)) @ true for _ in range(31)] + [turn(rng.normal(0, 1.5, 3)) @ true for _ in range(8)])
     assert np.abs(stats.median_rotation(many) - true).max() < 0.02
+
+
+def test_steps_without_the_matrix(spark):
+    rng = random.Random(11)
+    rows = [(m, v, float(rng.randint(1, 50))) for m in range(60) for v in range(9) if rng.random() < 0.4]
+    names, p = np.arange(9), np.linspace(0.5, 1.5, 9)
+    means = {m: np.mean([x for k, _, x in rows if k == m]) for m, _, _ in rows}
+    dense = spark.createDataFrame([(m, v, float(means[m]), float(p[v]), float(x - means[m] * p[v])) for m, v, x in rows], "landmark long, view long, a double, b double, r double")
+    want = scene.solved(*scene.eliminated(dense, 0.01))
+    blocks = scene.packed(spark.createDataFrame(rows, "landmark long, view long, value double"), names, rows=16)
+    assert np.allclose(scene.reduced_step(blocks, p, 0.01), [want[v] for v in range(9)], rtol=1e-6, atol=1e-9)
+
+
+def test_factorised_views_settle(spark, sf, monkeypatch):
+    from tesselace.plans import registry
+
+    kept = {}
+    whole = scene.factorised
+    monkeypatch.setattr(scene, "factorised", lambda *a, **k: kept.setdefault("got", whole(*a, **k)))
+    monkeypatch.setattr(scene, "solved", None)  # no matrix of all views at the driver
+    registry.queries()["factorised_views"](spark, sf)
+    costs = kept["got"][2]
+    assert costs[-2] - costs[-1] <= 1e-10 * costs[-2]
