@@ -360,3 +360,23 @@ def test_factorised_views_settle(spark, sf, monkeypatch):
     registry.queries()["factorised_views"](spark, sf)
     costs = kept["got"][2]
     assert costs[-2] - costs[-1] <= 1e-10 * costs[-2]
+
+
+def test_nearest_triangles_keep_to_few(spark, monkeypatch):
+    """Large triangles through one another: a search by boxes meets nearly all pairs."""
+    rng = random.Random(12)
+    whole = lambda: rng.randint(-40, 40)
+    tri = [(k, *(whole() for _ in range(9))) for k in range(400)] + [(900, 1, 1, 1, 1, 1, 1, 1, 1, 1)]
+    pts = [(k, whole(), whole(), whole()) for k in range(60)] + [(60, 1, 1, 1), (61, 1, 1, 1)]
+    t = spark.createDataFrame(tri, "id long, " + ", ".join(f"{c} long" for c in surface.CORNERS))
+    p = spark.createDataFrame([*pts, (62, None, 1, 1)], "id long, x long, y long, z long")
+    both = p.join(t.withColumnRenamed("id", "triangle"))
+    best = surface.closest_points(both).where("d2 is not null").groupBy("id").agg(F.min(F.struct("d2", "triangle")).alias("b"))
+    want = {r.id: (r.b.triangle, r.b.d2) for r in best.collect()} | {62: (None, None)}
+    for most in (10_000, 100):
+        assert {r.id: (r.triangle, r.d2) for r in surface.nearest_triangles(p, t, 12.0, most).collect()} == want
+    corners, places = (np.random.default_rng(13).normal(0, 15, (k, n)) for k, n in ((9, 3000), (3, 800)))
+    calls, exact = [], surface.closest_weights
+    monkeypatch.setattr(surface, "closest_weights", lambda p, t: calls.append(t.shape[1]) or exact(p, t))
+    surface.search(places, *surface.with_bounds(np.arange(3000), corners))
+    assert sum(calls) < 0.45 * 3000 * 800
