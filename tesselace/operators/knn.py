@@ -27,26 +27,61 @@ def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def top_two(q_id, q_view, q_vec, ids, views, vecs) -> pd.DataFrame:
-    """Two nearest rows of another view by (distance, id). Null where there are none."""
+    """Two nearest rows of another view by (distance, id). Null where there are none.
+
+    Matrix products give distances that are exact for whole numbers where a float type holds them all. For floats they
+    are off by a bounded rounding error; what may be among the two nearest is then measured component by component."""
     whole = q_vec.dtype.kind == "i"
-    far, kind = (np.int64(2**62), "Int64") if whole else (np.inf, "Float64")
-    out = []
     order = np.argsort(ids, kind="stable")
     ids, views, vecs = ids[order], views[order], vecs[order]
-    for s in range(0, len(q_id), 256):
-        a = q_vec[s : s + 256]
-        d = squared_distances(a, vecs)
-        d = np.where(views[None, :] == q_view[s : s + 256, None], far, d)
-        for r, row in enumerate(d):
-            i0 = int(row.argmin()) if len(row) else -1  # the first of equal distances: the lower id
-            if i0 < 0 or row[i0] >= far:
-                out.append((q_id[s + r], None, None, None, None))
-                continue
-            d0, row[i0] = row[i0].item(), far
-            i1 = int(row.argmin())
-            one = (None, None) if row[i1] >= far else (int(ids[i1]), row[i1].item())
-            out.append((q_id[s + r], int(ids[i0]), d0, *one))
-    return pd.DataFrame(out, columns=["q", "i0", "d0", "i1", "d1"]).astype({c: kind if c in ("d0", "d1") else "Int64" for c in ("q", "i0", "d0", "i1", "d1")})
+    n, size = len(ids), vecs.shape[1]
+    most = max((float(np.abs(x).max()) for x in (q_vec, vecs) if x.size), default=0.0)
+    if whole:
+        fast = next((t for t, bits in ((np.float32, 24), (np.float64, 53)) if 4 * size * most * most < 2.0**bits), None)
+    else:
+        fast = np.float64 if size * most * most < 1e300 else None  # NaN and infinity are measured one by one
+    far = np.inf if fast or not whole else np.int64(2**62)
+    base = vecs.astype(fast) if fast else None
+    norms = (base * base).sum(1) if fast else None
+    slack = 0.0 if whole else 16 * np.finfo(np.float64).eps * (size + 4) * size * most * most
+    members = {v: np.flatnonzero(views == v) for v in np.unique(q_view)}
+    got = np.zeros((2, len(q_id)), np.int64), np.full((2, len(q_id)), far, np.int64 if whole and not fast else np.float64)
+    step = 64 if fast and n else 256
+    for s in range(0, len(q_id) if n else 0, step):
+        a, own = q_vec[s : s + step], q_view[s : s + step]
+        rows = np.arange(len(a))
+        if fast:
+            left = a.astype(fast)
+            d = left @ (-2 * base.T)
+            d += norms
+            d += (left * left).sum(1)[:, None]
+        else:
+            d = squared_distances(a, vecs)
+        for v in np.unique(own):
+            if len(members[v]):
+                d[np.ix_(own == v, members[v])] = far
+        if fast and not whole:
+            i = d.argmin(1)
+            least, d[rows, i] = d[rows, i], far
+            second, d[rows, i] = d.min(1), least
+            for r in rows:
+                near = np.flatnonzero(d[r] <= second[r] + slack)
+                near = near[d[r, near] < far]
+                exact = np.concatenate([squared_distances(a[r : r + 1], vecs[near[k : k + 16384]])[0] for k in range(0, len(near), 16384)] or [np.zeros(0)])
+                for k, i in enumerate(np.argsort(exact, kind="stable")[:2]):
+                    got[0][k, s + r], got[1][k, s + r] = near[i], exact[i]
+            continue
+        for k in range(2):
+            i = d.argmin(1)  # the first of equal distances: the lower id
+            got[0][k, s : s + len(a)], got[1][k, s : s + len(a)] = i, d[rows, i]
+            d[rows, i] = far
+    out = {"q": pd.array(q_id, "Int64")}
+    for k in range(2):
+        none = ~(got[1][k] < far)
+        out[f"i{k}"] = pd.arrays.IntegerArray(ids[got[0][k]].astype(np.int64) if n else np.zeros(len(q_id), np.int64), none)
+        d = np.where(none, 0, got[1][k])
+        out[f"d{k}"] = pd.arrays.IntegerArray(d.astype(np.int64), none.copy()) if whole else pd.arrays.FloatingArray(d.astype(np.float64), none.copy())
+    return pd.DataFrame(out)[["q", "i0", "d0", "i1", "d1"]]
 
 
 def blocked(frame: pd.DataFrame, dtype, size: int):
@@ -80,9 +115,9 @@ def knn2(queries: DataFrame, base: DataFrame, broadcast_rows: int = 100_000, sli
                 if len(q):
                     yield top_two(*blocked(q, dtype, size), *shared.value)
 
-        return asked.mapInPandas(search, result).unionByName(odd)
+        return asked.repartition(4 * queries.sparkSession.sparkContext.defaultParallelism).mapInPandas(search, result).unionByName(odd)
     per = max(1, n // slices)
-    blocks = max(1, -(-asked.count() // per))
+    blocks = max(1, -(-asked.count() // per), -(-4 * queries.sparkSession.sparkContext.defaultParallelism // slices))
     cut = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
 

@@ -113,3 +113,29 @@ def test_levels_and_empty_front(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (5, 6)], "src long, dst long")
     got = sorted(map(tuple, graph.levels(e, spark.createDataFrame([(1,)], "node long")).collect()))
     assert got == [(1, 0), (2, 1), (3, 1)]
+
+
+@pytest.mark.parametrize("top", [1, 255, 10**6])
+def test_blocks_give_exact_distances(top):
+    """Matrix products must not round: whole numbers, floats with ties and near ties, views without others."""
+    from tesselace.operators import knn
+
+    r = np.random.default_rng(top)
+    for kind in (np.int64, np.float64):
+        vecs = r.integers(0, top + 1, (150, 64)).astype(kind) * (1 if kind is np.int64 else 0.1)
+        views, ids = r.integers(0, 2, 150), r.permutation(150) * 3
+        got = knn.top_two(ids[:70], views[:70], vecs[:70], ids, views, vecs)
+        assert all(str(t) in ("Int64", "Float64") for t in got.dtypes)
+        for row, (v, x) in zip(got.itertuples(index=False), zip(views, vecs)):
+            want = sorted((knn.squared_distances(x[None], y[None])[0, 0], k) for k, w, y in zip(ids, views, vecs) if w != v)[:2]
+            assert [(row.d0, row.i0), (row.d1, row.i1)] == want
+
+
+def test_blocks_are_measured_by_products(monkeypatch):
+    from tesselace.operators import knn
+
+    r, calls, exact = np.random.default_rng(2), [], knn.squared_distances
+    monkeypatch.setattr(knn, "squared_distances", lambda a, b: calls.append(len(a) * len(b)) or exact(a, b))
+    x = r.normal(size=(400, 64))
+    knn.top_two(np.arange(400), np.arange(400) % 3, x, np.arange(400), np.arange(400) % 3, x)
+    assert sum(calls) < 4 * 400
