@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tesselace.operators import graph, raster, stats, votes
 from tesselace.operators.knn import knn2
@@ -139,3 +140,36 @@ def test_blocks_are_measured_by_products(monkeypatch):
     x = r.normal(size=(400, 64))
     knn.top_two(np.arange(400), np.arange(400) % 3, x, np.arange(400), np.arange(400) % 3, x)
     assert sum(calls) < 4 * 400
+
+
+def test_large_keys_are_spread(spark):
+    from tesselace.operators.radius import pairs_within, spread_join
+
+    a = spark.createDataFrame([(k % 3 if k % 10 else None, k) for k in range(120)], "g long, x long")
+    b = spark.createDataFrame([(0 if k < 60 else 1, k) for k in range(80)], "g long, y long")
+    dealt = spread_join(a, b, ["g"], most=50)
+    want = sorted((r.g, r.x, s.y) for r in a.collect() for s in b.collect() if r.g == s.g)
+    assert sorted((r.g, r.x, r.y) for r in dealt.collect()) == want
+    tasks = dealt.groupBy(F.spark_partition_id().alias("t")).count().collect()
+    assert len(tasks) > 8 and max(r["count"] for r in tasks) < len(want) / 4  # two keys have pairs
+    p = [(k, k % 2 if k % 9 else None) for k in range(40)]
+    points = spark.createDataFrame(p, "id long, view long")
+    for mark in (None, 7):
+        got = pairs_within(points, "view", None if mark is None else F.col("id") % mark == 0)
+        assert sorted(map(tuple, got.collect())) == [(i, j) for i, v in p for j, w in p if i < j and v == w and v is not None and (mark is None or i % mark == 0 or j % mark == 0)]
+
+
+def test_pairs_of_repeated_ids(spark, tmp_path):
+    """Ids that repeat, with different labels, still give each pair once, as the SQL does."""
+    import duckdb
+
+    from tesselace.plans import registry
+
+    r = np.random.default_rng(4)
+    rows = [(int(k % 50), [float(x) for x in r.integers(-60, 60, 64) / 1000], int(r.integers(0, 3)) if k % 8 else None) for k in range(70)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("pairs_replaced", "pairs_union", "pairs_caught"):
+        got = sorted(map(tuple, registry.queries()[name](spark, str(tmp_path)).select("a", "b").collect()))
+        assert got and got == sorted(c.execute(registry.oracle_sql()[name]).fetchall())
