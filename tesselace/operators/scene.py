@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesselace.operators.order import numbered, ranked
+from tesselace.operators.radius import spread_join
 from tesselace.storage import discard, saved
 
 
@@ -337,9 +338,9 @@ def run_pairs(runs: DataFrame) -> DataFrame:
 
 def common_keys(a: DataFrame, b: DataFrame, group: str, key: str, least: int = 3) -> DataFrame:
     """Rows of a and b of the same group and key, of groups with at least `least` keys in common."""
-    both = a.join(b, [group, key])
-    enough = both.groupBy(group).agg(F.countDistinct(key).alias("__n")).where(F.col("__n") >= least).select(group)
-    return both.join(enough, group, "left_semi")
+    shared = a.select(group, key).distinct().join(b.select(group, key).distinct(), [group, key])
+    enough = shared.groupBy(group).agg(F.countDistinct(key).alias("__n")).where(F.col("__n") >= least).select(group)
+    return spread_join(a.join(enough, group, "left_semi"), b, [group, key])
 
 
 def smaller_near(points: DataFrame, pairs: DataFrame, score: str) -> DataFrame:
