@@ -380,3 +380,30 @@ def test_nearest_triangles_keep_to_few(spark, monkeypatch):
     monkeypatch.setattr(surface, "closest_weights", lambda p, t: calls.append(t.shape[1]) or exact(p, t))
     surface.search(places, *surface.with_bounds(np.arange(3000), corners))
     assert sum(calls) < 0.45 * 3000 * 800
+
+
+@pytest.mark.parametrize("piece", [7, 1 << 18])
+def test_rasters_by_pieces(spark, piece):
+    rng = random.Random(14)
+    for kind, draw in (("long", lambda: rng.randint(-4, 24)), ("double", lambda: rng.uniform(-4, 24))):
+        tri = [(*(draw() for _ in range(6)), None if k % 6 == 0 else k) for k in range(25)] + [(*[type(draw())(3)] * 6, 5), (*[None] * 6, 5)]
+        frame = spark.createDataFrame(tri, ", ".join(f"{c}{k} {kind}" for c in "abc" for k in "xy") + ", v long")
+        spots = spark.range(20).select(F.col("id").alias("px")).join(spark.range(15).select(F.col("id").alias("py")))
+        d2 = shapes.flat_triangle_distance2([F.col("px"), F.col("py")], *([F.col(f"{c}{k}") for k in "xy"] for c in "abc"))
+        want = frame.dropna(subset=["ax"]).join(spots).where(d2 < 0.25).groupBy("px", "py").agg(F.count(F.lit(1)), F.sum("v"))
+        assert sorted(map(repr, map(tuple, surface.rastered(frame, 20, 15, "v", piece=piece).collect()))) == sorted(map(repr, map(tuple, want.collect())))
+
+
+def test_nearest_in_a_crowd(spark):
+    """Many points in one cell, copies of places, far queries and nulls; a query meets few points."""
+    from tesselace.operators import nearest as module
+
+    rng = random.Random(15)
+    at = lambda n: tuple(rng.randint(0, n) for _ in range(3))
+    pts = [(k, *at(40)) for k in range(1500)] + [(2000 + k, 7, 7, 7) for k in range(300)] + [(3000, None, 1, 1)]
+    ask = [(k, *at(40)) for k in range(200)] + [(500 + k, 7, 7, 7) for k in range(3)] + [(600, 900, -900, 5), (601, 1, None, 1)]
+    p, q = (spark.createDataFrame(x, "id long, x long, y long, z long") for x in (pts, ask))
+    got = {r.id: (r.nearest, r.d2) for r in module.nearest(q, p, ["x", "y", "z"], 50).collect()}
+    for k, *a in ask:
+        want = (None, None) if None in a else min((sum((i - j) ** 2 for i, j in zip(a, b)), i) for i, *b in pts if None not in b)[::-1]
+        assert got[k] == want
