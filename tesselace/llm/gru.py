@@ -298,8 +298,10 @@ def class_sizes(counts: np.ndarray, classes: int) -> np.ndarray:
     return np.diff(np.r_[0, cuts, len(counts)])
 
 
-def score_documents(docs: DataFrame, head_words: int = 131_072, classes: int = 90, start_rows: int = 400, shard_tokens: int = 2_000_000, seed: int = 5) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; logarithms to base 10."""
+def score_documents(docs: DataFrame, head_words: int = 131_072, classes: int = 90, start_rows: int = 400, shard_tokens: int = 2_000_000, seed: int = 5, learned: bool = True) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; logarithms to base 10.
+
+    Without `learned` no model is trained and there is no column score: all others come from counts alone."""
     spark = docs.sparkSession
     small_batches(spark, 4000)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("fold", F.coalesce(bucket_of(F.col("doc_id"), 10), F.lit(1)).cast("long"))
@@ -361,7 +363,7 @@ def score_documents(docs: DataFrame, head_words: int = 131_072, classes: int = 9
     read = lambda blob: np.frombuffer(blob, wide).astype(np.int64)
     learn = made.where("fold != 0")
 
-    if n_all:
+    if n_all and learned:
         few = learn.where("n_tokens < 4000").orderBy("place", "doc_id").limit(start_rows).select("tokens").collect()
         if few:
             model.train(np.concatenate([read(r.tokens) for r in few]), lanes=64, steps=16)
@@ -434,12 +436,14 @@ def score_documents(docs: DataFrame, head_words: int = 131_072, classes: int = 9
     rare_sum = F.col("n_rare") * float(np.log10(SMOOTH)) + F.coalesce("rare_sum", F.lit(0.0))
     base = F.col("base") + rare_sum - F.col("n_tokens") * log_all
     score = F.col("gru") + F.col("other_sum") + rare_sum - F.col("n_other") * log_other
-    return scored.join(sums, "key", "left").select(
+    columns = [
         "doc_id",
         (F.col("fold") == 0).alias("held_out"),
         "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        (score if n_all else base).alias("score"),
-    )
+    ]
+    if not learned:
+        return made.select(*passed).join(sums, "key", "left").select(*columns)
+    return scored.join(sums, "key", "left").select(*columns, (score if n_all else base).alias("score"))

@@ -804,3 +804,10 @@ def test_the_head_has_no_empty_room(spark):
     assert all((model.bloom[b >> 3] >> (b & 7) & 1).all() for b in kn.bloom_bits(rest, model.bits))
     value, there = model.head(np.concatenate((rest[:50], head[::-1])))
     assert there.tolist() == [False] * len(rest[:50]) + [True] * len(head) and np.array_equal(value[len(rest[:50]) :], model.head.values[:-1][::-1])
+
+
+def test_language_base_columns_need_no_model(spark, sf, monkeypatch):
+    from tesselace.llm import gru, queries
+
+    monkeypatch.setattr(gru.Gru, "train", None)
+    assert queries.language_base_columns(spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
