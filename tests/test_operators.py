@@ -173,3 +173,15 @@ def test_pairs_of_repeated_ids(spark, tmp_path):
     for name in ("pairs_replaced", "pairs_union", "pairs_caught"):
         got = sorted(map(tuple, registry.queries()[name](spark, str(tmp_path)).select("a", "b").collect()))
         assert got and got == sorted(c.execute(registry.oracle_sql()[name]).fetchall())
+
+
+def test_ranges_do_not_grow(spark, monkeypatch):
+    from tesselace.operators import order
+
+    monkeypatch.setattr(order, "RANGE_ROWS", 50)
+    kept, save = [], order.saved
+    monkeypatch.setattr(order, "saved", lambda df, tag: kept.append(save(df, tag)) or kept[-1])
+    got = order.numbered(spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")), ["k"], "at")
+    assert sorted((r.k, r.at) for r in got.collect()) == [(k, k) for k in range(1000)]
+    sizes = [r["count"] for r in kept[-1].groupBy("__part").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 150
