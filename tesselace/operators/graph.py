@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tesselace.operators.order import numbered
 from tesselace.storage import discard, saved
@@ -132,26 +133,163 @@ def pruned(observations: DataFrame, least_landmark: int, least_view: int, most:
     raise RuntimeError("erasing did not settle")
 
 
-def min_cut(edges: DataFrame) -> DataFrame:
+KEY = ["component", "node"]
+LARGE = 1 << 62
+
+
+def min_cut(edges: DataFrame, **options) -> DataFrame:
     """(component, flow) of min_cut_labels."""
-    return min_cut_labels(edges).select("component", "flow").distinct()
+    small, large = by_edges(edges, **options)
+    flows = solved(small).select("component", "flow").distinct()
+    return flows if large is None else flows.unionByName(spread_flow(large)[0])
 
 
-def min_cut_labels(edges: DataFrame, most_edges: int = 5_000_000) -> DataFrame:
+def min_cut_labels(edges: DataFrame, **options) -> DataFrame:
     """(component, flow, node, sink_side): minimum s-t cut of each component's graph (src, dst, cap, source, sink).
 
-    Phases of blocking flows on level graphs (Dinic). A node is on the sink's side if the sink can be reached from it
-    in the residual graph. A component is one group: independent problems, each of at most `most_edges` edges, which is
-    checked; larger graphs are to be cut into components first."""
+    A node is on the sink's side if the sink can be reached from it in the residual graph, which is the same for every
+    maximum flow. Components of at most `task_edges` edges are each solved in one task; larger ones are solved as
+    tables, by all tasks. With `most_edges`, a component of more edges than that is an error."""
+    small, large = by_edges(edges, **options)
+    labels = solved(small)
+    if large is None:
+        return labels
+    flows, net, flowing = spread_flow(large)
+    ends = [large.select("component", F.col(c).alias("node")) for c in ("src", "dst", "source", "sink")]
+    nodes = reduce(DataFrame.unionByName, ends).distinct()
+    sides = sink_sides(net, flowing, large.groupBy("component").agg(F.first("sink").alias("node"))).withColumn("sink_side", F.lit(True))
+    spread = nodes.join(sides, KEY, "left").join(flows, "component")
+    return labels.unionByName(spread.select("component", "flow", "node", F.coalesce("sink_side", F.lit(False)).alias("sink_side")))
+
+
+def by_edges(edges: DataFrame, task_edges: int = 200_000, most_edges: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Edges of components of at most `task_edges` edges, and those of larger ones; None where there are none."""
+    edges = saved(edges, "cut-edges")
+    counts = saved(edges.groupBy("component").count(), "cut-counts")
+    largest = counts.agg(F.max("count")).first()[0] or 0
+    if most_edges is not None and largest > most_edges:
+        raise ValueError(f"a component has {largest} edges; the bound is {most_edges}")
+    if largest <= task_edges:
+        return edges, None
+    large = counts.where(F.col("count") > task_edges).select("component")
+    return edges.join(large, "component", "left_anti"), edges.join(large, "component", "left_semi")
+
+
+def spread_flow(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(component, flow) of a maximum flow, the edges (component, src, dst, cap) it was sought in, and the flow on those
+    that have any.
+
+    All edges of the source are filled at first. A phase lays out the nodes by breadth from those with excess until the
+    sink is met, keeps the edges that lead to it, each with no more room than there is behind it, and moves the excess
+    down layer by layer. What is stuck then is farther from the sink than before, so phases end. Excess that cannot
+    reach the sink stays where it is, which leaves the cut the same."""
+    ends = F.broadcast(edges.groupBy("component").agg(F.first("source").alias("source"), F.first("sink").alias("sink")))
+    sinks = saved(ends.select("component", F.col("sink").alias("node")), "cut-sinks")
+    whole = edges.drop("source", "sink").join(ends, "component").where("cap > 0 and src != dst and dst != source and src != sink")
+    first = whole.where("src = source").groupBy("component", F.col("dst").alias("node")).agg(F.sum("cap").alias("excess"))
+    first = saved(first, "cut-first")
+    net = saved(whole.where("src != source").groupBy("component", "src", "dst").agg(F.sum("cap").alias("cap")), "cut-net")
+    flowing = saved(net.select("component", "src", "dst", F.col("cap").alias("flow")).where("false"), "cut-flow")
+    reached = [first.join(sinks, KEY).select("component", "excess")]
+    excess = saved(first.join(sinks, KEY, "left_anti"), "cut-excess")
+    while True:
+        steps, seen, met = [], [excess.select(*KEY)], []
+        front = seen[0]
+        while True:
+            step = saved(residual(net, flowing, front), "cut-step")
+            steps.append(step)
+            found = step.select("component", F.col("dst").alias("node")).distinct()
+            known = reduce(DataFrame.unionByName, seen)
+            found = saved(found.join(known, KEY, "left_anti"), "cut-layer")
+            now = saved(found.join(F.broadcast(sinks), KEY, "left_semi"), "cut-met")
+            met.append(now)
+            seen.append(found)
+            front = found.join(F.broadcast(now.select("component")), "component", "left_anti")
+            if front.isEmpty():
+                break
+        # from the sinks back: room behind every node
+        ahead, paths = None, []
+        for k in range(len(steps) - 1, -1, -1):
+            there = met[k].withColumn("behind", F.lit(LARGE))
+            there = there if ahead is None else there.unionByName(ahead.where("behind > 0"))
+            path = steps[k].join(there.withColumnRenamed("node", "dst"), ["component", "dst"])
+            path = saved(path.select("component", "src", "dst", F.least("room", "behind").alias("room")), "cut-path")
+            paths.insert(0, path)
+            ahead = path.groupBy("component", F.col("src").alias("node")).agg(F.least(F.sum(F.col("room").cast("decimal(38,0)")), F.lit(LARGE)).cast("long").alias("behind"))
+        moves, here = [], excess
+        for path in paths:
+            moved = saved(pushed(path, here), "cut-move")
+            moves.append(moved)
+            here = moved.groupBy("component", F.col("dst").alias("node")).agg(F.sum("push").alias("excess"))
+        moved = reduce(DataFrame.unionByName, moves)
+        arrived = moved.join(F.broadcast(sinks.withColumnRenamed("node", "dst")), ["component", "dst"])
+        total = saved(arrived.groupBy("component").agg(F.sum("push").alias("excess")), "cut-arrived")
+        if total.isEmpty():
+            for done in (*steps, *met, *seen[1:], *paths, *moves, excess):
+                discard(done)
+            break
+        reached.append(total)
+        turned = F.col("src") > F.col("dst")
+        signed = flowing.unionByName(moved.withColumnRenamed("push", "flow")).select(
+            "component", F.least("src", "dst").alias("low"), F.greatest("src", "dst").alias("high"), F.when(turned, -F.col("flow")).otherwise(F.col("flow")).alias("flow")
+        )
+        signed = signed.groupBy("component", "low", "high").agg(F.sum("flow").alias("flow")).where("flow != 0")
+        back = F.col("flow") < 0
+        after = saved(signed.select("component", F.when(back, F.col("high")).otherwise(F.col("low")).alias("src"), F.when(back, F.col("low")).otherwise(F.col("high")).alias("dst"), F.abs("flow").alias("flow")), "cut-flow")
+        # a component whose sink was not met has its flow; its excess is dropped
+        alive = excess.join(F.broadcast(total.select("component")), "component", "left_semi")
+        gone = moved.select("component", F.col("src").alias("node"), (-F.col("push")).alias("excess"))
+        come = moved.select("component", F.col("dst").alias("node"), F.col("push").alias("excess"))
+        left = alive.unionByName(gone).unionByName(come).join(F.broadcast(sinks), KEY, "left_anti")
+        left = saved(left.groupBy(*KEY).agg(F.sum("excess").alias("excess")).where("excess > 0"), "cut-excess")
+        for done in (*steps, *met, *seen[1:], *paths, *moves, flowing, excess):
+            discard(done)
+        flowing, excess = after, left
+    flows = sinks.select("component", F.lit(0).cast("long").alias("excess"))
+    flows = reduce(DataFrame.unionByName, [flows, *reached]).groupBy("component").agg(F.sum("excess").cast("long").alias("flow"))
+    return saved(flows, "cut-flows"), net, flowing
+
+
+def residual(net: DataFrame, flowing: DataFrame, front: DataFrame) -> DataFrame:
+    """(component, src, dst, room): residual edges out of the nodes of front."""
+    front = front.select("component", F.col("node").alias("src"))
+    out = net.join(front, ["component", "src"]).join(flowing, ["component", "src", "dst"], "left")
+    out = out.select("component", "src", "dst", (F.col("cap") - F.coalesce("flow", F.lit(0))).alias("room"))
+    back = flowing.select("component", F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("flow").alias("room"))
+    return out.where("room > 0").unionByName(back.join(front, ["component", "src"]))
+
+
+def pushed(path: DataFrame, here: DataFrame) -> DataFrame:
+    """(component, src, dst, push): the excess of every node dealt to its edges, one filled after the other."""
+    behind = Window.partitionBy("component", "src").orderBy(F.xxhash64("src", "dst"), "dst", "room")
+    before = F.coalesce(F.sum(F.col("room").cast("decimal(38,0)")).over(behind.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    dealt = path.join(here.withColumnRenamed("node", "src"), ["component", "src"]).withColumn("before", before)
+    return dealt.where("before < excess").select("component", "src", "dst", F.least(F.col("room"), (F.col("excess") - F.col("before")).cast("long")).alias("push"))
+
+
+def sink_sides(net: DataFrame, flowing: DataFrame, sinks: DataFrame) -> DataFrame:
+    """(component, node) of all nodes from which the sink can be reached in the residual graph."""
+    open_ = net.join(flowing, ["component", "src", "dst"], "left").where("cap > coalesce(flow, 0)").select("component", "src", "dst")
+    open_ = saved(open_.unionByName(flowing.select("component", F.col("dst").alias("src"), F.col("src").alias("dst"))), "cut-open")
+    front = saved(sinks, "cut-side")
+    parts = [front]
+    while not front.isEmpty():
+        step = open_.join(front.withColumnRenamed("node", "dst"), ["component", "dst"]).select("component", F.col("src").alias("node")).distinct()
+        front = saved(step.join(reduce(DataFrame.unionByName, parts), KEY, "left_anti"), "cut-side")
+        parts.append(front)
+        if len(parts) > 8:
+            parts = [saved(reduce(DataFrame.unionByName, parts), "cut-side")]
+    discard(open_)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def solved(edges: DataFrame) -> DataFrame:
+    """min_cut_labels, a component a task: phases of blocking flows on level graphs (Dinic)."""
     from collections import deque
 
     import numpy as np
     import pandas as pd
 
-    largest = edges.groupBy("component").count().agg(F.max("count")).first()[0] or 0
-    if largest > most_edges:
-        raise ValueError(f"a component has {largest} edges; the bound is {most_edges}")
-
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         s, t = frame["source"].iloc[0], frame["sink"].iloc[0]
         names, at = np.unique(np.concatenate([frame["src"], frame["dst"], [s, t]]), return_inverse=True)

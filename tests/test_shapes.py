@@ -233,6 +233,20 @@ def test_registered_cut_is_the_flow(spark, sf):
     assert flows and {r.component: r.cut for r in cut.collect()} == {c: f for c, f in flows.items() if f}
 
 
+def test_large_components_are_cut_as_tables(spark):
+    """A component beyond task_edges is no task's (there was no such bound before); flow and labels are those of one task."""
+    rng = random.Random(3)
+    rows = []
+    for c, n in enumerate((4, 9, 14)):
+        nodes = [-1, -2, *range(1, n)]
+        rows += [(c, rng.choice(nodes), rng.choice(nodes), rng.choice([0, 1, 2, 9]), -1, -2) for _ in range(5 * n)]
+    rows += [(3, -1, 1, 4, -1, -2), (3, 2, -2, 4, -1, -2)]  # no way to the sink
+    frame = spark.createDataFrame(rows, "component long, src long, dst long, cap long, source long, sink long")
+    want = sorted(map(tuple, graph.min_cut_labels(frame).collect()))
+    assert sorted(map(tuple, graph.min_cut_labels(frame, task_edges=30).collect())) == want
+    assert sorted(map(tuple, graph.min_cut(frame, task_edges=0).collect())) == sorted({w[:2] for w in want}) and len({w[1] for w in want}) > 1
+
+
 def test_registered_suppression_and_erasing(spark, sf):
     from tesselace.operators.radius import radius_pairs
     from tesselace.plans.vectors import points
