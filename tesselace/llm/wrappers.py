@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, discard, materialise, small_batches
+from .common import batches, discard, materialise, release, small_batches
 
 RAW = "script|style|noscript|template|textarea|iframe|svg|canvas|select|title"
 TOKEN = re.compile(
@@ -390,21 +390,22 @@ def extract_pages(pages: DataFrame, broadcast_bytes: int = 8_000_000, fan_in: in
 
     def parsed(it):
         for batch in batches(it, 500):
-            shape, streams, texts, linked = [], [], [], []
+            cols: list[list] = [[] for _ in SEEN]
             for page in batch.column("html").to_pylist():
                 stream, found = parse(page)
-                shape.append(json.dumps(collapse(stream)))
-                streams.append("\n".join(stream))
-                texts.append([t for _, t, _ in found])
-                linked.append([n for _, _, n in found])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host")), pa.array(shape), pa.array(streams), pa.array(texts, pa.list_(pa.string())), pa.array(linked, pa.list_(pa.int32()))], ["page_id", "url", "host", "shape", "stream", "texts", "linked"])
+                row = json.dumps(collapse(stream)), "\n".join(stream), [hash_text(t) for _, t, _ in found], [len(t) for _, t, _ in found], [n for _, _, n in found]
+                for c, x in zip(cols, row, strict=True):
+                    c.append(x)
+            yield pa.RecordBatch.from_arrays([batch.column("host"), *(pa.array(c, t) for c, t in zip(cols, SEEN.values(), strict=True))], ["host", *SEEN])
 
-    seen = materialise(rows.mapInArrow(parsed, "page_id long, url string, host string, shape string, stream string, texts array<string>, linked array<int>"), "html-parsed")
+    # of the texts only hashes and lengths are written; the last step parses the pages again
+    seen = materialise(rows.select("html", "host").mapInArrow(parsed, "host string, shape string, stream string, texts array<long>, chars array<int>, linked array<int>"), "html-parsed")
     wrappers = materialise(host_wrappers(seen.select("host", "shape"), fan_in), "html-wrappers")
+    release(spark)  # shuffle files of what is written go before more are made, here and below
 
-    def with_model(model: DataFrame, size: str) -> DataFrame:
+    def with_model(pages: DataFrame, model: DataFrame, size: str) -> DataFrame:
         total = model.agg(F.sum(F.expr(size))).first()[0] or 0
-        return seen.select("page_id", "url", "host", "stream", "texts", "linked").join(F.broadcast(model) if total <= broadcast_bytes else model, "host", "left")
+        return pages.join(F.broadcast(model) if total <= broadcast_bytes else model, "host", "left")
 
     def loaded(known: dict, *key):
         if key not in known:
@@ -425,25 +426,28 @@ def extract_pages(pages: DataFrame, broadcast_bytes: int = 8_000_000, fan_in: in
 
         for batch in batches(it, 500):
             out = []
-            for h, w, stream, texts, linked in zip(*(batch.column(c).to_pylist() for c in ("host", "wrapper", "stream", "texts", "linked")), strict=True):
+            for h, w, stream, texts, chars, linked in zip(*(batch.column(c).to_pylist() for c in ("host", "wrapper", "stream", "texts", "chars", "linked")), strict=True):
                 stream = stream.split("\n") if stream else []
                 at = places(loaded(known, w)[0], stream)
                 if not at:
                     continue
-                rows = [(s, hash_text(t), len(t), n) for s, t, n in zip(at, texts, linked, strict=True)]
+                rows = list(zip(at, texts, chars, linked, strict=True))
                 page = hash_text(repr(sorted(rows)))
                 out += [(h, page, *r, first(h, r[0], p)) for r, p in zip(rows, paths_of(stream), strict=True)]
             cols = list(zip(*out, strict=True)) if out else [[]] * len(KINDS)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, KINDS.values(), strict=True)], list(KINDS))
 
-    found = with_model(wrappers, "length(wrapper) + length(host)").mapInArrow(slots, "host string, page long, slot int, text long, chars int, linked int, path string")
+    found = with_model(seen.drop("shape"), wrappers, "length(wrapper) + length(host)").mapInArrow(slots, "host string, page long, slot int, text long, chars int, linked int, path string")
     sums = [F.max("chars").alias("chars"), F.max("linked").alias("linked"), F.min("path").alias("path")]
     slots_seen = once = materialise(found.groupBy("host", "slot", "page", "text").agg(*sums), "html-slots")
+    del found
+    release(spark)
     where = materialise(once.groupBy("host", "slot").agg(F.min("path").alias("path")), "html-paths")
     inside = where.where(F.col("path").rlike("(^|/)(article|main)([./]|$)")).select("host", "slot", F.lit(True).alias("inside"))
     kind = F.bit_xor("text").alias("kind")
     # the slot with most text over its different contents, inside articles if there are, is the body; pages of equal bodies count as one
     bodies = materialise(once.groupBy("host", "slot", "page").agg(kind, F.sum("chars").alias("chars")), "html-bodies")
+    release(spark)
     volume = bodies.groupBy("host", "slot", "kind").agg(F.max("chars").alias("chars")).groupBy("host", "slot").agg(F.sum("chars").alias("chars"))
     volume = volume.join(inside, ["host", "slot"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
     body = volume.groupBy("host").agg(F.max_by("slot", F.struct("inside", "chars", -F.col("slot"))).alias("slot"))
@@ -453,6 +457,7 @@ def extract_pages(pages: DataFrame, broadcast_bytes: int = 8_000_000, fan_in: in
     kinds = once.groupBy("host", "slot", "page").agg(kind, *both).groupBy("host", "slot", "kind").agg(F.count(F.lit(1)).alias("n"), *both)
     stats = kinds.groupBy("host", "slot").agg(F.sum("n").alias("pages"), F.count(F.lit(1)).alias("kinds"), *both).join(where, ["host", "slot"])
     stats = materialise(stats.select("host", "slot", "path", "pages", "kinds", "chars", "linked"), "html-stats")
+    release(spark)
     often = once.groupBy("host", "slot", "text").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").join(stats.select("host", "slot", "pages", F.col("path").alias("where")), ["host", "slot"]).where("n >= 0.8 * pages")
 
     def judged(key, frame):
@@ -467,16 +472,18 @@ def extract_pages(pages: DataFrame, broadcast_bytes: int = 8_000_000, fan_in: in
     told = stats.withColumn("text", none).unionByName(often.select("host", "slot", F.col("where").alias("path"), *(F.lit(0).cast("long").alias(c) for c in ("pages", "kinds", "chars", "linked")), F.col("text").cast("string").alias("text")))
     chosen = told.groupBy("host").applyInPandas(judged, "host string, content string, template string")
     model = materialise(wrappers.join(chosen, "host", "left"), "html-model")
-    for done in (wrappers, slots_seen, where, bodies, stats):
+    for done in (seen, wrappers, slots_seen, where, bodies, stats):
         discard(done)
-    joined = with_model(model, "length(wrapper) + length(host) + coalesce(length(content) + length(template), 0)")
+    release(spark)
+    joined = with_model(rows, model, "length(wrapper) + length(host) + coalesce(length(content) + length(template), 0)")
 
     def texts(it):
         known: dict = {}
         for batch in batches(it, 500):
             out, ok = [], []
-            for w, s, t, stream, blocks, linked in zip(*(batch.column(c).to_pylist() for c in ("wrapper", "content", "template", "stream", "texts", "linked")), strict=True):
-                text, matched = main_text(stream.split("\n") if stream else [], blocks, linked, *loaded(known, w, s, t))
+            for w, s, t, page in zip(*(batch.column(c).to_pylist() for c in ("wrapper", "content", "template", "html")), strict=True):
+                stream, found = parse(page)
+                text, matched = main_text(stream, [x for _, x, _ in found], [n for _, _, n in found], *loaded(known, w, s, t))
                 out.append(text)
                 ok.append(matched)
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64()), pa.array(ok, pa.bool_())], ["page_id", "url", "text", "n_chars", "matched"])
@@ -484,6 +491,7 @@ def extract_pages(pages: DataFrame, broadcast_bytes: int = 8_000_000, fan_in: in
     return joined.mapInArrow(texts, "page_id long, url string, text string, n_chars long, matched boolean")
 
 
+SEEN = {"shape": pa.string(), "stream": pa.string(), "texts": pa.list_(pa.int64()), "chars": pa.list_(pa.int32()), "linked": pa.list_(pa.int32())}
 KINDS = {"host": pa.string(), "page": pa.int64(), "slot": pa.int32(), "text": pa.int64(), "chars": pa.int32(), "linked": pa.int32(), "path": pa.string()}
 
 

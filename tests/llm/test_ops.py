@@ -460,6 +460,25 @@ def test_shapes_of_a_host_are_folded_in_a_tree(spark):
     assert sum(match(wrapper, s) == len(s) for s in streams) >= 0.9 * len(streams)
 
 
+def test_extraction_writes_no_texts(spark, monkeypatch):
+    """Intermediate tables hold hashes of the pages' texts, not the texts."""
+    from tesselace.llm import wrappers
+
+    held = []
+
+    def kept(df, tag):
+        made = wrappers_materialise(df, tag)
+        held.extend((tag, str(r)) for r in made.collect())
+        return made
+
+    wrappers_materialise = wrappers.materialise
+    monkeypatch.setattr(wrappers, "materialise", kept)
+    rows = [(k, "http://a.b/x", f"<html><body><nav>Home</nav><article><p>Rare words of page number {k * 7919}.</p></article></body></html>") for k in range(8)]
+    got = {r.page_id: r.text for r in wrappers.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Rare words of page number {k * 7919}." for k in range(8)}
+    assert any(tag == "html-parsed" for tag, _ in held) and not any("Rare words" in r for _, r in held)
+
+
 def test_wrappers_match_what_they_were_made_of():
     import json
 
