@@ -59,7 +59,7 @@ class Words(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -190,7 +190,7 @@ def sketch_rows(docs: DataFrame, sketches: int, picks: int, seed: int) -> DataFr
 
     def rows(it):
         known = Words()
-        for batch in by_size(it, 2_000_000):
+        for batch in by_size(it, 500_000):
             nodes, place, distinct = [], {}, []
             for t in texts_of(batch):
                 node = hashlib.sha256(t.encode()).digest()[:16]

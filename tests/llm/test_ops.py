@@ -460,6 +460,15 @@ def test_shapes_of_a_host_are_folded_in_a_tree(spark):
     assert sum(match(wrapper, s) == len(s) for s in streams) >= 0.9 * len(streams)
 
 
+def test_kept_word_hashes_are_few():
+    from tesselace.llm.near import Words
+
+    known = Words()
+    for k in range(150_000):
+        known[str(k)]
+    assert len(known) <= 100_001 and known["7"] == Words()["7"]
+
+
 def test_extraction_writes_no_texts(spark, monkeypatch):
     """Intermediate tables hold hashes of the pages' texts, not the texts."""
     from tesselace.llm import wrappers
