@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -839,3 +840,16 @@ def test_language_base_columns_need_no_model(spark, sf, monkeypatch):
 
     monkeypatch.setattr(gru.Gru, "train", None)
     assert queries.language_base_columns(spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_saved_tables_take_no_processes_and_memory_is_given_back(spark, tmp_path):
+    from tesselace.storage import discard, saved, trim
+
+    df = saved(spark.range(100).selectExpr("id", "id % 3 as k"), "kept")
+    folder = Path(df._written.removeprefix("file://"))
+    assert sorted(r.id for r in df.collect()) == list(range(100))
+    assert {f.suffix for f in folder.iterdir() if f.name[0] not in "._"} == {".parquet"} and not (folder / "_SUCCESS").exists() and not (folder / "_temporary").exists()
+    assert saved(spark.range(0), "none").count() == 0
+    discard(df)
+    assert not folder.exists()
+    assert "Trim native heap" in trim(spark)
