@@ -10,8 +10,8 @@ was not seen, so a document's score is a sum over its n-grams' parts.
 
 Words outside the vocabulary (`words` entries at most) share the unknown token, whose probability in any context is
 split among the unknown words seen. The `head` most frequent n-grams are broadcast (12 bytes each, pairs 8). What the head has
-no room for is dealt to shards by hash, in slices of the shards. Both the model and the n-grams asked for travel packed,
-thousands in a row: sorted keys as compressed differences. A shard answers with one sum for each document of a batch.
+no room for is dealt to shards by ranges of the keys, in slices of the shards. Both the model and the n-grams asked for
+travel packed, thousands in a row: sorted keys as compressed differences, which are small within a range. A shard answers with one sum for each document of a batch.
 A Bloom filter of bounded size keeps n-grams from that shuffle that cannot be in the model (the fewer, the larger the
 model is).
 
@@ -89,13 +89,18 @@ def unpacked(blob: bytes, *types: str) -> list[np.ndarray]:
     return [np.cumsum(out[0]), *out[1:]]
 
 
-def dealt(keys: np.ndarray, shards: int, slices: int = 1, mine: int = 0) -> list[tuple[int, np.ndarray]]:
-    """(shard, places of its keys, in the order of keys) for each shard of a slice that has any."""
-    shard = ((keys.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
-    at = np.flatnonzero(shard % slices == mine)
-    order = at[np.lexsort((keys[at], shard[at]))]
-    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-    return [(k, order[cuts[k] : cuts[k + 1]]) for k in np.flatnonzero(np.diff(cuts)).tolist()]
+def dealt(keys: np.ndarray, borders: np.ndarray, slices: int = 1, mine: int = 0) -> list[tuple[int, np.ndarray]]:
+    """(shard, places of its keys, in the order of keys) for each shard of a slice that has any; a shard begins at each border."""
+    order = np.argsort(keys, kind="stable")
+    cuts = np.r_[0, np.searchsorted(keys[order], borders), len(keys)]
+    return [(k, order[cuts[k] : cuts[k + 1]]) for k in np.flatnonzero(np.diff(cuts)).tolist() if k % slices == mine]
+
+
+def borders_of(keys: DataFrame, shards: int, each: int = 64) -> np.ndarray:
+    """Keys at which shards of about the same number of keys begin, found from some of them that a hash chooses: by the keys alone, however they are dealt."""
+    every = max(1, keys.count() // (shards * each))
+    some = np.sort(keys.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).select("key").toArrow().column("key").to_numpy())
+    return np.unique(some[len(some) * np.arange(1, shards) // shards]) if len(some) else np.zeros(0, np.int64)
 
 
 class Lookup:
@@ -123,8 +128,28 @@ class Lookup:
 
     @property
     def keys(self) -> np.ndarray:
-        upper = np.repeat(np.arange(4, dtype=np.int64) << 32, np.diff(self.starts))
-        return np.concatenate((upper | self.short, self.long))
+        return self.keys_of(0, len(self.values))
+
+    def keys_of(self, low: int, high: int) -> np.ndarray:
+        n = len(self.short)
+        upper = np.searchsorted(self.starts, np.arange(low, min(high, n)), side="right") - 1
+        return np.concatenate((upper << 32 | self.short[low:high], self.long[max(0, low - n) : max(0, high - n)]))
+
+    def __getstate__(self, rows: int = 1 << 19) -> tuple:
+        """Packed: a broadcast lies on the disk of the driver and of each executor."""
+        pieces = ((a, min(a + rows, len(self.values))) for a in range(0, len(self.values), rows))
+        return len(self.short), len(self.values), self.starts, [packed(self.keys_of(a, b), self.values[a:b]) for a, b in pieces]
+
+    def __setstate__(self, state: tuple) -> None:
+        n, size, self.starts, blobs = state
+        self.short, self.long, self.values, at = np.empty(n, np.uint32), np.empty(size - n, np.int64), np.empty(size, np.float32), 0
+        for blob in blobs:
+            keys, values = unpacked(blob, "<f4")
+            stop, middle = at + len(keys), min(max(at, n), at + len(keys))
+            self.short[at:middle] = keys[: middle - at] & 0xFFFFFFFF
+            self.long[max(0, at - n) : max(0, stop - n)] = keys[middle - at :]
+            self.values[at:stop] = values
+            at = stop
 
     def __call__(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at, there = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
@@ -145,6 +170,16 @@ class Model:
     def __init__(self, words: dict[str, int], part: np.ndarray, head: Lookup, bloom: np.ndarray | None, bits: int):
         self.words, self.part, self.head, self.bloom, self.bits = words, part, head, bloom, bits if bloom is None else (8 * len(bloom)).bit_length() - 1
 
+    def __getstate__(self) -> dict:
+        filled = None if self.bloom is None else (len(self.bloom), pa.compress(self.bloom, "zstd", asbytes=True))
+        return self.__dict__ | {"bloom": filled}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        if self.bloom is not None:
+            n, filled = self.bloom
+            self.bloom = np.frombuffer(pa.decompress(filled, n, "zstd"), np.uint8)
+
     def local(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """Tokens of each text, the local part of its score and its n-grams that have to be joined."""
         full, size = streams_of(texts, self.words)
@@ -401,7 +436,7 @@ def score_documents(docs: DataFrame, model: Model | Broadcast, tail: DataFrame |
     """doc_id, lang, digest (of the text), n_tokens and log_prob of every row; shards of about shard_rows n-grams of the tail. A broadcast model is destroyed after use."""
     spark = docs.sparkSession
     shared = model if isinstance(model, Broadcast) else spark.sparkContext.broadcast(model)
-    shards = 1 if tail is None else max(slices, -(-tail.count() // shard_rows))
+    borders = np.zeros(0, np.int64) if tail is None else borders_of(tail, max(slices, -(-tail.count() // shard_rows)))
     documents = "row long, doc_id long, lang string, digest long, n_tokens long, log_prob double"
     fields = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("digest", pa.int64()), ("n_tokens", pa.int64()), ("log_prob", pa.float64()), ("shard", pa.int64()), ("asked", pa.binary())])
 
@@ -413,7 +448,7 @@ def score_documents(docs: DataFrame, model: Model | Broadcast, tail: DataFrame |
             known = {"row": range(number, number + len(n)), "n_tokens": n, "log_prob": score} | {c: batch.column(c) for c in ("doc_id", "lang", "digest")}
             yield pa.RecordBatch.from_arrays([pa.array(known[f.name], f.type) if f.name in known else pa.nulls(len(n), f.type) for f in fields], schema=fields)
             key, whose = np.concatenate(rest), np.repeat(np.arange(len(n), dtype=np.int32), [len(x) for x in rest])
-            asked = [(k, packed(key[at], whose[at])) for k, at in dealt(key, shards)]
+            asked = [(k, packed(key[at], whose[at])) for k, at in dealt(key, borders)]
             if asked:
                 known = {"row": [number] * len(asked), "shard": [k for k, _ in asked], "asked": [x for _, x in asked]}
                 yield pa.RecordBatch.from_arrays([pa.array(known[f.name], f.type) if f.name in known else pa.nulls(len(asked), f.type) for f in fields], schema=fields)
@@ -436,7 +471,7 @@ def score_documents(docs: DataFrame, model: Model | Broadcast, tail: DataFrame |
             def told():
                 key, value = (np.concatenate(x) for x in zip(*held, strict=True))
                 held.clear()
-                out = [(k, packed(key[at], value[at])) for k, at in dealt(key, shards, slices, mine)]
+                out = [(k, packed(key[at], value[at])) for k, at in dealt(key, borders, slices, mine)]
                 return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["shard", "parts"])
 
             for batch in batches(it, 100_000):

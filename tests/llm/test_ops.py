@@ -853,3 +853,34 @@ def test_saved_tables_take_no_processes_and_memory_is_given_back(spark, tmp_path
     discard(df)
     assert not folder.exists()
     assert "Trim native heap" in trim(spark)
+
+
+def test_broadcast_model_and_dealt_ngrams_are_packed(spark):
+    import pickle
+
+    from tesselace.llm import kneser_ney as kn
+
+    rng = np.random.default_rng(3)
+    keys = np.unique(np.concatenate([rng.integers(0, kn.MASK2, 400), np.int64(5) << 32 >> 1 | rng.integers(0, 9000, 300), kn.TRIGRAM | rng.integers(0, 1 << 22, 3000)]))
+    values = rng.integers(0, 50, len(keys)).astype(float)
+    for some in (keys, keys[keys <= kn.MASK2], keys[keys > kn.MASK2], keys[:0]):
+        made = kn.Lookup(spark.createDataFrame([(int(k), float(v)) for k, v in zip(some, values, strict=False)], "key long, value double"))
+        read = made.__class__.__new__(made.__class__)
+        for state in (made.__getstate__(), made.__getstate__(rows=7)):
+            read.__setstate__(state)
+            assert all(np.array_equal(getattr(read, c), getattr(made, c)) for c in ("keys", "short", "long", "values", "starts"))
+    made = kn.Lookup(spark.createDataFrame([(int(k), float(v)) for k, v in zip(keys, values, strict=True)], "key long, value double"))
+    model = kn.Model({"a": 3}, np.zeros((2, 4)), made, np.repeat(np.array([0, 0, 0, 1], np.uint8), 1 << 14), 19)
+    again = pickle.loads(pickle.dumps(model))
+    assert np.array_equal(again.bloom, model.bloom) and again.words == model.words and again.bits == model.bits
+    assert len(pickle.dumps(model)) < 0.5 * (made.short.nbytes + made.long.nbytes + made.values.nbytes + model.bloom.nbytes)
+
+    borders = kn.borders_of(spark.createDataFrame([(int(k),) for k in keys], "key long"), 8)
+    assert np.array_equal(borders, kn.borders_of(spark.createDataFrame([(int(k),) for k in keys[::-1]], "key long").repartition(3), 8)) and len(borders) == 7
+    asked = rng.permutation(np.concatenate([keys, keys[:50]]))
+    found = [x for mine in range(3) for x in kn.dealt(asked, borders, 3, mine)]
+    assert sorted(np.concatenate([at for _, at in found]).tolist()) == list(range(len(asked)))
+    for k, at in found:
+        assert (np.diff(asked[at]) >= 0).all() and set(np.searchsorted(borders, asked[at], side="right")) == {k}
+        assert 0.5 < len(at) / (len(asked) / 8) < 2
+    assert kn.dealt(asked[:0], borders) == [] and [k for k, _ in kn.dealt(asked, borders[:0])] == [0]
