@@ -19,8 +19,9 @@ the score is the base score. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
-from itertools import chain, repeat
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ from .common import batches, bucket_of, by_size, materialise, most_frequent, sma
 END = b"\x00end"  # holds no word: it is marked by a byte that is put before words that begin with it
 SMOOTH = 0.1
 BLOCK = 1024
+CHUNK = 16_384
 
 
 def tokens(text: str) -> list[bytes]:
@@ -43,6 +45,26 @@ def tokens(text: str) -> list[bytes]:
     return words
 
 
+def tokens_of(texts: list[str]) -> list[bytes]:
+    """Those of texts one after another; an end follows each text's."""
+    if any("\x00" in t for t in texts):
+        return list(chain.from_iterable(map(tokens, texts)))
+    return b"".join(part for t in texts for part in (t.encode(), b" ", END, b" ")).lower().split()
+
+
+class Room:
+    """Arrays by name that are used again: new ones of many rows come from the system page by page each time."""
+
+    def __init__(self, dtype):
+        self.dtype, self.held = dtype, {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        size = math.prod(shape)
+        if name not in self.held or self.held[name].size < size:
+            self.held[name] = np.empty(size, self.dtype)
+        return self.held[name][:size].reshape(shape)
+
+
 class Gru:
     """Weights of the recurrent model; classes * members tokens, of which 0 is unknown and 1 the end.
 
@@ -81,190 +103,267 @@ class Gru:
             at += old.size
         return self
 
-    def output(self, h: np.ndarray, y: np.ndarray, grad: dict | None = None):
-        """log P of y given the states h; with grad, adds gradients of -sum log P and returns those of h too."""
-        order = np.argsort(self.class_of[y], kind="stable")
-        h, y = h[order], y[order]
-        c = self.class_of[y].astype(np.int64)
-        rows, logp = np.arange(len(y)), np.empty(len(y), h.dtype)
-        dh = None if grad is None else np.empty_like(h)
-        for at in range(0, len(y), BLOCK):  # blocks that stay in the processor's cache
-            hb, cb = h[at : at + BLOCK], c[at : at + BLOCK]
-            i = rows[: len(hb)]
-            e = hb @ self.out_class
-            e += self.bias_class
-            own = e[i, cb]
+    def parts(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        """Views of an array that holds all weights, by name."""
+        sizes = [getattr(self, n).size for n in self.NAMES]
+        return {n: x.reshape(getattr(self, n).shape) for n, x in zip(self.NAMES, np.split(flat, np.cumsum(sizes)[:-1]), strict=True)}
+
+    def output(self, h: np.ndarray, y: np.ndarray, grad: dict | None = None, room: Room | None = None, order: np.ndarray | None = None):
+        """log P of y given the states h; with grad, adds gradients of -sum log P and returns those of h too.
+
+        A bias is a factor of its column's exponentials, which the sums and products take in; so are the rows' sums.
+        order: that of y, where it is known."""
+        room = Room(h.dtype) if room is None else room
+        order = self.sorted(y) if order is None else order
+        h, y = np.take(h, order, 0, out=room("h", *h.shape), mode="clip"), y.take(order)
+        c = self.class_of.take(y).astype(np.int64)
+        rows, z, logp, dh = len(y), room("z", len(y)), np.empty(len(y), h.dtype), None
+        exps = room("exps", min(BLOCK, rows), self.classes)
+        factor = np.exp(self.bias_class)
+        if grad is not None:
+            back, dh, total, bias = np.ascontiguousarray((self.out_class * factor).T), room("dh", *h.shape), np.zeros_like(self.out_class), np.zeros_like(factor)
+        for at in range(0, rows, BLOCK):  # blocks that stay in the processor's cache
+            hb, cb, zb = h[at : at + BLOCK], c[at : at + BLOCK], z[at : at + BLOCK]
+            e = np.matmul(hb, self.out_class, out=exps[: len(cb)])
+            own, i = e.reshape(-1), np.arange(0, e.size, self.classes) + cb
+            logp[at : at + BLOCK] = own.take(i)
             np.exp(e, out=e)  # a bounded state has small logits
-            z = e @ np.ones(self.classes, e.dtype)
-            logp[at : at + BLOCK] = own - np.log(z)
+            np.matmul(e, factor, out=zb)
             if grad is not None:
-                e *= (1 / z)[:, None]
-                e[i, cb] -= 1
-                grad["out_class"] += hb.T @ e
-                grad["bias_class"] += np.ones(len(e), e.dtype) @ e
-                dh[at : at + BLOCK] = e @ self.out_class.T
+                own[i] -= zb / factor.take(cb)
+                inverse = 1 / zb
+                total += (hb * inverse[:, None]).T @ e
+                bias += inverse @ e
+                np.matmul(e, back, out=dh[at : at + BLOCK])
+        logp += self.bias_class.take(c)
+        logp -= np.log(z)
+        if grad is not None:
+            dh /= z[:, None]
+            total *= factor
+            bias *= factor
+            grad["out_class"] += total
+            grad["bias_class"] += bias
+            back = room("back", *h.shape)
         cuts = np.searchsorted(c, np.arange(self.classes + 1))
-        for k in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(self.starts) > 1)):
-            a, b, first, stop = cuts[k], cuts[k + 1], self.starts[k], self.starts[k + 1]
-            weights, hk, i = self.out_word[first:stop], h[a:b], rows[: b - a]
-            m = y[a:b] - first
-            e = hk @ weights.T
-            e += self.bias_word[first:stop]
-            own = e[i, m]
+        sizes, factor = np.diff(self.starts), np.exp(self.bias_word)
+        some = np.flatnonzero((np.diff(cuts) > 0) & (sizes > 1))
+        place = (np.arange(rows) - cuts.take(c)) * sizes.take(c) + y - self.starts.take(c)
+        single = sizes.take(c) == 1
+        z[single] = factor.take(y[single])  # a token that is its class is certain
+        own_factor, own_word = factor.take(y), room("own", rows)
+        own_word.fill(0)
+        if grad is not None:
+            back.fill(0)
+            scaled = self.out_word * factor[:, None]
+        longest = int(max((np.diff(cuts) * sizes)[some], default=0))
+        exps = room("word_exps", longest)
+        for a, b, first, stop in zip(cuts[some].tolist(), cuts[some + 1].tolist(), self.starts[some].tolist(), self.starts[some + 1].tolist(), strict=True):
+            hk, zk, i = h[a:b], z[a:b], place[a:b]
+            own = exps[: (b - a) * (stop - first)]
+            e = np.matmul(hk, self.out_word[first:stop].T, out=own.reshape(b - a, stop - first))
+            own_word[a:b] = own.take(i)
             np.exp(e, out=e)
-            z = e @ np.ones(stop - first, e.dtype)
-            logp[a:b] += own - np.log(z)
+            np.matmul(e, factor[first:stop], out=zk)
             if grad is not None:
-                e *= (1 / z)[:, None]
-                e[i, m] -= 1
-                grad["out_word"][first:stop] += e.T @ hk
-                grad["bias_word"][first:stop] += np.ones(b - a, e.dtype) @ e
-                dh[a:b] += e @ weights
+                own[i] -= zk / own_factor[a:b]
+                inverse, scale = 1 / zk, factor[first:stop]
+                total = e.T @ (hk * inverse[:, None])
+                total *= scale[:, None]
+                grad["out_word"][first:stop] += total
+                grad["bias_word"][first:stop] += (inverse @ e) * scale
+                np.matmul(e, scaled[first:stop], out=back[a:b])
+        logp += own_word
+        logp += self.bias_word.take(y)
+        logp -= np.log(z)
         if not np.isfinite(logp).all():
             raise FloatingPointError("logits out of range")
         out = np.empty_like(logp)
         out[order] = logp
         if grad is None:
             return out, None
-        back = np.empty_like(dh)
+        back /= z[:, None]
+        dh += back
         back[order] = dh
         return out, back
 
-    def step(self, a: np.ndarray, h: np.ndarray):
-        n = self.hidden
-        g = h @ self.u
-        zr = a[:, : 2 * n] + g[:, : 2 * n]
-        zr *= 0.5
-        np.tanh(zr, out=zr)
-        zr *= 0.5
-        zr += 0.5
-        new = zr[:, n:] * g[:, 2 * n :]
-        new += a[:, 2 * n :]
-        np.tanh(new, out=new)
+    def sorted(self, y: np.ndarray) -> np.ndarray:
+        return np.argsort(y.astype(np.int16) if len(self.class_of) < 2**15 else y, kind="stable")
+
+    def gates(self, weights: np.ndarray) -> np.ndarray:
+        """(gate, row, state): the gates' columns apart, so that each gate's values lie side by side, and as `step`
+        takes them: negative for the first two, double for the new state."""
+        apart = weights.reshape(-1, 3, self.hidden).transpose(1, 0, 2)
+        return np.ascontiguousarray(apart * np.array([-1, -1, 2], weights.dtype)[:, None, None])
+
+    def step(self, a: np.ndarray, h: np.ndarray, u: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """The states after h: a, by gates, is that of the input and becomes the gates' values; g becomes h's part."""
+        np.matmul(h, u, out=g)
+        zr, new = a[:2], a[2]
+        zr += g[:2]
+        np.exp(zr, out=zr)  # infinite where a gate is shut, of which the inverse is 0
+        zr += 1
+        np.divide(1, zr, out=zr)
+        new += zr[1] * g[2]
+        np.exp(new, out=new)  # tanh by exp, which takes half as long
+        new += 1
+        np.divide(-2, new, out=new)
+        new += 1
         out = h - new
-        out *= zr[:, :n]
+        out *= zr[0]
         out += new
-        return out, zr, new, g
+        return out
 
-    def window(self, y: np.ndarray, h: np.ndarray):
-        """Loss gradients of one window (steps, lanes) that starts with states h; returns (log P, gradients, last states)."""
+    def window(self, y: np.ndarray, h: np.ndarray, room: Room | None = None, grad: dict | None = None):
+        """Loss gradients of one window (steps, lanes) that starts with states h; returns (log P, gradients, last states).
+
+        grad: arrays of zeros that take the gradients."""
         n, (steps, lanes) = self.hidden, y.shape
-        grad = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
-        flat = y.ravel()
-        x = self.embed[flat]
-        a = x @ self.w
-        a += self.b
-        a = a.reshape(steps, lanes, 3 * n)
+        room = Room(self.embed.dtype) if room is None else room
+        grad = self.parts(np.zeros(sum(getattr(self, k).size for k in self.NAMES), self.embed.dtype)) if grad is None else grad
+        flat, size = y.ravel(), y.size
+        order, w, u = self.sorted(flat), self.gates(self.w), self.gates(self.u)
+        token = flat.take(order)
+        fresh = np.r_[True, token[1:] != token[:-1]]
+        first, which = np.flatnonzero(fresh), np.empty((steps, lanes), np.int64)
+        which.reshape(-1)[order] = np.cumsum(fresh) - 1
+        x = self.embed.take(token[first], 0)  # of the distinct tokens
+        table = np.matmul(x, w)
+        table += self.gates(self.b)
+        a, g = room("a", 3, steps, lanes, n), room("g", 3, steps, lanes, n)
         on, ends = (y != 1).astype(a.dtype)[:, :, None], (y == 1).any(1).tolist()
-        states = np.empty((steps, lanes, n), a.dtype)
-        kept = []
-        for t in range(steps):
-            states[t] = h
-            h, zr, new, g = self.step(a[t], h)
-            kept.append((zr, new, g))
-            if ends[t]:
-                h *= on[t]
-        logp, dh_out = self.output(states.reshape(-1, n), flat, grad)
+        states = room("states", steps, lanes, n)
+        with np.errstate(over="ignore"):
+            for t in range(steps):
+                states[t] = h
+                for k in range(3):
+                    np.take(table[k], which[t], 0, out=a[k, t], mode="clip")
+                h = self.step(a[:, t], h, u, g[:, t])
+                if ends[t]:
+                    h *= on[t]
+        logp, dh_out = self.output(states.reshape(-1, n), flat, grad, room, order)
         dh_out = dh_out.reshape(steps, lanes, n)
-        dh, back = np.zeros_like(h), np.ascontiguousarray(self.u.T)
-        da, dg = np.empty_like(a), np.empty_like(a)
-        for t in reversed(range(steps)):
-            zr, new, g = kept[t]
-            z, r, d, e = zr[:, :n], zr[:, n:], da[t], dg[t]
+        dh, back, parts, slope = np.zeros_like(h), np.ascontiguousarray(self.u.reshape(n, 3, n).transpose(1, 2, 0)), room("parts", 3, lanes, n), room("slope", 2, lanes, n)
+        for t in reversed(range(steps)):  # gradients take the places of g and, where g's differs, of the new state
+            zr, new, d = a[:2, t], a[2, t], g[:, t]
             if ends[t]:
                 dh *= on[t]
-            through = dh * z
-            dnew = dh - through
-            np.multiply(new, new, out=d[:, 2 * n :])
-            np.subtract(1, d[:, 2 * n :], out=d[:, 2 * n :])
-            dnew *= d[:, 2 * n :]
-            d[:, 2 * n :] = dnew
-            np.subtract(states[t], new, out=d[:, :n])
-            d[:, :n] *= dh
-            np.multiply(dnew, g[:, 2 * n :], out=d[:, n : 2 * n])
-            d[:, : 2 * n] *= zr
-            np.subtract(1, zr, out=e[:, : 2 * n])
-            d[:, : 2 * n] *= e[:, : 2 * n]
-            e[:, : 2 * n] = d[:, : 2 * n]
-            np.multiply(dnew, r, out=e[:, 2 * n :])
-            dh = e @ back
+            np.subtract(1, zr, out=slope)
+            slope *= zr
+            slope[1] *= 0.5  # g is double
+            np.subtract(states[t], new, out=d[0])
+            d[0] *= dh
+            d[0] *= slope[0]
+            through = dh * zr[0]
+            dh -= through
+            new *= new
+            np.subtract(1, new, out=new)
+            new *= dh
+            np.multiply(new, d[2], out=d[1])
+            d[1] *= slope[1]
+            np.multiply(new, zr[1], out=d[2])
+            np.matmul(d, back, out=parts)
+            np.add(parts[0], parts[1], out=dh)
+            dh += parts[2]
             dh += through
             dh += dh_out[t]
-        da, dg = da.reshape(-1, 3 * n), dg.reshape(-1, 3 * n)
-        grad["w"] += x.T @ da
-        grad["b"] += np.ones(len(da), da.dtype) @ da
-        grad["u"] += states.reshape(-1, n).T @ dg
-        dx = da @ self.w.T
-        order = np.argsort(flat.astype(np.int16), kind="stable") if len(self.class_of) < 2**15 else np.argsort(flat, kind="stable")
-        first = np.flatnonzero(np.r_[True, np.diff(flat[order]) != 0])
-        grad["embed"][flat[order][first]] = np.add.reduceat(dx[order], first, axis=0)
+        a, g, flat_states = a.reshape(3, size, n), g.reshape(3, size, n), states.reshape(size, n)
+        many = np.diff(first, append=size) > 1
+        x = np.take(self.embed, flat, 0, out=room("x", size, x.shape[1]), mode="clip")
+        dx, ones, more = room("dx", *x.shape), np.ones(size, a.dtype), room("dx_more", *x.shape)
+        for k, (da, dg) in enumerate(((g[0], g[0]), (g[1], g[1]), (a[2], g[2]))):
+            at = slice(k * n, (k + 1) * n)
+            grad["w"][:, at] += x.T @ da
+            grad["b"][at] += ones @ da
+            grad["u"][:, at] += flat_states.T @ dg
+            np.matmul(da, self.w[:, at].T, out=more if k else dx)
+            if k:
+                dx += more
+        once, token = first[~many], token[first]
+        grad["embed"][token[~many]] += dx.take(order[once], 0)
+        if many.any():
+            rest = np.ones(size, bool)
+            rest[once] = False
+            grad["embed"][token[many]] += np.add.reduceat(dx.take(order[rest], 0), first[many] - np.cumsum(~many)[many], axis=0)
         return float(logp.sum()), grad, h
 
     def train(self, stream: np.ndarray, lanes: int = 256, steps: int = 32, rate: float = 0.01, state: dict | None = None) -> dict:
-        """Adam over a stream of documents (each ends with token 1), cut into lanes; end tokens fill the last lane."""
-        state = state or {"t": 0} | {k: (np.zeros_like(getattr(self, k)), np.zeros_like(getattr(self, k))) for k in self.NAMES}
+        """Adam over a stream of documents (each ends with token 1), cut into lanes; end tokens fill the last lane.
+
+        Its sums of gradients and of their squares are kept without the factors 0.1 and 0.01."""
+        flat = self.flat()
+        for k, part in self.parts(flat).items():
+            setattr(self, k, part)
+        state = state or {"t": 0, "m": np.zeros_like(flat), "v": np.zeros_like(flat)}
+        room, slopes = Room(flat.dtype), np.empty_like(flat)
+        grad, spare = self.parts(slopes), np.empty(min(CHUNK, len(flat)), flat.dtype)
         lanes = max(1, min(lanes, len(stream) // (4 * steps)))
         long = -(-len(stream) // lanes)
         y = np.ascontiguousarray(np.concatenate([stream, np.ones(long * lanes - len(stream), stream.dtype)]).reshape(lanes, long).T)
         h = np.zeros((lanes, self.hidden), np.float32)
         for start in range(0, long, steps):
             some = y[start : start + steps]
-            _, grad, h = self.window(some, h)
+            slopes.fill(0)
+            _, _, h = self.window(some, h, room, grad)
             state["t"] += 1
             t, scale = state["t"], 1.0 / some.size
-            norm = scale * np.sqrt(sum(float(g.ravel() @ g.ravel()) for g in grad.values()))
-            scale *= min(1.0, 1.0 / max(norm, 1e-9))
-            for k, g in grad.items():
-                m, v = state[k]
+            scale *= min(1.0, 1.0 / max(scale * float(np.sqrt(slopes @ slopes)), 1e-9))
+            root = 0.1 / float(np.sqrt(1 - 0.99**t))
+            pace = 0.1 * rate / (1 - 0.9**t) / root
+            for at in range(0, len(flat), CHUNK):  # chunks that stay in the processor's cache
+                g, m, v = (x[at : at + CHUNK] for x in (slopes, state["m"], state["v"]))
+                change = spare[: len(g)]
                 g *= scale
-                m += 0.1 * (g - m)
+                m *= 0.9
+                m += g
                 g *= g
-                v += 0.01 * (g - v)
-                step = np.sqrt(v)
-                step *= 1 / np.sqrt(1 - 0.99**t)
-                step += 1e-7
-                np.divide(m, step, out=step)
-                step *= rate / (1 - 0.9**t)
-                np.subtract(getattr(self, k), step, out=getattr(self, k))
+                v *= 0.99
+                v += g
+                np.sqrt(v, out=change)
+                change += 1e-7 / root
+                np.divide(m, change, out=change)
+                change *= pace
+                flat[at : at + CHUNK] -= change
         return state
 
-    def score(self, documents: list[np.ndarray], rows: int = 32_768) -> np.ndarray:
-        """log P (natural) of whole documents; their states run side by side."""
-        out = np.zeros(len(documents))
+    def score(self, documents: list[np.ndarray], rows: int = 32_768, lanes: int = 512) -> np.ndarray:
+        """log P (natural) of whole documents; the states of `lanes` documents of like length run side by side."""
+        result = np.zeros(len(documents))
         if not documents:
-            return out
-        table = self.embed @ self.w + self.b
-        order = sorted(range(len(documents)), key=lambda i: -len(documents[i]))
-        size = np.array([len(documents[i]) for i in order])
+            return result
+        room, u, n = Room(self.embed.dtype), self.gates(self.u), self.hidden
+        table = np.matmul(self.embed, self.gates(self.w))
+        table += self.gates(self.b)
+        size = np.array([len(x) for x in documents])
+        order = np.argsort(-size, kind="stable")
         flat = np.concatenate([documents[i] for i in order])
+        size = size[order]
         begin = np.cumsum(size) - size
-        h = np.zeros((len(order), self.hidden), np.float32)
-        live = np.searchsorted(-size, -np.arange(size[0]), side="left")  # documents longer than t
-        states, wanted, whose, waiting = [], [], [], 0
+        rows = max(rows, lanes)
+        states, wanted, whose, waiting = np.empty((rows, n), table.dtype), np.empty(rows, flat.dtype), np.empty(rows, np.int64), 0
 
         def settle():
             nonlocal waiting
-            if states:
-                logp, _ = self.output(np.concatenate(states), np.concatenate(wanted))
-                out[:] += np.bincount(np.concatenate(whose), logp, len(order))
-            states.clear(), wanted.clear(), whose.clear()
+            if waiting:
+                logp, _ = self.output(states[:waiting], wanted[:waiting], room=room)
+                result[:] += np.bincount(whose[:waiting], logp, len(result))
             waiting = 0
 
-        everyone = np.arange(len(order))
-        for t in range(size[0]):
-            n = live[t]
-            y = flat[begin[:n] + t]
-            h = h[:n]
-            states.append(h)
-            wanted.append(y)
-            whose.append(everyone[:n])
-            waiting += n
-            if waiting >= rows:
-                settle()
-            h = self.step(table[y], h)[0]
+        with np.errstate(over="ignore"):
+            for at in range(0, len(order), lanes):
+                own, mine = size[at : at + lanes], order[at : at + lanes]
+                live = np.searchsorted(-own, -np.arange(own[0]), side="left").tolist()  # documents longer than t
+                h, place = np.zeros((len(own), n), table.dtype), begin[at : at + lanes].copy()
+                for k in live:
+                    if waiting + k > rows:
+                        settle()
+                    h, stop = h[:k], waiting + k
+                    y = flat.take(place[:k], out=wanted[waiting:stop], mode="clip")
+                    states[waiting:stop], whose[waiting:stop] = h, mine[:k]
+                    waiting = stop
+                    place += 1
+                    a = np.take(table, y, 1, out=room("a", 3, k, n), mode="clip")
+                    h = self.step(a, h, u, room("g", 3, k, n))
         settle()
-        result = np.empty(len(order))
-        result[order] = out
         return result
 
 
@@ -330,31 +429,34 @@ def score_documents(docs: DataFrame, head_words: int = 131_072, classes: int = 9
 
     def encoded(it):
         place, head_count, head_token = shared.value
-        get, logs = place.get, np.log10(head_count + SMOOTH)
+        get, end = place.get, place[END]
+        # the last entry is that of -1, a word outside the head
+        token_of, log_of, known_of = (np.append(x, x.dtype.type(0)) for x in (head_token.astype(wide), np.log10(head_count + SMOOTH), (head_count > 0).astype(np.int64)))
         part, number = TaskContext.get().partitionId() << 33, 0
         for batch in by_size(it, 4_000_000):
-            split = [tokens(t) for t in texts_of(batch)]
-            n = np.array([len(w) for w in split], np.int64)
-            stop = np.cumsum(n)
-            at = np.fromiter(map(get, chain.from_iterable(split), repeat(-1)), np.int64, int(n.sum()))
-            doc, there = np.repeat(np.arange(len(n)), n), at >= 0
-            token = np.where(there, head_token[at], 0)
-            packed = memoryview(token.astype(wide)).cast("B") if len(token) else b""
-            size = wide.itemsize
-            found = [bytes(packed[size * (b - k) : size * b]) for k, b in zip(n.tolist(), stop.tolist(), strict=True)]
-            sums = lambda mask, weight=None: np.bincount(doc[mask], None if weight is None else weight[mask], len(n))
-            log = logs[at]
-            known, base, other = sums(there & (head_count[at] > 0)), sums(there, log), sums(token == 0)
-            other_sum, missing = sums(there & (token == 0), log), sums(~there)
-            rare, rare_n = [], []
-            for d, words in enumerate(split):
-                out = Counter(w for w, k in zip(words, at[stop[d] - n[d] : stop[d]].tolist(), strict=True) if k < 0) if missing[d] else {}
-                rare.append(list(out))
-                rare_n.append(list(out.values()))
-            keys = pa.array(range(part + number, part + number + len(n)), pa.int64())
-            number += len(n)
+            words = tokens_of(texts_of(batch))
+            at = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+            stop = np.flatnonzero(at == end) + 1
+            start = np.r_[0, stop[:-1]]
+            token, log = token_of.take(at), log_of.take(at)
+            sums = lambda x: np.add.reduceat(x, start)
+            unknown, missed = token == 0, np.flatnonzero(at < 0)
+            known, base, other, other_sum = sums(known_of.take(at)), sums(log), sums(unknown.astype(np.int64)), sums(log * unknown)
+            cuts = np.searchsorted(missed, np.r_[start, len(at)])
+            out, rare, rare_n, bounds = [words[i] for i in missed.tolist()], [], [], [0]
+            for a, b in pairwise(cuts.tolist()):
+                if a < b:
+                    found = Counter(out[a:b])
+                    rare += found
+                    rare_n += found.values()
+                bounds.append(len(rare))
+            lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x, kind))
+            ends = np.r_[0, stop] * wide.itemsize
+            blobs = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(token)])
+            keys = pa.array(range(part + number, part + number + len(start)), pa.int64())
+            number += len(start)
             yield pa.RecordBatch.from_arrays(
-                [keys, *(batch.column(c) for c in ("doc_id", "fold", "place")), pa.array(found, pa.binary()), *(pa.array(x, pa.int64()) for x in (n, known, other, missing)), *(pa.array(x, pa.float64()) for x in (base, other_sum)), pa.array(rare, pa.list_(pa.binary())), pa.array(rare_n, pa.list_(pa.int64()))],
+                [keys, *(batch.column(c) for c in ("doc_id", "fold", "place")), blobs, *(pa.array(x, pa.int64()) for x in (stop - start, known, other, np.diff(cuts))), *(pa.array(x, pa.float64()) for x in (base, other_sum)), lists(rare, pa.binary()), lists(rare_n, pa.int64())],
                 ["key", "doc_id", "fold", "place", "tokens", "n_tokens", "known", "n_other", "n_rare", "base", "other_sum", "rare", "rare_n"],
             )
 

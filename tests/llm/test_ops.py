@@ -884,3 +884,53 @@ def test_broadcast_model_and_dealt_ngrams_are_packed(spark):
         assert (np.diff(asked[at]) >= 0).all() and set(np.searchsorted(borders, asked[at], side="right")) == {k}
         assert 0.5 < len(at) / (len(asked) / 8) < 2
     assert kn.dealt(asked[:0], borders) == [] and [k for k, _ in kn.dealt(asked, borders[:0])] == [0]
+
+
+def test_training_uses_its_arrays_again():
+    """Windows work in the same memory (new arrays came from the system page by page); steps are Adam's, log P that of plain loops."""
+    import resource
+
+    from tesselace.llm.gru import Gru
+
+    rng = np.random.default_rng(4)
+    stream = rng.integers(1, 900, 32 * 8192)
+    faults = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    model = Gru(30, 30)
+    state = model.train(stream)
+    before = faults()
+    model.train(stream, state=state)
+    assert faults() - before < 20_000  # over 60,000 when each window made its own
+
+    m, short = Gru(3, 4, hidden=5, embed=4, sizes=[1, 3, 8]), rng.integers(1, 12, 40)
+    plain, h = Gru(3, 4, hidden=5, embed=4, sizes=[1, 3, 8]), np.zeros((1, 5), np.float32)
+    sums = {k: [0.0, 0.0] for k in Gru.NAMES}
+    for t, at in enumerate(range(0, 40, 10), 1):
+        _, grad, h = plain.window(short[at : at + 10, None], h)
+        norm = math.sqrt(sum(float((g.astype(float) ** 2).sum()) for g in grad.values())) / 10
+        for k, g in grad.items():
+            g = g.astype(float) / 10 * min(1.0, 1 / norm)
+            a, b = sums[k] = [0.9 * sums[k][0] + 0.1 * g, 0.99 * sums[k][1] + 0.01 * g * g]
+            setattr(plain, k, (getattr(plain, k) - 0.01 * a / (1 - 0.9**t) / (np.sqrt(b / (1 - 0.99**t)) + 1e-7)).astype(np.float32))
+    m.train(short, lanes=1, steps=10)
+    assert np.abs(m.flat() - plain.flat()).max() < 1e-4
+
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for doc in ([5], [3, 0, 11, 4, 7, 0, 1]):
+        h, total = np.zeros(5), 0.0
+        for y in doc:
+            e, k = h @ m.out_class + m.bias_class, m.class_of[y]
+            own = slice(m.starts[k], m.starts[k + 1])
+            f = m.out_word[own] @ h + m.bias_word[own]
+            total += e[k] - np.log(np.exp(e).sum()) + f[y - own.start] - np.log(np.exp(f).sum())
+            a, g = m.embed[y] @ m.w + m.b, h @ m.u
+            z, r = sigmoid(a[:5] + g[:5]), sigmoid(a[5:10] + g[5:10])
+            h = z * h + (1 - z) * np.tanh(a[10:] + r * g[10:])
+        assert abs(m.score([np.array(doc)])[0] - total) < 1e-4
+
+
+def test_tokens_of_batches_are_those_of_texts():
+    from tesselace.llm.gru import tokens, tokens_of
+
+    texts = ["", "A b\x0bC\u00c4 \u00a0x", "\x1cq ", "end \\x00end", "Z"]
+    for some in ([], [""], texts, [*texts, "\x00end a\x00 \x00\x00end", "last"]):
+        assert tokens_of(some) == [w for t in some for w in tokens(t)]
