@@ -221,15 +221,14 @@ class Gru:
         room = Room(self.embed.dtype) if room is None else room
         grad = self.parts(np.zeros(sum(getattr(self, k).size for k in self.NAMES), self.embed.dtype)) if grad is None else grad
         flat, size = y.ravel(), y.size
-        order, w, u = self.sorted(flat), self.gates(self.w), self.gates(self.u)
+        order, u = self.sorted(flat), self.gates(self.u)
         token = flat.take(order)
         fresh = np.r_[True, token[1:] != token[:-1]]
         first, which = np.flatnonzero(fresh), np.empty((steps, lanes), np.int64)
         which.reshape(-1)[order] = np.cumsum(fresh) - 1
-        x = self.embed.take(token[first], 0)  # of the distinct tokens
-        table = np.matmul(x, w)
+        table = np.matmul(self.embed.take(token[first], 0), self.gates(self.w))  # of the distinct tokens
         table += self.gates(self.b)
-        a, g = room("a", 3, steps, lanes, n), room("g", 3, steps, lanes, n)
+        a, g, carried = room("a", 3, steps, lanes, n), room("g", 3, lanes, n), room("carried", steps, lanes, n)
         on, ends = (y != 1).astype(a.dtype)[:, :, None], (y == 1).any(1).tolist()
         states = room("states", steps, lanes, n)
         with np.errstate(over="ignore"):
@@ -237,47 +236,50 @@ class Gru:
                 states[t] = h
                 for k in range(3):
                     np.take(table[k], which[t], 0, out=a[k, t], mode="clip")
-                h = self.step(a[:, t], h, u, g[:, t])
+                h = self.step(a[:, t], h, u, g)
+                carried[t] = g[2]
                 if ends[t]:
                     h *= on[t]
         logp, dh_out = self.output(states.reshape(-1, n), flat, grad, room, order)
         dh_out = dh_out.reshape(steps, lanes, n)
-        dh, back, parts, slope = np.zeros_like(h), np.ascontiguousarray(self.u.reshape(n, 3, n).transpose(1, 2, 0)), room("parts", 3, lanes, n), room("slope", 2, lanes, n)
-        for t in reversed(range(steps)):  # gradients take the places of g and, where g's differs, of the new state
-            zr, new, d = a[:2, t], a[2, t], g[:, t]
+        by_gate = lambda weights: weights.reshape(-1, 3, n).transpose(1, 2, 0)
+        dh, slope, d, parts = np.zeros_like(h), room("slope", 2, lanes, n), room("d", 4, lanes, n), room("parts", 3, lanes, n)
+        from_u, from_w = np.ascontiguousarray(by_gate(self.u)[[2, 0, 1]]), np.ascontiguousarray(by_gate(self.w))
+        dx, ones, inputs = room("dx", steps, lanes, self.embed.shape[1]), np.ones(lanes, a.dtype), room("inputs", 3, lanes, self.embed.shape[1])
+        du, dw, db = np.zeros((3, n, n), a.dtype), np.zeros((3, self.embed.shape[1], n), a.dtype), np.zeros((3, n), a.dtype)
+        for t in reversed(range(steps)):  # what a step needs stays in the processor's cache
+            zr, new, dg, da = a[:2, t], a[2, t], d[:3], d[1:]  # the new state's part of h, update, reset, new state
             if ends[t]:
                 dh *= on[t]
             np.subtract(1, zr, out=slope)
             slope *= zr
-            slope[1] *= 0.5  # g is double
-            np.subtract(states[t], new, out=d[0])
-            d[0] *= dh
-            d[0] *= slope[0]
+            slope[1] *= 0.5  # what is carried is double
+            np.subtract(states[t], new, out=d[1])
+            d[1] *= dh
+            d[1] *= slope[0]
             through = dh * zr[0]
             dh -= through
-            new *= new
-            np.subtract(1, new, out=new)
-            new *= dh
-            np.multiply(new, d[2], out=d[1])
-            d[1] *= slope[1]
-            np.multiply(new, zr[1], out=d[2])
-            np.matmul(d, back, out=parts)
+            np.multiply(new, new, out=d[3])
+            np.subtract(1, d[3], out=d[3])
+            d[3] *= dh
+            np.multiply(d[3], carried[t], out=d[2])
+            d[2] *= slope[1]
+            np.multiply(d[3], zr[1], out=d[0])
+            du += np.matmul(states[t].T, dg)
+            dw += np.matmul(self.embed.take(y[t], 0).T, da)
+            db += np.matmul(ones, da)
+            np.matmul(da, from_w, out=inputs)
+            np.add(inputs[0], inputs[1], out=dx[t])
+            dx[t] += inputs[2]
+            np.matmul(dg, from_u, out=parts)
             np.add(parts[0], parts[1], out=dh)
             dh += parts[2]
             dh += through
             dh += dh_out[t]
-        a, g, flat_states = a.reshape(3, size, n), g.reshape(3, size, n), states.reshape(size, n)
-        many = np.diff(first, append=size) > 1
-        x = np.take(self.embed, flat, 0, out=room("x", size, x.shape[1]), mode="clip")
-        dx, ones, more = room("dx", *x.shape), np.ones(size, a.dtype), room("dx_more", *x.shape)
-        for k, (da, dg) in enumerate(((g[0], g[0]), (g[1], g[1]), (a[2], g[2]))):
-            at = slice(k * n, (k + 1) * n)
-            grad["w"][:, at] += x.T @ da
-            grad["b"][at] += ones @ da
-            grad["u"][:, at] += flat_states.T @ dg
-            np.matmul(da, self.w[:, at].T, out=more if k else dx)
-            if k:
-                dx += more
+        grad["u"] += du[[1, 2, 0]].transpose(1, 0, 2).reshape(n, -1)
+        grad["w"] += dw.transpose(1, 0, 2).reshape(-1, 3 * n)
+        grad["b"] += db.ravel()
+        dx, many = dx.reshape(size, -1), np.diff(first, append=size) > 1
         once, token = first[~many], token[first]
         grad["embed"][token[~many]] += dx.take(order[once], 0)
         if many.any():
